@@ -3,14 +3,55 @@
 Follows the browser rules for http(s): relative resolution, dot segments, lower-case host,
 default ports, number-form IPv4 hosts, percent-encoding of unsafe characters. Host names outside
 ASCII and percent-encoded hosts are not converted; such URLs count as unusable.
+
+The rules are written as Spark SQL text with ``x -> ...`` lambdas as local names: one parse instead
+of thousands of Column calls, which keeps planning short when a query resolves many fields.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from itertools import count
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from rosterspark.functions.text import col, filled, let, null, trim
+from rosterspark.functions.text import col, filled, trim
+
+Sql = str
+_names = count()
+
+
+def _lambda(body: Callable[[Sql], Sql]) -> Sql:
+    name = f"u{next(_names)}_"
+    return f"{name} -> {body(name)}"
+
+
+def _let(value: Sql, body: Callable[[Sql], Sql]) -> Sql:
+    return f"transform(array({value}), {_lambda(body)})[0]"
+
+
+def _raw(pattern: str) -> Sql:
+    """A pattern as raw SQL text; quotes are written as code points."""
+    return "r'" + pattern.replace("'", r"\x27").replace('"', r"\x22") + "'"
+
+
+def _take(text: Sql, pattern: str) -> Sql:
+    return f"regexp_extract({text}, {_raw(pattern)}, 1)"
+
+
+def _like(text: Sql, pattern: str) -> Sql:
+    return f"({text} rlike {_raw(pattern)})"
+
+
+def _swap(text: Sql, pattern: str, by: str = "") -> Sql:
+    return f"regexp_replace({text}, {_raw(pattern)}, '{by}')"
+
+
+def _apply(value: Column, body: Sql) -> Column:
+    """Value of the SQL lambda ``body`` for a column."""
+    return F.call_function("transform", F.array(value), F.expr(body))[0]
+
 
 _SCHEME = r"^([A-Za-z][A-Za-z0-9+.\-]*):"
 _PATH_UNSAFE = r'[^\x21-\x7e]|["<>`{}^]'
@@ -18,152 +59,156 @@ _QUERY_UNSAFE = r"""[^\x21-\x7e]|["<>']"""
 _FRAGMENT_UNSAFE = r'[^\x21-\x7e]|["<>`]'
 
 
-def _percent(text: Column, unsafe: str) -> Column:
-    def encode(ch: Column) -> Column:
-        code = F.regexp_replace(F.hex(F.encode(ch, "UTF-8")), "(..)", "%$1")
-        return F.when(ch.rlike(unsafe), code).otherwise(ch)
+def _percent(text: Sql, unsafe: str) -> Sql:
+    def encode(ch: Sql) -> Sql:
+        code = _swap(f"hex(encode({ch}, 'UTF-8'))", "(..)", "%$1")
+        return f"if({_like(ch, unsafe)}, {code}, {ch})"
 
-    return F.when(text.rlike(unsafe), F.array_join(F.transform(F.split(text, ""), encode), "")).otherwise(text)
+    return _let(text, lambda x: f"if({_like(x, unsafe)}, array_join(transform(split({x}, ''), {_lambda(encode)}), ''), {x})")
 
 
-def _drop_dots(path: Column) -> Column:
+def _drop_dots(path: Sql) -> Sql:
     """Resolve '.' and '..' segments of an absolute path."""
 
     def is_dot(s):
-        return F.lower(s).isin(".", "%2e")
+        return f"(lower({s}) in ('.', '%2e'))"
 
     def is_up(s):
-        return F.lower(s).isin("..", ".%2e", "%2e.", "%2e%2e")
-
-    def step(kept, s):
-        return (
-            F.when(is_up(s), F.slice(kept, 1, F.greatest(F.size(kept) - 1, F.lit(0))))
-            .when(is_dot(s), kept)
-            .otherwise(F.concat(kept, F.array(s)))
-        )
+        return f"(lower({s}) in ('..', '.%2e', '%2e.', '%2e%2e'))"
 
     def fold(segments):
-        last = F.element_at(segments, -1)
-        kept = F.aggregate(segments, F.array().cast("array<string>"), step)
-        tail = F.when(is_up(last) | is_dot(last), F.concat(kept, F.array(F.lit("")))).otherwise(kept)
-        return F.concat(F.lit("/"), F.array_join(tail, "/"))
-
-    dotted = path.rlike(r"(?i)/(\.|%2e){1,2}(/|\z)")
-    return F.when(dotted, let(F.split(F.substring(path, F.lit(2), F.length(path)), "/"), fold)).otherwise(path)
-
-
-def _ipv4_number(part: Column) -> Column:
-    hexa = F.conv(F.concat(F.lit("0"), F.substring(part, F.lit(3), F.length(part))), 16, 10)
-    return (
-        F.when(part.rlike(r"^0x[0-9a-f]{0,12}\z"), hexa)
-        .when(part.rlike(r"^0[0-7]{1,14}\z"), F.conv(part, 8, 10))
-        .when(part.rlike(r"^(0|[1-9][0-9]{0,11})\z"), part)
-        .try_cast("bigint")
-    )
+        kept = (
+            f"aggregate({segments}, cast(array() as array<string>), (k_, s_) -> case when {is_up('s_')} "
+            f"then slice(k_, 1, greatest(size(k_) - 1, 0)) when {is_dot('s_')} then k_ else concat(k_, array(s_)) end)"
+        )
+        last = f"element_at({segments}, -1)"
+        closing = f"if({is_up(last)} or {is_dot(last)}, array(''), cast(array() as array<string>))"
+        return f"concat('/', array_join(concat({kept}, {closing}), '/'))"
 
+    dotted = _like(path, r"(?i)/(\.|%2e){1,2}(/|\z)")
+    return f"if({dotted}, {_let(f"split(substring({path}, 2), '/')", fold)}, {path})"
 
-def _dotted(value: Column) -> Column:
-    def octet(shift):
-        return F.shiftright(value, shift).bitwiseAND(F.lit(255)).cast("string")
 
-    return F.concat_ws(".", octet(24), octet(16), octet(8), octet(0))
+def _dotted(value: Sql) -> Sql:
+    octets = ", ".join(f"cast(shiftright({value}, {s}) & 255 as string)" for s in (24, 16, 8, 0))
+    return f"concat_ws('.', {octets})"
 
 
-def canonical_host(host: Column) -> Column:
+def _canonical_host(host: Sql) -> Sql:
     """Lower-case host; a number-form IPv4 host becomes dotted decimal; null if unusable."""
 
-    def numeric(parts):
-        def build(nums):
-            n = F.size(nums)
-            lead = F.slice(nums, 1, n - 1)
-            last = F.element_at(nums, -1)
-            high = F.aggregate(
-                F.transform(lead, lambda v, i: v * F.pow(F.lit(256), F.lit(3) - i).cast("bigint")),
-                F.lit(0).cast("bigint"),
-                lambda a, v: a + v,
-            )
-            ok = (
-                (n <= 4)
-                & F.forall(nums, lambda v: v.isNotNull())
-                & F.forall(lead, lambda v: v <= 255)
-                & (last < F.pow(F.lit(256), F.lit(5) - n).cast("bigint"))
-            )
-            return F.when(ok, _dotted(high + last))
+    def number(p):
+        return (
+            f"try_cast(case when {_like(p, r'^0x[0-9a-f]{0,12}\z')} then conv(concat('0', substring({p}, 3)), 16, 10) "
+            f"when {_like(p, r'^0[0-7]{1,14}\z')} then conv({p}, 8, 10) "
+            f"when {_like(p, r'^(0|[1-9][0-9]{0,11})\z')} then {p} end as bigint)"
+        )
 
-        return let(F.transform(parts, _ipv4_number), build)
+    def build(nums):
+        lead = f"slice({nums}, 1, size({nums}) - 1)"
+        last = f"element_at({nums}, -1)"
+        high = f"aggregate(transform({lead}, (v_, i_) -> v_ * cast(pow(256, 3 - i_) as bigint)), 0L, (a_, v_) -> a_ + v_)"
+        ok = (
+            f"forall({nums}, v_ -> v_ is not null) and forall({lead}, v_ -> v_ <= 255) "
+            f"and {last} < cast(pow(256, 5 - size({nums})) as bigint)"
+        )
+        return f"if({ok}, {_let(f'{high} + {last}', _dotted)}, null)"
 
-    def build(h):
-        # More than four labels cannot be an IPv4 number; guarded so that no power goes negative.
-        labels = F.split(F.regexp_replace(h, r"\.\z", ""), r"\.")
+    def judge(h):
+        labels = f"split({_swap(h, r'\.\z')}, {_raw(r'\.')})"
+        numeric = _let(f"transform({labels}, {_lambda(number)})", build)
         return (
-            F.when(h.rlike(r"^\[[0-9a-f:.]+\]\z"), h)
-            .when(h.rlike(r"[^\x21-\x7e]|[#%/:<>?@\[\\\]^|]") | (h == ""), null())
-            .when(~h.rlike(r"(^|\.)(0x[0-9a-f]*|[0-9]+)\.?\z"), h)
-            .when(F.size(labels) > 4, null())
-            .otherwise(numeric(labels))
+            f"case when {_like(h, r'^\[[0-9a-f:.]+\]\z')} then {h} "
+            f"when {h} = '' or {_like(h, r'[^\x21-\x7e]|[#%/:<>?@\[\\\]^|]')} then null "
+            f"when not {_like(h, r'(^|\.)(0x[0-9a-f]*|[0-9]+)\.?\z')} then {h} "
+            f"when size({labels}) > 4 then null else {numeric} end"
         )
 
-    return let(F.lower(host), build)
+    return _let(f"lower({host})", judge)
 
 
-# Already canonical references, the common case: resolved without taking the URL apart.
-_PLAIN = r"(?!\.)(?!.*/\.)[A-Za-z0-9_~!$&()*+,;=:@/.-]*\z"
-_PLAIN_ROOTED = rf"^/(?!/){_PLAIN}"
-_PLAIN_WEB = rf"^https?://[a-z][a-z0-9-]*(?:\.[a-z][a-z0-9-]*)+/{_PLAIN}"
-
 _PARTS = "struct<href:string,origin:string,protocol:string,host:string,userinfo:string>"
 
 
-def _web_url(scheme: Column, rest: Column) -> Column:
+def _struct(**fields: Sql) -> Sql:
+    return "named_struct(" + ", ".join(f"'{k}', {v}" for k, v in fields.items()) + ")"
+
+
+def _web_url(scheme: Sql, rest: Sql) -> Sql:
     """Parts of ``scheme://rest`` where ``rest`` starts at the authority."""
 
     def read(s):
-        before = F.regexp_extract(s, r"(?s)^([^#]*)", 1)
-        fragment = F.regexp_extract(s, r"(?s)^[^#]*(#.*)\z", 1)
-        query = F.regexp_extract(before, r"(?s)^[^?]*(\?.*)\z", 1)
-        head = F.translate(F.regexp_extract(before, r"(?s)^([^?]*)", 1), "\\", "/")
-        authority = F.regexp_extract(head, r"(?s)^([^/]*)", 1)
-        path = F.regexp_extract(head, r"(?s)^[^/]*(/.*)\z", 1)
-        return F.struct(
-            authority.alias("authority"),
-            F.coalesce(filled(path), F.lit("/")).alias("path"),
-            query.alias("query"),
-            fragment.alias("fragment"),
+        path = f"translate({_take(s, r'(?s)^[^/\\?#]*([/\\][^?#]*)')}, {_raw(chr(92))}, '/')"
+        return _struct(
+            authority=_take(s, r"(?s)^([^/\\?#]*)"), path=f"coalesce(nullif({path}, ''), '/')",
+            query=_take(s, r"(?s)^[^?#]*(\?[^#]*)"), fragment=_take(s, r"(?s)^[^#]*(#.*)\z"),
         )
 
     def split_authority(p):
-        host_port = F.regexp_extract(p["authority"], r"(?s)([^@]*)\z", 1)
-        return F.struct(
-            F.regexp_extract(p["authority"], r"(?s)^(.*)@", 1).alias("userinfo"),
-            canonical_host(F.regexp_replace(host_port, r":[0-9]*\z", "")).alias("host"),
-            F.regexp_extract(host_port, r":0*([0-9]*)\z", 1).alias("port"),
-            p["path"].alias("path"),
-            p["query"].alias("query"),
-            p["fragment"].alias("fragment"),
+        host_port = _take(f"{p}.authority", r"(?s)([^@]*)\z")
+        return _struct(
+            userinfo=_take(f"{p}.authority", r"(?s)^(.*)@"), host=_canonical_host(_swap(host_port, r":[0-9]*\z")),
+            port=_take(host_port, r":0*([0-9]*)\z"), path=f"{p}.path", query=f"{p}.query", fragment=f"{p}.fragment",
         )
 
-    def write(p):
-        default = F.when(scheme == "http", F.lit("80")).otherwise(F.lit("443"))
-        port = F.when((p["port"] == "") | (p["port"] == default), F.lit("")).otherwise(F.concat(F.lit(":"), p["port"]))
-        origin = F.concat(scheme, F.lit("://"), p["host"], port)
-        login = F.when(p["userinfo"] == "", F.lit("")).otherwise(F.concat(p["userinfo"], F.lit("@")))
-        href = F.concat(
-            scheme, F.lit("://"), login, p["host"], port,
-            _percent(_drop_dots(p["path"]), _PATH_UNSAFE),
-            _percent(p["query"], _QUERY_UNSAFE),
-            _percent(p["fragment"], _FRAGMENT_UNSAFE),
+    def with_port(p):
+        default = f"if({scheme} = 'http', '80', '443')"
+        usable = f"{p}.host is not null and length({p}.port) <= 5 and coalesce(try_cast({p}.port as int), 0) <= 65535"
+        shown = f"if({p}.port = '' or {p}.port = {default}, '', concat(':', {p}.port))"
+        return f"if({usable}, {_let(shown, lambda port: write(p, port))}, null)"
+
+    def write(p, port):
+        login = f"if({p}.userinfo = '', '', concat({p}.userinfo, '@'))"
+        href = (
+            f"concat({scheme}, '://', {login}, {p}.host, {port}, {_percent(_drop_dots(f'{p}.path'), _PATH_UNSAFE)}, "
+            f"{_percent(f'{p}.query', _QUERY_UNSAFE)}, {_percent(f'{p}.fragment', _FRAGMENT_UNSAFE)})"
         )
-        usable = p["host"].isNotNull() & (F.length(p["port"]) <= 5) & (F.coalesce(p["port"].try_cast("int"), F.lit(0)) <= 65535)
-        return F.when(
-            usable,
-            F.struct(
-                href.alias("href"), origin.alias("origin"), scheme.alias("protocol"),
-                F.regexp_replace(p["host"], r"^\[|\]\z", "").alias("host"),
-                F.regexp_replace(p["userinfo"], r"^:\z", "").alias("userinfo"),
-            ),
+        return _struct(
+            href=href, origin=f"concat({scheme}, '://', {p}.host, {port})", protocol=scheme,
+            host=_swap(f"{p}.host", r"^\[|\]\z"), userinfo=_swap(f"{p}.userinfo", r"^:\z"),
         )
 
-    return let(let(rest, read), lambda p: let(split_authority(p), write))
+    return _let(_let(rest, read), lambda p: _let(split_authority(p), with_port))
+
+
+def _clean(c: Sql) -> Sql:
+    return f"translate({_swap(c, r'^[\x00-\x20]+|[\x00-\x20]+\z')}, '\\t\\n\\r', '')"
+
+
+def _absolute(r: Sql) -> Sql:
+    def by_scheme(scheme):
+        rest = _swap(r, _SCHEME)
+        opaque = _struct(href=f"concat({scheme}, ':', {rest})", origin="'null'", protocol=scheme, host="''", userinfo="''")
+        web = _web_url(scheme, _swap(rest, r"^[/\\]+"))
+        return f"case when {scheme} in ('http', 'https') then {web} when {scheme} <> '' then {opaque} else cast(null as {_PARTS}) end"
+
+    return _let(f"lower({_take(r, _SCHEME)})", by_scheme)
+
+
+def _joined(r: Sql, b: Sql) -> Sql:
+    site = _take(b, r"(?i)^(https?://[^/?#]*)")
+    path = _take(b, r"(?i)^https?://[^/?#]*([^?#]*)")
+    folder = f"coalesce(nullif({_take(b, r'(?i)^https?://[^/?#]*([^?#]*/)')}, ''), '/')"
+    return (
+        f"case when {_like(r, _SCHEME)} then {r} "
+        f"when {b} is null or {site} = '' then null "
+        f"when {_like(r, r'^[/\\]{2}')} then concat({_take(b, r'(?i)^(https?:)')}, {r}) "
+        f"when {_like(r, r'^[/\\]')} then concat({site}, '/', substring({r}, 2)) "
+        f"when startswith({r}, '?') then concat({site}, {path}, {r}) "
+        f"when {r} = '' or startswith({r}, '#') then concat({_take(b, r'^([^#]*)')}, {r}) "
+        f"else concat({site}, {folder}, {r}) end"
+    )
+
+
+def _resolved(pair: Sql) -> Sql:
+    return _let(
+        _struct(r=_clean(f"{pair}.r"), b=_clean(f"{pair}.b")),
+        lambda p: _let(_joined(f"{p}.r", f"{p}.b"), _absolute),
+    )
+
+
+_ABSOLUTE = _lambda(lambda v: _let(_clean(v), _absolute))
+_RESOLVED = _lambda(_resolved)
 
 
 def url_parts(ref: Column | str, base: Column | str | None = None) -> Column:
@@ -172,42 +217,34 @@ def url_parts(ref: Column | str, base: Column | str | None = None) -> Column:
     ``base`` must be an absolute http(s) URL. Other schemes (mailto:, tel:) keep their text and
     have the origin 'null'.
     """
+    if base is None:
+        return _apply(col(ref), _ABSOLUTE)
+    return _apply(F.struct(col(ref).alias("r"), col(base).alias("b")), _RESOLVED)
 
-    def clean(c):
-        return F.translate(F.regexp_replace(c, r"^[\x00-\x20]+|[\x00-\x20]+\z", ""), "\t\n\r", "")
 
-    def absolute(r):
-        scheme = F.lower(F.regexp_extract(r, _SCHEME, 1))
-        rest = F.regexp_replace(r, _SCHEME, "")
-        opaque = F.struct(
-            F.concat(scheme, F.lit(":"), rest).alias("href"), F.lit("null").alias("origin"),
-            scheme.alias("protocol"), F.lit("").alias("host"), F.lit("").alias("userinfo"),
-        )
-        web = _web_url(scheme, F.regexp_replace(rest, r"^[/\\]+", ""))
-        return F.when(scheme.isin("http", "https"), web).when(scheme != "", opaque).otherwise(F.lit(None).cast(_PARTS))
+# Already canonical references, the common case: resolved without taking the URL apart.
+_PLAIN = r"(?!\.)(?!.*/\.)[A-Za-z0-9_~!$&()*+,;=:@/.-]*\z"
+_PLAIN_ROOTED = rf"^/(?!/){_PLAIN}"
+_PLAIN_WEB = rf"^https?://[a-z][a-z0-9-]*(?:\.[a-z][a-z0-9-]*)+/{_PLAIN}"
+
+
+def _on_page(v: Sql) -> Sql:
+    ref, page = f"{v}.ref", f"{v}.page"
+    rooted = _struct(
+        href=f"concat({page}.origin, {ref})", origin=f"{page}.origin", protocol=f"{page}.protocol", host=f"{page}.host", userinfo="''"
+    )
+    web = _struct(
+        href=ref, origin=_take(ref, r"^(https?://[^/]*)"), protocol=_take(ref, r"^(https?)"),
+        host=_take(ref, r"^https?://([^/]*)"), userinfo="''",
+    )
+    other = _let(_struct(r=ref, b=f"{page}.href"), _resolved)
+    return (
+        f"case when {page}.origin is not null and {page}.userinfo = '' and {_like(ref, _PLAIN_ROOTED)} then {rooted} "
+        f"when {_like(ref, _PLAIN_WEB)} then {web} else {other} end"
+    )
 
-    if base is None:
-        return let(clean(col(ref)), absolute)
-
-    def joined(pair):
-        r, b = pair["r"], pair["b"]
-        scheme = F.lower(F.regexp_extract(b, r"^(https?)://", 1))
-        site = F.regexp_extract(b, r"(?i)^(https?://[^/?#]*)", 1)
-        path = F.regexp_extract(b, r"(?i)^https?://[^/?#]*([^?#]*)", 1)
-        folder = F.coalesce(filled(F.regexp_extract(path, r"^(.*/)", 1)), F.lit("/"))
-        slashed = F.when(r.rlike(r"^[^?#]*\\"), F.regexp_replace(r, r"^\\", "/")).otherwise(r)
-        return (
-            F.when(r.rlike(_SCHEME), r)
-            .when((site == "") | b.isNull(), null())
-            .when(r.rlike(r"^[/\\]{2}"), F.concat(scheme, F.lit(":"), r))
-            .when(r.rlike(r"^[/\\]"), F.concat(site, slashed))
-            .when(r.startswith("?"), F.concat(site, path, r))
-            .when(r.startswith("#") | (r == ""), F.concat(F.regexp_extract(b, r"^([^#]*)", 1), r))
-            .otherwise(F.concat(site, folder, r))
-        )
 
-    pair = F.struct(clean(col(ref)).alias("r"), clean(col(base)).alias("b"))
-    return let(let(pair, joined), absolute)
+_ON_PAGE = _lambda(_on_page)
 
 
 def resolve_on(ref: Column, page: Column) -> Column:
@@ -215,24 +252,7 @@ def resolve_on(ref: Column, page: Column) -> Column:
 
     References that are canonical already take a short way with the same result.
     """
-
-    def plain(href, origin, protocol, host):
-        return F.struct(
-            href.alias("href"), origin.alias("origin"), protocol.alias("protocol"), host.alias("host"),
-            F.lit("").alias("userinfo"),
-        )
-
-    rooted = plain(F.concat(page["origin"], ref), page["origin"], page["protocol"], page["host"])
-    web = plain(
-        ref, F.regexp_extract(ref, r"^(https?://[^/]*)", 1), F.regexp_extract(ref, r"^(https?)", 1),
-        F.regexp_extract(ref, r"^https?://([^/]*)", 1),
-    )
-    ready = page["origin"].isNotNull() & (page["userinfo"] == "")
-    return (
-        F.when(ready & ref.rlike(_PLAIN_ROOTED), rooted)
-        .when(ref.rlike(_PLAIN_WEB), web)
-        .otherwise(url_parts(ref, page["href"]))
-    )
+    return _apply(F.struct(ref.alias("ref"), page.alias("page")), _ON_PAGE)
 
 
 def absolutize(ref: Column | str, base: Column | str) -> Column:
@@ -257,93 +277,90 @@ REASON_HOST = "That host isn't reachable from here."
 MAX_SUBMITTED_URL = 2000
 
 
-def is_private_ipv4(host: Column) -> Column:
+def _private_ipv4(host: Sql) -> Sql:
     """Loopback, private, link-local, test and reserved IPv4 ranges of a dotted host."""
 
     def check(o):
-        a, b = o[0], o[1]
+        a, b = f"{o}[0]", f"{o}[1]"
         return (
-            a.isin(0, 10, 127)
-            | (a >= 224)
-            | ((a == 100) & b.between(64, 127))
-            | ((a == 169) & (b == 254))
-            | ((a == 172) & b.between(16, 31))
-            | ((a == 192) & b.isin(0, 168))
-            | ((a == 198) & b.isin(18, 19, 51))
-            | ((a == 203) & (b == 0))
+            f"{a} in (0, 10, 127) or {a} >= 224 or ({a} = 100 and {b} between 64 and 127) or ({a} = 169 and {b} = 254) "
+            f"or ({a} = 172 and {b} between 16 and 31) or ({a} = 192 and {b} in (0, 168)) "
+            f"or ({a} = 198 and {b} in (18, 19, 51)) or ({a} = 203 and {b} = 0)"
         )
 
-    dotted = host.rlike(r"^[0-9]{1,3}(\.[0-9]{1,3}){3}\z")
-    octets = F.transform(F.split(host, r"\."), lambda p: p.try_cast("int"))
-    in_range = F.forall(octets, lambda v: v <= 255)
-    return F.coalesce(F.when(dotted & in_range, let(octets, check)), F.lit(False))
+    octets = f"transform(split({host}, {_raw(r'\.')}), p_ -> try_cast(p_ as int))"
+    dotted = _like(host, r"^[0-9]{1,3}(\.[0-9]{1,3}){3}\z")
+    inside = _let(octets, lambda o: f"(forall({o}, v_ -> v_ <= 255) and ({check(o)}))")
+    return f"coalesce(if({dotted}, {inside}, false), false)"
 
 
-def _ipv6_groups(host: Column) -> Column:
-    """Eight numbers of an IPv6 text (with '::' and a dotted tail), or null."""
+def _private_ipv6(host: Sql) -> Sql:
+    """The same for IPv6 text: loopback, link-local, unique-local and IPv4-mapped hosts."""
 
     def widen(h):
-        tail = F.regexp_extract(h, r"([0-9]+\.[0-9]+\.[0-9]+\.[0-9]+)\z", 1)
-        octets = F.transform(F.split(tail, r"\."), lambda p: p.try_cast("int"))
+        tail = _take(h, r"([0-9]+\.[0-9]+\.[0-9]+\.[0-9]+)\z")
 
-        def pair(o, i, j):
-            return F.lower(F.hex(o[i] * 256 + o[j]))
+        def pairs(o):
+            two = [f"lower(hex({o}[{i}] * 256 + {o}[{i + 1}]))" for i in (0, 2)]
+            return f"concat({_swap(h, r'[0-9.]+\z')}, {two[0]}, ':', {two[1]})"
 
-        hexed = let(octets, lambda o: F.concat_ws(":", pair(o, 0, 1), pair(o, 2, 3)))
-        return F.when(tail == "", h).otherwise(F.concat(F.regexp_replace(h, r"[0-9.]+\z", ""), hexed))
+        octets = f"transform(split({tail}, {_raw(r'\.')}), p_ -> try_cast(p_ as int))"
+        return f"if({tail} = '', {h}, {_let(octets, pairs)})"
 
     def groups(h):
-        sides = F.split(h, "::")
-
         def items(text):
-            return F.filter(F.split(text, ":"), lambda g: g != "")
+            return f"filter(split({text}, ':'), g_ -> g_ <> '')"
 
-        left, right = items(sides[0]), items(F.coalesce(F.try_element_at(sides, F.lit(2)), F.lit("")))
-        gap = F.lit(8) - F.size(left) - F.size(right)
-        texts = F.when(gap > 0, F.concat(left, F.array_repeat(F.lit("0"), gap), right)).when(gap == 0, F.concat(left, right))
-        return F.transform(texts, lambda g: F.conv(g, 16, 10).try_cast("int"))
+        def fill(s):
+            gap = f"(8 - size({s}.l) - size({s}.r))"
+            texts = (
+                f"case when {gap} > 0 then concat({s}.l, array_repeat('0', {gap}), {s}.r) "
+                f"when {gap} = 0 then concat({s}.l, {s}.r) end"
+            )
+            return f"transform({texts}, g_ -> try_cast(conv(g_, 16, 10) as int))"
 
-    return F.when(host.contains(":"), let(let(F.lower(host), widen), groups))
+        def sides(s):
+            return _let(_struct(l=items(f"{s}[0]"), r=items(f"coalesce(try_element_at({s}, 2), '')")), fill)
 
+        return _let(f"split({h}, '::')", sides)
 
-def is_private_ipv6(host: Column) -> Column:
     def check(g):
         def zero(n):
-            return F.forall(F.slice(g, 1, n), lambda v: v == 0)
+            return f"forall(slice({g}, 1, {n}), v_ -> v_ = 0)"
 
-        first = F.lower(F.hex(g[0]))
-        mapped = _dotted(g[6].cast("bigint") * 65536 + g[7])
+        mapped = _let(_dotted(f"(cast({g}[6] as bigint) * 65536 + {g}[7])"), _private_ipv4)
         return (
-            (zero(7) & g[7].isin(0, 1))
-            | ((g[0] != 0) & first.rlike("^(fe[89ab]|f[cd])"))
-            | (zero(5) & (g[5] == 65535) & is_private_ipv4(mapped))
+            f"(({zero(7)} and {g}[7] in (0, 1)) or ({g}[0] <> 0 and {_like(f'lower(hex({g}[0]))', '^(fe[89ab]|f[cd])')}) "
+            f"or ({zero(5)} and {g}[5] = 65535 and {mapped}))"
         )
 
-    return F.coalesce(let(_ipv6_groups(host), check), F.lit(False))
+    parsed = _let(_let(f"lower({host})", widen), groups)
+    return f"coalesce(if(contains({host}, ':'), {_let(parsed, check)}, false), false)"
+
+
+_PRIVATE = _lambda(lambda h: f"({_private_ipv4(h)} or {_private_ipv6(h)})")
+
+
+def is_private_host(host: Column) -> Column:
+    return _apply(host, _PRIVATE)
 
 
 def check_submission_url(c: Column | str) -> Column:
     """``struct(ok, reason, href)``: the first rule that a submitted URL breaks, in order."""
 
-    def judge(t):
-        def rules(p):
-            host = p["host"]
-            local = host.rlike(r"(^|\.)localhost\z") | host.endswith(".local")
-            reason = (
-                F.when(t == "", F.lit(REASON_EMPTY))
-                .when(F.length(t) > MAX_SUBMITTED_URL, F.lit(REASON_LONG))
-                .when(p.isNull(), F.lit(REASON_INVALID))
-                .when(~p["protocol"].isin("http", "https"), F.lit(REASON_SCHEME))
-                .when(p["userinfo"] != "", F.lit(REASON_LOGIN))
-                .when(local | is_private_ipv4(host) | is_private_ipv6(host), F.lit(REASON_HOST))
-            )
-            return let(
-                reason,
-                lambda r: F.struct(
-                    r.isNull().alias("ok"), r.alias("reason"), F.when(r.isNull(), p["href"]).alias("href")
-                ),
-            )
-
-        return let(url_parts(t), rules)
+    def said(reason: str) -> Sql:
+        return "'" + reason.replace("'", "\\'") + "'"
+
+    def rules(v):
+        t, p = f"{v}.t", f"{v}.p"
+        local = f"({_like(f'{p}.host', r'(^|\.)localhost\z')} or endswith({p}.host, '.local'))"
+        private = _let(f"{p}.host", lambda h: f"({_private_ipv4(h)} or {_private_ipv6(h)})")
+        reason = (
+            f"case when {t} = '' then {said(REASON_EMPTY)} when length({t}) > {MAX_SUBMITTED_URL} then {said(REASON_LONG)} "
+            f"when {p} is null then {said(REASON_INVALID)} when {p}.protocol not in ('http', 'https') then {said(REASON_SCHEME)} "
+            f"when {p}.userinfo <> '' then {said(REASON_LOGIN)} when {local} or {private} then {said(REASON_HOST)} end"
+        )
+        return _let(reason, lambda r: _struct(ok=f"{r} is null", reason=r, href=f"if({r} is null, {p}.href, null)"))
 
-    return let(trim(F.coalesce(col(c), F.lit(""))), judge)
+    judged = _lambda(lambda t: _let(_struct(t=t, p=_let(_clean(t), _absolute)), rules))
+    return _apply(trim(F.coalesce(col(c), F.lit(""))), judged)
