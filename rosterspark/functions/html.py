@@ -34,19 +34,19 @@ SOCIAL_HOSTS = [
 
 def html_to_text(c: Column | str) -> Column:
     """Visible text: scripts, styles and comments dropped, block ends as line breaks."""
+    c = col(c)
     for pattern, by in [
         (r"(?i)<script[\s\S]*?</script>", " "),
         (r"(?i)<style[\s\S]*?</style>", " "),
         (r"<!--[\s\S]*?-->", " "),
         (r"(?i)</(p|div|li|tr|h[1-6]|section|article)>", "\n"),
         (r"<[^>]+>", " "),
-        (r"&nbsp;", " "),
-        (r"&amp;", "&"),
-        (r"[ \t]+", " "),
-        (r"\n{3,}", "\n\n"),
     ]:
-        c = F.regexp_replace(col(c), pattern, by)
-    return trim(c)
+        c = F.regexp_replace(c, pattern, by)
+    c = F.replace(F.replace(c, F.lit("&nbsp;"), F.lit(" ")), F.lit("&amp;"), F.lit("&"))
+    # A single blank is left alone: only tabs and runs need replacing.
+    c = F.regexp_replace(c, r"[ \t]{2,}|\t", " ")
+    return trim(F.regexp_replace(c, r"\n{3,}", "\n\n"))
 
 
 def tag_free(c: Column) -> Column:

@@ -14,6 +14,11 @@ from pyspark.sql import functions as F
 # The white space characters of the record format (wider than Spark's \s and trim).
 WS = r"\t\n\x0B\f\r \x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}\x{feff}"
 
+# The same characters as text, for trimming.
+WS_CHARS = (
+    "\t\n\x0b\x0c\r \u00a0\u1680" + "".join(chr(c) for c in range(0x2000, 0x200B)) + "\u2028\u2029\u202f\u205f\u3000\ufeff"
+)
+
 # Straight and curly quote characters left out of ids.
 QUOTES = "'\"‘’‚‛“”„‟′″"
 
@@ -70,7 +75,7 @@ def has(c: Column | str) -> Column:
 
 
 def trim(c: Column | str) -> Column:
-    return F.regexp_replace(col(c), rf"^[{WS}]+|[{WS}]+\z", "")
+    return F.btrim(col(c), F.lit(WS_CHARS))
 
 
 def squeeze(c: Column | str) -> Column:

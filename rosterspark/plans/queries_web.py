@@ -144,7 +144,7 @@ def page_links(t):
     "page_links_capped",
     _LINKS_SQL.replace(
         "SRC",
-        """(SELECT page_id, url, '<a href="/late"><img></a>' || (SELECT string_agg('<a href="/n/' || i || '">' || i || '</a>', '' ORDER BY i) FROM range(page_id % 90) r(i))
+        """(SELECT page_id, url, '<a href="/late"><img></a>' || coalesce((SELECT string_agg('<a href="/n/' || i || '">' || i || '</a>', '' ORDER BY i) FROM range(page_id % 90) r(i)), '')
         || '<a href="/late">Named</a><a href="/news/1">n</a>' AS html FROM pages)""",
     ),
 )
