@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from rosterspark.functions.text import clean_phone, col, filled, has, let, trimmed_or_null
-from rosterspark.functions.urls import absolutize
+from rosterspark.functions.urls import absolutize_many, url_parts
 from rosterspark.schema import OFFICE, OFFICE_KEYS, SOCIAL_KEYS
 
 
@@ -17,7 +17,11 @@ def no_offices() -> Column:
 def normalize_social(c: Column | str, base: Column | str) -> Column:
     """Five keys always present, each absolute on the page or null."""
     c = col(c)
-    return F.struct(*[absolutize(c[k], base).alias(k) for k in SOCIAL_KEYS])
+
+    def named(urls):
+        return F.struct(*[urls[i].alias(k) for i, k in enumerate(SOCIAL_KEYS)])
+
+    return let(url_parts(base), lambda page: let(absolutize_many([c[k] for k in SOCIAL_KEYS], page), named))
 
 
 def normalize_offices(c: Column | str) -> Column:

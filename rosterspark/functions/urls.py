@@ -255,13 +255,32 @@ def resolve_on(ref: Column, page: Column) -> Column:
     return _apply(F.struct(ref.alias("ref"), page.alias("page")), _ON_PAGE)
 
 
+_HREF_ON_PAGE = _lambda(lambda v: f"if({v}.ref is null or {v}.ref = '', null, ({_on_page(v)}).href)")
+
+
+def absolutize_many(refs: list[Column], page: Column) -> Column:
+    """Array of the absolute forms of ``refs`` on one page (``url_parts`` of its address)."""
+    pairs = F.array(*[F.struct(r.alias("ref"), page.alias("page")) for r in refs])
+    return F.call_function("transform", pairs, F.expr(_HREF_ON_PAGE))
+
+
 def absolutize(ref: Column | str, base: Column | str) -> Column:
     """Absolute form of ``ref`` on a page; missing, empty or unusable gives null."""
     return F.when(filled(ref).isNotNull(), url_parts(ref, base)["href"])
 
 
+# Lower-case host without login, port or number form: host and origin can be read off.
+_PLAIN_HOST = r"^https?://[a-z][a-z0-9-]*(?:\.[a-z][a-z0-9-]*)+(?:[/?#]|\z)"
+_ORIGIN = _lambda(lambda v: f"if({_like(v, _PLAIN_HOST)}, {_take(v, r'^(https?://[^/?#]*)')}, ({_let(_clean(v), _absolute)}).origin)")
+_HOST = _lambda(lambda v: f"if({_like(v, _PLAIN_HOST)}, {_take(v, r'^https?://([^/?#]*)')}, ({_let(_clean(v), _absolute)}).host)")
+
+
 def url_origin(c: Column | str) -> Column:
-    return url_parts(c)["origin"]
+    return _apply(col(c), _ORIGIN)
+
+
+def url_host(c: Column | str) -> Column:
+    return _apply(col(c), _HOST)
 
 
 # --- submitted-URL safety -------------------------------------------------------------------

@@ -13,12 +13,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rosterspark.functions.offices import (
-    fold_offices, last_per_key, merge_office_lists, no_offices, normalize_offices, normalize_social, office_key,
+    fold_offices, last_per_key, merge_office_lists, normalize_offices, office_key,
 )
 from rosterspark.functions.text import (
-    build_id, clean_email, clean_phone, filled, has, jurisdiction_key, parse_time, trim, trimmed_or_null,
+    build_id, clean_email, clean_phone, filled, has, jurisdiction_key, parse_time, pin, trim, trimmed_or_null,
 )
-from rosterspark.functions.urls import absolutize
+from rosterspark.functions.urls import absolutize_many, url_parts
 from rosterspark.schema import OFFICE_KEYS, OFFICIAL, SOCIAL_KEYS
 
 # Fields always taken from the newer record.
@@ -56,7 +56,9 @@ def normalize(
     """
     r, j, page = F.col(raw), F.col(jurisdiction), F.col(source_url)
     keep = [c for c in df.columns if c not in {raw, jurisdiction, source_url, extracted_at}]
-    name = trim(F.coalesce(r["name"], F.lit("")))
+    named = df.filter(trim(F.coalesce(r["name"], F.lit(""))) != "")
+    rows, urls, social = _with_urls(named, r, page)
+    name = trim(r["name"])
     fields = {
         "id": build_id(j["state"], j["city"], r["office"], name),
         "name": name,
@@ -66,9 +68,8 @@ def normalize(
         "district": filled(r["district"]),
         "phone": clean_phone(r["phone"]),
         "email": clean_email(r["email"]),
-        "url": absolutize(r["url"], page),
-        "photo_url": absolutize(r["photo_url"], page),
-        "social": normalize_social(r["social"], page),
+        **urls,
+        "social": social,
         "address": trimmed_or_null(r["address"]),
         "offices": normalize_offices(r["offices"]),
         "hours": trimmed_or_null(r["hours"]),
@@ -79,8 +80,16 @@ def normalize(
         "extracted_at": F.col(extracted_at).cast("string"),
         "confidence": r["confidence"].cast("double"),
     }
-    named = df.filter(name != "")
-    return named.select(*keep, *[fields[f.name].alias(f.name) for f in OFFICIAL])
+    return rows.select(*keep, *[fields[f.name].alias(f.name) for f in OFFICIAL])
+
+
+def _with_urls(df: DataFrame, raw: Column, page: Column) -> tuple[DataFrame, dict[str, Column], Column]:
+    """Resolve the url fields and social links of ``raw`` in one pass; the page address is read once."""
+    refs = [raw["url"], raw["photo_url"], *[raw["social"][k] for k in SOCIAL_KEYS]]
+    rows = pin(pin(df, _at=url_parts(page)), _urls=absolutize_many(refs, F.col("_at")))
+    done = F.col("_urls")
+    social = F.struct(*[done[i + 2].alias(k) for i, k in enumerate(SOCIAL_KEYS)])
+    return rows, {"url": done[0], "photo_url": done[1]}, social
 
 
 # --- one row per key ------------------------------------------------------------------------
@@ -265,15 +274,13 @@ def merge_enrichment(
     from and the time; a record with a detail row gets that time as ``bio_checked_at``.
     """
     d = details.select(F.col(key), F.col("detail").alias("_d"), F.col(page).alias("_page"), F.col(now).alias("_now"))
-    rows = records.join(d, key, "left")
-    x, base = F.col("_d"), F.col("_page")
+    x = F.col("_d")
+    rows, urls, social = _with_urls(records.join(d, key, "left"), x, F.col("_page"))
     found = {
-        "phone": clean_phone(x["phone"]), "email": clean_email(x["email"]),
-        "url": absolutize(x["url"], base), "photo_url": absolutize(x["photo_url"], base),
+        "phone": clean_phone(x["phone"]), "email": clean_email(x["email"]), **urls,
         "address": trimmed_or_null(x["address"]), "hours": trimmed_or_null(x["hours"]),
         "bio": trimmed_or_null(x["bio"]),
     }
-    social = normalize_social(x["social"], base)
     out = {c: F.when(F.col("_now").isNull() | has(c), F.col(c)).otherwise(v) for c, v in found.items()}
     out["social"] = F.when(F.col("_now").isNull(), F.col("social")).otherwise(
         F.struct(*[

@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 
 from rosterspark.functions.html import platform_of
 from rosterspark.functions.offices import no_offices
-from rosterspark.functions.text import col, filled, has, let, null, squeeze
-from rosterspark.functions.urls import url_parts
+from rosterspark.functions.text import col, filled, has, null, pin, squeeze
+from rosterspark.functions.urls import url_host
 from rosterspark.schema import OFFICE_KEYS, SOCIAL_KEYS
 
 # Social hosts of the state tier.
@@ -36,23 +36,24 @@ def _first(items: Column, keep) -> Column:
 # --- state people ---------------------------------------------------------------------------
 
 
-def _with_platform(links: Column) -> Column:
+def with_platforms(links: Column | str) -> Column:
+    """Usable links with their social platform (null for other sites)."""
     return F.transform(
-        F.filter(links, lambda l: has(l["url"])),
-        lambda l: F.struct(l["url"].alias("url"), platform_of(url_parts(l["url"])["host"], STATE_SOCIAL_HOSTS).alias("platform")),
+        F.filter(col(links), lambda l: has(l["url"])),
+        lambda l: F.struct(l["url"].alias("url"), platform_of(url_host(l["url"]), STATE_SOCIAL_HOSTS).alias("platform")),
     )
 
 
-def classify_social(links: Column | str) -> Column:
-    """First link per platform, five keys always present."""
-    return let(
-        _with_platform(col(links)),
-        lambda ls: F.struct(*[_first(ls, lambda l, k=k: l["platform"] == k)["url"].alias(k) for k in SOCIAL_KEYS]),
-    )
+def classify_social(found: Column) -> Column:
+    """First link per platform of ``with_platforms``, five keys always present."""
+    def first_of(platform):
+        return _first(found, lambda l: l["platform"] == platform)["url"].alias(platform)
+
+    return F.struct(*[first_of(k) for k in SOCIAL_KEYS])
 
 
-def first_non_social_link(links: Column | str) -> Column:
-    return _first(_with_platform(col(links)), lambda l: l["platform"].isNull())["url"]
+def first_non_social_link(found: Column) -> Column:
+    return _first(found, lambda l: l["platform"].isNull())["url"]
 
 
 def _contact(person: Column, kind: str) -> Column:
@@ -86,13 +87,14 @@ def _card(people: DataFrame, person: str, state: str, area: Column, district: Co
     p = F.col(person)
     keep = [c for c in people.columns if c not in {person, state}]
     rows = people.filter((p["jurisdiction"]["classification"] == "state") & has(area))
+    rows, found = pin(rows, _found=with_platforms(p["links"])), F.col("_found")
     return rows.select(
         *keep, p["id"].alias("id"), p["name"].alias("name"), area.alias("area"), F.col(state).alias("state"),
         F.coalesce(p["party"], F.lit("")).alias("party"), district.alias("district"),
         phone_from(p).alias("phone"), email_from(p).alias("email"),
-        F.coalesce(filled(p["openstates_url"]), first_non_social_link(p["links"]), F.lit("")).alias("url"),
+        F.coalesce(filled(p["openstates_url"]), first_non_social_link(found), F.lit("")).alias("url"),
         F.coalesce(p["image"], F.lit("")).alias("photo_url"),
-        classify_social(p["links"]).alias("social"), offices_from(p).alias("offices"),
+        classify_social(found).alias("social"), offices_from(p).alias("offices"),
     )
 
 

@@ -5,11 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from rosterspark.functions import text as T
-from rosterspark.functions.offices import extra_offices, normalize_offices, normalize_social
 from rosterspark.functions.urls import absolutize
 from rosterspark.operators import records
 from rosterspark.plans.catalog import (
-    QUERIES, query, s_anchors, s_email, s_encode, s_id, s_name, s_office, s_phone, s_place, s_squeeze, s_trim,
+    query, s_anchors, s_email, s_encode, s_id, s_name, s_office, s_phone, s_place, s_squeeze, s_trim,
 )
 
 PHONE_LIKE = r"(\+?1?[ -]?\(?[0-9]{3}\)?[ .-]?[0-9]{3}[ .-]?[0-9]{4})"
