@@ -147,21 +147,28 @@ def discovery_job(
 # --- checks, promotion, reports -------------------------------------------------------------
 
 
-def qa_job(stored: DataFrame, fresh_raw: DataFrame, now: str, sample: int = selection.REVIEW_SAMPLE) -> tuple[DataFrame, DataFrame]:
-    """Pages whose fresh extraction disagrees, and the fresh officials to merge (nothing is deleted).
+def qa_job(
+    stored: DataFrame, fetches: DataFrame, fresh_raw: DataFrame, now: str, sample: int = selection.REVIEW_SAMPLE,
+) -> tuple[DataFrame, DataFrame]:
+    """Findings of a re-check, and the fresh officials to merge (nothing is deleted).
 
-    ``fresh_raw``: source_url, raw, seq, with the page's first stored record as its jurisdiction.
+    ``fetches``: source_url, ok, error of the pages fetched again (a page whose extraction is empty counts as
+    checked). ``fresh_raw``: source_url, raw, seq. The page's first stored record gives its jurisdiction.
     """
-    ranked = selection.rank_for_review(stored, sample=sample)
+    chosen = selection.rank_for_review(stored, sample=sample).select("source_url")
+    checked = fetches.join(chosen, "source_url", "left_semi")
+    good = checked.filter("ok").select("source_url")
+    lost = checked.filter(~F.coalesce("ok", F.lit(False))).select(
+        "source_url", F.concat(F.lit("page no longer reachable: "), F.coalesce(filled("error"), F.lit("fetch failed"))).alias("issue")
+    )
     place = records.first_per_key(stored.filter(has("source_url")), "source_url").select(
         "source_url", F.struct(F.col("jurisdiction.city").alias("city"), F.col("jurisdiction.state").alias("state"), "level", "body").alias("jurisdiction")
     )
-    chosen = ranked.select("source_url")
-    raw = fresh_raw.join(chosen, "source_url", "left_semi").join(place, "source_url").withColumn("extracted_at", F.lit(now))
+    raw = fresh_raw.join(good, "source_url", "left_semi").join(place, "source_url").withColumn("extracted_at", F.lit(now))
     fresh = records.normalize(raw.select("seq", "raw", "jurisdiction", "source_url", "extracted_at"))
-    reviewed = stored.join(fresh_raw.select("source_url").distinct(), "source_url", "left_semi").join(chosen, "source_url", "left_semi")
-    findings = qa.qa_lists(reviewed, fresh)
-    return findings, fresh.join(findings.select("source_url"), "source_url", "left_semi")
+    drift = qa.qa_lists(stored.join(good, "source_url", "left_semi"), fresh)
+    findings = drift.withColumn("issue", F.lit(None).cast("string")).unionByName(lost, allowMissingColumns=True)
+    return findings, fresh.join(drift.select("source_url"), "source_url", "left_semi")
 
 
 def promote_job(entries: DataFrame, seeded: DataFrame, discovered: DataFrame, now: str) -> tuple[DataFrame, DataFrame]:

@@ -295,19 +295,22 @@ def _reported(t):
 @query(
     "qa_run",
     """
-    WITH s AS (SELECT s_nationkey AS g, s_suppkey AS n FROM supplier), pages AS (SELECT g, min(n) AS n0 FROM s GROUP BY 1)
-    SELECT 'https://n' || g || '.gov/' AS source_url, count(*) AS stored_count, sum((n % 10 <> 0)::INT)::BIGINT AS fresh_count, sum((n % 10 = 0)::INT)::BIGINT AS missing_from_fresh FROM s GROUP BY 1 HAVING sum((n % 10 = 0)::INT) > 0
+    WITH s AS (SELECT s_nationkey AS g, s_suppkey AS n FROM supplier),
+    c AS (SELECT g, count(*) AS stored_count, sum((n % 10 <> 0)::INT)::BIGINT AS fresh_count, sum((n % 10 = 0)::INT)::BIGINT AS missing FROM s GROUP BY 1)
+    SELECT 'https://n' || g || '.gov/' AS source_url, NULL AS issue, stored_count, fresh_count, missing AS missing_from_fresh FROM c WHERE missing > 0 AND g % 8 <> 0
+    UNION ALL SELECT 'https://n' || g || '.gov/', 'page no longer reachable: HTTP 404', NULL, NULL, NULL FROM c WHERE g % 8 = 0
     """,
 )
 def qa_run(t):
-    n = F.col("s_suppkey")
-    url = F.concat(F.lit("https://n"), F.col("s_nationkey"), F.lit(".gov/"))
+    n, g = F.col("s_suppkey"), F.col("s_nationkey")
+    url = F.concat(F.lit("https://n"), g, F.lit(".gov/"))
     place = F.struct(F.lit("C").alias("city"), F.lit("TX").alias("state"))
     stored = t.supplier.select(*_official(n.cast("string"), n, source_url=url, jurisdiction=place), n.alias("seq"))
     raw = F.struct(*[(F.concat(F.lit(" n"), n) if f.name == "name" else F.lit(None)).cast(f.dataType).alias(f.name) for f in RAW_OFFICIAL])
     fresh = t.supplier.filter(n % 10 != 0).select(url.alias("source_url"), raw.alias("raw"), n.alias("seq"))
-    findings, _ = jobs.qa_job(stored, fresh, NOW)
-    return findings.select("source_url", "stored_count", "fresh_count", "missing_from_fresh")
+    fetches = t.supplier.select(url.alias("source_url"), (g % 8 != 0).alias("ok"), F.lit("HTTP 404").alias("error")).distinct()
+    findings, _ = jobs.qa_job(stored, fetches, fresh, NOW)
+    return findings.select("source_url", "issue", "stored_count", "fresh_count", "missing_from_fresh")
 
 
 @query(

@@ -86,14 +86,17 @@ def link_review(t):
 
 @query(
     "active_places",
-    "SELECT s_suppkey FROM supplier JOIN nation ON s_nationkey = n_nationkey WHERE n_name = 'NATION_7' AND s_suppkey % 3 <> 0 UNION ALL SELECT -s_suppkey FROM supplier JOIN nation ON s_nationkey = n_nationkey WHERE n_name = 'NATION_7'",
+    "SELECT s_suppkey, 'place' AS kind FROM supplier WHERE s_suppkey % 4 = 1 AND s_suppkey % 3 <> 0 UNION ALL SELECT s_suppkey, 'county' FROM supplier WHERE s_suppkey % 4 = 1",
 )
 def active_places(t):
-    rows = t.supplier.join(t.nation, F.col("s_nationkey") == F.col("n_nationkey")).select(
-        "s_suppkey", F.lower("n_name").alias("USPS"), F.when(F.col("s_suppkey") % 3 != 0, F.lit("A")).otherwise(F.lit("S")).alias("FUNCSTAT")
+    """Places (active ones) and counties (all) of one state."""
+    n = F.col("s_suppkey")
+    rows = t.supplier.select(
+        "s_suppkey", F.get(F.array(*[F.lit(x) for x in ("CA", "tx", "NY", "DE")]), (n % 4).cast("int")).alias("USPS"),
+        F.when(n % 3 != 0, F.lit("A")).otherwise(F.lit("S")).alias("FUNCSTAT"),
     )
-    places = selection.active_places(rows, "nation_7").select("s_suppkey")
-    return places.unionByName(selection.active_places(rows, "Nation_7", status=None).select((-F.col("s_suppkey")).alias("s_suppkey")))
+    places = selection.active_places(rows, "tx").select("s_suppkey", F.lit("place").alias("kind"))
+    return places.unionByName(selection.active_places(rows, "TX", status=None).select("s_suppkey", F.lit("county").alias("kind")))
 
 
 # --- ranked selections ----------------------------------------------------------------------

@@ -47,13 +47,17 @@ def read_popest(spark: SparkSession, path: str) -> DataFrame:
 
 
 def _delimited(spark: SparkSession, path: str, sep: str) -> DataFrame:
-    df = (
-        spark.read.option("header", True).option("sep", sep).option("quote", "").option("inferSchema", False)
-        .option("ignoreLeadingWhiteSpace", True).option("ignoreTrailingWhiteSpace", True)
-        .option("emptyValue", "").option("nullValue", "\u0000").csv(path)
-    )
-    df = df.toDF(*[c.strip() for c in df.columns])
-    return df.filter(F.concat_ws("", *[F.trim(F.col(f"`{c}`")) for c in df.columns]) != "").withColumn("seq", file_order())
+    """All cells as text: '' for an empty cell, null for one that a short line does not have."""
+    reader = spark.read.option("sep", sep).option("quote", "").option("header", True)
+    reader = reader.option("ignoreLeadingWhiteSpace", True).option("ignoreTrailingWhiteSpace", True)
+    names = reader.csv(path).columns
+    columns = ", ".join(f"`{n}` string" for n in [*names, "_short"])
+    rows = reader.schema(columns).option("columnNameOfCorruptRecord", "_short").csv(path)
+    cells = F.size(F.split("_short", "[" + sep + "]"))
+    there = [F.coalesce(F.col(f"`{n}`"), F.when(F.col("_short").isNull() | (cells > i), F.lit(""))) for i, n in enumerate(names)]
+    rows = rows.select(*[c.alias(n.strip()) for c, n in zip(there, names, strict=True)])
+    text = F.concat_ws("", *[F.col(f"`{c}`") for c in rows.columns])
+    return rows.filter(text != "").withColumn("seq", file_order())
 
 
 def read_jurisdictions(spark: SparkSession, seeds: str, discovered: str | None = None) -> DataFrame:
