@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from rosterspark.functions.text import WS, col, let, trim
+from rosterspark.functions.text import WS, col, let, squeeze, trim
 
 # Patterns that define what counts as an image, a link and noise.
 IMG = r"(?i)<img\b[^>]*>"
@@ -51,7 +51,7 @@ def html_to_text(c: Column | str) -> Column:
 
 def tag_free(c: Column) -> Column:
     """Markup out, white space collapsed, ends trimmed."""
-    return F.trim(F.regexp_replace(F.regexp_replace(c, r"<[^>]+>", " "), rf"[{WS}]+", " "))
+    return squeeze(F.regexp_replace(c, r"<[^>]+>", " "))
 
 
 def is_noise_href(c: Column | str) -> Column:
@@ -108,7 +108,7 @@ def looks_like_gov_site(ok: Column, text: Column, url: Column, city: Column) ->
     """Every word of the city name is on the page, and the page or its address reads governmental."""
     low = F.lower(text)
     name = F.regexp_replace(F.lower(city), r"(?<![a-z0-9_])county(?![a-z0-9_])", "")
-    words = F.filter(F.split(F.trim(F.regexp_replace(name, rf"[{WS}]+", " ")), " "), lambda w: w != "")
+    words = F.filter(F.split(squeeze(name), " "), lambda w: w != "")
     named = (F.size(words) > 0) & F.forall(words, lambda w: F.contains(low, w))
     return F.coalesce(
         ok & (text != "") & named & (url.rlike(r"(?i)\.gov(?![A-Za-z0-9_])") | low.rlike(GOVERNMENT_WORDS)), F.lit(False)

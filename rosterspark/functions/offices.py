@@ -53,31 +53,41 @@ def _last_filled(group: Column, key: str) -> Column:
     )
 
 
-def fold_offices(c: Column, prefer_last: bool = True) -> Column:
-    """One entry per key, first-seen order; fields from the last (or first) non-empty value."""
+def by_key(c: Column, entry) -> Column:
+    """``entry(offices)`` per office key, keys in first-seen order."""
+
+    def keyed(pairs):
+        def of(k):
+            return entry(F.transform(F.filter(pairs, lambda p: p["key"] == k), lambda p: p["office"]))
+
+        return F.transform(F.array_distinct(F.transform(pairs, lambda p: p["key"])), of)
+
+    return let(F.transform(c, lambda o: F.struct(office_key(o).alias("key"), o.alias("office"))), keyed)
+
 
-    def entry(group):
-        ordered = group if prefer_last else F.reverse(group)
+def folded(group: Column, prefer_last: bool = True) -> Column:
+    """One office of a group: each field from the last (or first) non-empty value."""
+
+    def fold(offices):
+        ordered = offices if prefer_last else F.reverse(offices)
         return F.struct(*[_last_filled(ordered, k).alias(k) for k in OFFICE_KEYS])
 
-    def keyed(pairs):
-        keys = F.array_distinct(F.transform(pairs, lambda p: p["key"]))
-        return F.transform(
-            keys, lambda k: entry(F.transform(F.filter(pairs, lambda p: p["key"] == k), lambda p: p["office"]))
-        )
+    return let(group, lambda g: F.when(F.size(g) == 1, g[0]).otherwise(fold(g)))
+
 
-    tagged = F.transform(c, lambda o: F.struct(office_key(o).alias("key"), o.alias("office")))
-    return let(tagged, keyed)
+def fold_offices(c: Column, prefer_last: bool = True) -> Column:
+    """One entry per key, first-seen order; fields from the last (or first) non-empty value."""
+    return by_key(c, lambda group: folded(group, prefer_last))
 
 
 def last_per_key(c: Column) -> Column:
     """One entry per key, first-seen order; the last entry of a key replaces earlier ones."""
+    return by_key(c, lambda group: F.element_at(group, -1))
 
-    def keyed(pairs):
-        keys = F.array_distinct(F.transform(pairs, lambda p: p["key"]))
-        return F.transform(keys, lambda k: F.element_at(F.filter(pairs, lambda p: p["key"] == k), -1)["office"])
 
-    return let(F.transform(c, lambda o: F.struct(office_key(o).alias("key"), o.alias("office"))), keyed)
+def both_readings(c: Column) -> Column:
+    """Per key the folded office and the last one (structs ``folded`` and ``last``)."""
+    return by_key(c, lambda group: F.struct(folded(group).alias("folded"), F.element_at(group, -1).alias("last")))
 
 
 def merge_office_lists(existing: Column | str, incoming: Column | str, incoming_wins: bool = True) -> Column:

@@ -19,6 +19,8 @@ WS_CHARS = (
     "\t\n\x0b\x0c\r \u00a0\u1680" + "".join(chr(c) for c in range(0x2000, 0x200B)) + "\u2028\u2029\u202f\u205f\u3000\ufeff"
 )
 
+_ODD_WS = "".join(c for c in WS_CHARS if c != " ")
+
 # Straight and curly quote characters left out of ids.
 QUOTES = "'\"‘’‚‛“”„‟′″"
 
@@ -78,9 +80,17 @@ def trim(c: Column | str) -> Column:
     return F.btrim(col(c), F.lit(WS_CHARS))
 
 
+def plain_spaces(c: Column | str) -> Column:
+    """Every white space character as a plain space."""
+    return F.translate(col(c), _ODD_WS, " " * len(_ODD_WS))
+
+
 def squeeze(c: Column | str) -> Column:
-    """Runs of white space become one space; the ends are trimmed."""
-    return F.trim(F.regexp_replace(col(c), rf"[{WS}]+", " "))
+    """Runs of white space become one space; the ends are trimmed.
+
+    Only runs are replaced by pattern: single spaces, nearly all of a text, are left in place.
+    """
+    return F.trim(F.regexp_replace(plain_spaces(c), "  +", " "))
 
 
 def trimmed_or_null(c: Column | str) -> Column:
@@ -136,7 +146,7 @@ def build_id(state, city, office, name) -> Column:
         canonicalize_office(office),
         canonical_name(name),
     )
-    return F.regexp_replace(F.lower(joined), rf"[{WS}]+", "-")
+    return F.regexp_replace(plain_spaces(F.lower(joined)), " +", "-")
 
 
 def jurisdiction_key(state, city, level) -> Column:

@@ -153,7 +153,9 @@ def _web_url(scheme: Sql, rest: Sql) -> Sql:
 
     def with_port(p):
         default = f"if({scheme} = 'http', '80', '443')"
-        usable = f"{p}.host is not null and length({p}.port) <= 5 and coalesce(try_cast({p}.port as int), 0) <= 65535"
+        # The port is digits only; five of them always fit, so the cast is safe.
+        in_range = f"if(length({p}.port) > 5, false, if({p}.port = '', true, cast({p}.port as int) <= 65535))"
+        usable = f"{p}.host is not null and {in_range}"
         shown = f"if({p}.port = '' or {p}.port = {default}, '', concat(':', {p}.port))"
         return f"if({usable}, {_let(shown, lambda port: write(p, port))}, null)"
 
@@ -171,8 +173,26 @@ def _web_url(scheme: Sql, rest: Sql) -> Sql:
     return _let(_let(rest, read), lambda p: _let(split_authority(p), with_port))
 
 
+_CONTROLS = "'" + "".join(f"\\u{i:04x}" for i in range(0x21)) + "'"
+
+
 def _clean(c: Sql) -> Sql:
-    return f"translate({_swap(c, r'^[\x00-\x20]+|[\x00-\x20]+\z')}, '\\t\\n\\r', '')"
+    return f"translate(btrim({c}, {_CONTROLS}), '\\t\\n\\r', '')"
+
+
+# Already canonical references, the common case: read off instead of taken apart. Dots after a slash, percent
+# signs in the path, logins, ports and number hosts go the long way.
+_PLAIN_PATH = r"(?!\.)(?!.*/\.)[A-Za-z0-9_~!$&()*+,;=:@/.-]*"
+_PLAIN_REST = r"(?:\?[A-Za-z0-9_~!$&()*+,;=:@/.?%-]*)?(?:#[A-Za-z0-9_~!$&()*+,;=:@/.?%-]*)?\z"
+_PLAIN_ROOTED = rf"^/(?!/){_PLAIN_PATH}{_PLAIN_REST}"
+_PLAIN_WEB = rf"^https?://[a-z][a-z0-9-]*(?:\.[a-z][a-z0-9-]*)+/{_PLAIN_PATH}{_PLAIN_REST}"
+
+
+def _read_off(ref: Sql) -> Sql:
+    return _struct(
+        href=ref, origin=_take(ref, r"^(https?://[^/]*)"), protocol=_take(ref, r"^(https?)"),
+        host=_take(ref, r"^https?://([^/]*)"), userinfo="''",
+    )
 
 
 def _absolute(r: Sql) -> Sql:
@@ -182,7 +202,7 @@ def _absolute(r: Sql) -> Sql:
         web = _web_url(scheme, _swap(rest, r"^[/\\]+"))
         return f"case when {scheme} in ('http', 'https') then {web} when {scheme} <> '' then {opaque} else cast(null as {_PARTS}) end"
 
-    return _let(f"lower({_take(r, _SCHEME)})", by_scheme)
+    return f"case when {_like(r, _PLAIN_WEB)} then {_read_off(r)} else {_let(f'lower({_take(r, _SCHEME)})', by_scheme)} end"
 
 
 def _joined(r: Sql, b: Sql) -> Sql:
@@ -222,25 +242,15 @@ def url_parts(ref: Column | str, base: Column | str | None = None) -> Column:
     return _apply(F.struct(col(ref).alias("r"), col(base).alias("b")), _RESOLVED)
 
 
-# Already canonical references, the common case: resolved without taking the URL apart.
-_PLAIN = r"(?!\.)(?!.*/\.)[A-Za-z0-9_~!$&()*+,;=:@/.-]*\z"
-_PLAIN_ROOTED = rf"^/(?!/){_PLAIN}"
-_PLAIN_WEB = rf"^https?://[a-z][a-z0-9-]*(?:\.[a-z][a-z0-9-]*)+/{_PLAIN}"
-
-
 def _on_page(v: Sql) -> Sql:
     ref, page = f"{v}.ref", f"{v}.page"
     rooted = _struct(
         href=f"concat({page}.origin, {ref})", origin=f"{page}.origin", protocol=f"{page}.protocol", host=f"{page}.host", userinfo="''"
     )
-    web = _struct(
-        href=ref, origin=_take(ref, r"^(https?://[^/]*)"), protocol=_take(ref, r"^(https?)"),
-        host=_take(ref, r"^https?://([^/]*)"), userinfo="''",
-    )
     other = _let(_struct(r=ref, b=f"{page}.href"), _resolved)
     return (
         f"case when {page}.origin is not null and {page}.userinfo = '' and {_like(ref, _PLAIN_ROOTED)} then {rooted} "
-        f"when {_like(ref, _PLAIN_WEB)} then {web} else {other} end"
+        f"when {_like(ref, _PLAIN_WEB)} then {_read_off(ref)} else {other} end"
     )
 
 

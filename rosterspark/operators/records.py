@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rosterspark.functions.offices import (
-    fold_offices, last_per_key, merge_office_lists, normalize_offices, office_key,
+    both_readings, merge_office_lists, normalize_offices, office_key,
 )
 from rosterspark.functions.text import (
     build_id, clean_email, clean_phone, filled, has, jurisdiction_key, parse_time, pin, trim, trimmed_or_null,
@@ -237,13 +237,8 @@ def _merged_offices(rows: DataFrame) -> DataFrame:
     A key repeated inside the first row of an id counts with its last entry; repeats inside later
     rows fold together. Which row is first is known only at the id, so both readings are carried.
     """
-    # arrays_zip keeps positions: both lists hold the same keys in the same order.
-    placed = rows.filter(F.size("offices") > 0).select(
-        "id", "_ord",
-        F.posexplode(F.arrays_zip(
-            fold_offices(F.col("offices")).alias("folded"), last_per_key(F.col("offices")).alias("last")
-        )).alias("pos", "o"),
-    ).select("id", "_ord", "pos", F.col("o.folded").alias("folded"), F.col("o.last").alias("last"))
+    listed = rows.filter(F.size("offices") > 0).select("id", "_ord", F.posexplode_outer(both_readings(F.col("offices"))).alias("pos", "o"))
+    placed = listed.select("id", "_ord", "pos", F.col("o.folded").alias("folded"), F.col("o.last").alias("last"))
     keyed = placed.withColumn("_key", office_key(F.col("folded")))
     aggs: list[Column] = [F.min(F.struct("_ord", "pos")).alias("at")]
     for k in OFFICE_KEYS:

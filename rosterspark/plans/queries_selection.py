@@ -416,7 +416,7 @@ def latest_vintage(t):
     parts = [
         ("year", universe.latest_populated_vintage(listing, good.select(y.cast("string").alias("vintage")), "F")),
         ("range", universe.latest_populated_vintage(listing, good.select(span.alias("vintage")), "F", kind="range")),
-        ("none", universe.latest_populated_vintage(listing, good.select(F.lit("x").alias("vintage")), "F")),
+        ("none", universe.latest_populated_vintage(listing, good.select(F.concat(F.lit("x"), y).alias("vintage")), "F")),
     ]
     out = None
     for kind, df in parts:

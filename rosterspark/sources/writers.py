@@ -1,8 +1,8 @@
 """Sinks: partition-wise upserts and append tables.
 
-Tables are laid out by state and overwritten partition by partition: only states with new rows are
-read and rewritten. Within a state rows spread over ``buckets`` tasks by id, so a big state is not
-one file of one task.
+Tables are laid out by a partition column and overwritten partition by partition: only partitions with new rows
+are read and rewritten. Rows are rebalanced before the write, so a partition with a third of all rows is split
+over as many tasks and files as its size needs, and small ones are packed together.
 """
 
 from __future__ import annotations
@@ -30,13 +30,25 @@ def read_if_exists(spark: SparkSession, path: str) -> DataFrame | None:
         raise
 
 
-def overwrite_partitions(df: DataFrame, path: str, partition: list[str], sort: list[str], buckets: int = 1) -> None:
-    spread = [F.pmod(F.xxhash64(*sort), F.lit(buckets))] if buckets > 1 else []
-    laid_out = df.repartition(*[F.col(c) for c in partition], *spread).sortWithinPartitions(*partition, *sort)
+def touched_only(stored: DataFrame, fresh: DataFrame, partition: str, bound: int = 1000) -> DataFrame:
+    """Rows of the stored partitions that ``fresh`` touches.
+
+    Up to ``bound`` partition values become a filter that prunes folders before reading; beyond that a semi join
+    does the same work.
+    """
+    touched = fresh.select(partition).distinct()
+    values = [r[0] for r in touched.limit(bound + 1).collect()]
+    if len(values) <= bound:
+        return stored.filter(F.col(partition).isin(values))
+    return stored.join(touched, partition, "left_semi")
+
+
+def overwrite_partitions(df: DataFrame, path: str, partition: list[str], sort: list[str]) -> None:
+    laid_out = df.hint("rebalance", *[F.col(c) for c in partition]).sortWithinPartitions(*partition, *sort)
     laid_out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*partition).parquet(path)
 
 
-def upsert_shards(incoming: DataFrame, path: str, seq: str = "seq", buckets: int = 16) -> DataFrame:
+def upsert_shards(incoming: DataFrame, path: str, seq: str = "seq") -> DataFrame:
     """Merge new officials into the table at ``path``; returns the touched states' new rows.
 
     The merged rows are written to the checkpoint folder first: the table is read and replaced in
@@ -49,10 +61,9 @@ def upsert_shards(incoming: DataFrame, path: str, seq: str = "seq", buckets: int
     if stored is None:
         existing = spark.createDataFrame([], OFFICIAL)
     else:
-        touched = rows.select(F.col("_state").alias("state")).distinct()
-        existing = stored.join(touched, "state", "left_semi").select(*OFFICIAL.fieldNames())
+        existing = touched_only(stored, rows.select(F.col("_state").alias("state")), "state").select(*OFFICIAL.fieldNames())
     merged = cut_lineage(merge_records(existing, rows, seq).withColumn("state", shard_state()))
-    overwrite_partitions(merged, path, ["state"], ["id"], buckets)
+    overwrite_partitions(merged, path, ["state"], ["id"])
     return merged
 
 
@@ -69,10 +80,9 @@ def write_coverage(shards: DataFrame, path: str, now: str) -> DataFrame:
     return rows
 
 
-def write_shards_json(shards: DataFrame, path: str, buckets: int = 16) -> None:
+def write_shards_json(shards: DataFrame, path: str) -> None:
     """Officials as JSON lines per state, for consumers without parquet."""
-    spread = F.pmod(F.xxhash64("id"), F.lit(buckets))
-    shards.repartition("state", spread).sortWithinPartitions("state", "id").write.mode("overwrite").option(
+    shards.hint("rebalance", F.col("state")).sortWithinPartitions("state", "id").write.mode("overwrite").option(
         "partitionOverwriteMode", "dynamic"
     ).partitionBy("state").json(path)
 

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from rosterspark.operators.limits import REPORTS_PER_DAY, search_log_rows, ttl_lookup, utc_day
 from rosterspark.operators.records import latest_per_key
 from rosterspark.operators.selection import first_k_per_group
-from rosterspark.sources.writers import overwrite_partitions, read_if_exists, upsert_shards
+from rosterspark.sources.writers import overwrite_partitions, read_if_exists, touched_only, upsert_shards
 from rosterspark.session import cut_lineage
 
 
@@ -48,10 +48,9 @@ def rate_limit_batch(path: str, key: list[str], at: str = "ts", seq: str = "seq"
         own = first_k_per_group(rows, ["day", *key], [F.col(at).asc(), F.col(seq).asc()], per_day, "_rank")
         stored = read_if_exists(batch.sparkSession, path)
         if stored is not None:
-            days = rows.select("day").distinct()
+            earlier = stored.filter(F.col("batch_id") < batch_id).withColumn("day", F.col("day").cast("string"))
             used = (
-                stored.filter(F.col("batch_id") < batch_id).withColumn("day", F.col("day").cast("string"))
-                .join(days, "day", "left_semi").groupBy("day", *key).agg(F.count(F.lit(1)).alias("_used"))
+                touched_only(earlier, rows, "day").groupBy("day", *key).agg(F.count(F.lit(1)).alias("_used"))
             )
             own = own.join(used, ["day", *key], "left")
         else:
@@ -74,7 +73,7 @@ def cache_refill_batch(path: str, key: str = "key", seq: str = "seq", buckets: i
         fresh = latest_per_key(batch, key, seq).drop(seq).withColumn("bucket", bucket)
         stored = read_if_exists(batch.sparkSession, path)
         if stored is not None:
-            kept = stored.join(fresh.select("bucket").distinct(), "bucket", "left_semi").join(fresh.select(key), key, "left_anti")
+            kept = touched_only(stored, fresh, "bucket").join(fresh.select(key), key, "left_anti")
             fresh = kept.select(*fresh.columns).unionByName(fresh)
         overwrite_partitions(cut_lineage(fresh), path, ["bucket"], [key])
 
