@@ -11,6 +11,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from rosterspark.functions.text import (
@@ -110,9 +111,35 @@ def budget_from_remaining(remaining: Column | str, average: float, margin: float
 # --- ranked selections ----------------------------------------------------------------------
 
 
+# Above this k Spark no longer cuts ranks inside the tasks (spark.sql.optimizer.windowGroupLimitThreshold).
+EARLY_CUT = 1000
+SPREAD = 64
+
+
+def _has_map(kind: T.DataType) -> bool:
+    if isinstance(kind, T.MapType):
+        return True
+    if isinstance(kind, T.ArrayType):
+        return _has_map(kind.elementType)
+    return isinstance(kind, T.StructType) and any(_has_map(f.dataType) for f in kind.fields)
+
+
 def first_k_per_group(df: DataFrame, group: list[str], order: list[Column], k: int, rank: str | None = None) -> DataFrame:
+    """The first ``k`` rows of each group; ``rank`` keeps their 1-based position.
+
+    For a large ``k`` the rows of a group are first ranked in ``SPREAD`` parts by row hash; the first k of the
+    group are among the first k of its parts, so the last ranking sees a bounded number of rows.
+    """
     name = rank or "_rank"
-    picked = df.withColumn(name, F.row_number().over(Window.partitionBy(*group).orderBy(*order))).filter(F.col(name) <= k)
+
+    def ranked(rows, keys):
+        return rows.withColumn(name, F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).filter(F.col(name) <= k)
+
+    if k > EARLY_CUT:
+        plain = [f.name for f in df.schema.fields if not _has_map(f.dataType)]
+        parts = df.withColumn("_part", F.pmod(F.xxhash64(*plain), F.lit(SPREAD)))
+        df = ranked(parts, [*group, "_part"]).drop("_part", name)
+    picked = ranked(df, group)
     return picked if rank else picked.drop(name)
 
 

@@ -11,7 +11,9 @@ from rosterspark.sources import writers
 
 FOLDER = "/root/testdata/sf0.001"
 # Jobs that write or checkpoint while they are built.
-ACTING = {"site_walk", "shard_upsert", "publish_run", "gazetteer_file"}
+ACTING = {
+    "site_walk", "shard_upsert", "publish_run", "gazetteer_file", "stream_rate_limit", "stream_usage", "stream_cache", "stream_ingest",
+}
 
 
 def plan(df) -> str:
@@ -82,3 +84,12 @@ def test_many_touched_partitions_fall_back_to_a_join(spark, hot, tmp_path):
     many = writers.touched_only(stored, hot.select("k"), "k", bound=2)
     assert "Join" not in plan(few) and "Join" in plan(many)
     assert many.count() == stored.count() and few.count() == stored.filter("k = 'hot'").count()
+
+
+def test_large_k_is_ranked_in_parts(spark, hot):
+    big = selection.first_k_per_group(hot.select("k", "event_id"), ["k"], [F.col("event_id").asc()], 1001, "rank")
+    assert "_part" in plan(big)
+    want = {(r["k"], r["event_id"]) for r in hot.select("k", "event_id").collect()}
+    assert {(r["k"], r["event_id"]) for r in big.collect()} == want
+    ranks = [r["rank"] for r in big.filter("k = 'hot'").orderBy("event_id").collect()]
+    assert ranks == list(range(1, len(ranks) + 1))
