@@ -260,8 +260,8 @@ def lookup_job(
     federal = serve.as_cards(serve.enrich_federal(reps, social, details), keep)
     upper = serve.as_cards(tiers.legislator_cards(legislators), keep)
     merged = serve.replace_state_tier(federal, upper)
-    by_state = requests.select("request_id", "state").join(executives, "state")
-    heads = serve.as_cards(tiers.executive_cards(by_state), keep)
+    # One card per executive, then joined to the requests of the state.
+    heads = serve.as_cards(requests.select("request_id", "state").join(tiers.executive_cards(executives), "state"), keep)
     cards = serve.grouped_cards(serve.assemble_results(local, merged, heads))
     queue = serve.unmatched(requests, matched).withColumn("cache_key", place_slug("state", F.coalesce("place", "county")))
     return cards, queue
