@@ -15,7 +15,7 @@ from rosterspark.llm.tokens import slices
 TILE = 1_000_000
 #: Bits of a signature for each shingle, and at most.
 BITS_EACH, MOST_BITS = 16, 1 << 15
-#: Shingles that at least so many prefixes share count as common, the most common million of them: 8 MB to each executor.
+#: Shingles that at least so many sets share count as common, the most common million of them: 8 MB to each executor.
 COMMON, MOST_COMMON = 3, 1_000_000
 
 _MULTIPLIERS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3)
@@ -83,17 +83,17 @@ def _rows(batch, width: int, words: Words):
         yield a, [shingles(t, width, words) for t in texts[a:b]]
 
 
-def common_shingles(docs: DataFrame, width: int, num: int, den: int, least: int, most: int) -> np.ndarray:
-    """Shingles in ``least`` or more prefixes (by hash alone), the ``most`` most frequent, as a sorted array.
+def common_shingles(docs: DataFrame, width: int, least: int, most: int) -> np.ndarray:
+    """Shingles that ``least`` or more sets hold, the ``most`` most frequent, as a sorted array.
 
-    Only an order that prefixes follow: any choice gives the same links, a good one fewer candidates. Each task
-    counts in batches and hands on what it met more than once.
+    Only an order that prefixes follow: any choice gives the same links, a good one fewer candidates. So each task counts
+    in batches of some thousand documents and hands on what a batch holds more than once.
     """
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        words, none = Words(), np.zeros(0, np.uint64)
+        words = Words()
         held, size = [], 0
 
         def out():
@@ -103,8 +103,8 @@ def common_shingles(docs: DataFrame, width: int, num: int, den: int, least: int,
 
         for batch in batches:
             for _, sets in _rows(batch, width, words):
-                held += [prefix(s, none, num, den) for s in sets if len(s)]
-                size += sum(map(len, held[-len(sets) :]))
+                held += sets
+                size += sum(map(len, sets))
                 if size > 4_000_000:
                     yield out()
                     held, size = [], 0
@@ -242,7 +242,7 @@ def jaccard_components(docs: DataFrame, *, width: int = 5, threshold: tuple[int,
     num, den = threshold
     scratch = scratch or Scratch(docs.sparkSession)
     rows = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).cast("string").alias("text"))
-    common = common_shingles(rows, width, num, den, COMMON, MOST_COMMON)
+    common = common_shingles(rows, width, COMMON, MOST_COMMON)
     described = scratch.table(describe(rows, width, num, den, common), "sets")
     classes = described.where(F.col("node").isNotNull()).groupBy("node").agg(F.min("doc_id").alias("first"), F.max("n").alias("n"))
     heads = described.select(F.explode("prefix").alias("shingle"), "node")
