@@ -100,7 +100,7 @@ def candidate_edges(hashed: DataFrame, near: int, bucket: int) -> DataFrame:
         def trees(nodes, sketches):
             if len(nodes) > bucket:
                 return [(nodes[0], n) for n in nodes[1:]]
-            apart = np.bitwise_count(sketches[:, None, :] ^ sketches[None, :, :]).sum(axis=2, dtype=np.int64)
+            apart = np.bitwise_count((sketches[:, None, :] ^ sketches[None, :, :]).view(np.uint64)).sum(axis=2, dtype=np.int64)
             roots, out = np.arange(len(nodes)), []
             for i, j in zip(*np.nonzero(np.triu(apart <= near, 1)), strict=True):
                 if roots[i] != roots[j]:

@@ -35,10 +35,10 @@ def ngram_counts(text: str, chunk: int = CHUNK) -> tuple[np.ndarray, np.ndarray]
         kinds, inverse = np.unique(points, return_inverse=True)
         letters = np.array([unicodedata.category(chr(p))[0] == "L" for p in kinds.tolist()], bool)[inverse] if len(kinds) else np.zeros(0, bool)
         points = np.where(letters, points, 32)
-        edge = at == 0
+        edge = at <= 2
         # One space in front of the text and after it; runs of spaces shrink to one.
         points = np.concatenate([[32] * edge, points, [32] * (at + chunk >= len(text))]).astype(np.int64)
-        new = np.concatenate([[True] * edge, np.arange(len(letters)) >= fresh, [True] * (at + chunk >= len(text))]).astype(bool)
+        new = np.concatenate([[at == 0] * edge, np.arange(len(letters)) >= fresh, [True] * (at + chunk >= len(text))]).astype(bool)
         keep = np.ones(len(points), bool)
         keep[1:] = (points[1:] != 32) | (points[:-1] != 32)
         points, new = points[keep], new[keep]

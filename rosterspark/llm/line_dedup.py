@@ -55,9 +55,9 @@ def dedup_lines(docs: DataFrame, min_sites: int = MIN_SITES, *, id_column: str =
     scratch = scratch or Scratch(docs.sparkSession)
     bad = scratch.table(boilerplate_lines(docs, min_sites, site_column=site_column, text_column=text_column), "boilerplate")
     places = docs.select(F.col(id_column).alias("k"), F.explode(F.split(F.col(text_column), "\n")).alias("line")).select("k", *_key(F.col("line")))
-    hits = places.join(bad, ["h1", "h2"], "left_semi").groupBy("k").agg(F.collect_set(F.struct("h1", "h2")).alias("__gone"))
+    hits = places.join(bad, ["h1", "h2"], "left_semi").groupBy("k").agg(F.collect_set(F.struct("h1", "h2")).alias("__gone")).withColumnRenamed("k", "__key")
     kept = docs.drop("n_lines", "n_removed")
-    kept = kept.join(hits, F.col(id_column).eqNullSafe(F.col("k")), "left").drop("k")
+    kept = kept.join(hits, F.col(id_column).eqNullSafe(F.col("__key")), "left").drop("__key")
     lines = F.split(F.col(text_column), "\n")
     stay = F.filter(lines, lambda line: ~F.array_contains(F.col("__gone"), F.struct(*_key(line))))
     cleaned = F.when(F.col("__gone").isNull(), F.col(text_column)).otherwise(F.array_join(stay, "\n"))

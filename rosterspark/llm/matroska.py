@@ -74,7 +74,7 @@ def lace(frames: list[bytes], kind: str) -> bytes:
     head = bytes([len(frames) - 1])
     if kind == "xiph":
         head += b"".join(b"\xff" * (s // 255) + bytes([s % 255]) for s in sizes[:-1])
-    elif kind == "ebml":
+    elif kind == "ebml" and len(frames) > 1:
         head += varint(sizes[0])
         for a, b in zip(sizes[:-2], sizes[1:-1], strict=True):
             width = next(w for w in range(1, 9) if abs(b - a) < (1 << 7 * w - 1) - 1)

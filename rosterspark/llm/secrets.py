@@ -63,7 +63,7 @@ def trigram_query(pattern: str) -> list[frozenset[str]] | None:
                 elif low == high and low <= 8:
                     more = ["".join(x) for x in product(more, repeat=low)] if len(more) ** low <= MOST_BRANCHES else ["\0"]
                 else:
-                    more = [f"{x}\0{x}" for x in more] if low else ["\0"]
+                    more = [f"{a}\0{b}" for a in more for b in more] if low else ["\0"]
             elif kind is op.AT:
                 more = [""]
             else:
@@ -146,15 +146,15 @@ def find_secrets(docs: DataFrame, rules: Sequence[Rule] = RULES, *, id_column: s
     Starts and ends count code points, the end is exclusive. Null or empty text: an empty array. Other columns pass
     through; one named secrets is replaced. Empty table: no rows.
     """
-    asked = candidates(docs, rules, id_column=id_column, text_column=text_column)
-    rows = docs.drop("secrets").join(asked, F.col(id_column).eqNullSafe(F.col("key")), "left").drop("key")
+    asked = candidates(docs, rules, id_column=id_column, text_column=text_column).toDF("__key", "__kinds")
+    rows = docs.drop("secrets").join(asked, F.col(id_column).eqNullSafe(F.col("__key")), "left").drop("__key")
     text = text_or_empty(text_column)
     none = F.array().cast("array<struct<start:bigint,rank:int,end:bigint,kind:string>>")
     spans = []
     for order, rule in enumerate(rules):
         here = _spans(text, rule, order)
-        spans.append(here if trigram_query(rule.pattern) is None else F.when(F.array_contains("kinds", rule.kind), here).otherwise(none))
-    return rows.withColumn("secrets", F.sort_array(F.flatten(F.array(*spans)))).drop("kinds")
+        spans.append(here if trigram_query(rule.pattern) is None else F.when(F.array_contains("__kinds", rule.kind), here).otherwise(none))
+    return rows.withColumn("secrets", F.sort_array(F.flatten(F.array(*spans)))).drop("__kinds")
 
 
 def joined(spans: Column) -> Column:
