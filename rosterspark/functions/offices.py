@@ -14,16 +14,6 @@ def no_offices() -> Column:
     return F.array().cast(f"array<{OFFICE.simpleString()}>")
 
 
-def normalize_social(c: Column | str, base: Column | str) -> Column:
-    """Five keys always present, each absolute on the page or null."""
-    c = col(c)
-
-    def named(urls):
-        return F.struct(*[urls[i].alias(k) for i, k in enumerate(SOCIAL_KEYS)])
-
-    return let(url_parts(base), lambda page: let(absolutize_many([c[k] for k in SOCIAL_KEYS], page), named))
-
-
 def normalize_offices(c: Column | str) -> Column:
     """Trim every field, format phones, drop offices without address, phone, fax and hours."""
 

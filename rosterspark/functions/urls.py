@@ -367,13 +367,6 @@ def _private_ipv6(host: Sql) -> Sql:
     return f"coalesce(if(contains({host}, ':'), {_let(parsed, check)}, false), false)"
 
 
-_PRIVATE = _lambda(lambda h: f"({_private_ipv4(h)} or {_private_ipv6(h)})")
-
-
-def is_private_host(host: Column) -> Column:
-    return _apply(host, _PRIVATE)
-
-
 def check_submission_url(c: Column | str) -> Column:
     """``struct(ok, reason, href)``: the first rule that a submitted URL breaks, in order."""
 

@@ -12,7 +12,7 @@ from rosterspark.functions.html import is_noise_href, looks_like_gov_site
 from rosterspark.functions.urls import url_origin
 from rosterspark.operators.records import first_per_key
 from rosterspark.operators.selection import first_k_per_group
-from rosterspark.session import cut_lineage
+from rosterspark.session import staged
 
 # Crawl bounds.
 FETCH_BUDGET = 8
@@ -43,27 +43,34 @@ def initial_frontier(starts: DataFrame, hits: DataFrame | None = None) -> DataFr
 
 def expand_frontier(
     starts: DataFrame, pages: DataFrame, links: DataFrame, officials: DataFrame, hits: DataFrame | None = None,
-    fetch_budget: int = FETCH_BUDGET, min_officials: int = MIN_OFFICIALS,
+    fetch_budget: int = FETCH_BUDGET, min_officials: int = MIN_OFFICIALS, links_per_page: int | None = LINKS_PER_PAGE,
 ) -> DataFrame:
     """Breadth-first walk per group, all groups at once, one round per link distance.
 
     First-in-first-out order equals (round, rank of the parent visit, link position), so a round is:
     rank the frontier, keep what the budget allows, stop a group where it has enough distinct ids,
     take the links of the visited pages that are not queued before. At most ``fetch_budget`` rounds,
-    each cut off from the plan of the one before.
+    written to the shared folder, so its plan is cut off from the one before. The inputs are written once, pruned.
 
-    ``starts``: group, start_url, final_url, origin. ``pages``: url, final_url, ok (one row per url).
-    ``links``: url (final), pos, link - the page's suggestions, at most 4 used. ``officials``: url
-    (final), id. Result: group, visit (0-based), url, final_url, ok, found_ids (distinct ids
+    ``starts``: group, start_url (what the walk starts from), final_url (what it led to), origin. ``pages``: url,
+    final_url, ok (one row per url); a start page that is known only by its requested url is that page, not fetched again.
+    ``links``: url (final), pos, link - the page's suggestions, the first ``links_per_page`` used (None: all).
+    ``officials``: url (final), id, and group where ids depend on it: several groups may share a site. Result: group, visit (0-based), url, final_url, ok, found_ids (distinct ids
     after the visit), is_source (the page a result of the walk is credited to).
     """
     by_url = pages.select("url", "final_url", "ok")
-    suggestions = links.filter(F.col("pos") < LINKS_PER_PAGE).select(F.col("url").alias("final_url"), "pos", "link")
-    ids = officials.select(F.col("url").alias("final_url"), "id")
+    # The first visit goes by the address that a redirect led to; that page is there under the requested address.
+    started = starts.select(F.col("start_url").alias("url"), F.col("final_url").alias("_to")).distinct().join(by_url, "url").select(F.col("_to").alias("url"), "final_url", "ok")
+    by_url = staged(by_url.unionByName(started.join(by_url, "url", "left_anti").dropDuplicates(["url"])))
+    used = links if links_per_page is None else links.filter(F.col("pos") < links_per_page)
+    suggestions = staged(used.select(F.col("url").alias("final_url"), "pos", "link"))
+    on = ["group", "final_url"] if "group" in officials.columns else ["final_url"]
+    ids = staged(officials.select(*on[:-1], F.col("url").alias("final_url"), "id").distinct())
+    starts = staged(starts.select("group", "start_url", "final_url", "origin"))
     origins = starts.select("group", "origin")
 
     frontier = initial_frontier(starts, hits)
-    queued = cut_lineage(
+    queued = staged(
         frontier.select("group", "url").unionByName(starts.select("group", F.col("start_url").alias("url"))).distinct()
     )
     state = starts.select("group", F.lit(0).alias("visits"), F.lit(0).cast("bigint").alias("n_ids"))
@@ -76,11 +83,11 @@ def expand_frontier(
         fetched = within.join(by_url, "url", "left").select(
             "group", "visit", "url", "n_ids", F.coalesce("final_url", "url").alias("final_url"), F.coalesce("ok", F.lit(False)).alias("ok")
         )
-        fetched = cut_lineage(fetched)
+        fetched = staged(fetched)
         if fetched.isEmpty():
             break
         # Ids first seen at a visit of this round; running sum of at most fetch_budget rows per group.
-        new_ids = fetched.filter("ok").join(ids, "final_url").groupBy("group", "id").agg(F.min("visit").alias("visit"))
+        new_ids = fetched.filter("ok").join(ids, on).groupBy("group", "id").agg(F.min("visit").alias("visit"))
         if seen_ids is not None:
             new_ids = new_ids.join(seen_ids, ["group", "id"], "left_anti")
         gained = new_ids.groupBy("group", "visit").agg(F.count(F.lit(1)).alias("_gain"))
@@ -88,15 +95,15 @@ def expand_frontier(
         counted = fetched.join(gained, ["group", "visit"], "left").withColumn(
             "found_ids", F.col("n_ids") + F.sum(F.coalesce("_gain", F.lit(0))).over(order)
         ).withColumn("_before", F.coalesce(F.lag("found_ids").over(order), F.col("n_ids")))
-        visited = cut_lineage(
+        visited = staged(
             counted.filter(F.col("_before") < min_officials).select("group", "visit", "url", "final_url", "ok", "found_ids")
         )
         rounds.append(visited)
         reached = visited.select("group", "visit")
         step = new_ids.join(reached, ["group", "visit"], "left_semi").select("group", "id")
-        seen_ids = cut_lineage(step if seen_ids is None else seen_ids.unionByName(step))
+        seen_ids = staged(step if seen_ids is None else seen_ids.unionByName(step))
         last = visited.groupBy("group").agg((F.max("visit") + 1).alias("_visits"), F.max("found_ids").alias("_ids"))
-        state = cut_lineage(
+        state = staged(
             state.join(last, "group", "left").select(
                 "group", F.coalesce("_visits", "visits").alias("visits"), F.coalesce("_ids", "n_ids").alias("n_ids")
             )
@@ -105,9 +112,9 @@ def expand_frontier(
         parents = visited.filter(F.col("ok") & (F.col("found_ids") < min_officials))
         found = parents.join(suggestions, "final_url").join(origins, "group")
         fresh = same_origin_new_links(found, queued, "group")
-        place = (F.col("visit") * LINKS_PER_PAGE + F.col("pos")).cast("bigint")
-        frontier = cut_lineage(fresh.groupBy("group", F.col("link").alias("url")).agg(F.min(place).alias("place")))
-        queued = cut_lineage(queued.unionByName(frontier.select("group", "url")))
+        place = F.shiftleft(F.col("visit").cast("bigint"), 32) + F.col("pos")
+        frontier = staged(fresh.groupBy("group", F.col("link").alias("url")).agg(F.min(place).alias("place")))
+        queued = staged(queued.unionByName(frontier.select("group", "url")))
     walk = reduce(DataFrame.unionByName, rounds) if rounds else None
     if walk is None:
         raise ValueError("no start pages")

@@ -111,35 +111,15 @@ def budget_from_remaining(remaining: Column | str, average: float, margin: float
 # --- ranked selections ----------------------------------------------------------------------
 
 
-# Above this k Spark no longer cuts ranks inside the tasks (spark.sql.optimizer.windowGroupLimitThreshold).
-EARLY_CUT = 1000
-SPREAD = 64
-
-
-def _has_map(kind: T.DataType) -> bool:
-    if isinstance(kind, T.MapType):
-        return True
-    if isinstance(kind, T.ArrayType):
-        return _has_map(kind.elementType)
-    return isinstance(kind, T.StructType) and any(_has_map(f.dataType) for f in kind.fields)
-
-
 def first_k_per_group(df: DataFrame, group: list[str], order: list[Column], k: int, rank: str | None = None) -> DataFrame:
     """The first ``k`` rows of each group; ``rank`` keeps their 1-based position.
 
-    For a large ``k`` the rows of a group are first ranked in ``SPREAD`` parts by row hash; the first k of the
-    group are among the first k of its parts, so the last ranking sees a bounded number of rows.
+    One plan for every ``k``: tasks cut their rows to k a group before the shuffle, up to the k that the session
+    allows for that (``spark.sql.optimizer.windowGroupLimitThreshold``, 1000 unless set higher).
     """
     name = rank or "_rank"
-
-    def ranked(rows, keys):
-        return rows.withColumn(name, F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).filter(F.col(name) <= k)
-
-    if k > EARLY_CUT:
-        plain = [f.name for f in df.schema.fields if not _has_map(f.dataType)]
-        parts = df.withColumn("_part", F.pmod(F.xxhash64(*plain), F.lit(SPREAD)))
-        df = ranked(parts, [*group, "_part"]).drop("_part", name)
-    picked = ranked(df, group)
+    place = F.row_number().over(Window.partitionBy(*group).orderBy(*order))
+    picked = df.withColumn(name, place).filter(F.col(name) <= k)
     return picked if rank else picked.drop(name)
 
 
@@ -236,12 +216,18 @@ def rank_for_review(
     return ranked if sample is None else ranked.limit(sample)
 
 
+def first_reported(issues: DataFrame, limit: int | None = MAX_LINKS) -> DataFrame:
+    """The oldest ``limit`` issues, as many as one run checks; None: all, without a sort."""
+    return issues if limit is None else issues.orderBy("issue").limit(limit)
+
+
 def review_sample_size(requested: int, affordable: int) -> int:
     """Pages or links to check now: what was asked for, within what the budget still allows."""
     return max(0, min(requested, affordable))
 
 
-def newest_log(df: DataFrame, seq: list[str], limit: int | None = None, keep: int = 5000) -> DataFrame:
-    """Newest log rows first; ``limit`` is clamped to 1..5000, default 200."""
-    wanted = min(max(limit or 200, 1), keep)
+def newest_log(df: DataFrame, seq: list[str], limit: int | None = None, keep: int | None = 5000) -> DataFrame:
+    """Newest log rows first: ``limit`` of them (200 unless given), within the ``keep`` rows a log retains (None: all)."""
+    wanted = max(limit or 200, 1)
+    wanted = wanted if keep is None else min(wanted, keep)
     return df.orderBy(*[F.col(c).desc_nulls_last() for c in seq]).limit(wanted)

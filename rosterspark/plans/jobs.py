@@ -16,6 +16,7 @@ from rosterspark.functions.text import (
 )
 from rosterspark.functions.urls import check_submission_url, url_origin
 from rosterspark.operators import crawl, extraction, limits, qa, records, selection, serve, tiers, universe, web
+from rosterspark.session import staged
 from rosterspark.sources import writers
 
 _PLACE = ["city", "state", "level", "body"]
@@ -97,6 +98,10 @@ def universe_job(
     return table, universe.coverage_metrics(table, ["state", "level"]), universe.unrecognized_names(rows)
 
 
+#: Parts that the officials of one site are dealt to when they meet the groups on it.
+ORIGIN_SALTS = 16
+
+
 @dataclass
 class DiscoveryResult:
     hits: DataFrame
@@ -106,42 +111,58 @@ class DiscoveryResult:
 
 def discovery_job(
     candidates: DataFrame, sites: DataFrame, pages: DataFrame, links: DataFrame, raw_officials: DataFrame,
-    old_misses: DataFrame, now: str, hits: DataFrame | None = None,
+    old_misses: DataFrame, now: str, hits: DataFrame | None = None, errors: DataFrame | None = None,
+    links_per_page: int | None = crawl.LINKS_PER_PAGE,
 ) -> DiscoveryResult:
     """Resolve sites, walk them, and split candidates into hits and misses.
 
-    ``candidates``: key, city, state, level (already selected under the budget). ``sites``: group (=key), city,
-    recalled, hits. ``pages``: url, final_url, ok, text. ``raw_officials``: url (final), raw. A hit removes an
-    older miss of its key.
+    ``candidates``: key, city, state, level, population (already selected under the budget). ``sites``: group (=key), city,
+    recalled, hits. ``pages``: url, final_url, ok, text. ``raw_officials``: url (final), raw. ``errors``: key, error of
+    candidates whose crawl or extraction failed: those are misses, with the error as reason. A hit needs a roster page and
+    officials left after normalization, and removes an older miss of its key. Misses keep the candidate's population.
     """
     site = crawl.resolve_site(sites, pages.select("url", "final_url", "ok", "text"))
     starts = site.select(
-        "group", F.col("url").alias("start_url"), F.col("url").alias("final_url"), url_origin("url").alias("origin")
+        "group", F.col("requested_url").alias("start_url"), F.col("url").alias("final_url"), url_origin("url").alias("origin")
     )
     named = candidates.withColumn("body", guess_body_name("city", "level"))
     # Ids depend on the jurisdiction, so rows are normalized per candidate over the pages of its own site.
     by_origin = raw_officials.withColumn("origin", url_origin("url"))
-    rows = starts.join(named.withColumnRenamed("key", "group"), "group").join(by_origin, "origin")
+    # A site can have very many officials and several groups: the groups' side is small per site, and the rows of a hot
+    # site are dealt over salts, which each group is copied to.
+    salted = by_origin.withColumn("_salt", F.pmod(F.xxhash64("url", F.to_json("raw")), F.lit(ORIGIN_SALTS)).cast("int"))
+    owners = starts.join(named.withColumnRenamed("key", "group"), "group").withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(ORIGIN_SALTS - 1))))
+    rows = owners.join(salted, ["origin", "_salt"])
     rows = rows.select("group", F.col("url").alias("source_url"), "raw", _place().alias("jurisdiction"), F.lit(now).alias("extracted_at"))
-    clean = records.normalize(rows)
+    clean = staged(records.normalize(rows))
     found = clean.select("group", "id", F.col("source_url").alias("url"))
-    walk = crawl.expand_frontier(starts, pages, links, found, hits)
+    walk = staged(crawl.expand_frontier(starts, pages, links, found, hits, links_per_page=links_per_page))
     source = walk.filter("is_source").select("group", F.col("final_url").alias("roster_url"))
     visits = walk.filter("ok").select("group", F.col("final_url").alias("source_url"), "visit")
     collected = clean.join(visits, ["group", "source_url"])
     officials = records.strip_shared_media(
         records.latest_per_key(collected, ["group", "id"], "visit").withColumn("_row", F.concat_ws("\u0000", "group", "id")), ["group"], "_row"
     ).drop("_row")
-    state = named.join(site.select(F.col("group").alias("key"), F.lit(True).alias("_site")), "key", "left").join(
-        source.withColumnRenamed("group", "key"), "key", "left"
+    officials = staged(officials)
+    failed = errors if errors is not None else candidates.select("key", F.lit(None).cast("string").alias("error")).limit(0)
+    failed = failed.groupBy("key").agg(F.min("error").alias("_error"))
+    state = (
+        named.join(site.select(F.col("group").alias("key"), F.lit(True).alias("_site")), "key", "left")
+        .join(source.withColumnRenamed("group", "key"), "key", "left").join(failed, "key", "left")
+        .join(officials.select(F.col("group").alias("key"), F.lit(True).alias("_any")).distinct(), "key", "left")
     )
-    new_hits = state.filter("roster_url is not null").select(
+    hit = F.col("roster_url").isNotNull() & F.col("_any").isNotNull() & F.col("_error").isNull()
+    new_hits = state.filter(hit).select(
         "key", *_PLACE, F.array("roster_url").alias("urls"), F.lit(now).alias("discovered_at")
     )
-    reason = F.when(F.col("_site").isNull(), F.lit("no site found")).otherwise(F.lit("roster page not found"))
-    new_misses = state.filter("roster_url is null").select("key", "city", "state", "level", F.lit(now).alias("checked_at"), reason.alias("reason"))
-    kept = old_misses.select(*new_misses.columns).join(candidates.select("key"), "key", "left_anti")
-    return DiscoveryResult(new_hits, kept.unionByName(new_misses), officials)
+    reason = (
+        F.when(F.col("_error").isNotNull(), F.col("_error")).when(F.col("_site").isNull(), F.lit("no site found"))
+        .when(F.col("roster_url").isNull(), F.lit("roster page not found")).otherwise(F.lit("no officials extracted"))
+    )
+    new_misses = state.filter(~hit).select("key", "city", "state", "level", "population", F.lit(now).alias("checked_at"), reason.alias("reason"))
+    kept = old_misses.join(candidates.select("key"), "key", "left_anti")
+    officials = officials.join(new_hits.select(F.col("key").alias("group")), "group", "left_semi")
+    return DiscoveryResult(new_hits, kept.unionByName(new_misses, allowMissingColumns=True), officials)
 
 
 # --- checks, promotion, reports -------------------------------------------------------------
@@ -181,7 +202,7 @@ def promote_job(entries: DataFrame, seeded: DataFrame, discovered: DataFrame, no
 
 
 def reported_links_job(
-    issues: DataFrame, fetches: DataFrame, responses: DataFrame, now: str, max_links: int = selection.MAX_LINKS,
+    issues: DataFrame, fetches: DataFrame, responses: DataFrame, now: str, max_links: int | None = selection.MAX_LINKS,
 ) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Promotable officials, links that need review with the reason, and their jurisdictions.
 
@@ -189,7 +210,7 @@ def reported_links_job(
     ``responses``: url, response.
     """
     with_link, _ = selection.split_by_link(selection.checkable_issues(issues))
-    todo = with_link.orderBy("issue").limit(max_links).select("issue", F.col("link").alias("url"))
+    todo = selection.first_reported(with_link, max_links).select("issue", F.col("link").alias("url"))
     checked = todo.withColumn("_c", check_submission_url("url"))
     refused = checked.filter("not _c.ok").select("issue", "url", F.col("_c.reason").alias("reason"))
     allowed = checked.filter("_c.ok").select("issue", F.col("_c.href").alias("url"))

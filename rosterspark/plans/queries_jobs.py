@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import functions as F
 
 from rosterspark.functions.text import jurisdiction_key
@@ -13,19 +10,15 @@ from rosterspark.plans import jobs
 from rosterspark.plans.catalog import Tables, query, s_id
 from rosterspark.plans.queries_records import _duplicates, _official, _order_officials
 from rosterspark.plans.queries_selection import NOW, _places, _population
-from rosterspark.plans.queries_tiers import _committees, _district_entries, _legislators, _membership, _people
+from rosterspark.plans.queries_tiers import _committees, _district_entries, _executive, _legislators, _membership, _people
 from rosterspark.schema import RAW_OFFICIAL
+from rosterspark.session import new_folder
 from rosterspark.sources import readers, writers
 
 
 def scratch(t: Tables) -> str:
-    """A new folder all executors reach: under the session's checkpoint folder, else (local) under /tmp."""
-    shared = t.spark.conf.get("spark.checkpoint.dir", None)
-    if shared:
-        return f"{shared.rstrip('/')}/rosterspark-{uuid.uuid4().hex}"
-    if not t.spark.sparkContext.master.startswith("local"):
-        raise RuntimeError("set spark.checkpoint.dir to a folder all executors can reach")
-    return tempfile.mkdtemp(prefix="rosterspark-")
+    """A new folder below the one that the session shares with its executors."""
+    return new_folder(t.spark)
 
 
 # --- roster run -----------------------------------------------------------------------------
@@ -164,6 +157,75 @@ def gazetteer_file(t):
     return rows.select(F.col("USPS").alias("usps"), F.col("NAME").alias("name"), F.col("GEOID").alias("geoid"))
 
 
+# --- discovery ------------------------------------------------------------------------------
+
+# Documents as pages of sites of 40. Two candidates, a city and a county, share each site; its start page is known by
+# an address that redirects. Page 0 lists nobody, page 1 three people on even sites, page 2 seven on every third one.
+
+
+def _discovery(t):
+    d = t.documents.select(F.floor(F.col("doc_id") / 40).alias("g"), (F.col("doc_id") % 40).alias("i"))
+    g, i = F.col("g"), F.col("i")
+    site = F.concat(F.lit("https://s"), g, F.lit(".gov/"))
+    asked = F.concat(F.lit("http://s"), g, F.lit(".gov"))
+    address = F.when(i == 0, site).otherwise(F.concat(site, i))
+    words = F.when(g % 5 != 4, F.concat(F.lit("City of town"), g, F.lit(" and land"), g, F.lit(" county council")))
+    pages = d.select(F.when(i == 0, asked).otherwise(address).alias("url"), address.alias("final_url"), F.lit(True).alias("ok"), F.coalesce(words, F.lit("parked")).alias("text"))
+    links = d.filter("i = 0").select(address.alias("url"), F.posexplode(F.array(F.concat(site, F.lit("1")), F.concat(site, F.lit("2")))).alias("pos", "link"))
+    most = F.when((i == 1) & (g % 2 == 0), 3).when((i == 2) & (g % 3 == 0), 7).otherwise(0)
+    people = d.select("g", "i", address.alias("url"), F.explode(F.filter(F.sequence(F.lit(0), F.lit(6)), lambda k: k < most)).alias("k"))
+    fields = {"name": F.concat(F.lit("P"), i, F.lit(" "), F.col("k")), "office": F.lit("Mayor")}
+    raw = F.struct(*[fields.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in RAW_OFFICIAL])
+    officials = people.select("url", raw.alias("raw"))
+    both = d.filter("i = 0").select("g", F.explode(F.array(F.lit("local"), F.lit("county"))).alias("level"))
+    city = F.when(F.col("level") == "local", F.concat(F.lit("Town"), g)).otherwise(F.concat(F.lit("Land"), g))
+    candidates = both.select("g", jurisdiction_key(F.lit("TX"), city, "level").alias("key"), city.alias("city"), F.lit("TX").alias("state"), "level", (g * 10).cast("bigint").alias("population"))
+    sites = candidates.select(F.col("key").alias("group"), "city", asked.alias("recalled"), F.array().cast("array<string>").alias("hits"))
+    errors = candidates.filter((g % 7 == 3) & (F.col("level") == "local")).select("key", F.lit("extraction failed").alias("error"))
+    old = candidates.select(
+        F.explode(F.array("key", F.concat(F.lit("old-"), "key"))).alias("key"), "city", "state", "level", "population", F.lit("2026-01-01").alias("checked_at"), F.lit("older").alias("reason"))
+    return jobs.discovery_job(candidates.drop("g"), sites, pages, links, officials, old, NOW, errors=errors)
+
+
+_DISCOVERY_SQL = """
+    WITH c AS (SELECT g, level, CASE level WHEN 'local' THEN 'Town' ELSE 'Land' END || g AS city, g % 7 = 3 AND level = 'local' AS broken FROM (SELECT DISTINCT doc_id // 40 AS g FROM documents), (SELECT unnest(['local', 'county']) AS level)),
+    s AS (SELECT *, CASE WHEN broken THEN 'extraction failed' WHEN g % 5 = 4 THEN 'no site found' WHEN g % 2 <> 0 AND g % 3 <> 0 THEN 'roster page not found' END AS reason FROM c)
+"""
+
+
+@query(
+    "discovery_hits",
+    _DISCOVERY_SQL + """
+    SELECT city, state, level, 'https://s' || g || '.gov/2' AS roster_url FROM (SELECT *, 'TX' AS state FROM s) WHERE reason IS NULL
+    """,
+)
+def discovery_hits(t):
+    return _discovery(t).hits.select("city", "state", "level", F.array_join("urls", ",").alias("roster_url"))
+
+
+@query(
+    "discovery_misses",
+    _DISCOVERY_SQL + """
+    SELECT city, level, g * 10 AS population, reason, substr(checked_at, 1, 10) AS checked_at FROM (
+      SELECT city, level, g, reason, {now} AS checked_at FROM s WHERE reason IS NOT NULL UNION ALL SELECT city, level, g, 'older', '2026-01-01' FROM s)
+    """.replace("{now}", f"'{NOW}'"),
+)
+def discovery_misses(t):
+    return _discovery(t).misses.select("city", "level", "population", "reason", F.left("checked_at", F.lit(10)).alias("checked_at"))
+
+
+@query(
+    "discovery_officials",
+    _DISCOVERY_SQL + """
+    , p AS (SELECT 1 AS i, unnest(range(3)) AS k UNION ALL SELECT 2, unnest(range(7)))
+    SELECT 'tx:' || lower(city) || ':mayor:p' || i || '-' || k AS id, 'https://s' || g || '.gov/' || i AS source_url, 'P' || i || ' ' || k AS name, level
+    FROM s, p WHERE reason IS NULL AND ((i = 1 AND g % 2 = 0) OR (i = 2 AND g % 3 = 0))
+    """,
+)
+def discovery_officials(t):
+    return _discovery(t).officials.select("id", "source_url", "name", "level")
+
+
 # --- other jobs -----------------------------------------------------------------------------
 
 
@@ -208,7 +270,7 @@ def federal_run(t):
     loc AS (SELECT request_id FROM q JOIN o ON q.st = o.st AND ((kind = 0 AND nk = place) OR (kind = 1 AND nk = county))),
     leg AS (SELECT c_custkey AS request_id FROM customer WHERE c_custkey % 9 <> 0 AND c_custkey % 5 < 3),
     fed AS (SELECT c_custkey AS request_id, 'Federal' AS g FROM customer UNION ALL SELECT c_custkey, 'State' FROM customer WHERE c_custkey NOT IN (SELECT request_id FROM leg)),
-    ex AS (SELECT c_custkey AS n, c_custkey % 5 AS st FROM customer WHERE c_custkey % 9 <> 0 AND c_custkey % 5 = 3 AND c_custkey % 4 <> 3 AND c_custkey < 40),
+    ex AS (SELECT n_nationkey AS n, n_regionkey AS st FROM nation WHERE n_nationkey % 4 <> 3),
     a AS (SELECT request_id, 'Local' AS g FROM loc UNION ALL SELECT * FROM fed UNION ALL SELECT request_id, 'State' FROM leg UNION ALL SELECT c_custkey, 'State' FROM customer JOIN ex ON c_custkey % 5 = st)
     SELECT request_id, g AS "group", count(*) AS cards FROM a GROUP BY 1, 2
     """,
@@ -235,7 +297,7 @@ def lookup_run(t):
     details = jobs.federal_job(_legislators(t), _committees(t), _membership(t), _district_entries(t))
     people = _people(t)
     legislators = people.withColumn("request_id", F.col("c_custkey")).drop("c_custkey")
-    executives = people.filter("c_custkey < 40").select(F.concat(F.lit("R"), F.col("c_custkey") % 5).alias("state"), "person")
+    executives = t.nation.select(F.concat(F.lit("R"), "n_regionkey").alias("state"), _executive(F.col("n_nationkey"), F.col("n_name")).alias("person"))
     cards, _ = jobs.lookup_job(requests, officials, reps, social, details, legislators, executives)
     return cards.groupBy("request_id", "group").agg(F.count(F.lit(1)).alias("cards"))
 
@@ -289,7 +351,7 @@ def _reported(t):
     body = F.to_json(F.struct((n % 5 != 0).alias("is_government_source"), place.alias("jurisdiction"), F.array(person).alias("officials")))
     responses = t.supplier.select(F.concat(F.lit("https://ok.gov/"), n).alias("url"), body.alias("response"))
     fetches = responses.select("url", F.lit(True).alias("ok"), F.lit(None).cast("string").alias("error"))
-    return jobs.reported_links_job(issues, fetches, responses, NOW, max_links=2**31 - 1)
+    return jobs.reported_links_job(issues, fetches, responses, NOW, max_links=None)
 
 
 @query(

@@ -183,16 +183,18 @@ def upsert_records(t):
       FROM r, (SELECT unnest([0, 1]) AS p) WHERE n % 4 <> 0),
     m AS (SELECT id, lower(city) AS k, arg_max(city, (n, p)) AS city, arg_max(phone, (n, p)) FILTER (phone <> '') AS phone,
         (array_agg(phone ORDER BY n, p))[1] AS fallback, min((n, p)) AS first_at FROM e WHERE cnt > 1 AND NOT (n = n0 AND p = 0) GROUP BY 1, 2),
-    s AS (SELECT id, string_agg(city || '=' || coalesce(phone, fallback, '~'), ',' ORDER BY first_at) AS offices, count(*) AS n_offices FROM m GROUP BY 1)
-    SELECT 'id' || id AS id, offices, n_offices FROM s
+    s AS (SELECT id, string_agg(city || '=' || coalesce(phone, fallback, '~'), ',' ORDER BY first_at) AS offices, count(*) AS n_offices FROM m GROUP BY 1),
+    one AS (SELECT id, string_agg(city || '=' || coalesce(phone, '~'), ',' ORDER BY p) AS offices, count(*) AS n_offices FROM e WHERE cnt = 1 GROUP BY 1)
+    SELECT 'id' || r.id AS id, coalesce(s.offices, one.offices, '') AS offices, coalesce(s.n_offices, one.n_offices, 0) AS n_offices
+    FROM (SELECT DISTINCT id FROM r) r LEFT JOIN s ON s.id = r.id LEFT JOIN one ON one.id = r.id
     """,
 )
 def upsert_offices(t):
     merged = records.merge_records(*_order_officials(t))
     label = F.transform("offices", lambda o: F.concat(o["city"], F.lit("="), F.coalesce(o["phone"], F.lit("~"))))
-    many = t.orders.groupBy("o_custkey").count().filter("count > 1").select(F.concat(F.lit("id"), F.col("o_custkey")).alias("id"))
-    rows = merged.join(many, "id", "left_semi").filter(F.size("offices") > 0)
-    return rows.select("id", F.array_join(label, ",").alias("offices"), F.size("offices").cast("bigint").alias("n_offices"))
+    return merged.select(
+        "id", F.coalesce(F.array_join(label, ","), F.lit("")).alias("offices"), F.greatest(F.lit(0), F.coalesce(F.size("offices"), F.lit(0))).cast("bigint").alias("n_offices")
+    )
 
 
 @query(

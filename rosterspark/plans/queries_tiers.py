@@ -84,6 +84,16 @@ def legislator_cards(t):
     return _shown(tiers.legislator_cards(_people(t)))
 
 
+def _executive(n, name):
+    """A person with a statewide title; each nation has one, so a state has a few."""
+    fields = {
+        "id": F.concat(F.lit("x"), n), "name": name, "current_role": F.struct(
+            _pick(_TITLES, n % 4).alias("title"), F.lit("executive").alias("org_classification"), _none().alias("district"), _none().alias("division_id")),
+        "jurisdiction": F.struct(_none().alias("id"), _none().alias("name"), F.lit("state").alias("classification")),
+    }
+    return F.struct(*[fields.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in PERSON.fields])
+
+
 @query(
     "executive_cards",
     f"""
@@ -300,8 +310,8 @@ def resolve_locations(t):
     asked = F.when(n % 3 == 0, F.concat(F.lit(" "), zip5, F.when(n % 2 == 0, F.lit("-1234")).otherwise(F.lit("")))).otherwise(F.concat(F.lit("Addr "), n % 500))
     requests = t.customer.select(n.alias("request_id"), asked.alias("query"))
     geo = lambda c: F.struct(c.alias("via")).alias("geo")
-    numbers = t.customer.filter("c_custkey < 300")
-    by_zip = numbers.filter(n % 2 == 0).select((F.lit(10000) + n).cast("string").alias("zip5"), geo(F.concat(F.lit("zip "), F.lit(10000) + n)))
+    numbers = t.customer.select((F.lit(10000) + n % 300).alias("z")).distinct()
+    by_zip = numbers.filter("z % 2 = 0").select(F.col("z").cast("string").alias("zip5"), geo(F.concat(F.lit("zip "), "z")))
     names = t.customer.select((n % 500).alias("i")).distinct()
     by_address = names.filter("i % 2 = 0").select(F.concat(F.lit("Addr "), "i").alias("query"), geo(F.lit("address")))
     by_name = names.filter("i % 5 = 0").select(F.concat(F.lit("Addr "), "i").alias("query"), geo(F.lit("name")))

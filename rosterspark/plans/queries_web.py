@@ -337,14 +337,13 @@ def url_safety(t):
     """
     WITH b AS (SELECT doc_id, source, lang, 'https://' || source || '.gov/' || doc_id AS url, text[1:24000] AS clip FROM documents),
     k AS (SELECT *, unnest(['roster', 'detail', 'submission']) AS kind FROM b),
-    r AS (SELECT doc_id, kind, 'Page URL: ' || url || CASE kind WHEN 'roster' THEN chr(10) || 'Jurisdiction: B ' || source || ' (' || source || ', ' || lang || ')'
-        WHEN 'detail' THEN chr(10) || 'Official this page should be about: N ' || doc_id || CASE WHEN doc_id % 2 = 0 THEN ' (' || lang || ')' ELSE '' END ELSE '' END
-      || chr(10) || chr(10) || CASE kind WHEN 'submission' THEN 'Images and social links found on this page:' ELSE 'Images, social links, emails, and other page links found on this page:' END || chr(10)
-      || CASE WHEN doc_id % 3 = 0 THEN '(none found)' ELSE 'Images:' || chr(10) || '1. ' || url || '/a.jpg | alt="A" | near: "c' || doc_id || '"' || chr(10) || 'Emails (from mailto: links):' || chr(10)
-        || '1. e' || doc_id || '@x.gov | text="t" | near: "n"' || chr(10) || '2. f@x.gov | text="" | near: "n"' END
-      || chr(10) || chr(10) || 'Page text:' || chr(10) || '\"\"\"' || chr(10) || clip || chr(10) || '\"\"\"' AS request FROM k)
+    r AS (SELECT doc_id, kind, 'kind=' || kind || nl || 'url=' || url || nl || CASE kind WHEN 'roster' THEN 'subject=B ' || source || ', ' || source || ', ' || lang || nl
+        WHEN 'detail' THEN 'subject=N ' || doc_id || CASE WHEN doc_id % 2 = 0 THEN ', ' || lang ELSE '' END || nl ELSE '' END
+      || CASE WHEN doc_id % 3 = 0 THEN '' ELSE concat_ws(tab, 'image', url || '/a.jpg', 'A', 'c' || doc_id) || nl || concat_ws(tab, 'email', 'e' || doc_id || '@x.gov', 't', 'n') || nl
+        || concat_ws(tab, 'email', 'f@x.gov', '', 'n') || nl END
+      || '---' || nl || clip AS request FROM k, (SELECT chr(10) AS nl, chr(9) AS tab))
     SELECT doc_id, kind, length(request) AS n_chars, md5(request) AS digest FROM r
-    """.replace('\\"', '"'),
+    """,
 )
 def extraction_requests(t):
     d, key = t.documents, F.col("doc_id")

@@ -68,7 +68,6 @@ SUBMISSION_RESPONSE = T.StructType(
         T.StructField("officials", T.ArrayType(RAW_OFFICIAL)),
     ]
 )
-TRIAGE_RESPONSE = _strings("duplicate_of", "title", "cleaned_description", "category", "severity")
 
 # State tier people.
 PERSON = T.StructType(

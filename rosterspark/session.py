@@ -1,9 +1,10 @@
-"""Session settings the operators are designed for, and the checkpoint folder rule."""
+"""Session settings the operators are designed for, and tables in the shared folder."""
 
 from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -22,6 +23,7 @@ def local_session(cpus: int = 8, name: str = "rosterspark", extra: dict[str, str
     options = {
         "spark.sql.shuffle.partitions": str(cpus),
         "spark.ui.enabled": "false",
+        "spark.checkpoint.dir": tempfile.mkdtemp(prefix="rosterspark-"),
         "spark.driver.memory": os.environ.get("ROSTERSPARK_DRIVER_MEMORY", "8g"),
         **SETTINGS,
         **(extra or {}),
@@ -31,15 +33,37 @@ def local_session(cpus: int = 8, name: str = "rosterspark", extra: dict[str, str
     return builder.getOrCreate()
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the session's checkpoint folder and read on from there."""
-    spark = df.sparkSession
+_OWN_FOLDERS: dict[str, str] = {}
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder for intermediate tables: ``spark.checkpoint.dir``. A local session without it gets one of its own."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if folder:
+        return folder.rstrip("/")
     context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        shared = spark.conf.get("spark.checkpoint.dir", None)
-        if shared is None:
-            if not context.master.startswith("local"):
-                raise RuntimeError("set spark.checkpoint.dir to a folder all executors can reach")
-            shared = tempfile.mkdtemp(prefix="rosterspark-checkpoint-")
-        context.setCheckpointDir(shared)
-    return df.checkpoint(eager=True)
+    if not context.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    if context.applicationId not in _OWN_FOLDERS:
+        _OWN_FOLDERS[context.applicationId] = tempfile.mkdtemp(prefix="rosterspark-")
+    return _OWN_FOLDERS[context.applicationId]
+
+
+def new_folder(spark: SparkSession) -> str:
+    return f"{shared_folder(spark)}/rosterspark-{uuid.uuid4().hex}"
+
+
+def staged(df: DataFrame) -> DataFrame:
+    """Write ``df`` as a table in the shared folder and read on from there: the lineage is cut, columns stay prunable."""
+    path = new_folder(df.sparkSession)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def drop_staged(df: DataFrame) -> None:
+    """Remove the files behind a frame that ``staged`` gave."""
+    spark = df.sparkSession
+    jvm = spark.sparkContext._jvm
+    for folder in {f.rpartition("/")[0] for f in df.inputFiles()}:
+        path = jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)

@@ -14,7 +14,7 @@ from pyspark.sql.utils import AnalysisException
 from rosterspark.functions.text import filled
 from rosterspark.operators.records import coverage_stats, merge_records
 from rosterspark.schema import OFFICIAL
-from rosterspark.session import cut_lineage
+from rosterspark.session import staged
 
 
 def shard_state() -> Column:
@@ -30,17 +30,9 @@ def read_if_exists(spark: SparkSession, path: str) -> DataFrame | None:
         raise
 
 
-def touched_only(stored: DataFrame, fresh: DataFrame, partition: str, bound: int = 1000) -> DataFrame:
-    """Rows of the stored partitions that ``fresh`` touches.
-
-    Up to ``bound`` partition values become a filter that prunes folders before reading; beyond that a semi join
-    does the same work.
-    """
-    touched = fresh.select(partition).distinct()
-    values = [r[0] for r in touched.limit(bound + 1).collect()]
-    if len(values) <= bound:
-        return stored.filter(F.col(partition).isin(values))
-    return stored.join(touched, partition, "left_semi")
+def touched_only(stored: DataFrame, fresh: DataFrame, partition: str) -> DataFrame:
+    """Rows of the stored partitions that ``fresh`` touches: a semi join, from which Spark prunes folders as it runs."""
+    return stored.join(fresh.select(partition).distinct(), partition, "left_semi")
 
 
 def overwrite_partitions(df: DataFrame, path: str, partition: list[str], sort: list[str]) -> None:
@@ -51,18 +43,18 @@ def overwrite_partitions(df: DataFrame, path: str, partition: list[str], sort: l
 def upsert_shards(incoming: DataFrame, path: str, seq: str = "seq") -> DataFrame:
     """Merge new officials into the table at ``path``; returns the touched states' new rows.
 
-    The merged rows are written to the checkpoint folder first: the table is read and replaced in
+    Incoming rows are evaluated once, into the shared folder. So are the merged rows: the table is read and replaced in
     the same job, and a lost executor must not make a half-replaced table its own input. Rows
     inside a shard are in binary id order.
     """
     spark = incoming.sparkSession
-    rows = incoming.withColumn("_state", shard_state())
+    rows = staged(incoming.withColumn("_state", shard_state()))
     stored = read_if_exists(spark, path)
     if stored is None:
         existing = spark.createDataFrame([], OFFICIAL)
     else:
         existing = touched_only(stored, rows.select(F.col("_state").alias("state")), "state").select(*OFFICIAL.fieldNames())
-    merged = cut_lineage(merge_records(existing, rows, seq).withColumn("state", shard_state()))
+    merged = staged(merge_records(existing, rows, seq).withColumn("state", shard_state()))
     overwrite_partitions(merged, path, ["state"], ["id"])
     return merged
 

@@ -16,7 +16,7 @@ from rosterspark.operators.limits import REPORTS_PER_DAY, search_log_rows, ttl_l
 from rosterspark.operators.records import latest_per_key
 from rosterspark.operators.selection import first_k_per_group
 from rosterspark.sources.writers import overwrite_partitions, read_if_exists, touched_only, upsert_shards
-from rosterspark.session import cut_lineage
+from rosterspark.session import staged
 
 
 def search_log_stream(raw: DataFrame, path: str, checkpoint: str):
@@ -57,7 +57,7 @@ def rate_limit_batch(path: str, key: list[str], at: str = "ts", seq: str = "seq"
             own = own.withColumn("_used", F.lit(0).cast("bigint"))
         accepted = own.filter(F.coalesce("_used", F.lit(0)) + F.col("_rank") <= per_day).drop("_used", "_rank")
         overwrite_partitions(
-            cut_lineage(accepted).withColumn("batch_id", F.lit(batch_id).cast("bigint")), path, ["day", "batch_id"], [at, seq]
+            staged(accepted).withColumn("batch_id", F.lit(batch_id).cast("bigint")), path, ["day", "batch_id"], [at, seq]
         )
 
     return write
@@ -75,7 +75,7 @@ def cache_refill_batch(path: str, key: str = "key", seq: str = "seq", buckets: i
         if stored is not None:
             kept = touched_only(stored, fresh, "bucket").join(fresh.select(key), key, "left_anti")
             fresh = kept.select(*fresh.columns).unionByName(fresh)
-        overwrite_partitions(cut_lineage(fresh), path, ["bucket"], [key])
+        overwrite_partitions(staged(fresh), path, ["bucket"], [key])
 
     return write
 
