@@ -15,13 +15,14 @@ def _json(spark: SparkSession, path, schema, lines: bool = False) -> DataFrame:
 
 
 def file_order() -> Column:
-    """Position of a row in its input: partition and row, which follow file order in one scan."""
-    return F.monotonically_increasing_id()
+    """Position of a row in its input: file by name, then place in the file. Spark packs files into tasks by size, so the
+    row number alone doesn't follow their names."""
+    return F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("row"))
 
 
-def read_shards(spark: SparkSession, path: str) -> DataFrame:
-    """Officials of all state shard files (two-letter names, so the index is left out)."""
-    shards = spark.read.schema(S.SHARD).option("multiLine", True).option("pathGlobFilter", "[A-Z][A-Z].json").json(path)
+def read_shards(spark: SparkSession, path: str, names: str = "[A-Z][A-Z].json") -> DataFrame:
+    """Officials of all state shard files; ``names`` are two letters, so the index is left out."""
+    shards = spark.read.schema(S.SHARD).option("multiLine", True).option("pathGlobFilter", names).json(path)
     return shards.select(F.inline("officials"))
 
 
@@ -51,13 +52,19 @@ def _delimited(spark: SparkSession, path: str, sep: str) -> DataFrame:
     reader = spark.read.option("sep", sep).option("quote", "").option("header", True)
     reader = reader.option("ignoreLeadingWhiteSpace", True).option("ignoreTrailingWhiteSpace", True)
     names = reader.csv(path).columns
+    # Spark deals columns by place, so each file's header must be the first one's; a header is a row like the others here.
     columns = ", ".join(f"`{n}` string" for n in [*names, "_short"])
-    rows = reader.schema(columns).option("columnNameOfCorruptRecord", "_short").csv(path)
+    rows = reader.option("header", False).schema(columns).option("columnNameOfCorruptRecord", "_short").csv(path)
+    rows = rows.select("*", file_order().alias("seq"))
     cells = F.size(F.split("_short", "[" + sep + "]"))
     there = [F.coalesce(F.col(f"`{n}`"), F.when(F.col("_short").isNull() | (cells > i), F.lit(""))) for i, n in enumerate(names)]
-    rows = rows.select(*[c.alias(n.strip()) for c, n in zip(there, names, strict=True)])
-    text = F.concat_ws("", *[F.col(f"`{c}`") for c in rows.columns])
-    return rows.filter(text != "").withColumn("seq", file_order())
+    rows = rows.select(*[c.alias(n.strip()) for c, n in zip(there, names, strict=True)], "seq")
+    plain = [n.strip() for n in names]
+    own = F.array_sort(F.array(*[F.coalesce(F.trim(F.col(f"`{n}`")), F.lit("")) for n in plain])) == F.array(*[F.lit(n) for n in sorted(plain)])
+    same = own & F.forall(F.zip_with(F.array(*[F.trim(F.col(f"`{n}`")) for n in plain]), F.array(*[F.lit(n) for n in plain]), lambda x, y: F.coalesce(x == y, F.lit(False))), lambda ok: ok)
+    refused = F.when(own & ~same, F.raise_error(F.lit(f"files below {path} have their columns in different orders"))).otherwise(F.lit(False))
+    text = F.concat_ws("", *[F.col(f"`{c}`") for c in plain])
+    return rows.filter((text != "") & ~same & ~F.coalesce(refused.cast("boolean"), F.lit(False)))
 
 
 def read_jurisdictions(spark: SparkSession, seeds: str, discovered: str | None = None) -> DataFrame:
