@@ -10,8 +10,25 @@ from rosterspark.plans.queries_records import _official
 from rosterspark.streaming import streams
 
 
-def _events(t: Tables):
-    return t.spark.readStream.schema(t.events.schema).option("pathGlobFilter", "events.parquet").parquet(t.folder)
+#: Deliveries of the event table; the stream runs after each, from where it stopped.
+DELIVERIES = 4
+
+
+def _stream(t: Tables, folder: str, start, order=None) -> None:
+    """Deliver the events in ``DELIVERIES`` parts, by ``order`` (0 up to the number of parts; by event number unless given).
+
+    ``start`` makes the writer from the streaming frame. Each part is a micro-batch at least, so state is used.
+    """
+    events = t.events
+    last = events.agg(F.max("event_id").alias("_last"))
+    if order is None:
+        part = F.floor(F.col("event_id") * DELIVERIES / (F.col("_last") + 1))
+        events = events.join(F.broadcast(last), F.col("event_id") <= F.col("_last")).withColumn("_part", part).drop("_last")
+    else:
+        events = events.withColumn("_part", order)
+    for number in range(DELIVERIES):
+        events.filter(F.col("_part") == number).drop("_part").write.mode("append").parquet(folder + "/in")
+        _run(start(t.spark.readStream.schema(t.events.schema).parquet(folder + "/in")), folder)
 
 
 def _run(writer, folder: str) -> None:
@@ -26,7 +43,7 @@ def _run(writer, folder: str) -> None:
 def stream_rate_limit(t):
     folder = scratch(t)
     write = streams.rate_limit_batch(folder + "/accepted", ["user_id"], seq="event_id", per_day=2)
-    _run(_events(t).writeStream.foreachBatch(write), folder)
+    _stream(t, folder, lambda events: events.writeStream.foreachBatch(write), order=F.floor(F.hour("ts") * DELIVERIES / 24))
     return t.spark.read.parquet(folder + "/accepted").select("event_id")
 
 
@@ -37,12 +54,12 @@ def stream_rate_limit(t):
 def stream_usage(t):
     """Daily sums per phase; each batch writes the running sums, the newest batch counts."""
     folder = scratch(t)
-    calls = _events(t).select(F.col("ts").cast("timestamp").alias("ts"), F.col("event_type").alias("phase"), F.lit(1).cast("bigint").alias("n"))
+    calls = lambda events: events.select(F.col("ts").cast("timestamp").alias("ts"), F.col("event_type").alias("phase"), F.lit(1).cast("bigint").alias("n"))
 
     def keep(batch, batch_id):
         batch.withColumn("batch", F.lit(batch_id)).write.mode("append").parquet(folder + "/sums")
 
-    _run(streams.usage_ledger_stream(calls, late="400 days").writeStream.outputMode("update").foreachBatch(keep), folder)
+    _stream(t, folder, lambda events: streams.usage_ledger_stream(calls(events), late="400 days").writeStream.outputMode("update").foreachBatch(keep))
     sums = t.spark.read.parquet(folder + "/sums")
     return sums.groupBy("date", "phase").agg(F.max_by("n", "batch").alias("n"))
 
@@ -53,10 +70,11 @@ def stream_usage(t):
 )
 def stream_cache(t):
     folder = scratch(t)
-    entries = _events(t).select(
+    write = streams.cache_refill_batch(folder + "/cache", key="user_id", buckets=8)
+    entries = lambda events: events.select(
         "user_id", (F.col("event_type") != "error").alias("ok"), F.col("event_id").alias("last_event"), F.col("event_id").alias("seq")
     )
-    _run(entries.writeStream.foreachBatch(streams.cache_refill_batch(folder + "/cache", key="user_id", buckets=8)), folder)
+    _stream(t, folder, lambda events: entries(events).writeStream.foreachBatch(write))
     return t.spark.read.parquet(folder + "/cache").select("user_id", "ok", "last_event")
 
 
@@ -69,8 +87,40 @@ def stream_cache(t):
 def stream_ingest(t):
     folder = scratch(t)
     n = F.col("event_id")
-    rows = _events(t).select(
+    write = streams.ingest_officials_batch(folder + "/officials")
+    rows = lambda events: events.select(
         *_official(F.concat(F.lit("u"), "user_id"), n, phone=F.when(n % 4 != 0, F.concat(F.lit("p"), n))), n.alias("seq")
     )
-    _run(rows.writeStream.foreachBatch(streams.ingest_officials_batch(folder + "/officials")), folder)
+    _stream(t, folder, lambda events: rows(events).writeStream.foreachBatch(write))
     return t.spark.read.parquet(folder + "/officials").select("id", "name", "phone")
+
+
+@query(
+    "stream_search_log",
+    "SELECT event_id::VARCHAR AS t, 'find ' || event_type AS query, CASE WHEN event_id % 3 = 0 THEN 'TX' END AS state FROM events WHERE event_id % 5 <> 0",
+)
+def stream_search_log(t):
+    """Search events appended as they come; blank queries are left out."""
+    folder, n = scratch(t), F.col("event_id")
+    place = F.when(n % 3 == 0, F.struct(F.lit("TX").alias("state"), F.lit(None).cast("string").alias("county"), F.lit(None).cast("string").alias("place")))
+    rows = lambda events: events.select(
+        n.cast("string").alias("t"), F.when(n % 5 != 0, F.concat(F.lit(" find "), "event_type")).otherwise(F.lit(" ")).alias("query"), F.lit(None).cast("string").alias("typed"), place.alias("geo"))
+    _stream(t, folder, lambda events: streams.search_log_stream(rows(events), folder + "/log", folder + "/progress"))
+    return t.spark.read.parquet(folder + "/log").select("t", "query", "resolved.state")
+
+
+@query(
+    "stream_ttl_lookup",
+    "SELECT event_id, CASE WHEN user_id % 4 = 0 OR user_id % 4 = 3 THEN 'absent' WHEN user_id % 4 = 1 THEN 'cache' ELSE 'cache-miss' END AS source FROM events",
+)
+def stream_ttl_lookup(t):
+    """Requests as they come against a stored cache: a fresh hit, a fresh miss, an entry too old, none."""
+    folder, u = scratch(t), F.col("user_id")
+    users = t.events.select("user_id").distinct().filter(u % 4 != 0)
+    users.select(
+        "user_id", (u % 4 != 2).alias("ok"), F.when(u % 4 == 1, F.lit("2026-08-01T00:00:00Z")).when(u % 4 == 2, F.lit("2026-08-16T00:00:00Z")).otherwise(F.lit("2026-01-01T00:00:00Z")).alias("checked_at")
+    ).write.parquet(folder + "/cache")
+    cache = t.spark.read.parquet(folder + "/cache")
+    answer = lambda events: streams.ttl_lookup_stream(events.select("event_id", "user_id"), cache, ["user_id"], "2026-08-19T00:00:00Z").select("event_id", "source")
+    _stream(t, folder, lambda events: answer(events).writeStream.format("parquet").option("path", folder + "/out").outputMode("append"))
+    return t.spark.read.parquet(folder + "/out")

@@ -37,18 +37,20 @@ def ttl_lookup_stream(requests: DataFrame, cache: DataFrame, on: list[str], now,
     return ttl_lookup(requests, cache, on, now, **ttl)
 
 
-def rate_limit_batch(path: str, key: list[str], at: str = "ts", seq: str = "seq", per_day: int = REPORTS_PER_DAY) -> Callable[[DataFrame, int], None]:
+def rate_limit_batch(path: str, key: list[str], at: str = "ts", seq: str = "seq", per_day: int = REPORTS_PER_DAY, run: str = "first") -> Callable[[DataFrame, int], None]:
     """``foreachBatch`` writer: accepted rows go to ``path``, at most ``per_day`` per day and key.
 
     A batch first keeps its own first ``per_day`` rows per key (cut inside each task), then subtracts what
-    earlier batches accepted on the same days.
+    earlier batches accepted on the same days. Batch ids start anew when a stream loses its checkpoint: give it
+    another ``run`` then, so that rows of the former run stay and still count. A batch is evaluated once.
     """
     def write(batch: DataFrame, batch_id: int) -> None:
-        rows = batch.withColumn("day", utc_day(at))
+        rows = staged(batch.withColumn("day", utc_day(at)))
         own = first_k_per_group(rows, ["day", *key], [F.col(at).asc(), F.col(seq).asc()], per_day, "_rank")
         stored = read_if_exists(batch.sparkSession, path)
         if stored is not None:
-            earlier = stored.filter(F.col("batch_id") < batch_id).withColumn("day", F.col("day").cast("string"))
+            before = (F.col("run") != run) | (F.col("batch_id") < batch_id)
+            earlier = stored.filter(before).withColumn("day", F.col("day").cast("string"))
             used = (
                 touched_only(earlier, rows, "day").groupBy("day", *key).agg(F.count(F.lit(1)).alias("_used"))
             )
@@ -57,7 +59,7 @@ def rate_limit_batch(path: str, key: list[str], at: str = "ts", seq: str = "seq"
             own = own.withColumn("_used", F.lit(0).cast("bigint"))
         accepted = own.filter(F.coalesce("_used", F.lit(0)) + F.col("_rank") <= per_day).drop("_used", "_rank")
         overwrite_partitions(
-            staged(accepted).withColumn("batch_id", F.lit(batch_id).cast("bigint")), path, ["day", "batch_id"], [at, seq]
+            staged(accepted).withColumns({"run": F.lit(run), "batch_id": F.lit(batch_id).cast("bigint")}), path, ["day", "run", "batch_id"], [at, seq]
         )
 
     return write
@@ -70,7 +72,7 @@ def cache_refill_batch(path: str, key: str = "key", seq: str = "seq", buckets: i
     """
     def write(batch: DataFrame, batch_id: int) -> None:
         bucket = F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int")
-        fresh = latest_per_key(batch, key, seq).drop(seq).withColumn("bucket", bucket)
+        fresh = staged(latest_per_key(batch, key, seq).drop(seq).withColumn("bucket", bucket))
         stored = read_if_exists(batch.sparkSession, path)
         if stored is not None:
             kept = touched_only(stored, fresh, "bucket").join(fresh.select(key), key, "left_anti")
