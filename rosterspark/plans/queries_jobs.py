@@ -11,7 +11,7 @@ from rosterspark.plans.catalog import Tables, query, s_id
 from rosterspark.plans.queries_records import _duplicates, _official, _order_officials
 from rosterspark.plans.queries_selection import NOW, _places, _population
 from rosterspark.plans.queries_tiers import _committees, _district_entries, _executive, _legislators, _membership, _people
-from rosterspark.schema import RAW_OFFICIAL
+from rosterspark.schema import OFFICE_KEYS, OFFICIAL, RAW_OFFICIAL, SOCIAL_KEYS
 from rosterspark.session import new_folder
 from rosterspark.sources import readers, writers
 
@@ -53,13 +53,44 @@ _ROSTER_SQL = """
 @query(
     "roster_run",
     _ROSTER_SQL + """
-    SELECT 'tx:city' || city || ':mayor:person-' || p AS id, conf AS confidence, CASE WHEN n % 2 = 0 THEN '512-555-0000' END AS phone,
-      'https://c.gov/p/' || n AS url, CASE WHEN people < 3 THEN 'https://c.gov/seal.png' END AS photo_url FROM m
-    """,
+    SELECT 'tx:city' || city || ':mayor:person-' || p AS id, 'Person ' || p AS name, 'Mayor' AS office, 'local' AS level, 'Council' AS body, NULL AS district, conf AS confidence,
+      CASE WHEN n % 2 = 0 THEN '512-555-0000' END AS phone, NULL AS email, 'https://c.gov/p/' || n AS url, CASE WHEN people < 3 THEN 'https://c.gov/seal.png' END AS photo_url,
+      'twitter=~,facebook=~,instagram=~,linkedin=~,youtube=~' AS social, NULL AS address, '' AS offices, NULL AS hours, NULL AS bio, NULL AS bio_checked_at,
+      'City' || city AS city, 'TX' AS state, 'https://c.gov/' || n AS source_url, '{now}' AS extracted_at, 'TX:city' || city || ':local' AS batch FROM m
+    """.replace("{now}", NOW),
 )
 def roster_run(t):
     pages, responses = _roster_inputs(t)
-    return jobs.roster_job(pages, responses, NOW).officials.select("id", "confidence", "phone", "url", "photo_url")
+    return _whole(jobs.roster_job(pages, responses, NOW).officials, "batch")
+
+
+def _whole(officials, *more):
+    """All fields of officials, nested ones spelled out."""
+    social = F.concat_ws(",", *[F.concat(F.lit(f"{k}="), F.coalesce(F.col("social")[k], F.lit("~"))) for k in SOCIAL_KEYS])
+    offices = F.array_join(F.transform("offices", lambda o: F.concat_ws("/", *[F.coalesce(o[k], F.lit("~")) for k in OFFICE_KEYS])), ",")
+    plain = [f.name for f in OFFICIAL.fields if f.name not in {"social", "offices", "jurisdiction"}]
+    return officials.select(*plain, *more, social.alias("social"), offices.alias("offices"), "jurisdiction.city", "jurisdiction.state")
+
+
+@query(
+    "roster_enriched",
+    _ROSTER_SQL + """
+    , q AS (SELECT city, p, row_number() OVER (PARTITION BY city ORDER BY first_n) AS rk FROM m WHERE p % 4 <> 0),
+    d AS (SELECT city, p FROM q WHERE rk <= 10 AND p % 3 <> 0)
+    SELECT 'tx:city' || m.city || ':mayor:person-' || m.p AS id, CASE WHEN n % 2 = 0 THEN '512-555-0000' WHEN d.p IS NOT NULL THEN '512-999-0000' END AS phone,
+      CASE WHEN d.p IS NOT NULL THEN 'p' || m.p || '@b.gov' END AS email, CASE WHEN d.p IS NOT NULL THEN 'bio ' || m.p END AS bio, CASE WHEN d.p IS NOT NULL THEN '{now}' END AS bio_checked_at
+    FROM m LEFT JOIN d ON d.city = m.city AND d.p = m.p
+    """.replace("{now}", NOW),
+)
+def roster_enriched(t):
+    """With answers for detail pages, and stored records: those looked at lately aren't asked for again."""
+    pages, responses = _roster_inputs(t)
+    person = t.customer.select(F.col("c_nationkey").alias("city"), (F.col("c_custkey") % 40).alias("p")).distinct()
+    person = person.withColumn("id", F.concat(F.lit("tx:city"), "city", F.lit(":mayor:person-"), "p"))
+    answer = F.to_json(F.struct(F.lit("5129990000").alias("phone"), F.concat(F.lit("p"), "p", F.lit("@b.gov")).alias("email"), F.concat(F.lit("bio "), "p").alias("bio")))
+    details = person.filter("p % 3 <> 0").select("id", answer.alias("response"), F.lit("https://c.gov/d").alias("source_url"))
+    stored = person.select("id", F.when(F.col("p") % 4 == 0, F.lit(NOW)).alias("bio_checked_at"))
+    return jobs.roster_job(pages, responses, NOW, details, stored).officials.select("id", "phone", "email", "bio", "bio_checked_at")
 
 
 @query(
