@@ -15,8 +15,8 @@ from rosterspark.llm.tokens import slices
 TILE = 1_000_000
 #: Bits of a signature for each shingle, and at most.
 BITS_EACH, MOST_BITS = 16, 1 << 15
-#: Shingles that at least so many sets share count as common, the most common million of them: 8 MB to each executor.
-COMMON, MOST_COMMON = 3, 1_000_000
+#: Shingles that a task holds at once while shingles are counted.
+CHUNK = 3_000_000
 
 _MULTIPLIERS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3)
 
@@ -56,15 +56,13 @@ def needed(n: int, num: int, den: int) -> int:
     return -(-num * n // den)
 
 
-def prefix(found: np.ndarray, common: np.ndarray, num: int, den: int) -> np.ndarray:
-    """The first shingles of a set in one global order, uncommon ones first, then by hash: so many that partners share one."""
+def prefix(found: np.ndarray, held: np.ndarray, num: int, den: int) -> np.ndarray:
+    """The first shingles of a set in one global order, the rarest first, then by hash: so many that partners share one.
+
+    ``held``: for each shingle, how many sets hold it.
+    """
     count = len(found) - needed(len(found), num, den) + 1
-    if len(common):
-        at = np.searchsorted(common, found)
-        at[at == len(common)] = 0
-        rest = common[at] == found
-        found = np.concatenate([found[~rest], found[rest]])
-    return found[:count]
+    return found[np.lexsort((found, held))[:count]]
 
 
 def _identity(found: np.ndarray) -> int:
@@ -83,60 +81,133 @@ def _rows(batch, width: int, words: Words):
         yield a, [shingles(t, width, words) for t in texts[a:b]]
 
 
-def common_shingles(docs: DataFrame, width: int, least: int, most: int) -> np.ndarray:
-    """Shingles that ``least`` or more sets hold, the ``most`` most frequent, as a sorted array.
+class Chunks:
+    """Sets that a task meets for the first time, in chunks of about ``most`` shingles; the same at every reading."""
 
-    Only an order that prefixes follow: any choice gives the same links, a good one fewer candidates. So each task counts
-    in batches of some thousand documents and hands on what a batch holds more than once.
-    """
+    def __init__(self, width: int, most: int = CHUNK):
+        self.words, self.met, self.width, self.most = Words(), set(), width, most
 
-    def run(batches: Iterator) -> Iterator:
-        import pyarrow as pa
+    def of(self, batches: Iterator) -> Iterator[tuple[list, list[np.ndarray], list[int | None], list[bool]]]:
+        """(doc ids, sets, nodes, whether new) of each chunk."""
+        ids, sets, nodes, new, size = [], [], [], [], 0
+        for batch in batches:
+            names = batch.column(0).to_pylist()
+            for a, found in _rows(batch, self.width, self.words):
+                for i, s in enumerate(found, a):
+                    node = _identity(s) if len(s) else None
+                    fresh = node is not None and node not in self.met
+                    self.met.add(node)
+                    ids.append(names[i])
+                    sets.append(s)
+                    nodes.append(node)
+                    new.append(fresh)
+                    size += len(s) if fresh else 1
+                if size >= self.most:
+                    yield ids, sets, nodes, new
+                    ids, sets, nodes, new, size = [], [], [], [], 0
+        if ids:
+            yield ids, sets, nodes, new
 
-        words = Words()
-        held, size = [], 0
 
-        def out():
-            codes, counts = np.unique(np.concatenate(held), return_counts=True)
-            codes, counts = codes[counts > 1], counts[counts > 1]
-            return pa.RecordBatch.from_arrays([pa.array(_signed(codes)), pa.array(counts, pa.int64())], names=["shingle", "n"])
+def _codes(sets: list[np.ndarray], new: list[bool]) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted distinct 40-bit codes of the shingles of new sets, and in how many of these sets each stands."""
+    some = [s for s, fresh in zip(sets, new, strict=True) if fresh]
+    return np.unique(np.concatenate(some) >> np.uint64(24), return_counts=True) if some else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
 
-        for batch in batches:
-            for _, sets in _rows(batch, width, words):
-                held += sets
-                size += sum(map(len, sets))
-                if size > 4_000_000:
-                    yield out()
-                    held, size = [], 0
-        if held:
-            yield out()
 
-    counted = docs.select("doc_id", "text").mapInArrow(run, "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
-    best = counted.orderBy(F.desc("n"), "shingle").limit(most).select("shingle")
-    return np.sort(best.toPandas()["shingle"].to_numpy(np.int64).view(np.uint64))
+def _packed(values: np.ndarray) -> bytes:
+    """Sorted integers as differences, byte by byte: 2 to 3 bytes each."""
+    import pyarrow as pa
+
+    steps = np.diff(values, prepend=np.uint64(0)).astype("<u8")
+    return pa.compress(np.ascontiguousarray(steps.view(np.uint8).reshape(-1, 8).T).tobytes(), codec="zstd", asbytes=True)
+
+
+def _unpacked(data: bytes, count: int) -> np.ndarray:
+    import pyarrow as pa
+
+    planes = np.frombuffer(pa.decompress(data, 8 * count, codec="zstd", asbytes=True), np.uint8).reshape(8, count)
+    return np.cumsum(np.ascontiguousarray(planes.T).view("<u8").ravel(), dtype=np.uint64)
+
 
+def count_holders(docs: DataFrame, width: int, scratch: Scratch) -> str:
+    """How many sets hold each shingle, as a table that is laid out by the task and chunk that will ask for it.
 
-def describe(docs: DataFrame, width: int, num: int, den: int, common: np.ndarray) -> DataFrame:
+    Tasks send their chunks' codes, sorted, packed and cut into ranges, to a task for each range; that one adds up and
+    answers each chunk with a byte for each code, in the order it was asked (255: that many or more). So all shingles of
+    the corpus are counted, without a row for each. Returns the table's place.
+    """
+    spark = docs.sparkSession
+    ranges = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+    def ask(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+        from pyspark import TaskContext
+
+        part = TaskContext.get().partitionId()
+        for chunk, (_, sets, _, new) in enumerate(Chunks(width).of(batches)):
+            codes, counts = _codes(sets, new)
+            cuts = np.searchsorted(codes, [(i << 40) // ranges for i in range(ranges + 1)])
+            spans = [(r, int(a), int(b)) for r, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False)) if b > a]
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array([r for r, _, _ in spans], pa.int32()), pa.array([part] * len(spans), pa.int32()), pa.array([chunk] * len(spans), pa.int32()), pa.array([b - a for _, a, b in spans], pa.int32()),
+                    pa.array([_packed(codes[a:b]) for _, a, b in spans], pa.binary()), pa.array([pa.compress(np.minimum(counts[a:b], 255).astype(np.uint8).tobytes(), codec="zstd", asbytes=True) for _, a, b in spans], pa.binary()),
+                ],
+                names=["range", "part", "chunk", "n", "codes", "counts"],
+            )
+
+    def answer(table):
+        import pyarrow as pa
+
+        sizes = table.column("n").to_pylist()
+        codes = [_unpacked(d, n) for d, n in zip(table.column("codes").to_pylist(), sizes, strict=True)]
+        counts = [np.frombuffer(pa.decompress(d, n, codec="zstd", asbytes=True), np.uint8) for d, n in zip(table.column("counts").to_pylist(), sizes, strict=True)]
+        _, inverse = np.unique(np.concatenate(codes), return_inverse=True)
+        held = np.minimum(np.bincount(inverse, np.concatenate(counts)), 255).astype(np.uint8)[inverse]
+        ends = np.cumsum(sizes)
+        replies = [pa.compress(held[e - n : e].tobytes(), codec="zstd", asbytes=True) for e, n in zip(ends.tolist(), sizes, strict=True)]
+        return pa.table({"part": table.column("part"), "chunk": table.column("chunk"), "range": table.column("range"), "n": table.column("n"), "held": pa.array(replies, pa.binary())})
+
+    asked = docs.select("doc_id", "text").mapInArrow(ask, "range int, part int, chunk int, n int, codes binary, counts binary")
+    replies = asked.groupBy("range").applyInArrow(answer, "part int, chunk int, range int, n int, held binary")
+    path = scratch.path("holders")
+    replies.repartition("part").write.partitionBy("part").parquet(path)
+    return path if "://" in path else "file://" + path
+
+
+def describe(docs: DataFrame, width: int, num: int, den: int, holders: str) -> DataFrame:
     """doc_id, n (set size), node (64-bit hash of the set; null: empty), prefix (only where a task first meets the set)."""
-    shared = docs.sparkSession.sparkContext.broadcast(common)
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
-
-        words, met, order = Words(), set(), shared.value
-        for batch in batches:
-            for a, sets in _rows(batch, width, words):
-                nodes = [_identity(s) if len(s) else None for s in sets]
-                prefixes = []
-                for s, node in zip(sets, nodes, strict=True):
-                    fresh = node is not None and node not in met
-                    prefixes.append(_signed(prefix(s, order, num, den)) if fresh else None)
-                    met.add(node)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, len(sets)), pa.array([len(s) for s in sets], pa.int64()), pa.array(nodes, pa.int64()), pa.array(prefixes, pa.list_(pa.int64()))], names=["doc_id", "n", "node", "prefix"])
+        from pyarrow import fs, parquet
+        from pyspark import TaskContext
+
+        system, inner = fs.FileSystem.from_uri(f"{holders}/part={TaskContext.get().partitionId()}")
+        replies = None
+        for chunk, (ids, sets, nodes, new) in enumerate(Chunks(width).of(batches)):
+            codes, _ = _codes(sets, new)
+            if len(codes):
+                if replies is None:
+                    files = [f.path for f in fs_files(system, inner)]
+                    replies = pa.concat_tables([parquet.ParquetFile(system.open_input_file(f)).read() for f in files]).sort_by([("chunk", "ascending"), ("range", "ascending")])
+                mine = replies.filter(pa.compute.equal(replies.column("chunk"), chunk))
+                held = np.concatenate([np.frombuffer(pa.decompress(d, n, codec="zstd", asbytes=True), np.uint8) for d, n in zip(mine.column("held").to_pylist(), mine.column("n").to_pylist(), strict=True)])
+                if len(held) != len(codes):
+                    raise RuntimeError("the documents' partitions changed between two readings; pass stable=False")
+            prefixes = [_signed(prefix(s, held[np.searchsorted(codes, s >> np.uint64(24))], num, den)) if fresh else None for s, fresh in zip(sets, new, strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array(nodes, pa.int64()), pa.array(prefixes, pa.list_(pa.int64()))], names=["doc_id", "n", "node", "prefix"])
 
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, node long, prefix array<long>")
 
 
+def fs_files(system, folder: str):
+    from pyarrow import fs
+
+    return [f for f in system.get_file_info(fs.FileSelector(folder)) if f.is_file and f.path.endswith(".parquet")]
+
+
 def sets_of(docs: DataFrame, width: int) -> DataFrame:
     """node, items (the set's hashes, sorted, 8 bytes each)."""
 
@@ -221,15 +292,16 @@ def link(members: DataFrame, num: int, den: int) -> DataFrame:
     return members.groupBy("tile").applyInArrow(run, "a long, b long")
 
 
-def jaccard_components(docs: DataFrame, *, width: int = 5, threshold: tuple[int, int] = (80, 100), id_column: str = "doc_id", text_column: str = "text", scratch: Scratch | None = None) -> DataFrame:
+def jaccard_components(docs: DataFrame, *, width: int = 5, threshold: tuple[int, int] = (80, 100), id_column: str = "doc_id", text_column: str = "text", stable: bool = False, scratch: Scratch | None = None) -> DataFrame:
     """Documents whose word n-gram sets have a Jaccard similarity of ``threshold`` (a fraction) or more, as components.
 
     One row per document: doc_id, n_shingles, component_id (smallest doc_id reachable by links, its own included).
 
     1. Equal sets are one node from here on, so copies cost nothing more, however many there are.
-    2. Two sets that link share a shingle of their prefixes in a common global order (shingles that many prefixes hold
-       come last). Nodes that share one are candidates; candidates are connected by edges to the first node of a
-       shingle, never as pairs, and components of those edges are clusters: no link leaves a cluster.
+    2. Two sets that link share a shingle of their prefixes in a common global order. Shingles that few sets hold come
+       first, so what many documents share makes no candidates; for that, all shingles are counted. Nodes that share one
+       are candidates; they are connected by edges to the first node of a shingle, never as pairs, and components of those
+       edges are clusters: no link leaves a cluster.
     3. A cluster is dealt into tiles of bounded weight, by bands of set size; only the same and neighbouring bands can link.
        In a tile, bitmap signatures bound the overlap, then sorted arrays are intersected exactly.
     4. Components of the links are the result. No link is lost: each step only leaves out pairs that can't link. A
@@ -238,12 +310,17 @@ def jaccard_components(docs: DataFrame, *, width: int = 5, threshold: tuple[int,
     Sets and shingles are compared by 64-bit hashes. Null, empty and blank texts: n_shingles 0, linked with nothing.
     Fewer words than ``width``: the whole sequence is one shingle. Rows with a repeated id count on their own (their
     component's id is the same number); null ids link, but never name a component unless all are null. Empty table: no rows.
+
+    ``stable``: the rows come straight from files, so each reading deals them into the same partitions; otherwise they are
+    written once before.
     """
     num, den = threshold
     scratch = scratch or Scratch(docs.sparkSession)
     rows = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).cast("string").alias("text"))
-    common = common_shingles(rows, width, COMMON, MOST_COMMON)
-    described = scratch.table(describe(rows, width, num, den, common), "sets")
+    if not stable:
+        rows = scratch.table(rows, "documents")
+    holders = count_holders(rows, width, scratch)
+    described = scratch.table(describe(rows, width, num, den, holders), "sets")
     classes = described.where(F.col("node").isNotNull()).groupBy("node").agg(F.min("doc_id").alias("first"), F.max("n").alias("n"))
     heads = described.select(F.explode("prefix").alias("shingle"), "node")
     first = F.first("node").over(Window.partitionBy("shingle").orderBy("node"))
@@ -265,11 +342,11 @@ def jaccard_components(docs: DataFrame, *, width: int = 5, threshold: tuple[int,
     return named.join(smallest, "root", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("smallest", "doc_id").alias("component_id"))
 
 
-def keep_one(docs: DataFrame, *, width: int = 5, threshold: tuple[int, int] = (80, 100), id_column: str = "doc_id", text_column: str = "text", scratch: Scratch | None = None) -> DataFrame:
+def keep_one(docs: DataFrame, *, width: int = 5, threshold: tuple[int, int] = (80, 100), id_column: str = "doc_id", text_column: str = "text", stable: bool = False, scratch: Scratch | None = None) -> DataFrame:
     """The rows of ``docs`` with one document of each component: the one with the smallest id.
 
     Of rows that share that id, all stay if their texts are alone under it; documents without words stay.
     """
-    found = jaccard_components(docs, width=width, threshold=threshold, id_column=id_column, text_column=text_column, scratch=scratch)
+    found = jaccard_components(docs, width=width, threshold=threshold, id_column=id_column, text_column=text_column, stable=stable, scratch=scratch)
     gone = found.where(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias("__gone")).distinct()
     return docs.join(gone, F.col(id_column) == F.col("__gone"), "left_anti")

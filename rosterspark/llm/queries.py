@@ -86,7 +86,7 @@ NGRAM_SQL = """
 
 @query("op3_ngram_jaccard_join", sql=NGRAM_SQL)
 def op3(docs: DataFrame) -> DataFrame:
-    return ngram_join.jaccard_components(docs, width=3, threshold=(90, 100))
+    return ngram_join.jaccard_components(docs, width=3, threshold=(90, 100), stable=True)
 
 
 @query("op4_byte_bpe")
