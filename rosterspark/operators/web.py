@@ -171,6 +171,16 @@ def probe_status(pages: DataFrame, text: str = "text", ok: str = "ok", error: st
     return pages.withColumn("status", status)
 
 
+def with_home_links(rows: DataFrame, fetches: DataFrame, url: str = "url", when=None) -> DataFrame:
+    """Adds ``suggestions``: links of the home page of the row's site, where ``when`` holds and the page was fetched.
+
+    ``fetches``: requested_url, url, ok, html; one home page per site.
+    """
+    homes = suggest_links(fetches.filter("ok")).select(F.regexp_replace("requested_url", r"/\z", "").alias("_site"), "suggestions")
+    site = url_origin(url) if when is None else F.when(when, url_origin(url))
+    return rows.withColumn("_site", site).join(homes, "_site", "left").drop("_site")
+
+
 def probe(targets: DataFrame, fetches: DataFrame) -> DataFrame:
     """Status per seed url, with suggestions from the site's home page where it is not OK.
 
@@ -180,11 +190,7 @@ def probe(targets: DataFrame, fetches: DataFrame) -> DataFrame:
     checked = targets.join(pages.select(F.col("requested_url").alias("url"), "status"), "url", "left").withColumn(
         "status", F.coalesce("status", F.lit("FAIL (not fetched)"))
     )
-    homes = suggest_links(fetches.filter("ok")).select(
-        F.regexp_replace("requested_url", r"/\z", "").alias("_site"), "suggestions"
-    )
-    site = F.when(F.col("status") != "OK", url_origin("url"))
-    return checked.withColumn("_site", site).join(homes, "_site", "left").drop("_site")
+    return with_home_links(checked, fetches, when=F.col("status") != "OK")
 
 
 def search_results(answers: DataFrame, payload: str, provider: str) -> DataFrame:

@@ -38,13 +38,14 @@ class RosterResult:
 
 def roster_job(
     pages: DataFrame, responses: DataFrame, now: str, details: DataFrame | None = None,
-    stored: DataFrame | None = None, budget: int = selection.ENRICH_BUDGET,
+    stored: DataFrame | None = None, budget: int = selection.ENRICH_BUDGET, homes: DataFrame | None = None,
 ) -> RosterResult:
     """Landed pages and model answers to deduplicated, enriched officials.
 
     ``pages``: page_id (order), city, state, level, body, requested_url, url, ok, status, html, error.
     ``responses``: page_id, finish_reason, response. ``details``: page_id-free answers per official
     (id, response, page url ``source_url``). ``stored`` officials turn on the 90-day bio cooldown across runs.
+    ``homes``: fetched home pages of the sites (requested_url, url, ok, html); problems then suggest links from them.
     """
     keyed = pages.withColumn("batch", jurisdiction_key("state", "city", "level"))
     read = web.page_quality(web.page_text(keyed.withColumn("html", F.coalesce("html", F.lit("")))))
@@ -65,7 +66,7 @@ def roster_job(
         "seq": F.shiftleft(F.col("page_id").cast("bigint"), 32) + F.col("pos"),
     }).select("batch", "seq", "raw", "jurisdiction", "source_url", "extracted_at")
     clean = records.normalize(raw)
-    best = records.dedupe_best(clean, ["batch", "id"], "confidence").withColumn("_row", F.concat_ws("\u0000", "batch", "id"))
+    best = staged(records.dedupe_best(clean, ["batch", "id"], "confidence")).withColumn("_row", F.concat_ws("\u0000", "batch", "id"))
     own = records.strip_shared_media(best, ["batch"], "_row").drop("_row")
     pool = own
     if stored is not None:
@@ -76,7 +77,8 @@ def roster_job(
     if details is not None:
         wanted = extraction.parse_detail_response(details).join(queue.select("id"), "id", "left_semi")
         officials = records.merge_enrichment(own, wanted.withColumn("extracted_at", F.lit(now)))
-    return RosterResult(officials, reduce(DataFrame.unionByName, [failed, thin, lost]), queue)
+    problems = reduce(DataFrame.unionByName, [failed, thin, lost])
+    return RosterResult(officials, problems if homes is None else web.with_home_links(problems, homes), queue)
 
 
 def publish_job(officials: DataFrame, path: str, coverage_path: str, now: str, seq: str = "seq") -> DataFrame:
@@ -171,25 +173,29 @@ def discovery_job(
 def qa_job(
     stored: DataFrame, fetches: DataFrame, fresh_raw: DataFrame, now: str, sample: int = selection.REVIEW_SAMPLE,
 ) -> tuple[DataFrame, DataFrame]:
-    """Findings of a re-check, and the fresh officials to merge (nothing is deleted).
+    """Findings of a re-check with their jurisdiction, and the stored officials with fresh ones merged in (none is deleted).
 
     ``fetches``: source_url, ok, error of the pages fetched again (a page whose extraction is empty counts as
     checked). ``fresh_raw``: source_url, raw, seq. The page's first stored record gives its jurisdiction.
     """
-    chosen = selection.rank_for_review(stored, sample=sample).select("source_url")
-    checked = fetches.join(chosen, "source_url", "left_semi")
+    chosen = staged(selection.rank_for_review(stored, sample=sample).select("source_url"))
+    checked = staged(fetches.join(chosen, "source_url", "left_semi"))
     good = checked.filter("ok").select("source_url")
     lost = checked.filter(~F.coalesce("ok", F.lit(False))).select(
         "source_url", F.concat(F.lit("page no longer reachable: "), F.coalesce(filled("error"), F.lit("fetch failed"))).alias("issue")
     )
-    place = records.first_per_key(stored.filter(has("source_url")), "source_url").select(
+    known = stored.filter(has("source_url")).join(chosen, "source_url", "left_semi")
+    place = records.first_per_key(known, "source_url").select(
         "source_url", F.struct(F.col("jurisdiction.city").alias("city"), F.col("jurisdiction.state").alias("state"), "level", "body").alias("jurisdiction")
     )
+    place = staged(place)
     raw = fresh_raw.join(good, "source_url", "left_semi").join(place, "source_url").withColumn("extracted_at", F.lit(now))
-    fresh = records.normalize(raw.select("seq", "raw", "jurisdiction", "source_url", "extracted_at"))
-    drift = qa.qa_lists(stored.join(good, "source_url", "left_semi"), fresh)
+    fresh = staged(records.normalize(raw.select("seq", "raw", "jurisdiction", "source_url", "extracted_at")))
+    drift = staged(qa.qa_lists(stored.join(good, "source_url", "left_semi"), fresh))
     findings = drift.withColumn("issue", F.lit(None).cast("string")).unionByName(lost, allowMissingColumns=True)
-    return findings, fresh.join(drift.select("source_url"), "source_url", "left_semi")
+    findings = findings.join(place.select("source_url", "jurisdiction.city", "jurisdiction.state"), "source_url", "left")
+    corrections = fresh.join(drift.select("source_url"), "source_url", "left_semi")
+    return findings, records.merge_records(stored.drop("seq"), corrections)
 
 
 def promote_job(entries: DataFrame, seeded: DataFrame, discovered: DataFrame, now: str) -> tuple[DataFrame, DataFrame]:

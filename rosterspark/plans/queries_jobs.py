@@ -97,12 +97,15 @@ def roster_enriched(t):
     "roster_problems",
     """
     SELECT 'https://c.gov/' || c_custkey AS url, CASE WHEN c_custkey % 7 = 0 THEN 'HTTP 500' WHEN c_custkey % 5 = 0 THEN 'needs-browser (empty static render)'
-      ELSE 'extract failed: response truncated at the output limit' END AS error FROM customer WHERE c_custkey % 7 = 0 OR c_custkey % 5 = 0 OR c_custkey % 11 = 0
+      ELSE 'extract failed: response truncated at the output limit' END AS error, 'https://c.gov/council=Council,https://c.gov/mayor=(no text)' AS tries FROM customer WHERE c_custkey % 7 = 0 OR c_custkey % 5 = 0 OR c_custkey % 11 = 0
     """,
 )
 def roster_problems(t):
     pages, responses = _roster_inputs(t)
-    return jobs.roster_job(pages, responses, NOW).problems.select("url", "error")
+    html = F.lit('<a href="/council">Council</a><a href="/x">x</a><a href="/mayor"> </a>')
+    homes = t.region.filter("r_regionkey = 0").select(F.lit("https://c.gov/").alias("requested_url"), F.lit("https://c.gov/").alias("url"), F.lit(True).alias("ok"), html.alias("html"))
+    problems = jobs.roster_job(pages, responses, NOW, homes=homes).problems
+    return problems.select("url", "error", F.array_join(F.transform("suggestions", lambda r: F.concat(r["url"], F.lit("="), r["text"])), ",").alias("tries"))
 
 
 @query(
@@ -390,11 +393,58 @@ def _reported(t):
     """
     WITH s AS (SELECT s_nationkey AS g, s_suppkey AS n FROM supplier),
     c AS (SELECT g, count(*) AS stored_count, sum((n % 10 <> 0)::INT)::BIGINT AS fresh_count, sum((n % 10 = 0)::INT)::BIGINT AS missing FROM s GROUP BY 1)
-    SELECT 'https://n' || g || '.gov/' AS source_url, NULL AS issue, stored_count, fresh_count, missing AS missing_from_fresh FROM c WHERE missing > 0 AND g % 8 <> 0
-    UNION ALL SELECT 'https://n' || g || '.gov/', 'page no longer reachable: HTTP 404', NULL, NULL, NULL FROM c WHERE g % 8 = 0
+    SELECT 'https://n' || g || '.gov/' AS source_url, NULL AS issue, stored_count, fresh_count, missing AS missing_from_fresh, 'C' AS city, 'TX' AS state FROM c WHERE missing > 0 AND g % 8 <> 0
+    UNION ALL SELECT 'https://n' || g || '.gov/', 'page no longer reachable: HTTP 404', NULL, NULL, NULL, 'C', 'TX' FROM c WHERE g % 8 = 0
     """,
 )
 def qa_run(t):
+    findings, _, _ = _qa(t)
+    return findings.select("source_url", "issue", "stored_count", "fresh_count", "missing_from_fresh", "city", "state")
+
+
+@query(
+    "qa_merged",
+    """
+    WITH s AS (SELECT s_nationkey AS g, s_suppkey AS n FROM supplier), bad AS (SELECT g FROM s GROUP BY g HAVING sum((n % 10 = 0)::INT) > 0 AND g % 8 <> 0)
+    SELECT n::VARCHAR AS id, 'N' || n AS name, 'https://n' || g || '.gov/' AS source_url FROM s
+    UNION ALL SELECT 'tx:c:?:n' || n, 'n' || n, 'https://n' || g || '.gov/' FROM s WHERE n % 10 <> 0 AND g IN (SELECT g FROM bad)
+    """,
+)
+def qa_merged(t):
+    """Fresh officials of pages that disagree, merged into the stored ones."""
+    _, merged, _ = _qa(t)
+    return merged.select("id", "name", "source_url")
+
+
+@query(
+    "qa_summary",
+    """
+    WITH c AS (SELECT s_nationkey AS g, sum((s_suppkey % 10 = 0)::INT) AS missing FROM supplier GROUP BY 1), f AS (SELECT g % 8 = 0 AS lost FROM c WHERE g % 8 = 0 OR missing > 0)
+    SELECT 'pages_known' AS measure, count(*) AS value, count(*) AS total FROM c UNION ALL SELECT 'pages_checked', count(*), count(*) FROM c
+    UNION ALL SELECT 'findings', count(*), count(*) FROM f UNION ALL SELECT 'unreachable', sum(lost::INT)::BIGINT, count(*) FROM f
+    """,
+)
+def qa_summary(t):
+    findings, _, fetches = _qa(t)
+    pages = t.supplier.select("s_nationkey").distinct()
+    return writers.qa_summary(fetches, findings, pages)
+
+
+@query(
+    "coverage_shares",
+    """
+    WITH d AS (SELECT s_suppkey AS n FROM supplier WHERE s_suppkey % 11 <> 0)
+    SELECT 'with_dc_office' AS measure, count(*) FILTER (n % 7 <> 0 AND (n % 3 = 0 OR n % 5 = 0)) AS value, count(*) AS total FROM d
+    UNION ALL SELECT 'links_for_review', (SELECT count(*) FROM supplier WHERE s_suppkey % 7 <> 0 AND (s_suppkey % 3 = 0 OR s_suppkey % 5 = 0)), (SELECT count(*) FROM supplier WHERE s_suppkey % 7 <> 0 AND (s_suppkey % 3 = 0 OR s_suppkey % 5 = 0))
+    """,
+)
+def coverage_shares(t):
+    details = jobs.federal_job(_legislators(t), _committees(t), _membership(t), _district_entries(t))
+    _, review, _ = _reported(t)
+    return writers.federal_coverage(details).filter("measure = 'with_dc_office'").unionByName(writers.links_summary(review.limit(0), review).filter("measure = 'links_for_review'"))
+
+
+def _qa(t):
     n, g = F.col("s_suppkey"), F.col("s_nationkey")
     url = F.concat(F.lit("https://n"), g, F.lit(".gov/"))
     place = F.struct(F.lit("C").alias("city"), F.lit("TX").alias("state"))
@@ -402,8 +452,8 @@ def qa_run(t):
     raw = F.struct(*[(F.concat(F.lit(" n"), n) if f.name == "name" else F.lit(None)).cast(f.dataType).alias(f.name) for f in RAW_OFFICIAL])
     fresh = t.supplier.filter(n % 10 != 0).select(url.alias("source_url"), raw.alias("raw"), n.alias("seq"))
     fetches = t.supplier.select(url.alias("source_url"), (g % 8 != 0).alias("ok"), F.lit("HTTP 404").alias("error")).distinct()
-    findings, _ = jobs.qa_job(stored, fetches, fresh, NOW)
-    return findings.select("source_url", "issue", "stored_count", "fresh_count", "missing_from_fresh")
+    findings, merged = jobs.qa_job(stored, fetches, fresh, NOW)
+    return findings, merged, fetches
 
 
 @query(

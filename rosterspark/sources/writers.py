@@ -120,3 +120,33 @@ def run_summary(shards: DataFrame, attempted: DataFrame, problems: DataFrame) ->
         )
 
     return per_state.unionByName(total(attempted, "jurisdictions_attempted")).unionByName(total(problems, "pages_failed"))
+
+
+def shares(df: DataFrame, **conditions: Column) -> DataFrame:
+    """A row per condition: measure, value (rows that meet it), total (all rows). One aggregation."""
+    counted = df.agg(F.count(F.lit(1)).alias("total"), *[F.count_if(c).alias(k) for k, c in conditions.items()])
+    rows = F.array(*[F.struct(F.lit(k).alias("measure"), F.col(k).alias("value")) for k in conditions])
+    return counted.select(F.inline(rows), "total")
+
+
+def qa_summary(checked: DataFrame, findings: DataFrame, pages: DataFrame) -> DataFrame:
+    """Outcome of a re-check: pages checked and pages that disagree, each of how many."""
+    every = shares(pages, pages_known=F.lit(True))
+    seen = shares(checked, pages_checked=F.lit(True))
+    return every.unionByName(seen).unionByName(shares(findings, findings=F.lit(True), unreachable=F.col("issue").isNotNull()))
+
+
+def links_summary(staged_officials: DataFrame, review: DataFrame) -> DataFrame:
+    """Outcome of reported links: officials taken in, links left for review."""
+    return shares(staged_officials, officials_staged=F.lit(True)).unionByName(shares(review, links_for_review=F.lit(True)))
+
+
+def federal_coverage(details: DataFrame) -> DataFrame:
+    """Members with district offices, with a capital office and with committees, of all."""
+    some = lambda c: F.coalesce(F.size(c) > 0, F.lit(False))
+    return shares(details, with_district_offices=some("district_offices"), with_dc_office=F.col("dc_office").isNotNull(), with_committees=some("committees"))
+
+
+def seeds_ok(report: DataFrame) -> DataFrame:
+    """Seed pages whose probe is OK, of all."""
+    return shares(report, seeds_ok=F.col("status") == "OK")

@@ -12,7 +12,7 @@ from rosterspark.sources import writers
 FOLDER = "/root/testdata/sf0.001"
 # Jobs that write or checkpoint while they are built.
 ACTING = {
-    "site_walk", "discovery_hits", "discovery_misses", "discovery_officials", "shard_upsert", "publish_run", "gazetteer_file", "shard_files", "popest_files", "jurisdiction_files",
+    "qa_run", "qa_merged", "qa_summary", "roster_run", "roster_problems", "roster_detail_queue", "roster_enriched", "site_walk", "discovery_hits", "discovery_misses", "discovery_officials", "shard_upsert", "publish_run", "gazetteer_file", "shard_files", "popest_files", "jurisdiction_files",
     "people_files", "federal_files", "page_fetch_files", "universe_files", "problem_files", "log_files", "report_files",
     "stream_rate_limit", "stream_usage", "stream_cache", "stream_ingest", "stream_search_log", "stream_ttl_lookup",
 }
