@@ -7,11 +7,11 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rosterspark.llm.tokens import FileEncoder, slices
+from rosterspark.llm.tokens import file_encoder, slices
 
 CAPACITY = 2048
-#: Pieces that are differenced together; a block fills some hundred windows, so its last ones waste little.
-BLOCK = 1024
+#: Pieces that are differenced together. A merge costs as much as there are windows, so larger blocks cost more and waste less.
+BLOCK = 256
 #: What a document leaves beyond full windows is cut into pieces of this many tokens at most: windows of several
 #: pieces can be levelled, windows of one or two can't.
 PIECE = 512
@@ -28,25 +28,35 @@ def differenced(sizes: list[int], ways: int) -> list[list[int]]:
 
     import numpy as np
 
+    groups: list[list[int]] = [[] for _ in range(ways)]
+    if not sizes:
+        return groups
     heap: list = []
     for i, size in enumerate(sizes):
         sums = np.zeros(ways, np.int64)
         sums[0] = size
-        heap.append((-size, i, sums, [[i]] + [[] for _ in range(ways - 1)]))
-    if not heap:
-        return [[] for _ in range(ways)]
+        heap.append((-size, i, sums))
     heapq.heapify(heap)
-    age = len(sizes)
+    merged: list[tuple] = []  # (first, second, order of the merged groups); numbered on from the items
     while len(heap) > 1:
-        _, _, a, inside = heapq.heappop(heap)
-        _, _, b, other = heapq.heappop(heap)
+        _, first, a = heapq.heappop(heap)
+        _, second, b = heapq.heappop(heap)
         sums = a + b[::-1]  # both stand in falling order
         order = np.argsort(-sums, kind="stable")
-        groups = [x + y if y else x for x, y in zip(inside, reversed(other), strict=True)]
         sums = sums[order]
-        heapq.heappush(heap, (int(sums[-1] - sums[0]), age, sums, [groups[i] for i in order.tolist()]))
-        age += 1
-    return heap[0][3]
+        merged.append((first, second, order))
+        heapq.heappush(heap, (int(sums[-1] - sums[0]), len(sizes) + len(merged) - 1, sums))
+    # From the last merge back to the items: which group each group of a part ended in.
+    ended = {heap[0][1]: np.arange(ways)}
+    for number in range(len(merged) - 1, -1, -1):
+        first, second, order = merged[number]
+        label = ended.pop(len(sizes) + number)
+        ended[first], ended[second] = (np.empty_like(label), np.empty_like(label))
+        ended[first][order] = label
+        ended[second][ways - 1 - order] = label
+    for i in range(len(sizes)):
+        groups[ended[i][0]].append(i)
+    return groups
 
 
 def windows(sizes: list[int], capacity: int) -> list[list[int]]:
@@ -93,7 +103,7 @@ def pack(docs: DataFrame, tokenizer_path: str, *, id_column: str = "doc_id", tex
         import pyarrow as pa
         from pyspark import TaskContext
 
-        encoder = FileEncoder(tokenizer_path)
+        encoder = file_encoder(tokenizer_path)
         end = struct.pack("<I", end_id)
         base = TaskContext.get().partitionId() << 40
         count = 0
