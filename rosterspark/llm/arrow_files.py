@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from rosterspark.llm.common import Scratch
-from rosterspark.llm.tokens import FileEncoder, slices
+from rosterspark.llm.tokens import file_encoder, slices
 
 LENGTH = 2048
 #: Sequences in a record batch.
@@ -88,8 +88,8 @@ def write_tokens(docs: DataFrame, tokenizer_path: str, folder: str, *, id_column
 
         for batch in batches:
             if encoder is None:
-                encoder = FileEncoder(tokenizer_path)
-                schema = file_schema(length, pa.uint16() if len(encoder.widths) <= 65536 and end_id < 65536 else pa.uint32())
+                encoder = file_encoder(tokenizer_path)
+                schema = file_schema(length, pa.uint16() if encoder.size <= 65536 and end_id < 65536 else pa.uint32())
                 sink = open_file(path, "w")
                 writer = pa.ipc.new_stream(sink, schema)
             docs_, texts = batch.column(0).to_pylist(), [t or "" for t in batch.column(1).to_pylist()]

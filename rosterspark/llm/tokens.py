@@ -5,107 +5,95 @@ from __future__ import annotations
 import os
 import re
 import struct
+import sys
+import types
 
 #: Where white space begins. A match of the split pattern holds white space only in front or throughout, so one always
 #: ends here, whatever stands around it, and the parts can be encoded on their own and their ids joined.
 SAFE_CUT = re.compile(r"(?<=\S)(?=\s)")
 #: White space other than spaces and line ends; one of those beside a space leaves the short way too.
 ODD_SPACE = re.compile(r"[^\S \n]")
-#: Words of Latin letters, and perhaps one mark after them: two matches of the split pattern.
-LATIN = re.compile(r"([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+)([.,]?)")
+#: Parts of the first 592 characters, and the split pattern for those, with its classes of letters and numbers spelled out.
+LATIN = re.compile(r"[\x20-\x7e\n\u00a1-\u024f]*")
+LETTERS, NUMBERS = r"A-Za-z\u00aa\u00b5\u00ba\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f", r"0-9\u00b2\u00b3\u00b9\u00bc-\u00be"
+SPLIT = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{LETTERS}]+| ?[{NUMBERS}]+| ?[^\s{LETTERS}{NUMBERS}]+|\s+(?!\S)|\s+")
 #: Words that an encoder remembers at most; the memory is emptied when it is full.
-REMEMBERED = 600_000
+REMEMBERED = 1_000_000
+
+
+class Known(dict):
+    """Ids by text; ``make`` gives those of a new one."""
+
+    def __init__(self, make):
+        super().__init__()
+        self.make = make
+
+    def __missing__(self, text: str) -> bytes:
+        if len(self) >= REMEMBERED:
+            self.clear()
+        found = self[text] = self.make(text)
+        return found
 
 
 class FileEncoder:
     """``ids(texts)``: the ids of each text as little-endian unsigned 32-bit bytes, without special tokens.
 
-    Special tokens' own strings in a text count as ordinary text. New words of Latin letters go straight to the
-    library's merges, others are encoded many at a time, as one text; the byte length of each id tells where a word ends.
+    Special tokens' own strings in a text count as ordinary text. Texts are cut into words; pieces of Latin words go
+    straight to the library's merges, other words through the whole tokenizer, and both are remembered.
     """
 
     def __init__(self, path: str):
-        import numpy as np
-
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
-        self.widths = np.zeros(max(vocabulary.values()) + 1, np.int64)
-        for token, i in vocabulary.items():
-            self.widths[i] = len(token)
+        self.size = self.tokenizer.get_vocab_size()
         self.merge = self.tokenizer.model.tokenize
         # The vocabulary spells bytes as characters: printable ones as themselves, the others from 256 on, in order.
         plain = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
         self.spelled = {b: 256 + i for i, b in enumerate(sorted(set(range(256)) - set(plain)))}
-        self.space = chr(self.spelled[32])
-        self.marks = {m: np.array([self.tokenizer.token_to_id(m)], "<u4").tobytes() if m else b"" for m in ("", ".", ",")}
-        self.inner: dict[str, bytes] = {}  # by word; one space stands before it
-        self.whole: dict[str, bytes] = {}  # by text
-
-    def _learn(self, words: list[str]) -> None:
-        import numpy as np
-
-        rest = []
-        for word in words:
-            if not (latin := LATIN.fullmatch(word)):
-                rest.append(word)
-                continue
-            letters, mark = latin.groups()
-            if (coded := self.inner.get(letters)) is None:
-                spelled = letters if letters.isascii() else letters.encode().decode("latin-1").translate(self.spelled)
-                ids = [t.id for t in self.merge(self.space + spelled)]
-                coded = self.inner[letters] = struct.pack(f"<{len(ids)}I", *ids)
-            self.inner[word] = coded + self.marks[mark]
-        words, at = rest, 0
-        while at < len(words):
-            some, size = [], 0
-            while at < len(words) and size < 200_000:
-                some.append(words[at])
-                size += len(words[at]) + 1
-                at += 1
-            text = " " + " ".join(some)
-            ids = np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
-            ends = np.cumsum([len(w.encode()) + 1 for w in some])
-            cuts = np.searchsorted(np.cumsum(self.widths[ids]), ends) + 1
-            data, start = ids.tobytes(), 0
-            for word, end in zip(some, cuts.tolist(), strict=True):
-                self.inner[word] = data[4 * start : 4 * end]
-                start = end
+        self.space, self.line = chr(self.spelled[32]), chr(self.spelled[10])
+        self.pieces = Known(self._piece)
+        self.whole = Known(self._text)  # parts as they stand
+        self.inner = Known(lambda word: self._text(" " + word))  # words after a space
+
+    def _piece(self, piece: str) -> bytes:
+        if piece.isascii():  # a quick way to the same for spaces and line ends, the only others there
+            spelled = piece.replace(" ", self.space).replace("\n", self.line)
+        else:
+            spelled = piece.encode().decode("latin-1").translate(self.spelled)
+        ids = [t.id for t in self.merge(spelled)]
+        return struct.pack(f"<{len(ids)}I", *ids)
+
+    def _text(self, text: str) -> bytes:
+        if LATIN.fullmatch(text):
+            return b"".join(map(self.pieces.__getitem__, SPLIT.findall(text)))
+        ids = self.tokenizer.encode(text, add_special_tokens=False).ids
+        return struct.pack(f"<{len(ids)}I", *ids)
 
     def ids(self, texts: list[str]) -> list[bytes]:
-        import numpy as np
-
-        if len(self.inner) > REMEMBERED:
-            self.inner = {}
-        if len(self.whole) > REMEMBERED // 10:
-            self.whole = {}
-        heads: list[list[str]] = []  # parts to encode as they are
-        tails: list[list[str]] = []  # words after a space, in the order of the text
-        mixed: list[list[tuple[bool, str]] | None] = []
+        out = []
         for text in texts:
             parts = text.split(" ")
-            if "" not in parts[len(text) == 0 :] and "\n " not in text and " \n" not in text and not ODD_SPACE.search(text):
-                heads.append(parts[:1])
-                tails.append(parts[1:])
-                mixed.append(None)
+            if not text:
+                out.append(b"")
+            elif "" not in parts and "\n " not in text and " \n" not in text and not ODD_SPACE.search(text):
+                first = self.whole[parts[0]]
+                parts[0] = ""
+                out.append(first + b"".join(map(self.inner.__getitem__, parts[1:])))
             else:
-                parts = [(len(p) > 1 and p[0] == " " and not p[1].isspace() and not p[-1].isspace(), p) for p in SAFE_CUT.split(text)]
-                parts = [(inner, p[1:] if inner else p) for inner, p in parts]
-                heads.append([p for inner, p in parts if not inner])
-                tails.append([p for inner, p in parts if inner])
-                mixed.append(parts)
-        inner, whole = self.inner, self.whole
-        self._learn(list({w for ws in tails for w in ws if w not in inner}))
-        new = list({p for ps in heads for p in ps if p not in whole})
-        for part, coded in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
-            whole[part] = np.array(coded.ids, "<u4").tobytes()
-        return [
-            b"".join([whole[head[0]], *map(inner.__getitem__, tail)]) if parts is None else b"".join([(inner if i else whole)[p] for i, p in parts])
-            for head, tail, parts in zip(heads, tails, mixed, strict=True)
-        ]
+                out.append(b"".join(map(self.whole.__getitem__, SAFE_CUT.split(text))))
+        return out
+
+
+def file_encoder(path: str) -> FileEncoder:
+    """The encoder for a file that this Python worker already has, with what it remembers, or a new one."""
+    state = sys.modules.setdefault("_token_encoders", types.ModuleType("_token_encoders")).__dict__
+    key = f"{path}:{os.path.getmtime(path)}"
+    if key not in state:
+        state[key] = FileEncoder(path)
+    return state[key]
 
 
 def slices(texts: list[str], most: int = 2_000_000):
