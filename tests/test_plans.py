@@ -5,6 +5,7 @@ import re
 from pyspark.sql import functions as F
 import pytest
 
+import __spark_entry__  # noqa: F401  (registers the queries)
 from rosterspark.plans.catalog import QUERIES
 from rosterspark.operators import limits, records, selection, web
 from rosterspark.sources import writers
@@ -95,3 +96,28 @@ def test_large_k_has_the_same_plan(spark, hot):
     assert {(r["k"], r["event_id"]) for r in big.collect()} == want
     ranks = [r["rank"] for r in big.filter("k = 'hot'").orderBy("event_id").collect()]
     assert ranks == list(range(1, len(ranks) + 1))
+
+
+@pytest.mark.parametrize("name", ["reported_links_run", "reported_links_staged"])
+def test_no_limit_means_no_single_task(spark, name):
+    assert "SinglePartition" not in plan(QUERIES[name](spark, FOLDER))
+
+
+def test_requests_are_salted_where_a_site_is_hot(spark):
+    """A third of all officials on one site, two groups on it: each group gets every one of them."""
+    from rosterspark.plans import jobs
+    from rosterspark.schema import RAW_OFFICIAL
+
+    hot_site = F.when(F.col("event_id") % 3 == 0, F.lit("https://hot.gov/")).otherwise(F.concat(F.lit("https://s"), F.col("event_id"), F.lit(".gov/")))
+    given = {"name": F.concat(F.lit("P "), "event_id"), "office": F.lit("Mayor")}
+    raw = F.struct(*[given.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in RAW_OFFICIAL.fields])
+    officials = tables(spark, "events").select(hot_site.alias("url"), raw.alias("raw"))
+    candidates = spark.createDataFrame([(f"TX:{c}:local", c, "TX", "local", 5) for c in ("Alma", "Birk")], "key string, city string, state string, level string, population long")
+    sites = candidates.select(F.col("key").alias("group"), "city", F.lit("https://hot.gov/").alias("recalled"), F.array().cast("array<string>").alias("hits"))
+    pages = spark.createDataFrame([("https://hot.gov/", "https://hot.gov/", True, "Alma and Birk city council")], "url string, final_url string, ok boolean, text string")
+    links = spark.createDataFrame([], "url string, pos int, link string")
+    none = candidates.limit(0).select("key", "city", "state", "level", "population", F.lit("").alias("checked_at"), F.lit("").alias("reason"))
+    found = jobs.discovery_job(candidates, sites, pages, links, officials, none, "2026-08-19T00:00:00Z")
+    each = officials.where("url = 'https://hot.gov/'").count()
+    assert {r["key"]: r["urls"] for r in found.hits.collect()} == {k: ["https://hot.gov/"] for k in ("TX:Alma:local", "TX:Birk:local")}
+    assert found.officials.groupBy("group").count().select("count").distinct().collect() == [(each,)] and found.misses.count() == 0
