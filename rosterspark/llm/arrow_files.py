@@ -129,7 +129,8 @@ def read_sequence(path: str, batch: int, row: int):
 def read_tokens(files: DataFrame) -> DataFrame:
     """Documents as the files of ``write_tokens`` hold them: doc_id, start (ids of all documents before), n_tokens, ids_crc32.
 
-    Each file is read batch by batch in a task of its own; the files' starts are a running sum over one row per file.
+    Each file is read batch by batch in a task of its own; the files' starts are a running sum over one row per file, which is all
+    that is broadcast (a file per shuffle partition).
     """
 
     def run(batches: Iterator) -> Iterator:
@@ -163,12 +164,12 @@ def read_tokens(files: DataFrame) -> DataFrame:
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     bases = files.select("part", F.coalesce(F.sum("tokens").over(before), F.lit(0)).alias("base"))
     documents = files.select("file", "part").repartition(parts, "part").mapInArrow(run, DOCUMENTS)
-    return documents.join(bases, "part").select("doc_id", (F.col("base") + F.col("local_start")).alias("start"), "n_tokens", "ids_crc32")
+    return documents.join(F.broadcast(bases), "part").select("doc_id", (F.col("base") + F.col("local_start")).alias("start"), "n_tokens", "ids_crc32")
 
 
-def round_trip(docs: DataFrame, tokenizer_path: str, *, scratch: Scratch | None = None, **options) -> DataFrame:
+def round_trip(docs: DataFrame, tokenizer_path: str, **options) -> DataFrame:
     """Write the files below the shared folder, keep the list of them as a table, and read all documents back."""
-    scratch = scratch or Scratch(docs.sparkSession)
+    scratch = Scratch(docs.sparkSession)
     folder = scratch.path("tokens")
     if "://" not in folder:
         folder = "file://" + folder

@@ -25,19 +25,20 @@ def shared_folder(spark: SparkSession) -> str:
 class Scratch:
     """Tables of one job, written as Parquet below the shared folder.
 
-    A written table cuts the lineage: a lost executor costs only the tasks of the step that runs. Tables that a
-    later written one replaces are dropped at once; the rest stay until the folder is cleared, because the frame that
-    a job returns reads them.
+    A written table cuts the lineage: a lost executor costs only the tasks of the step that runs. Tables go as soon as a
+    later one replaces them; what the frame that a job returns reads stays until the folder is cleared.
     """
 
     def __init__(self, spark: SparkSession):
         self.spark = spark
         self.folder = f"{shared_folder(spark)}/{uuid.uuid4().hex}"
         self._count = 0
+        self._paths: list[str] = []
 
     def path(self, name: str) -> str:
         self._count += 1
-        return f"{self.folder}/{self._count:03d}-{name}"
+        self._paths.append(f"{self.folder}/{self._count:03d}-{name}")
+        return self._paths[-1]
 
     def table(self, df: DataFrame, name: str) -> DataFrame:
         path = self.path(name)
@@ -46,10 +47,20 @@ class Scratch:
         out.staged_path = path
         return out
 
-    def drop(self, table: DataFrame) -> None:
-        jvm = self.spark.sparkContext._jvm
-        path = jvm.org.apache.hadoop.fs.Path(table.staged_path)
-        path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    def drop(self, *tables: DataFrame) -> None:
+        self._remove([t.staged_path for t in tables])
+
+    def keep_only(self, *tables: DataFrame) -> None:
+        """Drop all others: what is kept was written from them and needs them no more."""
+        kept = {t.staged_path for t in tables}
+        self._remove([p for p in self._paths if p not in kept])
+
+    def _remove(self, paths: list[str]) -> None:
+        jvm, conf = self.spark.sparkContext._jvm, self.spark.sparkContext._jsc.hadoopConfiguration()
+        for text in paths:
+            path = jvm.org.apache.hadoop.fs.Path(text)
+            path.getFileSystem(conf).delete(path, True)
+            self._paths.remove(text)
 
 
 def _fingerprint(edges: DataFrame) -> tuple:

@@ -174,7 +174,7 @@ def count_links(members: DataFrame, least: float) -> DataFrame:
     return members.groupBy("tile").applyInArrow(run, "a long, b long, n long")
 
 
-def near_vectors(vectors: DataFrame, *, least: float = 0.9, id_column: str = "vec_id", vector_column: str = "embedding", seed: int = 7, tables: int = TABLES, projections: int = PROJECTIONS, step: float = STEP, near: int = NEAR, scratch: Scratch | None = None) -> DataFrame:
+def near_vectors(vectors: DataFrame, *, least: float = 0.9, id_column: str = "vec_id", vector_column: str = "embedding", seed: int = 7, tables: int = TABLES, projections: int = PROJECTIONS, step: float = STEP, near: int = NEAR) -> DataFrame:
     """Links between vectors found with cosine ``least`` or more (in doubles, exact), none below it.
 
     One row per vector: vec_id, n_links (other vectors linked directly), component_id (smallest vec_id reachable), kept
@@ -189,7 +189,7 @@ def near_vectors(vectors: DataFrame, *, least: float = 0.9, id_column: str = "ve
     Vectors of different length never link. Repeated and null ids: rows count on their own; a component whose ids are
     all null has a null id and its rows aren't kept apart. Empty table: no rows.
     """
-    scratch = scratch or Scratch(vectors.sparkSession)
+    scratch = Scratch(vectors.sparkSession)
     rows = vectors.select(F.col(id_column).cast("long").alias("vec_id"), F.col(vector_column).cast("array<double>").alias("vector"))
     described = scratch.table(describe(rows), "vectors")
     nodes = described.where(F.col("node").isNotNull()).groupBy("node").agg(F.count(F.lit(1)).alias("copies"), F.first("vector").alias("vector"))
@@ -204,6 +204,7 @@ def near_vectors(vectors: DataFrame, *, least: float = 0.9, id_column: str = "ve
     each = nodes.select("node", "copies").join(counts, "node", "left").join(roots, "node", "left")
     each = each.select("node", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("root", "node").alias("root"))
     named = scratch.table(described.select("vec_id", "node").join(each, "node", "left"), "named")
+    scratch.keep_only(named)
     smallest = named.where(F.col("root").isNotNull()).groupBy("root").agg(F.min("vec_id").alias("smallest"))
     out = named.join(smallest, "root", "left").select("vec_id", F.coalesce("n_links", F.lit(0)).alias("n_links"), F.coalesce("smallest", "vec_id").alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)))

@@ -40,7 +40,7 @@ def boilerplate_lines(docs: DataFrame, min_sites: int = MIN_SITES, *, site_colum
     return sketched.where(~near).select("h1", "h2").unionByName(exact.select("h1", "h2"))
 
 
-def dedup_lines(docs: DataFrame, min_sites: int = MIN_SITES, *, id_column: str = "doc_id", site_column: str = "source", text_column: str = "text", scratch: Scratch | None = None) -> DataFrame:
+def dedup_lines(docs: DataFrame, min_sites: int = MIN_SITES, *, id_column: str = "doc_id", site_column: str = "source", text_column: str = "text") -> DataFrame:
     """The rows of ``docs``, with boilerplate lines taken out of the text and new columns ``n_lines``, ``n_removed``.
 
     A boilerplate line goes from every document, its line end with it; other lines stay as they are, in order. Lines are
@@ -52,8 +52,7 @@ def dedup_lines(docs: DataFrame, min_sites: int = MIN_SITES, *, id_column: str =
     share an id, or have none, are right too, as a line goes wherever it stands. Other columns pass through; those named
     n_lines or n_removed are replaced. Empty table: no rows.
     """
-    scratch = scratch or Scratch(docs.sparkSession)
-    bad = scratch.table(boilerplate_lines(docs, min_sites, site_column=site_column, text_column=text_column), "boilerplate")
+    bad = Scratch(docs.sparkSession).table(boilerplate_lines(docs, min_sites, site_column=site_column, text_column=text_column), "boilerplate")
     places = docs.select(F.col(id_column).alias("k"), F.explode(F.split(F.col(text_column), "\n")).alias("line")).select("k", *_key(F.col("line")))
     hits = places.join(bad, ["h1", "h2"], "left_semi").groupBy("k").agg(F.collect_set(F.struct("h1", "h2")).alias("__gone")).withColumnRenamed("k", "__key")
     kept = docs.drop("n_lines", "n_removed")

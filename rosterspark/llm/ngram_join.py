@@ -16,7 +16,7 @@ TILE = 1_000_000
 #: Bits of a signature for each shingle, and at most.
 BITS_EACH, MOST_BITS = 16, 1 << 15
 #: Shingles that a task holds at once while shingles are counted.
-CHUNK = 3_000_000
+CHUNK = 2_000_000
 
 _MULTIPLIERS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3)
 
@@ -27,7 +27,7 @@ class Words(dict):
     def __missing__(self, word: bytes) -> int:
         import xxhash
 
-        if len(self) > 1_000_000:
+        if len(self) > 400_000:
             self.clear()
         value = self[word] = xxhash.xxh3_64_intdigest(word)
         return value
@@ -292,7 +292,7 @@ def link(members: DataFrame, num: int, den: int) -> DataFrame:
     return members.groupBy("tile").applyInArrow(run, "a long, b long")
 
 
-def jaccard_components(docs: DataFrame, *, width: int = 5, threshold: tuple[int, int] = (80, 100), id_column: str = "doc_id", text_column: str = "text", stable: bool = False, scratch: Scratch | None = None) -> DataFrame:
+def jaccard_components(docs: DataFrame, *, width: int = 5, threshold: tuple[int, int] = (80, 100), id_column: str = "doc_id", text_column: str = "text", stable: bool = False) -> DataFrame:
     """Documents whose word n-gram sets have a Jaccard similarity of ``threshold`` (a fraction) or more, as components.
 
     One row per document: doc_id, n_shingles, component_id (smallest doc_id reachable by links, its own included).
@@ -315,7 +315,7 @@ def jaccard_components(docs: DataFrame, *, width: int = 5, threshold: tuple[int,
     written once before.
     """
     num, den = threshold
-    scratch = scratch or Scratch(docs.sparkSession)
+    scratch = Scratch(docs.sparkSession)
     rows = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).cast("string").alias("text"))
     if not stable:
         rows = scratch.table(rows, "documents")
@@ -338,15 +338,16 @@ def jaccard_components(docs: DataFrame, *, width: int = 5, threshold: tuple[int,
     # Signed node order isn't document order, so the smallest document names the component.
     named = described.select("doc_id", "n", "node").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     named = scratch.table(named, "named")
+    scratch.keep_only(named)
     smallest = named.where(F.col("root").isNotNull()).groupBy("root").agg(F.min("doc_id").alias("smallest"))
     return named.join(smallest, "root", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("smallest", "doc_id").alias("component_id"))
 
 
-def keep_one(docs: DataFrame, *, width: int = 5, threshold: tuple[int, int] = (80, 100), id_column: str = "doc_id", text_column: str = "text", stable: bool = False, scratch: Scratch | None = None) -> DataFrame:
+def keep_one(docs: DataFrame, *, width: int = 5, threshold: tuple[int, int] = (80, 100), id_column: str = "doc_id", text_column: str = "text", stable: bool = False) -> DataFrame:
     """The rows of ``docs`` with one document of each component: the one with the smallest id.
 
     Of rows that share that id, all stay if their texts are alone under it; documents without words stay.
     """
-    found = jaccard_components(docs, width=width, threshold=threshold, id_column=id_column, text_column=text_column, stable=stable, scratch=scratch)
+    found = jaccard_components(docs, width=width, threshold=threshold, id_column=id_column, text_column=text_column, stable=stable)
     gone = found.where(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias("__gone")).distinct()
     return docs.join(gone, F.col(id_column) == F.col("__gone"), "left_anti")

@@ -12,7 +12,7 @@ SHARDS = 24
 ROW_BYTES = 8
 
 
-def assign_shards(docs: DataFrame, shards: int = SHARDS, *, id_column: str = "doc_id", text_column: str = "text", scratch: Scratch | None = None) -> DataFrame:
+def assign_shards(docs: DataFrame, shards: int = SHARDS, *, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """Deal the rows, in order of their id, into ``shards`` runs of near-equal bytes.
 
     One row per document: doc_id, size (UTF-8 bytes of the text plus 8), text_crc32 (unsigned), shard, slot (from 0 in
@@ -28,7 +28,7 @@ def assign_shards(docs: DataFrame, shards: int = SHARDS, *, id_column: str = "do
     interchangeable. Fewer rows than shards leave shards empty. Empty table: no rows.
     """
     spark = docs.sparkSession
-    scratch = scratch or Scratch(spark)
+    scratch = Scratch(spark)
     text = text_or_empty(text_column)
     narrow = docs.select(
         F.col(id_column).cast("long").alias("doc_id"), (F.octet_length(text) + ROW_BYTES).cast("long").alias("size"), F.crc32(text).alias("text_crc32"), F.monotonically_increasing_id().alias("place"),
@@ -49,6 +49,7 @@ def assign_shards(docs: DataFrame, shards: int = SHARDS, *, id_column: str = "do
         .select(*order, "part", "shard")
     )
     placed = scratch.table(placed, "placed")
+    scratch.drop(rows)
     # Where a shard's rows begin: in its own partition's run, plus its rows in the partitions before.
     runs = placed.groupBy("shard", "part").agg(F.count(F.lit(1)).alias("n"))
     runs = runs.select("shard", "part", F.coalesce(F.sum("n").over(Window.partitionBy("shard").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("earlier"))
