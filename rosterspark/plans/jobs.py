@@ -123,6 +123,8 @@ def discovery_job(
     candidates whose crawl or extraction failed: those are misses, with the error as reason. A hit needs a roster page and
     officials left after normalization, and removes an older miss of its key. Misses keep the candidate's population.
     """
+    if "population" not in candidates.columns:
+        candidates = candidates.withColumn("population", F.lit(None).cast("bigint"))
     site = crawl.resolve_site(sites, pages.select("url", "final_url", "ok", "text"))
     starts = site.select(
         "group", F.col("requested_url").alias("start_url"), F.col("url").alias("final_url"), url_origin("url").alias("origin")
