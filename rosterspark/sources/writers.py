@@ -14,7 +14,7 @@ from pyspark.sql.utils import AnalysisException
 from rosterspark.functions.text import filled
 from rosterspark.operators.records import coverage_stats, merge_records
 from rosterspark.schema import OFFICIAL
-from rosterspark.session import staged
+from rosterspark.session import drop_staged, staged
 
 
 def shard_state() -> Column:
@@ -55,6 +55,7 @@ def upsert_shards(incoming: DataFrame, path: str, seq: str = "seq") -> DataFrame
     else:
         existing = touched_only(stored, rows.select(F.col("_state").alias("state")), "state").select(*OFFICIAL.fieldNames())
     merged = staged(merge_records(existing, rows, seq).withColumn("state", shard_state()))
+    drop_staged(rows)
     overwrite_partitions(merged, path, ["state"], ["id"])
     return merged
 

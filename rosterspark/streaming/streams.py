@@ -16,7 +16,7 @@ from rosterspark.operators.limits import REPORTS_PER_DAY, search_log_rows, ttl_l
 from rosterspark.operators.records import latest_per_key
 from rosterspark.operators.selection import first_k_per_group
 from rosterspark.sources.writers import overwrite_partitions, read_if_exists, touched_only, upsert_shards
-from rosterspark.session import staged
+from rosterspark.session import drop_staged, staged
 
 
 def search_log_stream(raw: DataFrame, path: str, checkpoint: str):
@@ -58,9 +58,10 @@ def rate_limit_batch(path: str, key: list[str], at: str = "ts", seq: str = "seq"
         else:
             own = own.withColumn("_used", F.lit(0).cast("bigint"))
         accepted = own.filter(F.coalesce("_used", F.lit(0)) + F.col("_rank") <= per_day).drop("_used", "_rank")
-        overwrite_partitions(
-            staged(accepted).withColumns({"run": F.lit(run), "batch_id": F.lit(batch_id).cast("bigint")}), path, ["day", "run", "batch_id"], [at, seq]
-        )
+        accepted = staged(accepted)
+        overwrite_partitions(accepted.withColumns({"run": F.lit(run), "batch_id": F.lit(batch_id).cast("bigint")}), path, ["day", "run", "batch_id"], [at, seq])
+        drop_staged(rows)
+        drop_staged(accepted)
 
     return write
 
@@ -77,7 +78,9 @@ def cache_refill_batch(path: str, key: str = "key", seq: str = "seq", buckets: i
         if stored is not None:
             kept = touched_only(stored, fresh, "bucket").join(fresh.select(key), key, "left_anti")
             fresh = kept.select(*fresh.columns).unionByName(fresh)
-        overwrite_partitions(staged(fresh), path, ["bucket"], [key])
+        fresh = staged(fresh)
+        overwrite_partitions(fresh, path, ["bucket"], [key])
+        drop_staged(fresh)
 
     return write
 
@@ -85,6 +88,6 @@ def cache_refill_batch(path: str, key: str = "key", seq: str = "seq", buckets: i
 def ingest_officials_batch(path: str, seq: str = "seq") -> Callable[[DataFrame, int], None]:
     """``foreachBatch`` writer: micro-batch upsert into the officials table; repeats change nothing."""
     def write(batch: DataFrame, batch_id: int) -> None:
-        upsert_shards(batch, path, seq)
+        drop_staged(upsert_shards(batch, path, seq))
 
     return write
