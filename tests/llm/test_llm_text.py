@@ -60,7 +60,7 @@ def test_redaction(spark):
     out = {r["doc_id"]: r["text"] for r in secrets.redact(secrets.find_secrets(docs)).collect()}
     assert out[2] == "clean" and out[3] is None
     assert out[0] == '[assign]" and [assign], api-key=nothing'
-    assert out[1] == "\U0001f600 secret:\t\U0001f600 [assign] é [assign]"
+    assert out[1] == "\U0001f600 secret:\t\U0001f600 [assign]' é [assign]"
 
 
 def test_main_path_is_native(spark):
