@@ -314,11 +314,23 @@ def jaccard_components(docs: DataFrame, *, width: int = 5, threshold: tuple[int,
     ``stable``: the rows come straight from files, so each reading deals them into the same partitions; otherwise they are
     written once before.
     """
-    num, den = threshold
     scratch = Scratch(docs.sparkSession)
     rows = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).cast("string").alias("text"))
     if not stable:
         rows = scratch.table(rows, "documents")
+    named = rooted(rows, width, threshold, scratch)
+    scratch.keep_only(named)
+    # Signed node order isn't document order, so the smallest document names the component.
+    smallest = named.where(F.col("root").isNotNull()).groupBy("root").agg(F.min("doc_id").alias("smallest"))
+    return named.join(smallest, "root", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("smallest", "doc_id").alias("component_id"))
+
+
+def rooted(rows: DataFrame, width: int, threshold: tuple[int, int], scratch: Scratch) -> DataFrame:
+    """``rows``: doc_id, text, straight from files. A staged table with a row for each: doc_id, n, node, root.
+
+    root: one node for each component; null for documents without words.
+    """
+    num, den = threshold
     holders = count_holders(rows, width, scratch)
     described = scratch.table(describe(rows, width, num, den, holders), "sets")
     classes = described.where(F.col("node").isNotNull()).groupBy("node").agg(F.min("doc_id").alias("first"), F.max("n").alias("n"))
@@ -335,19 +347,24 @@ def jaccard_components(docs: DataFrame, *, width: int = 5, threshold: tuple[int,
     dealt = tiles(members, TILE, scratch).join(sets_of(chosen, width), "node")
     links = scratch.table(link(dealt, num, den), "links")
     roots = connected(links, scratch)
-    # Signed node order isn't document order, so the smallest document names the component.
-    named = described.select("doc_id", "n", "node").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    named = scratch.table(named, "named")
-    scratch.keep_only(named)
-    smallest = named.where(F.col("root").isNotNull()).groupBy("root").agg(F.min("doc_id").alias("smallest"))
-    return named.join(smallest, "root", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("smallest", "doc_id").alias("component_id"))
+    found = described.select("doc_id", "n", "node").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    return scratch.table(found, "named")
 
 
-def keep_one(docs: DataFrame, *, width: int = 5, threshold: tuple[int, int] = (80, 100), id_column: str = "doc_id", text_column: str = "text", stable: bool = False) -> DataFrame:
-    """The rows of ``docs`` with one document of each component: the one with the smallest id.
+def keep_one(docs: DataFrame, *, width: int = 5, threshold: tuple[int, int] = (80, 100), id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+    """The rows of ``docs`` with one row of each component: the one with the smallest id, and of equal ids the first.
 
-    Of rows that share that id, all stay if their texts are alone under it; documents without words stay.
+    Rows count on their own, whether or not their ids repeat; a null id stays only if all of the component are null. Rows
+    without words stay.
     """
-    found = jaccard_components(docs, width=width, threshold=threshold, id_column=id_column, text_column=text_column, stable=stable)
-    gone = found.where(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(gone, F.col(id_column) == F.col("__gone"), "left_anti")
+    scratch = Scratch(docs.sparkSession)
+    # Written, so that a row has the same number whenever it is read.
+    keyed = scratch.table(docs.withColumn("__row", F.monotonically_increasing_id()), "rows")
+    rows = keyed.select(F.col("__row").alias("doc_id"), F.col(text_column).cast("string").alias("text"))
+    found = rooted(rows, width, threshold, scratch)
+    scratch.keep_only(keyed, found)
+    ids = keyed.select("__row", F.col(id_column).cast("long").alias("__id"))
+    places = found.where(F.col("root").isNotNull()).select("root", F.col("doc_id").alias("__row")).join(ids, "__row")
+    first = places.groupBy("root").agg(F.min(F.struct(F.col("__id").isNull(), "__id", "__row")).getField("__row").alias("__row"))
+    wordless = found.where(F.col("root").isNull()).select(F.col("doc_id").alias("__row"))
+    return keyed.join(first.select("__row").unionByName(wordless), "__row", "left_semi").select(*docs.columns)

@@ -90,6 +90,28 @@ def test_one_of_each_component_stays(spark):
     assert sorted(r["doc_id"] for r in kept.collect()) == sorted(d for d, _, c in want if d == c)
 
 
+def test_one_row_of_each_component_stays(spark):
+    """Rows, not ids: null and repeated ids, copies beside other texts of one id, repeated rows."""
+    base = llm_cases.rows()[0]
+    cases = [(1, "one two three four five six"), (5, "one two three four five six"), (5, "quite another text stands here")]
+    cases += [(7, "seven seven eight nine ten")] * 3 + [(None, "seven seven eight nine ten"), (None, "null alone in its group of two"), (None, "null alone in its group of two"), (5, None), (5, " ")]
+    data = llm_cases.rows() + [(None if d is None else 10_000 + d, t, *base[2:]) for d, t in cases]
+    docs = llm_cases.frame(spark, data)
+    got = sorted(((r[0], r[1]) for r in ngram_join.keep_one(docs).collect()), key=str)
+    sets = [shingle_set(r[1], 5) for r in data]
+    root = roots(len(data), [(i, j) for i, j in combinations(range(len(data)), 2) if sets[i] and sets[j] and 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j])])
+    groups = {}
+    for i in range(len(data)):
+        groups.setdefault(root[i] if sets[i] else -1 - i, []).append(data[i][:2])
+    least = lambda ids: min(ids, key=lambda d: (d is None, d or 0))
+    want = [(least([d for d, _ in g]), {t for d, t in g if d == least([d for d, _ in g])}) for g in groups.values()]
+    assert sorted((d for d, _ in got), key=str) == sorted((d for d, _ in want), key=str)
+    assert all(any(d == e and t in texts for e, texts in want) for d, t in got)
+    added = [(d - 10_000, t) for d, t in got if d is not None and d >= 10_000]
+    assert sorted(added, key=str) == sorted([(1, cases[0][1]), (5, cases[2][1]), (7, cases[3][1]), (5, None), (5, " ")], key=str)
+    assert [d for d, t in got if t == cases[-3][1]] == [None]
+
+
 def test_prefixes_of_linked_sets_meet():
     rng = np.random.default_rng(1)
     for _ in range(300):
