@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rosterspark.llm.common import Scratch, connected, tiles
@@ -292,6 +292,17 @@ def link(members: DataFrame, num: int, den: int) -> DataFrame:
     return members.groupBy("tile").applyInArrow(run, "a long, b long")
 
 
+def stars(heads: DataFrame, scratch: Scratch) -> DataFrame:
+    """``heads``: shingle, node. Edges ``a, b`` from each node to the smallest one of each of its shingles.
+
+    Smallest nodes are combined before the shuffle. They are written, so that both sides of the join come straight from
+    a shuffle: Spark splits a common shingle only then.
+    """
+    centres = heads.groupBy("shingle").agg(F.min("node").alias("b"), F.max("node").alias("last")).where(F.col("b") != F.col("last")).select("shingle", "b")
+    centres = scratch.table(centres, "centres")
+    return heads.join(centres, "shingle").where(F.col("node") != F.col("b")).select(F.col("node").alias("a"), "b").distinct()
+
+
 def jaccard_components(docs: DataFrame, *, width: int = 5, threshold: tuple[int, int] = (80, 100), id_column: str = "doc_id", text_column: str = "text", stable: bool = False) -> DataFrame:
     """Documents whose word n-gram sets have a Jaccard similarity of ``threshold`` (a fraction) or more, as components.
 
@@ -335,9 +346,7 @@ def rooted(rows: DataFrame, width: int, threshold: tuple[int, int], scratch: Scr
     described = scratch.table(describe(rows, width, num, den, holders), "sets")
     classes = described.where(F.col("node").isNotNull()).groupBy("node").agg(F.min("doc_id").alias("first"), F.max("n").alias("n"))
     heads = described.select(F.explode("prefix").alias("shingle"), "node")
-    first = F.first("node").over(Window.partitionBy("shingle").orderBy("node"))
-    stars = heads.withColumn("b", first).where(F.col("node") != F.col("b")).select(F.col("node").alias("a"), "b").distinct()
-    clusters = scratch.table(connected(stars, scratch), "clusters")
+    clusters = scratch.table(connected(stars(heads, scratch), scratch), "clusters")
     # Bands are a thousandth wider than the threshold asks, so rounding never puts linked sizes two bands apart.
     band = F.floor(F.log(F.col("n")) / F.log(F.lit(den / num * 1.001))).cast("int")
     members = clusters.join(classes, "node").select(F.col("root").alias("cluster"), "node", "first", band.alias("band"), (F.col("n") + 256).alias("weight"))

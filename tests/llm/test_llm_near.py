@@ -112,6 +112,14 @@ def test_one_row_of_each_component_stays(spark):
     assert [d for d, t in got if t == cases[-3][1]] == [None]
 
 
+def test_no_shingle_is_gathered_in_one_task(spark):
+    """Stars without a window; a common shingle, one held once, one repeated by its only node."""
+    pairs = [(1, n) for n in range(-40, 40)] + [(2, 7), (3, 9), (3, 9), (4, 5), (4, -3), (4, 5)]
+    out = ngram_join.stars(spark.createDataFrame(pairs, "shingle long, node long"), common.Scratch(spark))
+    assert "Window" not in out._jdf.queryExecution().executedPlan().toString()
+    assert sorted(tuple(r) for r in out.collect()) == sorted({(n, -40) for n in range(-39, 40)} | {(5, -3)})
+
+
 def test_prefixes_of_linked_sets_meet():
     rng = np.random.default_rng(1)
     for _ in range(300):
