@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rosterspark.llm import arrow_files, bpe, embedding_dedup, language_id, line_dedup, matroska, ngram_join, packing, secrets, sharding
+from rosterspark.llm import arrow_files, bpe, embedding_dedup, language_id, line_dedup, matroska, merkle, ngram_join, packing, secrets, sharding
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -146,6 +146,48 @@ def op10(docs: DataFrame) -> DataFrame:
     return sharding.assign_shards(docs).select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+_FIELD = "coalesce(strlen({0}) || ':' || {0}, '-')"
+_LEAF = "sha256(" + " || ".join(_FIELD.format(f"CAST({c} AS VARCHAR)") for c in merkle.FIELDS[:-1]) + " || " + _FIELD + ")"
+#: crc32 of a short text, bit by bit: a byte is taken in, then eight steps (-1) follow.
+_CRC = """xor(list_reduce(list_prepend(4294967295::BIGINT, flatten(list_transform(string_split({0}, ''), lambda ch: list_concat([ascii(ch)::BIGINT], list_resize([]::BIGINT[], 8, -1::BIGINT))))),
+  lambda c, x: CASE WHEN x >= 0 THEN xor(c, x) ELSE xor(c >> 1, CASE WHEN c & 1 = 1 THEN 3988292384::BIGINT ELSE 0::BIGINT END) END), 4294967295::BIGINT)"""
+MERKLE_SQL = f"""
+  WITH RECURSIVE digests AS (
+    SELECT *, {_LEAF.format("text")} AS leaf, CASE WHEN {_CRC.format("CAST(doc_id AS VARCHAR)")} % 2 = 0 THEN {_LEAF.format("replace(text, chr(10), '')")} END AS tampered FROM documents),
+  leaves AS (
+    SELECT doc_id, leaf, coalesce(tampered, leaf) AS found, row_number() OVER () AS k, dense_rank() OVER (ORDER BY source NULLS FIRST) - 1 AS src,
+      row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i FROM digests),
+  up AS (
+    SELECT src, 0 AS lvl, i, leaf AS d, count(*) OVER (PARTITION BY src) AS n FROM leaves
+    UNION ALL SELECT src, lvl + 1, i // 3, sha256(string_agg(d, '' ORDER BY i)), (any_value(n) + 2) // 3 FROM up WHERE n > 1 GROUP BY src, lvl, i // 3),
+  subroots AS (SELECT src, d FROM up WHERE n = 1),
+  top AS (
+    SELECT 0 AS lvl, src AS i, d, count(*) OVER () AS n FROM subroots
+    UNION ALL SELECT lvl + 1, i // 3, sha256(string_agg(d, '' ORDER BY i)), (any_value(n) + 2) // 3 FROM top WHERE n > 1 GROUP BY lvl, i // 3),
+  steps AS (
+    SELECT k, lvl AS step, leaves.i // (3 ** lvl)::BIGINT AS p, up.i, d FROM leaves JOIN up ON leaves.src = up.src AND n > 1 AND up.i // 3 = (leaves.i // (3 ** lvl)::BIGINT) // 3
+    UNION ALL
+    SELECT k, 100 + lvl, src // (3 ** lvl)::BIGINT, top.i, d FROM leaves JOIN top ON n > 1 AND top.i // 3 = (src // (3 ** lvl)::BIGINT) // 3),
+  proofs AS (SELECT k, sha256(coalesce(string_agg(d, '' ORDER BY step, i) FILTER (WHERE i <> p), '')) AS proof_sha256 FROM steps GROUP BY k),
+  runs AS (
+    SELECT k, row_number() OVER (PARTITION BY k ORDER BY step) AS nth, coalesce(string_agg(d, '' ORDER BY i) FILTER (WHERE i < p), '') AS before, coalesce(string_agg(d, '' ORDER BY i) FILTER (WHERE i > p), '') AS after
+    FROM steps GROUP BY k, step),
+  folds AS (
+    SELECT k, 0::BIGINT AS nth, found AS d FROM leaves
+    UNION ALL SELECT f.k, r.nth, sha256(before || d || after) FROM folds f JOIN runs r ON r.k = f.k AND r.nth = f.nth + 1),
+  folded AS (SELECT k, arg_max(d, nth) AS folded_root FROM folds GROUP BY k)
+  SELECT doc_id, leaf, s.d AS subroot, t.d AS root, coalesce(proof_sha256, sha256('')) AS proof_sha256, folded_root, folded_root = t.d AS verified
+  FROM leaves l JOIN subroots s USING (src) JOIN (SELECT d FROM top WHERE n = 1) t ON true JOIN folded USING (k) LEFT JOIN proofs USING (k)"""
+
+
+@query("op13_merkle_manifest", sql=MERKLE_SQL)
+def op13(docs: DataFrame) -> DataFrame:
+    found = merkle.manifest(docs, checked=merkle.without_line_ends())
+    digests = [F.lower(F.hex(c)).alias(name) for c, name in (("leaf", "leaf"), ("subroot", "subroot"), ("root", "root"))]
+    proof = F.sha2(F.encode(F.lower(F.hex("proof")), "UTF-8"), 256)
+    return found.select("doc_id", *digests, proof.alias("proof_sha256"), F.lower(F.hex("folded")).alias("folded_root"), (F.col("folded") == F.col("root")).alias("verified"))
+
+
 QUERIES["pipeline"] = corpus_pipeline.run
 if corpus_pipeline.ORACLE_SQL is not None:
     ORACLES["pipeline"] = corpus_pipeline.ORACLE_SQL
