@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rosterspark.llm import arrow_files, bpe, embedding_dedup, language_id, line_dedup, matroska, merkle, ngram_join, packing, secrets, sharding
+from rosterspark.llm import arrow_files, bpe, collocations, embedding_dedup, language_id, line_dedup, matroska, merkle, ngram_join, packing, secrets, sharding, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -146,6 +146,41 @@ def op10(docs: DataFrame) -> DataFrame:
     return sharding.assign_shards(docs).select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op11(spark: SparkSession, folder: str) -> DataFrame:
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    scored = toxicity.score_documents(docs, spark.read.parquet(f"{folder}/labels.parquet"))
+    spans = F.array_join(F.transform("spans", lambda s: F.concat_ws(":", s["start"].cast("string"), s["end"].cast("string"))), ",")
+    return scored.select("doc_id", toxicity.held_out().alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), spans.alias("spans"))
+
+
+QUERIES["op11_toxicity"] = op11
+
+PHRASES_SQL = f"""
+  WITH pieces AS (
+    SELECT lang, regexp_extract_all(piece, '[^\\x20\\x09]+') AS w
+    FROM (SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\\x0A-\\x0D]')) AS piece FROM documents)),
+  totals AS (SELECT lang, sum(len(w))::BIGINT AS n FROM pieces GROUP BY lang),
+  grams AS (SELECT lang, size, unnest(list_transform(range(1, len(w) - size + 2), lambda i: array_to_string(w[i:i + size - 1], ' '))) AS phrase FROM pieces, range(1, {collocations.ORDER + 1}) sizes(size) WHERE len(w) >= size),
+  f AS (SELECT lang, size, phrase, count(*) AS a FROM grams GROUP BY lang, size, phrase HAVING count(*) >= {collocations.LEAST}),
+  candidates AS (SELECT *, string_split(phrase, ' ') AS w FROM f WHERE size > 1),
+  cuts AS (SELECT *, unnest(range(1, size)) AS k FROM candidates),
+  scored AS (
+    SELECT c.lang, c.phrase, c.a, c.k, x.a AS l, y.a AS r, (({collocations.SCALE}::HUGEINT * c.a) // (x.a::HUGEINT + y.a))::BIGINT AS score
+    FROM cuts c JOIN f x ON x.lang = c.lang AND x.phrase = array_to_string(c.w[1:k], ' ') JOIN f y ON y.lang = c.lang AND y.phrase = array_to_string(c.w[k + 1:c.size], ' ')),
+  best AS (SELECT *, row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) AS nth FROM scored),
+  longs AS (SELECT *, unnest(range(2, size)) AS part FROM candidates WHERE size > 2),
+  inside AS (SELECT lang, a, unnest(list_transform(range(1, size - part + 2), lambda i: array_to_string(w[i:i + part - 1], ' '))) AS phrase FROM longs),
+  around AS (SELECT lang, phrase, max(a) AS longer FROM inside GROUP BY lang, phrase),
+  kept AS (SELECT b.* FROM best b LEFT JOIN around USING (lang, phrase) WHERE nth = 1 AND (longer IS NULL OR 100::HUGEINT * longer < {collocations.COVERED}::HUGEINT * a)),
+  ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM kept)
+  SELECT lang, rank, phrase, a, l, r, n, score FROM ranked JOIN totals USING (lang) WHERE rank <= {collocations.TOP}"""
+
+
+@query("op12_collocations", sql=PHRASES_SQL)
+def op12(docs: DataFrame) -> DataFrame:
+    return collocations.phrases(docs, stable=True)
+
+
 _FIELD = "coalesce(strlen({0}) || ':' || {0}, '-')"
 _LEAF = "sha256(" + " || ".join(_FIELD.format(f"CAST({c} AS VARCHAR)") for c in merkle.FIELDS[:-1]) + " || " + _FIELD + ")"
 #: crc32 of a short text, bit by bit: a byte is taken in, then eight steps (-1) follow.
