@@ -65,30 +65,44 @@ def platform_of(host: Column, platforms=SOCIAL_HOSTS) -> Column:
     return chain
 
 
+#: Matches whose offsets are summed in one go; a list grows by a copy of itself, so lists of a whole page would cost its square.
+OFFSET_BLOCK = 256
+
+
+def running_sums(steps: Column, block: int = OFFSET_BLOCK) -> Column:
+    """For each (gap, tag) the sum of all before it and its own gap: block by block, then each block's sum over the earlier ones."""
+
+    def sums(values, item, add):
+        step = F.aggregate(
+            values, F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out")),
+            lambda a, v: F.struct((a["at"] + add(v)).alias("at"), F.concat(a["out"], F.array(a["at"] + item(v))).alias("out")),
+        )
+        return step
+
+    def joined(blocks):
+        before = sums(blocks, lambda b: F.lit(0), lambda b: b["at"])["out"]
+        return let(before, lambda bases: F.flatten(F.transform(blocks, lambda b, i: F.transform(b["out"], lambda o: o + F.get(bases, i)))))
+
+    def cut(all_steps):
+        starts = F.sequence(F.lit(0), F.floor((F.greatest(F.size(all_steps), F.lit(1)) - 1) / F.lit(block)).cast("int"))
+        return F.transform(starts, lambda i: sums(F.slice(all_steps, i * block + 1, F.lit(block)), lambda v: v["gap"], lambda v: v["gap"] + v["tag"]))
+
+    return let(steps, lambda all_steps: let(cut(all_steps), joined))
+
+
 def match_starts(html: Column | str, pattern: str) -> Column:
     """1-based start positions of the matches of ``pattern``, in order.
 
     The pieces between matches and the matches themselves alternate, so the starts are running
     sums of their lengths; one pass each, inside the JVM.
     """
-
-    def starts(lengths):
-        step = F.aggregate(
-            lengths,
-            F.struct(F.lit(1).alias("at"), F.array().cast("array<int>").alias("out")),
-            lambda a, l: F.struct(
-                (a["at"] + l["gap"] + l["tag"]).alias("at"), F.concat(a["out"], F.array(a["at"] + l["gap"])).alias("out")
-            ),
-        )
-        return step["out"]
-
     pieces = F.split(col(html), pattern, -1)
     tags = F.regexp_extract_all(col(html), F.lit(pattern), F.lit(0))
     lengths = F.zip_with(
         F.slice(pieces, F.lit(1), F.size(tags)), tags,
         lambda p, t: F.struct(F.length(p).alias("gap"), F.length(t).alias("tag")),
     )
-    return let(lengths, starts)
+    return F.transform(running_sums(lengths), lambda o: o + 1)
 
 
 def context_window(html: Column | str, start: Column, radius: int = 200) -> Column:

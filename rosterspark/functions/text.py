@@ -219,9 +219,10 @@ def excerpt(c: Column | str, limit: int = 300) -> Column:
     return F.when(F.length(value) > limit, F.concat(F.left(value, F.lit(limit)), F.lit("…"))).otherwise(value)
 
 
-def clip_input(c: Column | str, limit: int) -> Column:
-    """Trim and clip a submitted field; '' when missing."""
-    return F.left(trim(F.coalesce(col(c), F.lit(""))), F.lit(limit))
+def clip_input(c: Column | str, limit: int | None) -> Column:
+    """Trim and clip a submitted field (None: keep all of it); '' when missing."""
+    value = trim(F.coalesce(col(c), F.lit("")))
+    return value if limit is None else F.left(value, F.lit(limit))
 
 
 def parse_time(c: Column | str) -> Column:

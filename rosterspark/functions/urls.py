@@ -1,8 +1,8 @@
 """URL resolution and safety checks as column expressions (no Python in the row path).
 
 Follows the browser rules for http(s): relative resolution, dot segments, lower-case host,
-default ports, number-form IPv4 hosts, percent-encoding of unsafe characters. Host names outside
-ASCII and percent-encoded hosts are not converted; such URLs count as unusable.
+default ports, number-form IPv4 hosts, percent-encoding of unsafe characters, percent-encoded host
+names and those outside ASCII (``hosts``).
 
 The rules are written as Spark SQL text with ``x -> ...`` lambdas as local names: one parse instead
 of thousands of Column calls, which keeps planning short when a query resolves many fields.
@@ -16,6 +16,7 @@ from itertools import count
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from rosterspark.functions.hosts import ascii_host
 from rosterspark.functions.text import col, filled, trim
 
 Sql = str
@@ -95,7 +96,7 @@ def _dotted(value: Sql) -> Sql:
 
 
 def _canonical_host(host: Sql) -> Sql:
-    """Lower-case host; a number-form IPv4 host becomes dotted decimal; null if unusable."""
+    """Lower-case ASCII host; a number-form IPv4 host becomes dotted decimal; null if unusable."""
 
     def number(p):
         return (
@@ -124,7 +125,7 @@ def _canonical_host(host: Sql) -> Sql:
             f"when size({labels}) > 4 then null else {numeric} end"
         )
 
-    return _let(f"lower({host})", judge)
+    return _let(ascii_host(host), judge)
 
 
 _PARTS = "struct<href:string,origin:string,protocol:string,host:string,userinfo:string>"
@@ -367,8 +368,8 @@ def _private_ipv6(host: Sql) -> Sql:
     return f"coalesce(if(contains({host}, ':'), {_let(parsed, check)}, false), false)"
 
 
-def check_submission_url(c: Column | str) -> Column:
-    """``struct(ok, reason, href)``: the first rule that a submitted URL breaks, in order."""
+def check_submission_url(c: Column | str, longest: int | None = MAX_SUBMITTED_URL) -> Column:
+    """``struct(ok, reason, href)``: the first rule that a submitted URL breaks, in order. ``longest`` None: of any length."""
 
     def said(reason: str) -> Sql:
         return "'" + reason.replace("'", "\\'") + "'"
@@ -377,8 +378,9 @@ def check_submission_url(c: Column | str) -> Column:
         t, p = f"{v}.t", f"{v}.p"
         local = f"({_like(f'{p}.host', r'(^|\.)localhost\z')} or endswith({p}.host, '.local'))"
         private = _let(f"{p}.host", lambda h: f"({_private_ipv4(h)} or {_private_ipv6(h)})")
+        too_long = "" if longest is None else f"when length({t}) > {longest} then {said(REASON_LONG)} "
         reason = (
-            f"case when {t} = '' then {said(REASON_EMPTY)} when length({t}) > {MAX_SUBMITTED_URL} then {said(REASON_LONG)} "
+            f"case when {t} = '' then {said(REASON_EMPTY)} {too_long}"
             f"when {p} is null then {said(REASON_INVALID)} when {p}.protocol not in ('http', 'https') then {said(REASON_SCHEME)} "
             f"when {p}.userinfo <> '' then {said(REASON_LOGIN)} when {local} or {private} then {said(REASON_HOST)} end"
         )

@@ -12,7 +12,7 @@ from rosterspark.functions.html import is_noise_href, looks_like_gov_site
 from rosterspark.functions.urls import url_origin
 from rosterspark.operators.records import first_per_key
 from rosterspark.operators.selection import first_k_per_group
-from rosterspark.session import staged
+from rosterspark.session import staged, staging
 
 # Crawl bounds.
 FETCH_BUDGET = 8
@@ -49,8 +49,12 @@ def expand_frontier(
 
     First-in-first-out order equals (round, rank of the parent visit, link position), so a round is:
     rank the frontier, keep what the budget allows, stop a group where it has enough distinct ids,
-    take the links of the visited pages that are not queued before. At most ``fetch_budget`` rounds,
-    written to the shared folder, so its plan is cut off from the one before. The inputs are written once, pruned.
+    take the links of the visited pages that are not queued before. At most ``fetch_budget`` rounds.
+
+    A round works on what is new only. It writes two tables: its visits with the ids they found first, and the links to go on
+    with. A group whose frontier has links was visited in the round before, so its state is read from that round's visits
+    alone; what was queued or found earlier is the union of the rounds' tables and is only probed (anti-joins). All of them, and
+    the pruned inputs, are removed at the end; the walk is one table.
 
     ``starts``: group, start_url (what the walk starts from), final_url (what it led to), origin. ``pages``: url,
     final_url, ok (one row per url); a start page that is known only by its requested url is that page, not fetched again.
@@ -58,6 +62,11 @@ def expand_frontier(
     ``officials``: url (final), id, and group where ids depend on it: several groups may share a site. Result: group, visit (0-based), url, final_url, ok, found_ids (distinct ids
     after the visit), is_source (the page a result of the walk is credited to).
     """
+    with staging(starts.sparkSession) as block:
+        return block.keep(_walk(starts, pages, links, officials, hits, fetch_budget, min_officials, links_per_page))
+
+
+def _walk(starts, pages, links, officials, hits, fetch_budget, min_officials, links_per_page) -> DataFrame:
     by_url = pages.select("url", "final_url", "ok")
     # The first visit goes by the address that a redirect led to; that page is there under the requested address.
     started = starts.select(F.col("start_url").alias("url"), F.col("final_url").alias("_to")).distinct().join(by_url, "url").select(F.col("_to").alias("url"), "final_url", "ok")
@@ -69,55 +78,30 @@ def expand_frontier(
     starts = staged(starts.select("group", "start_url", "final_url", "origin"))
     origins = starts.select("group", "origin")
 
-    frontier = initial_frontier(starts, hits)
-    queued = staged(
-        frontier.select("group", "url").unionByName(starts.select("group", F.col("start_url").alias("url"))).distinct()
-    )
-    state = starts.select("group", F.lit(0).alias("visits"), F.lit(0).cast("bigint").alias("n_ids"))
-    seen_ids = None
+    frontier = staged(initial_frontier(starts, hits))
+    queued = [frontier.select("group", "url"), starts.select("group", F.col("start_url").alias("url"))]
+    live = starts.select("group", F.lit(0).alias("visits"), F.lit(0).cast("bigint").alias("n_ids"))
     rounds: list[DataFrame] = []
-    for _ in range(fetch_budget):
-        live = state.filter((F.col("visits") < fetch_budget) & (F.col("n_ids") < min_officials))
+    while len(rounds) < fetch_budget:
         ranked = first_k_per_group(frontier.join(live, "group"), ["group"], [F.col("place").asc(), F.col("url").asc()], fetch_budget, "_k")
         within = ranked.withColumn("visit", F.col("visits") + F.col("_k") - 1).filter(F.col("visit") < fetch_budget)
         fetched = within.join(by_url, "url", "left").select(
             "group", "visit", "url", "n_ids", F.coalesce("final_url", "url").alias("final_url"), F.coalesce("ok", F.lit(False)).alias("ok")
         )
-        fetched = staged(fetched)
-        if fetched.isEmpty():
-            break
-        # Ids first seen at a visit of this round; running sum of at most fetch_budget rows per group.
-        new_ids = fetched.filter("ok").join(ids, on).groupBy("group", "id").agg(F.min("visit").alias("visit"))
-        if seen_ids is not None:
-            new_ids = new_ids.join(seen_ids, ["group", "id"], "left_anti")
-        gained = new_ids.groupBy("group", "visit").agg(F.count(F.lit(1)).alias("_gain"))
-        order = Window.partitionBy("group").orderBy("visit")
-        counted = fetched.join(gained, ["group", "visit"], "left").withColumn(
-            "found_ids", F.col("n_ids") + F.sum(F.coalesce("_gain", F.lit(0))).over(order)
-        ).withColumn("_before", F.coalesce(F.lag("found_ids").over(order), F.col("n_ids")))
-        visited = staged(
-            counted.filter(F.col("_before") < min_officials).select("group", "visit", "url", "final_url", "ok", "found_ids")
-        )
-        rounds.append(visited)
-        reached = visited.select("group", "visit")
-        step = new_ids.join(reached, ["group", "visit"], "left_semi").select("group", "id")
-        seen_ids = staged(step if seen_ids is None else seen_ids.unionByName(step))
-        last = visited.groupBy("group").agg((F.max("visit") + 1).alias("_visits"), F.max("found_ids").alias("_ids"))
-        state = staged(
-            state.join(last, "group", "left").select(
-                "group", F.coalesce("_visits", "visits").alias("visits"), F.coalesce("_ids", "n_ids").alias("n_ids")
-            )
-        )
+        rounds.append(staged(_round(fetched, ids, on, [_ids(r) for r in rounds], min_officials)))
+        visited = _visits(rounds[-1])
+        live = visited.groupBy("group").agg((F.max("visit") + 1).alias("visits"), F.max("found_ids").alias("n_ids"))
+        live = live.filter((F.col("visits") < fetch_budget) & (F.col("n_ids") < min_officials))
         # A page that reaches the minimum ends its walk, so its links are not queued.
         parents = visited.filter(F.col("ok") & (F.col("found_ids") < min_officials))
         found = parents.join(suggestions, "final_url").join(origins, "group")
-        fresh = same_origin_new_links(found, queued, "group")
+        fresh = same_origin_new_links(found, reduce(DataFrame.unionByName, queued), "group")
         place = F.shiftleft(F.col("visit").cast("bigint"), 32) + F.col("pos")
         frontier = staged(fresh.groupBy("group", F.col("link").alias("url")).agg(F.min(place).alias("place")))
-        queued = staged(queued.unionByName(frontier.select("group", "url")))
-    walk = reduce(DataFrame.unionByName, rounds) if rounds else None
-    if walk is None:
-        raise ValueError("no start pages")
+        if frontier.isEmpty():
+            break
+        queued.append(frontier.select("group", "url"))
+    walk = reduce(DataFrame.unionByName, [_visits(r) for r in rounds])
     source = F.max_by("visit", F.when(F.col("ok") & (F.col("found_ids") > 0), F.col("visit")))
     credited = walk.groupBy("group").agg(source.alias("_source"))
     return walk.join(credited, "group", "left").withColumn(
@@ -125,6 +109,30 @@ def expand_frontier(
     ).drop("_source")
 
 
+def _visits(rows: DataFrame) -> DataFrame:
+    return rows.filter(F.col("id").isNull()).drop("id")
+
+
+def _ids(rows: DataFrame) -> DataFrame:
+    return rows.filter(F.col("id").isNotNull()).select("group", "id")
+
+
+def _round(fetched: DataFrame, ids: DataFrame, on: list[str], seen: list[DataFrame], min_officials: int) -> DataFrame:
+    """Visits of a round up to the one that reaches the minimum, and below them (``id`` set) the ids that they found first."""
+    # Ids first seen at a visit of this round; running sum of at most fetch_budget rows per group.
+    new_ids = fetched.filter("ok").join(ids, on).filter(F.col("id").isNotNull()).groupBy("group", "id").agg(F.min("visit").alias("visit"))
+    if seen:
+        new_ids = new_ids.join(reduce(DataFrame.unionByName, seen), ["group", "id"], "left_anti")
+    gained = new_ids.groupBy("group", "visit").agg(F.count(F.lit(1)).alias("_gain"))
+    order = Window.partitionBy("group").orderBy("visit")
+    counted = fetched.join(gained, ["group", "visit"], "left").withColumn(
+        "found_ids", F.col("n_ids") + F.sum(F.coalesce("_gain", F.lit(0))).over(order)
+    ).withColumn("_before", F.coalesce(F.lag("found_ids").over(order), F.col("n_ids")))
+    visited = counted.filter(F.col("_before") < min_officials).select("group", "visit", "url", "final_url", "ok", "found_ids")
+    step = new_ids.join(visited.select("group", "visit"), ["group", "visit"], "left_semi").select("group", "id")
+    return visited.withColumn("id", F.lit(None).cast("string")).unionByName(step.withColumn("id", F.col("id").cast("string")), allowMissingColumns=True)
+
+
 def resolve_site(candidates: DataFrame, pages: DataFrame, city: str = "city") -> DataFrame:
     """The first candidate page that reads like the official site of its group.
 

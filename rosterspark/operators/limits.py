@@ -74,11 +74,11 @@ def used_on(ledger: DataFrame, day: str) -> DataFrame:
     return ledger.agg(F.coalesce(F.sum(F.when(F.col("date") == day, F.col("calls_used"))), F.lit(0)).alias("used"))
 
 
-def search_log_rows(raw: DataFrame, at: str = "t", query: str = "query", typed: str = "typed", geo: str = "geo") -> DataFrame:
-    """Validated, clipped log rows; only the resolved place is kept of the geo answer."""
+def search_log_rows(raw: DataFrame, at: str = "t", query: str = "query", typed: str = "typed", geo: str = "geo", length: int | None = QUERY_LENGTH) -> DataFrame:
+    """Validated log rows, texts clipped to ``length`` (None: whole); only the resolved place is kept of the geo answer."""
     g = F.col(geo)
-    text = clip_input(query, QUERY_LENGTH)
+    text = clip_input(query, length)
     return raw.filter(text != "").select(
-        F.col(at).alias("t"), text.alias("query"), filled(clip_input(typed, QUERY_LENGTH)).alias("typed"),
+        F.col(at).alias("t"), text.alias("query"), filled(clip_input(typed, length)).alias("typed"),
         F.when(g.isNotNull(), F.struct(*[g[k].alias(k) for k in ("state", "county", "place")])).alias("resolved"),
     )

@@ -225,6 +225,58 @@ def merge_records(existing: DataFrame, incoming: DataFrame, seq: str = "seq") ->
     return joined.select(*[merged[c].alias(c) if c in merged else F.col(c) for c in names])
 
 
+def fold_incoming(incoming: DataFrame, seq: str = "seq") -> DataFrame:
+    """The rows of each id in ``seq`` order as one record, ready to meet a stored one.
+
+    ``offices`` are those of an id that isn't stored yet (its first row counts as the stored one); ``_offices_after`` are
+    those that a stored record would take on. Everything else folds alike in both cases.
+    """
+    names = [f.name for f in OFFICIAL]
+    rows = incoming.select(*names, F.col(seq).cast("bigint").alias("_ord"))
+    flat = rows.select("*", *[F.col("social")[k].alias(f"_s_{k}") for k in SOCIAL_KEYS])
+    main = flat.groupBy("id").agg(
+        *_fold([*KNOWLEDGE, *[f"_s_{k}" for k in SOCIAL_KEYS]], PROVENANCE, "_ord"),
+        F.max(F.col("social").isNotNull()).alias("_has_social"),
+        F.min("_ord").alias("_first_ord"),
+        F.count(F.lit(1)).alias("_n"),
+        F.min_by("offices", "_ord").alias("_first_offices"),
+    )
+    # Office lists meet row by row only where an id has several rows.
+    several = flat.join(main.filter("_n > 1").select("id"), "id", "left_semi")
+    joined = main.join(_merged_offices(several), "id", "left")
+    groups = F.array_sort(F.coalesce("_groups", F.array().cast(_GROUPS)))
+    alone = F.transform(groups, lambda g: F.when(g["at"]["_ord"] == F.col("_first_ord"), g["from_first"]).otherwise(g["folded"]))
+    single = F.col("_n") == 1
+    out = {
+        "social": F.when(F.col("_has_social"), F.struct(*[F.col(f"_s_{k}").alias(k) for k in SOCIAL_KEYS])),
+        "offices": F.when(single, F.col("_first_offices")).otherwise(alone),
+    }
+    after = F.when(single, F.col("_first_offices")).otherwise(F.transform(groups, lambda g: g["folded"]))
+    return joined.select(*[out[c].alias(c) if c in out else F.col(c) for c in names], after.alias("_offices_after"))
+
+
+def upsert_folded(existing: DataFrame, folded: DataFrame) -> DataFrame:
+    """Stored records (one row an id) with ``fold_incoming``'s: one full outer join on id and a merge of the two rows.
+
+    The same as ``merge_records``, but stored rows are neither shuffled nor sorted if they lie bucketed by id.
+    """
+    names = [f.name for f in OFFICIAL]
+    old = existing.select("id", F.struct(*names).alias("_old"))
+    new = folded.select("id", F.struct(*names, "_offices_after").alias("_new"))
+    both = old.join(new, "id", "full_outer")
+    o, n = F.col("_old"), F.col("_new")
+    known = lambda a, b: F.when(has(b), b).otherwise(a)
+    merged = {c: n[c] for c in PROVENANCE} | {c: known(o[c], n[c]) for c in KNOWLEDGE}
+    merged["id"] = F.col("id")
+    merged["social"] = F.when(
+        o["social"].isNotNull() | n["social"].isNotNull(), F.struct(*[known(o["social"][k], n["social"][k]).alias(k) for k in SOCIAL_KEYS])
+    )
+    merged["offices"] = merge_office_lists(o["offices"], n["_offices_after"])
+    return both.select(*[
+        F.when(n["id"].isNull(), o[c]).when(o["id"].isNull(), n[c]).otherwise(merged[c]).alias(c) for c in names
+    ])
+
+
 _OFFICE_STRUCT = "struct<" + ",".join(f"{k}:string" for k in OFFICE_KEYS) + ">"
 _GROUPS = (
     f"array<struct<at:struct<_ord:bigint,pos:int>,from_first:{_OFFICE_STRUCT},folded:{_OFFICE_STRUCT}>>"

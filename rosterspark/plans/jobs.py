@@ -1,6 +1,7 @@
 """Composite jobs: the operators wired into the runs a user schedules.
 
-Inputs and outputs are tables. Anything a job publishes goes through ``sources.writers``.
+Inputs and outputs are tables. Anything a job publishes goes through ``sources.writers``. Some jobs stage tables that their
+results read from; run a job and write its results inside ``with session.staging(spark):``, which removes them.
 """
 
 from __future__ import annotations
@@ -140,7 +141,7 @@ def discovery_job(
     rows = rows.select("group", F.col("url").alias("source_url"), "raw", _place().alias("jurisdiction"), F.lit(now).alias("extracted_at"))
     clean = staged(records.normalize(rows))
     found = clean.select("group", "id", F.col("source_url").alias("url"))
-    walk = staged(crawl.expand_frontier(starts, pages, links, found, hits, links_per_page=links_per_page))
+    walk = crawl.expand_frontier(starts, pages, links, found, hits, links_per_page=links_per_page)
     source = walk.filter("is_source").select("group", F.col("final_url").alias("roster_url"))
     visits = walk.filter("ok").select("group", F.col("final_url").alias("source_url"), "visit")
     collected = clean.join(visits, ["group", "source_url"])
@@ -243,17 +244,20 @@ def reported_links_job(
     return staged, review, records.jurisdictions_of(staged)
 
 
-def report_triage_job(submissions: DataFrame, responses: DataFrame, open_issues: DataFrame) -> DataFrame:
+def report_triage_job(
+    submissions: DataFrame, responses: DataFrame, open_issues: DataFrame, note_length: int | None = limits.NOTE_LENGTH,
+    link_length: int | None = limits.LINK_LENGTH, title_length: int | None = extraction.TITLE_LENGTH,
+) -> DataFrame:
     """Rate-limited reports with their triage and duplicate status.
 
-    ``submissions``: seq, ts, ip, note, url. ``responses``: seq, response.
+    ``submissions``: seq, ts, ip, note, url. ``responses``: seq, response. Texts are clipped to the lengths given; None keeps them whole.
     """
     clean = submissions.select(
-        "seq", "ts", hash_key("ip").alias("key"), clip_input("note", limits.NOTE_LENGTH).alias("note"),
-        clip_input("url", limits.LINK_LENGTH).alias("url"),
+        "seq", "ts", hash_key("ip").alias("key"), clip_input("note", note_length).alias("note"),
+        clip_input("url", link_length).alias("url"),
     ).filter(has("note"))
     accepted = limits.rate_limit(clean, ["key"])
-    triaged = extraction.parse_triage(responses).join(accepted, "seq")
+    triaged = extraction.parse_triage(responses, title_length=title_length).join(accepted, "seq")
     return extraction.resolve_duplicates(triaged, open_issues).withColumn("excerpt", excerpt("note"))
 
 

@@ -173,3 +173,29 @@ def report_files(t):
     for part in (0, 1, 2):
         writers.append_reports(rows.filter(F.col("seq") % 3 == part), path)
     return t.spark.read.parquet(path)
+
+
+@query(
+    "sinks_repeated",
+    f"""
+    SELECT 'problems' AS sink, url AS item, '{NOW}' AS at, 'r' || (page_id % 2) AS run FROM pages UNION ALL SELECT 'probes', url, '{NOW}', 'r' || (page_id % 2) FROM pages
+    UNION ALL SELECT 'log', event_type || event_id, strftime(ts, '%Y-%m-%d'), 'r' || (event_id % 2) FROM events UNION ALL SELECT 'reports', event_id::VARCHAR, '', 'r' || (event_id % 2) FROM events
+    """,
+)
+def sinks_repeated(t):
+    """Two runs of every append table; each is tried twice, the first time with only a part of its rows, and leaves them once."""
+    folder = scratch(t)
+    pages = t.pages.select("page_id", "url", F.lit("HTTP 500").alias("error"))
+    events = t.events.select("event_id", F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("t"), F.concat("event_type", "event_id").alias("query"))
+    for run, part in ((0, 3), (1, 1), (0, 1), (1, 1)):
+        name = f"r{run}"
+        some = lambda df, key: df.filter((F.col(key) % 2 == run) & (F.col(key) % part == 0)).drop(key)  # noqa: B023,E731
+        writers.write_problems(some(pages, "page_id"), folder + "/problems", NOW, name)
+        writers.write_probe_report(some(pages, "page_id"), folder + "/probes", NOW, name)
+        writers.append_log(some(events, "event_id"), folder + "/log", name)
+        writers.append_reports(some(events.select("event_id", F.col("event_id").alias("seq")), "event_id"), folder + "/reports", name)
+    read = lambda sink, item, at: t.spark.read.parquet(f"{folder}/{sink}").select(F.lit(sink).alias("sink"), item.alias("item"), at.cast("string").alias("at"), F.col("run").cast("string").alias("run"))
+    return (
+        read("problems", F.col("url"), F.col("generated_at")).unionByName(read("probes", F.col("url"), F.col("generated_at")))
+        .unionByName(read("log", F.col("query"), F.col("day"))).unionByName(read("reports", F.col("seq").cast("string"), F.lit("")))
+    )

@@ -7,10 +7,10 @@ from pyspark.sql import functions as F
 from rosterspark.functions.text import jurisdiction_key
 from rosterspark.operators.records import merge_records
 from rosterspark.plans import jobs
-from rosterspark.plans.catalog import Tables, query, s_id
-from rosterspark.plans.queries_records import _duplicates, _official, _order_officials
+from rosterspark.plans.catalog import Tables, query, s_id, s_text
+from rosterspark.plans.queries_records import _DUP_SQL, _duplicates, _official, _order_officials
 from rosterspark.plans.queries_selection import NOW, _places, _population
-from rosterspark.plans.queries_tiers import _committees, _district_entries, _executive, _legislators, _membership, _people
+from rosterspark.plans.queries_tiers import _MEMBER_SQL, _committees, _district_entries, _executive, _legislators, _membership, _people
 from rosterspark.schema import OFFICE_KEYS, OFFICIAL, RAW_OFFICIAL, SOCIAL_KEYS
 from rosterspark.session import new_folder
 from rosterspark.sources import readers, writers
@@ -468,3 +468,158 @@ def promote_run(t):
     none = t.supplier.select(jurisdiction_key(F.lit("ZZ"), "s_name", F.lit("local")).alias("key"))
     _, officials = jobs.promote_job(entries, none, none, NOW)
     return officials.select("jurisdiction.city", F.col("id").cast("bigint").alias("first_entry"))
+
+
+# --- whole outputs --------------------------------------------------------------------------
+
+
+@query(
+    "promote_officials",
+    """
+    SELECT min(c_custkey)::VARCHAR AS id, 'N' || min(c_custkey) AS name, NULL AS office, 'local' AS level, 'X City Council' AS body, NULL AS district, NULL AS confidence, NULL AS phone, NULL AS email, NULL AS url,
+      NULL AS photo_url, 'twitter=~,facebook=~,instagram=~,linkedin=~,youtube=~' AS social, NULL AS address, '~' AS offices, NULL AS hours, NULL AS bio, NULL AS bio_checked_at,
+      c_mktsegment || (c_custkey % 50) AS city, 'TX' AS state, NULL AS source_url, '2026-08-19T00:00:00Z' AS extracted_at, min(c_custkey) << 32 AS seq
+    FROM customer WHERE c_custkey % 3 <> 0 GROUP BY c_mktsegment || (c_custkey % 50)
+    """,
+)
+def promote_officials(t):
+    return _whole(jobs.promote_job(*_promotion(t), NOW)[1], "seq").withColumn("offices", F.coalesce("offices", F.lit("~")))
+
+
+@query(
+    "promote_places",
+    """
+    SELECT c_mktsegment || (c_custkey % 50) AS city, 'TX' AS state, 'local' AS level, 'X City Council' AS body, 'u' AS urls, '{now}' AS discovered_at, 'TX:' || lower(c_mktsegment || (c_custkey % 50)) || ':local' AS key
+    FROM customer WHERE c_custkey % 3 <> 0 GROUP BY c_mktsegment || (c_custkey % 50)
+    """.replace("{now}", NOW),
+)
+def promote_places(t):
+    return jobs.promote_job(*_promotion(t), NOW)[0].withColumn("urls", F.array_join("urls", ","))
+
+
+def _promotion(t):
+    n = F.col("c_custkey")
+    place = F.struct(F.concat(F.col("c_mktsegment"), n % 50).alias("city"), F.lit("TX").alias("state"))
+    person = F.struct(*_official(n.cast("string"), n, jurisdiction=place, body=F.lit("X City Council")))
+    entries = t.customer.select((n % 3 != 0).alias("ok"), F.array(person).alias("officials"), F.lit("u").alias("source_url"), F.lit("").alias("checked_at"), n.alias("seq"))
+    none = t.supplier.select(jurisdiction_key(F.lit("ZZ"), "s_name", F.lit("local")).alias("key"))
+    return entries, none, none
+
+
+@query(
+    "collapse_whole",
+    _DUP_SQL + """
+    SELECT id, 'José "Pat" Vela' AS name, CASE WHEN base % 2 = 0 THEN 'Councilmember' ELSE 'City Council Member' END AS office, 'local' AS level, NULL AS body, NULL AS district, NULL AS confidence,
+      g.phone, NULL AS email, NULL AS url, NULL AS photo_url, CASE WHEN has_social THEN 'twitter=' || coalesce(g.twitter, '~') || ',facebook=' || coalesce(s.facebook, '~') || ',instagram=' || coalesce(s.instagram, '~')
+        || ',linkedin=' || coalesce(s.linkedin, '~') || ',youtube=' || coalesce(s.youtube, '~') ELSE 'twitter=~,facebook=~,instagram=~,linkedin=~,youtube=~' END AS social,
+      NULL AS address, CASE WHEN office_phone IS NOT NULL THEN 'm/~/c/~/' || office_phone || '/~/~' ELSE '~' END AS offices, NULL AS hours, g.bio, NULL AS bio_checked_at, 'C' || s.cust AS city, 'TX' AS state, NULL AS source_url,
+      strftime(s.at, '%Y-%m-%dT%H:%M:%SZ') AS extracted_at
+    FROM g JOIN (
+      SELECT {id} AS id, o_custkey AS cust, max(o_orderdate) AS at, {social} FROM orders GROUP BY 1, 2) s USING (id)
+    """.replace("{id}", s_id("'TX'", "'C' || o_custkey", "'Councilmember'", "'José Pat Vela'")).replace(
+        "{social}", ", ".join(f"arg_max('{k}' || o_orderkey, (o_orderdate, -o_orderkey)) FILTER (o_orderkey % 7 <> 0 AND o_orderkey % {i + 2} = 0) AS {k}" for i, k in enumerate(SOCIAL_KEYS) if i)
+    ),
+)
+def collapse_whole(t):
+    rows, _ = jobs.collapse_job(_duplicates(t))
+    return _whole(rows).withColumn("offices", F.coalesce("offices", F.lit("~")))
+
+
+@query(
+    "collapse_totals",
+    """
+    WITH g AS (SELECT o_custkey, count(*) AS n FROM orders GROUP BY 1)
+    SELECT count(*) FILTER (n > 1) AS groups, sum(n - 1)::BIGINT AS removed, sum(n)::BIGINT AS before, count(*) AS after FROM g
+    """,
+)
+def collapse_totals(t):
+    return jobs.collapse_job(_duplicates(t))[1]
+
+
+@query(
+    "federal_whole",
+    _MEMBER_SQL + """,
+    c AS (SELECT bioguide, string_agg(committee_id || '=' || committee || '/' || coalesce(role, ''), ';' ORDER BY n) AS committees FROM j GROUP BY 1),
+    r AS (SELECT 'B' || (s_suppkey % 50) AS bioguide, max(s_suppkey) AS n FROM supplier WHERE s_suppkey % 11 <> 0 AND s_suppkey % 6 <> 0 GROUP BY 1),
+    o AS (SELECT bioguide, 'district/' || CASE WHEN n % 2 = 0 THEN 'Hall, ' ELSE '' END || 'S' || n || '/C/~/~/~/~,district/~/' || CASE WHEN n % 3 = 0 THEN 'D' ELSE '~' END || '/Elm/~/~/~' AS offices FROM r)
+    SELECT 'B' || s_suppkey AS bioguide, CASE WHEN s_suppkey % 7 <> 0 THEN '2027-01-03' END AS term_start, CASE WHEN s_suppkey % 7 <> 0 THEN '2029-01-03' END AS term_end,
+      CASE WHEN s_suppkey % 7 <> 0 AND (s_suppkey % 3 = 0 OR s_suppkey % 5 = 0) THEN 'dc/' || CASE WHEN s_suppkey % 5 = 0 THEN 'Room ' || s_suppkey ELSE 'Washington DC Office' END || '/~/'
+        || CASE WHEN s_suppkey % 3 = 0 THEN 'A' || s_suppkey ELSE '~' END || '/~/~/~' ELSE '~' END AS dc_office,
+      coalesce(committees, '') AS committees, coalesce(offices, '') AS district_offices, CASE WHEN s_suppkey % 4 = 0 THEN s_name END AS bio, CASE WHEN s_suppkey % 4 = 0 THEN 'enc' END AS bio_source
+    FROM supplier LEFT JOIN c ON c.bioguide = 'B' || s_suppkey LEFT JOIN o ON o.bioguide = 'B' || s_suppkey WHERE s_suppkey % 11 <> 0
+    """,
+)
+def federal_whole(t):
+    rows = _federal(t)
+    office = lambda o: F.concat_ws("/", *[F.coalesce(o[k], F.lit("~")) for k in OFFICE_KEYS])
+    lists = F.transform("committees", lambda c: F.concat(c["id"], F.lit("="), c["name"], F.lit("/"), F.coalesce(c["role"], F.lit(""))))
+    return rows.select(
+        "bioguide", "term_start", "term_end", F.when(F.col("dc_office").isNotNull(), office(F.col("dc_office"))).otherwise(F.lit("~")).alias("dc_office"),
+        F.array_join(lists, ";").alias("committees"), F.array_join(F.transform("district_offices", office), ",").alias("district_offices"), "bio", "bio_source",
+    )
+
+
+def _federal(t):
+    bios = t.supplier.filter(F.col("s_suppkey") % 4 == 0).select(F.concat(F.lit("B"), "s_suppkey").alias("bioguide"), F.col("s_name").alias("bio"), F.lit("enc").alias("bio_source"))
+    return jobs.federal_job(_legislators(t), _committees(t), _membership(t), _district_entries(t), bios)
+
+
+@query(
+    "report_triage_whole",
+    """
+    WITH a AS (SELECT event_id AS n, ts, user_id, row_number() OVER (PARTITION BY strftime(ts, '%Y-%m-%d'), user_id ORDER BY ts, event_id) AS k FROM events WHERE event_id % 10 <> 0)
+    SELECT n AS seq, sha256(user_id::VARCHAR)[1:16] AS key, 'note ' || n AS note, 'u' AS url, strftime(ts, '%Y-%m-%d') AS day, CASE WHEN n % 2 = 0 THEN 'Duplicate of #' || (n % 50) ELSE 'New issue' END AS status_line,
+      'T' || n || repeat('t', (n % 3 * 150)::INT) AS title, 'd' || n AS cleaned_description, 'note ' || n AS excerpt FROM a WHERE k <= 8
+    """,
+)
+def report_triage_whole(t):
+    """Every text of a report, none of them clipped."""
+    n = F.col("event_id")
+    submissions = t.events.select(
+        n.alias("seq"), "ts", F.col("user_id").cast("string").alias("ip"), F.when(n % 10 != 0, F.concat(F.lit(" note "), n)).otherwise(F.lit("  ")).alias("note"), F.lit("u").alias("url")
+    )
+    title = F.concat(F.lit("T"), n, F.expr("repeat('t', cast(event_id % 3 * 150 as int))"))
+    answer = F.to_json(F.struct((n % 50).alias("duplicate_of"), title.alias("title"), F.concat(F.lit("d"), n).alias("cleaned_description")))
+    issues = t.events.select((n % 50).alias("issue")).distinct().filter("issue % 2 = 0")
+    out = jobs.report_triage_job(submissions, t.events.select(n.alias("seq"), answer.alias("response")), issues, note_length=None, link_length=None, title_length=None)
+    return out.select("seq", "key", "note", "url", "day", "status_line", "title", "cleaned_description", "excerpt")
+
+
+# --- measures -------------------------------------------------------------------------------
+
+
+@query(
+    "run_measures",
+    _MEMBER_SQL + """,
+    d AS (SELECT s_suppkey AS n, 'B' || s_suppkey AS bioguide FROM supplier WHERE s_suppkey % 11 <> 0),
+    o AS (SELECT DISTINCT 'B' || (s_suppkey % 50) AS bioguide FROM supplier WHERE s_suppkey % 11 <> 0 AND s_suppkey % 6 <> 0),
+    c AS (SELECT s_nationkey AS g, sum((s_suppkey % 10 = 0)::INT) AS missing FROM supplier GROUP BY 1), f AS (SELECT g % 8 = 0 AS lost FROM c WHERE g % 8 = 0 OR missing > 0),
+    l AS (SELECT s_suppkey % 3 <> 0 AND s_suppkey % 5 <> 0 AS good FROM supplier WHERE s_suppkey % 7 <> 0),
+    p AS (SELECT page_id % 9 <> 0 AND length(txt) >= 500 AND regexp_matches(txt, {roster}) AS ok FROM (SELECT page_id, {text} AS txt FROM pages)),
+    x AS (
+      SELECT 'with_district_offices' AS measure, count(*) FILTER (bioguide IN (SELECT bioguide FROM o)) AS value, count(*) AS total FROM d
+      UNION ALL SELECT 'with_dc_office', count(*) FILTER (n % 7 <> 0 AND (n % 3 = 0 OR n % 5 = 0)), count(*) FROM d UNION ALL SELECT 'with_committees', count(*) FILTER (bioguide IN (SELECT bioguide FROM j)), count(*) FROM d
+      UNION ALL SELECT 'findings', count(*), count(*) FROM f UNION ALL SELECT 'unreachable', count(*) FILTER (lost), count(*) FROM f
+      UNION ALL SELECT 'officials_staged', count(*) FILTER (good), count(*) FILTER (good) FROM l UNION ALL SELECT 'links_for_review', count(*) FILTER (NOT good), count(*) FILTER (NOT good) FROM l
+      UNION ALL SELECT 'seeds_ok', count(*) FILTER (ok), count(*) FROM p)
+    SELECT measure, value, total, way FROM x, (SELECT unnest(['observed', 'counted']) AS way)
+    """.replace("{roster}", "'(?i)council ?member|councilmember|city council|mayor|commissioner|alderman|place [0-9]|district [0-9]|precinct [0-9]'").replace("{text}", s_text("html")),
+)
+def run_measures(t):
+    """The measures of four runs, taken while their results are written, and counted again from what was written."""
+    folder = scratch(t)
+    seen = writers.Observed(t.spark)
+    findings, _, _ = _qa(t)
+    officials, review, _ = _reported(t)
+    pages = t.pages.select(F.col("url").alias("requested_url"), "url", (F.col("page_id") % 9 != 0).alias("ok"), "html", F.lit("HTTP 404").alias("error"))
+    seeds = t.pages.select(F.lit("c").alias("city"), F.lit("S").alias("state"), F.array("url").alias("urls"))
+    frames = {
+        "details": (_federal(t), writers.federal_measures()), "findings": (findings, writers.finding_measures()), "officials": (officials, {"officials_staged": F.lit(True)}),
+        "review": (review, {"links_for_review": F.lit(True)}), "seeds": (jobs.seed_probe_job(seeds, pages), writers.seed_measures()),
+    }
+    for name, (frame, measures) in frames.items():
+        seen.watch(frame, **measures).write.parquet(f"{folder}/{name}")
+    read = lambda name: t.spark.read.parquet(f"{folder}/{name}")
+    counted = writers.federal_coverage(read("details")).unionByName(writers.links_summary(read("officials"), read("review"))).unionByName(writers.seeds_ok(read("seeds")))
+    counted = counted.unionByName(writers.shares(read("findings"), **writers.finding_measures()))
+    return seen.rows().withColumn("way", F.lit("observed")).unionByName(counted.withColumn("way", F.lit("counted")))

@@ -81,7 +81,7 @@ def reported_links(t):
 )
 def link_review(t):
     with_link, _ = selection.split_by_link(selection.checkable_issues(_issues(t)))
-    return with_link.orderBy("issue").limit(selection.review_sample_size(selection.MAX_LINKS, 100)).select("issue")
+    return selection.first_reported(with_link, selection.review_sample_size(selection.MAX_LINKS, 100)).select("issue")
 
 
 @query(

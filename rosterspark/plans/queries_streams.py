@@ -14,26 +14,25 @@ from rosterspark.streaming import streams
 DELIVERIES = 4
 
 
-def _stream(t: Tables, folder: str, start, order=None) -> None:
-    """Deliver the events in ``DELIVERIES`` parts, by ``order`` (0 up to the number of parts; by event number unless given).
+def _delivery(number, first: int, last: int):
+    """The delivery, from 0, that a number between ``first`` and ``last`` falls in."""
+    return F.floor((number - first) * DELIVERIES / (last - first + 1))
 
-    ``start`` makes the writer from the streaming frame. Each part is a micro-batch at least, so state is used.
+
+def _stream(t: Tables, folder: str, *starts, by=None) -> None:
+    """Deliver the events in ``DELIVERIES`` parts, in order of ``by`` (a number; the event's own unless given).
+
+    Each of ``starts`` makes a writer from the streaming frame. After every delivery the writers run one after the other, each
+    started again from its own checkpoint, so what a stream remembers must have been kept there.
     """
-    events = t.events
-    last = events.agg(F.max("event_id").alias("_last"))
-    if order is None:
-        part = F.floor(F.col("event_id") * DELIVERIES / (F.col("_last") + 1))
-        events = events.join(F.broadcast(last), F.col("event_id") <= F.col("_last")).withColumn("_part", part).drop("_last")
-    else:
-        events = events.withColumn("_part", order)
+    by = F.col("event_id") if by is None else by
+    first, last = t.events.agg(F.min(by), F.max(by)).first()
+    events = t.events.withColumn("_part", _delivery(by, first, last))
     for number in range(DELIVERIES):
         events.filter(F.col("_part") == number).drop("_part").write.mode("append").parquet(folder + "/in")
-        _run(start(t.spark.readStream.schema(t.events.schema).parquet(folder + "/in")), folder)
-
-
-def _run(writer, folder: str) -> None:
-    q = writer.option("checkpointLocation", folder + "/progress").trigger(availableNow=True).start()
-    q.awaitTermination()
+        for i, start in enumerate(starts):
+            writer = start(t.spark.readStream.schema(t.events.schema).parquet(folder + "/in"))
+            writer.option("checkpointLocation", f"{folder}/progress{i}").trigger(availableNow=True).start().awaitTermination()
 
 
 @query(
@@ -41,9 +40,10 @@ def _run(writer, folder: str) -> None:
     "SELECT event_id FROM (SELECT event_id, row_number() OVER (PARTITION BY strftime(ts, '%Y-%m-%d'), user_id ORDER BY ts, event_id) AS n FROM events) WHERE n <= 2",
 )
 def stream_rate_limit(t):
+    """Delivered in order of time; days are cut by deliveries, so counters must outlive a restart."""
     folder = scratch(t)
-    write = streams.rate_limit_batch(folder + "/accepted", ["user_id"], seq="event_id", per_day=2)
-    _stream(t, folder, lambda events: events.writeStream.foreachBatch(write), order=F.floor(F.hour("ts") * DELIVERIES / 24))
+    accepted = lambda events: streams.rate_limit_stream(events.withColumn("ts", F.col("ts").cast("timestamp")), ["user_id"], seq="event_id", per_day=2)
+    _stream(t, folder, lambda events: accepted(events).writeStream.format("parquet").option("path", folder + "/accepted").outputMode("append"), by=F.unix_seconds(F.col("ts").cast("timestamp")))
     return t.spark.read.parquet(folder + "/accepted").select("event_id")
 
 
@@ -105,7 +105,7 @@ def stream_search_log(t):
     place = F.when(n % 3 == 0, F.struct(F.lit("TX").alias("state"), F.lit(None).cast("string").alias("county"), F.lit(None).cast("string").alias("place")))
     rows = lambda events: events.select(
         n.cast("string").alias("t"), F.when(n % 5 != 0, F.concat(F.lit(" find "), "event_type")).otherwise(F.lit(" ")).alias("query"), F.lit(None).cast("string").alias("typed"), place.alias("geo"))
-    _stream(t, folder, lambda events: streams.search_log_stream(rows(events), folder + "/log", folder + "/progress"))
+    _stream(t, folder, lambda events: streams.search_log_stream(rows(events), folder + "/log", folder + "/progress0"))
     return t.spark.read.parquet(folder + "/log").select("t", "query", "resolved.state")
 
 
@@ -124,3 +124,27 @@ def stream_ttl_lookup(t):
     answer = lambda events: streams.ttl_lookup_stream(events.select("event_id", "user_id"), cache, ["user_id"], "2026-08-19T00:00:00Z").select("event_id", "source")
     _stream(t, folder, lambda events: answer(events).writeStream.format("parquet").option("path", folder + "/out").outputMode("append"))
     return t.spark.read.parquet(folder + "/out")
+
+
+@query(
+    "stream_ttl_refill",
+    f"""
+    WITH e AS (SELECT event_id, user_id, event_type, floor((event_id - a) * {DELIVERIES} / (b - a + 1)) AS p FROM events, (SELECT min(event_id) AS a, max(event_id) AS b FROM events)),
+    refills AS (SELECT user_id, p AS q, arg_max(event_type <> 'error', event_id) AS ok FROM e GROUP BY 1, 2)
+    SELECT event_id, CASE WHEN arg_max(ok, q) AND 2 * (any_value(e.p) - max(q)) < 5 THEN 'cache' WHEN NOT arg_max(ok, q) AND 2 * (any_value(e.p) - max(q)) < 4 THEN 'cache-miss' ELSE 'absent' END AS source
+    FROM e LEFT JOIN refills r ON r.user_id = e.user_id AND q < p GROUP BY event_id
+    """,
+)
+def stream_ttl_refill(t):
+    """A delivery every two days: its requests are answered from the cache, then its outcomes refill it. Hits live for five days, misses for four."""
+    folder = scratch(t)
+    first, last = t.events.agg(F.min("event_id"), F.max("event_id")).first()
+    at = F.date_format(F.timestamp_seconds(F.lit(1_767_225_600) + 2 * 86_400 * _delivery(F.col("event_id"), first, last)), "yyyy-MM-dd'T'HH:mm:ss'Z'")
+    lookup = streams.ttl_lookup_batch(folder + "/cache", folder + "/out", ["user_id"], at="at", buckets=8, hit_days=5, miss_days=4)
+    refill = streams.cache_refill_batch(folder + "/cache", key="user_id", buckets=8)
+    _stream(
+        t, folder,
+        lambda events: events.select("event_id", "user_id", at.alias("at")).writeStream.foreachBatch(lookup),
+        lambda events: events.select("user_id", (F.col("event_type") != "error").alias("ok"), at.alias("checked_at"), F.col("event_id").alias("seq")).writeStream.foreachBatch(refill),
+    )
+    return t.spark.read.parquet(folder + "/out").select("event_id", "source")

@@ -5,6 +5,9 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -53,17 +56,57 @@ def new_folder(spark: SparkSession) -> str:
     return f"{shared_folder(spark)}/rosterspark-{uuid.uuid4().hex}"
 
 
-def staged(df: DataFrame) -> DataFrame:
-    """Write ``df`` as a table in the shared folder and read on from there: the lineage is cut, columns stay prunable."""
+class Staging:
+    """Tables that were staged while this is open; see ``staging``."""
+
+    def __init__(self, spark: SparkSession, outer: Staging | None):
+        self.spark, self.outer, self.paths = spark, outer, []
+
+    def keep(self, df: DataFrame) -> DataFrame:
+        """Stage ``df`` so that it outlives this block; it goes with the block around it, if there is one."""
+        return _write(df, self.outer)
+
+
+_STAGING: ContextVar[Staging | None] = ContextVar("staging", default=None)
+
+
+@contextmanager
+def staging(spark: SparkSession) -> Iterator[Staging]:
+    """Remove all tables that are staged inside the block when it ends: run a job and write its results within one."""
+    block = Staging(spark, _STAGING.get())
+    token = _STAGING.set(block)
+    try:
+        yield block
+    finally:
+        _STAGING.reset(token)
+        _remove(spark, block.paths)
+
+
+def _write(df: DataFrame, block: Staging | None) -> DataFrame:
     path = new_folder(df.sparkSession)
+    if block is not None:
+        block.paths.append(path)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.staged_path = path
+    return out
+
+
+def _remove(spark: SparkSession, paths: list[str]) -> None:
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    for text in paths:
+        path = jvm.org.apache.hadoop.fs.Path(text)
+        path.getFileSystem(conf).delete(path, True)
+
+
+def staged(df: DataFrame) -> DataFrame:
+    """Write ``df`` as a table in the shared folder and read on from there: the lineage is cut, columns stay prunable.
+
+    The table goes at the end of the ``staging`` block around the call, or by ``drop_staged``.
+    """
+    return _write(df, _STAGING.get())
 
 
 def drop_staged(df: DataFrame) -> None:
     """Remove the files behind a frame that ``staged`` gave."""
-    spark = df.sparkSession
-    jvm = spark.sparkContext._jvm
-    for folder in {f.rpartition("/")[0] for f in df.inputFiles()}:
-        path = jvm.org.apache.hadoop.fs.Path(folder)
-        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    _remove(df.sparkSession, [df.staged_path])

@@ -7,12 +7,15 @@ over as many tasks and files as its size needs, and small ones are packed togeth
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import hashlib
+from urllib.parse import quote
+
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 
 from rosterspark.functions.text import filled
-from rosterspark.operators.records import coverage_stats, merge_records
+from rosterspark.operators.records import coverage_stats, fold_incoming, upsert_folded
 from rosterspark.schema import OFFICIAL
 from rosterspark.session import drop_staged, staged
 
@@ -40,24 +43,58 @@ def overwrite_partitions(df: DataFrame, path: str, partition: list[str], sort: l
     laid_out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*partition).parquet(path)
 
 
-def upsert_shards(incoming: DataFrame, path: str, seq: str = "seq") -> DataFrame:
-    """Merge new officials into the table at ``path``; returns the touched states' new rows.
+#: Buckets of each state's officials, by id. A table keeps the number that it was made with.
+SHARD_BUCKETS = 16
+
+
+def shard_table(spark: SparkSession, path: str, buckets: int = SHARD_BUCKETS) -> str:
+    """The session's name for the officials table at ``path``: a folder for each state, files by a hash of the id.
 
-    Incoming rows are evaluated once, into the shared folder. So are the merged rows: the table is read and replaced in
-    the same job, and a lost executor must not make a half-replaced table its own input. Rows
-    inside a shard are in binary id order.
+    The files alone are the table; the name only tells Spark how they are laid out, so a new session registers it again. The
+    number of buckets stands in the name of an empty folder beside the data, and the first writer decides it.
+    """
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    folder = jvm.org.apache.hadoop.fs.Path(path)
+    system = folder.getFileSystem(conf)
+    marks = system.globStatus(jvm.org.apache.hadoop.fs.Path(path, "_buckets-*"))
+    if marks:
+        buckets = int(marks[0].getPath().getName().partition("-")[2])
+    else:
+        system.mkdirs(jvm.org.apache.hadoop.fs.Path(path, f"_buckets-{buckets}"))
+    # By the whole address, so that one table has one name.
+    address = system.makeQualified(folder).toString()
+    name = f"officials_{hashlib.sha256(address.encode()).hexdigest()[:20]}"
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in OFFICIAL)
+    spark.sql(f"CREATE TABLE IF NOT EXISTS {name} ({fields}, state STRING) USING parquet OPTIONS (path '{address}') PARTITIONED BY (state) CLUSTERED BY (id) SORTED BY (id) INTO {buckets} BUCKETS")
+    spark.sql(f"ALTER TABLE {name} RECOVER PARTITIONS")
+    return name
+
+
+def merged_shards(table: str, rows: DataFrame, seq: str = "seq") -> DataFrame:
+    """The touched states' officials after the merge of ``rows`` (with ``_state``). Stored rows stay where their buckets are."""
+    spark = rows.sparkSession
+    stored = spark.table(table)
+    touched = rows.select(F.col("_state").alias("state")).distinct()  # no more than the table has folders
+    stored = stored.join(F.broadcast(touched), "state", "left_semi").select(*OFFICIAL.fieldNames())
+    return upsert_folded(stored, fold_incoming(rows, seq)).withColumn("state", shard_state())
+
+
+def upsert_shards(incoming: DataFrame, path: str, seq: str = "seq", buckets: int = SHARD_BUCKETS) -> DataFrame:
+    """Merge new officials into the table at ``path``; returns the touched states' rows as they are now.
+
+    Incoming rows are evaluated once, into the shared folder, and folded by id. The table is bucketed by id inside its states, so
+    they meet the stored rows in one join that moves the incoming side only, and every task rewrites its own buckets of
+    the touched states. Spark writes them beside the old ones and swaps folders when all are done; if the driver is lost
+    while it swaps, run the same upsert again: merging the same rows twice changes nothing. Rows in a file are in binary id order.
     """
     spark = incoming.sparkSession
     rows = staged(incoming.withColumn("_state", shard_state()))
-    stored = read_if_exists(spark, path)
-    if stored is None:
-        existing = spark.createDataFrame([], OFFICIAL)
-    else:
-        existing = touched_only(stored, rows.select(F.col("_state").alias("state")), "state").select(*OFFICIAL.fieldNames())
-    merged = staged(merge_records(existing, rows, seq).withColumn("state", shard_state()))
+    table = shard_table(spark, path, buckets)
+    merged = merged_shards(table, rows, seq)
+    merged.select(*OFFICIAL.fieldNames(), "state").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").insertInto(table)
+    touched = [r["_state"] for r in rows.select("_state").distinct().collect()]  # folders of the table
     drop_staged(rows)
-    overwrite_partitions(merged, path, ["state"], ["id"])
-    return merged
+    return spark.read.parquet(path).where(F.col("state").isin(touched))
 
 
 def upsert_coverage(previous: DataFrame, touched: DataFrame) -> DataFrame:
@@ -84,26 +121,37 @@ def write_universe(universe: DataFrame, path: str) -> None:
     overwrite_partitions(universe.select("state", "level", "name", "population"), path, ["state"], ["level", "name"])
 
 
-def append_rows(df: DataFrame, path: str, partition: list[str] | None = None) -> None:
-    """Append table for problems, probe reports, search events and triaged reports."""
-    writer = df.write.mode("append")
-    (writer.partitionBy(*partition) if partition else writer).parquet(path)
+def append_rows(df: DataFrame, path: str, partition: list[str] | None = None, run: str | None = None) -> None:
+    """Append table for problems, probe reports, search events and triaged reports.
+
+    With a ``run`` id the rows go to that run's own folders, which a repeated write replaces: a job that is tried again
+    leaves its rows once. Without one, every write adds to the table.
+    """
+    folders = list(partition or [])
+    if run is None:
+        writer = df.write.mode("append")
+        (writer.partitionBy(*folders) if folders else writer).parquet(path)
+    else:
+        # The run comes first, so that all of an earlier try goes, also on days that the new one doesn't have.
+        place = f"{path}/run={quote(run, safe='')}"
+        writer = df.write.mode("overwrite").option("partitionOverwriteMode", "static")
+        (writer.partitionBy(*folders) if folders else writer).parquet(place)
 
 
-def write_problems(problems: DataFrame, path: str, now: str) -> None:
-    append_rows(problems.withColumn("generated_at", F.lit(now)), path)
+def write_problems(problems: DataFrame, path: str, now: str, run: str | None = None) -> None:
+    append_rows(problems.withColumn("generated_at", F.lit(now)), path, run=run)
 
 
-def write_probe_report(report: DataFrame, path: str, now: str) -> None:
-    append_rows(report.withColumn("generated_at", F.lit(now)), path)
+def write_probe_report(report: DataFrame, path: str, now: str, run: str | None = None) -> None:
+    append_rows(report.withColumn("generated_at", F.lit(now)), path, run=run)
 
 
-def append_log(entries: DataFrame, path: str) -> None:
-    append_rows(entries.withColumn("day", F.left("t", F.lit(10))), path, ["day"])
+def append_log(entries: DataFrame, path: str, run: str | None = None) -> None:
+    append_rows(entries.withColumn("day", F.left("t", F.lit(10))), path, ["day"], run)
 
 
-def append_reports(reports: DataFrame, path: str) -> None:
-    append_rows(reports, path)
+def append_reports(reports: DataFrame, path: str, run: str | None = None) -> None:
+    append_rows(reports, path, run=run)
 
 
 def run_summary(shards: DataFrame, attempted: DataFrame, problems: DataFrame) -> DataFrame:
@@ -123,6 +171,27 @@ def run_summary(shards: DataFrame, attempted: DataFrame, problems: DataFrame) ->
     return per_state.unionByName(total(attempted, "jurisdictions_attempted")).unionByName(total(problems, "pages_failed"))
 
 
+class Observed:
+    """Measures of a run, taken from its frames while they are written.
+
+    ``watch`` gives the frame to write in place of the one it gets; after the writes, ``rows`` has what Spark counted on the
+    way, so no table is read again. The rows are those that ``shares`` counts in a pass of its own.
+    """
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.seen = spark, []
+
+    def watch(self, df: DataFrame, **conditions: Column) -> DataFrame:
+        seen = Observation()
+        self.seen.append((seen, list(conditions)))
+        return df.observe(seen, F.count(F.lit(1)).alias("total"), *[F.count_if(c).alias(k) for k, c in conditions.items()])
+
+    def rows(self) -> DataFrame:
+        """measure, value, total; waits for writes that haven't ended."""
+        found = [(k, seen.get[k], seen.get["total"]) for seen, names in self.seen for k in names]
+        return self.spark.createDataFrame(found, "measure string, value bigint, total bigint")
+
+
 def shares(df: DataFrame, **conditions: Column) -> DataFrame:
     """A row per condition: measure, value (rows that meet it), total (all rows). One aggregation."""
     counted = df.agg(F.count(F.lit(1)).alias("total"), *[F.count_if(c).alias(k) for k, c in conditions.items()])
@@ -130,11 +199,25 @@ def shares(df: DataFrame, **conditions: Column) -> DataFrame:
     return counted.select(F.inline(rows), "total")
 
 
+#: Conditions of the measures of each run, for ``shares`` or ``Observed.watch``.
+def finding_measures() -> dict[str, Column]:
+    return {"findings": F.lit(True), "unreachable": F.col("issue").isNotNull()}
+
+
+def federal_measures() -> dict[str, Column]:
+    some = lambda c: F.coalesce(F.size(c) > 0, F.lit(False))
+    return {"with_district_offices": some("district_offices"), "with_dc_office": F.col("dc_office").isNotNull(), "with_committees": some("committees")}
+
+
+def seed_measures() -> dict[str, Column]:
+    return {"seeds_ok": F.col("status") == "OK"}
+
+
 def qa_summary(checked: DataFrame, findings: DataFrame, pages: DataFrame) -> DataFrame:
     """Outcome of a re-check: pages checked and pages that disagree, each of how many."""
     every = shares(pages, pages_known=F.lit(True))
     seen = shares(checked, pages_checked=F.lit(True))
-    return every.unionByName(seen).unionByName(shares(findings, findings=F.lit(True), unreachable=F.col("issue").isNotNull()))
+    return every.unionByName(seen).unionByName(shares(findings, **finding_measures()))
 
 
 def links_summary(staged_officials: DataFrame, review: DataFrame) -> DataFrame:
@@ -144,10 +227,9 @@ def links_summary(staged_officials: DataFrame, review: DataFrame) -> DataFrame:
 
 def federal_coverage(details: DataFrame) -> DataFrame:
     """Members with district offices, with a capital office and with committees, of all."""
-    some = lambda c: F.coalesce(F.size(c) > 0, F.lit(False))
-    return shares(details, with_district_offices=some("district_offices"), with_dc_office=F.col("dc_office").isNotNull(), with_committees=some("committees"))
+    return shares(details, **federal_measures())
 
 
 def seeds_ok(report: DataFrame) -> DataFrame:
     """Seed pages whose probe is OK, of all."""
-    return shares(report, seeds_ok=F.col("status") == "OK")
+    return shares(report, **seed_measures())

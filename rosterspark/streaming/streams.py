@@ -1,15 +1,15 @@
 """Structured Streaming forms of the logs, limits, caches and ingestion.
 
-Append and daily-sum streams are native streaming queries. Operators that need "the first k per key"
-or a keyed upsert run per micro-batch with ``foreachBatch`` on the batch operators; their tables carry the
-batch id, so a repeated batch replaces its own output.
+Append and daily-sum streams are native streaming queries; "the first k per key and day" is keyed state with a timer.
+Lookups, refills and keyed upserts run per micro-batch with ``foreachBatch`` on the batch operators; a repeated batch
+replaces its own output.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rosterspark.operators.limits import REPORTS_PER_DAY, search_log_rows, ttl_lookup, utc_day
@@ -33,12 +33,89 @@ def usage_ledger_stream(calls: DataFrame, at: str = "ts", phase: str = "phase",
 
 
 def ttl_lookup_stream(requests: DataFrame, cache: DataFrame, on: list[str], now, **ttl) -> DataFrame:
-    """Streaming requests against the stored cache (stream-static left join)."""
+    """Streaming requests against a cache that doesn't change while the stream runs (stream-static left join)."""
     return ttl_lookup(requests, cache, on, now, **ttl)
 
 
+def ttl_lookup_batch(
+    cache: str, path: str, on: list[str], at: str = "ts", run: str = "first", buckets: int | None = None, **ttl
+) -> Callable[[DataFrame, int], None]:
+    """``foreachBatch`` writer: requests with the state of their cache entry, as the cache at ``cache`` is when the batch runs.
+
+    The cache is read anew for every batch, so entries that ``cache_refill_batch`` wrote in between are seen, and an entry's age
+    is taken at the request's own time ``at``: it passes from 'cache' to 'absent' while the stream runs. Answers go to
+    ``path``, by run and batch, so a repeated batch replaces its own. No cache yet: all 'absent'. ``buckets`` is that of the
+    refill (for one key column); only folders that the batch's keys fall in are read.
+    """
+    def write(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        rows = staged(batch)
+        stored = read_if_exists(spark, cache)
+        if stored is None:
+            answers = rows.withColumn("source", F.lit("absent"))
+        else:
+            entries = stored.select(*on, "ok", "checked_at", *(["bucket"] if buckets else []))
+            if buckets:
+                keyed = rows.select(key_bucket(on[0], buckets).alias("bucket"))
+                entries = touched_only(entries, keyed, "bucket").drop("bucket")
+            answers = ttl_lookup(rows, entries, on, F.col(at), **ttl).select(*rows.columns, "source")
+        tagged = answers.withColumns({"run": F.lit(run), "batch_id": F.lit(batch_id).cast("bigint")})
+        overwrite_partitions(tagged, path, ["run", "batch_id"], on)
+        drop_staged(rows)
+
+    return write
+
+
+def _first_rows(columns: list[str], group: list[str], order: list[str], per_day: int):
+    """Of each batch the first ``per_day`` rows of a group: what one task sends on for a key is bounded."""
+    def cut(batches):
+        for rows in batches:
+            yield rows.sort_values(order, kind="stable").groupby(group, sort=False, dropna=False).head(per_day)[columns]
+
+    return cut
+
+
+def rate_limit_stream(
+    events: DataFrame, key: list[str], at: str = "ts", seq: str = "seq", per_day: int = REPORTS_PER_DAY, late: str = "1 hour"
+) -> DataFrame:
+    """Rows accepted under ``per_day`` per key and UTC day, as a stream (append mode) that keeps one counter a key and day.
+
+    A counter is state of its key; a timer at the end of its day, when the watermark passes, removes it, so state holds the keys
+    of the days that are still open. Rows of a micro-batch count in order of time and ``seq``; earlier micro-batches
+    come first. Rows later than ``late`` after their day's end find no counter any more and are refused.
+
+    Every task first cuts its rows to ``per_day`` a key, so a key with a third of all rows sends few to its counter. Column types
+    must be ones that pandas carries; nothing outside the checkpoint is written or read again.
+    """
+    names = events.columns
+    group = ["day", *key]
+    time = F.col(at).cast("timestamp")
+    day = F.date_from_unix_date(F.floor(F.unix_micros(time) / 86_400_000_000).cast("int")).cast("string")
+    rows = events.withColumns({at: time, "day": day})
+    few = rows.mapInPandas(_first_rows(rows.columns, group, [at, seq], per_day), rows.schema).withWatermark(at, late)
+
+    def count(of, batches, state):
+        import pandas as pd
+
+        if state.hasTimedOut:
+            state.remove()
+            return
+        used = state.get[0] if state.exists else 0
+        order = [at, seq]
+        found = pd.concat([b.sort_values(order, kind="stable").head(per_day) for b in batches]).sort_values(order, kind="stable").head(per_day - used)
+        state.update((used + len(found),))
+        ends = pd.Timestamp(of[0], tz="UTC") + pd.Timedelta(days=1)
+        state.setTimeoutTimestamp(max(int(ends.timestamp() * 1000), state.getCurrentWatermarkMs() + 1))
+        yield found[names]
+
+    out = ", ".join(f"`{f.name}` {'timestamp' if f.name == at else f.dataType.simpleString()}" for f in events.schema)
+    return few.groupBy(*group).applyInPandasWithState(count, out, "used bigint", "append", "EventTimeTimeout")
+
+
 def rate_limit_batch(path: str, key: list[str], at: str = "ts", seq: str = "seq", per_day: int = REPORTS_PER_DAY, run: str = "first") -> Callable[[DataFrame, int], None]:
-    """``foreachBatch`` writer: accepted rows go to ``path``, at most ``per_day`` per day and key.
+    """``foreachBatch`` writer: accepted rows go to ``path``, at most ``per_day`` per day and key, whatever order days come in.
+
+    ``rate_limit_stream`` does the same for streams in order of time, with state in place of a table.
 
     A batch first keeps its own first ``per_day`` rows per key (cut inside each task), then subtracts what
     earlier batches accepted on the same days. Batch ids start anew when a stream loses its checkpoint: give it
@@ -66,21 +143,25 @@ def rate_limit_batch(path: str, key: list[str], at: str = "ts", seq: str = "seq"
     return write
 
 
+def key_bucket(key: str, buckets: int) -> Column:
+    return F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int")
+
+
 def cache_refill_batch(path: str, key: str = "key", seq: str = "seq", buckets: int = 64) -> Callable[[DataFrame, int], None]:
     """``foreachBatch`` writer: the newest outcome per key replaces the stored cache entry.
 
     The table is bucketed by key hash into partitions; only buckets with new keys are rewritten.
     """
     def write(batch: DataFrame, batch_id: int) -> None:
-        bucket = F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int")
-        fresh = staged(latest_per_key(batch, key, seq).drop(seq).withColumn("bucket", bucket))
+        fresh = staged(latest_per_key(batch, key, seq).drop(seq).withColumn("bucket", key_bucket(key, buckets)))
         stored = read_if_exists(batch.sparkSession, path)
+        entries = fresh
         if stored is not None:
             kept = touched_only(stored, fresh, "bucket").join(fresh.select(key), key, "left_anti")
-            fresh = kept.select(*fresh.columns).unionByName(fresh)
-        fresh = staged(fresh)
-        overwrite_partitions(fresh, path, ["bucket"], [key])
-        drop_staged(fresh)
+            entries = staged(kept.select(*fresh.columns).unionByName(fresh))
+        overwrite_partitions(entries, path, ["bucket"], [key])
+        for table in {id(t): t for t in (fresh, entries)}.values():
+            drop_staged(table)
 
     return write
 
@@ -88,6 +169,6 @@ def cache_refill_batch(path: str, key: str = "key", seq: str = "seq", buckets: i
 def ingest_officials_batch(path: str, seq: str = "seq") -> Callable[[DataFrame, int], None]:
     """``foreachBatch`` writer: micro-batch upsert into the officials table; repeats change nothing."""
     def write(batch: DataFrame, batch_id: int) -> None:
-        drop_staged(upsert_shards(batch, path, seq))
+        upsert_shards(batch, path, seq)
 
     return write

@@ -1,13 +1,19 @@
 """Plan shapes and hot keys: what must hold when the tables are large."""
 
+import os
 import re
+import tempfile
 
 from pyspark.sql import functions as F
 import pytest
 
 import __spark_entry__  # noqa: F401  (registers the queries)
-from rosterspark.plans.catalog import QUERIES
-from rosterspark.operators import limits, records, selection, web
+from rosterspark import session
+from rosterspark.plans.catalog import QUERIES, Tables
+from rosterspark.plans.queries_jobs import _by_state
+from rosterspark.plans.queries_records import _order_officials
+from rosterspark.plans.queries_tiers import _site_tables
+from rosterspark.operators import crawl, limits, records, selection, serve, web
 from rosterspark.sources import writers
 
 FOLDER = "/root/testdata/sf0.001"
@@ -15,7 +21,7 @@ FOLDER = "/root/testdata/sf0.001"
 ACTING = {
     "qa_run", "qa_merged", "qa_summary", "roster_run", "roster_problems", "roster_detail_queue", "roster_enriched", "site_walk", "discovery_hits", "discovery_misses", "discovery_officials", "shard_upsert", "publish_run", "gazetteer_file", "shard_files", "popest_files", "jurisdiction_files",
     "people_files", "federal_files", "page_fetch_files", "universe_files", "problem_files", "log_files", "report_files",
-    "stream_rate_limit", "stream_usage", "stream_cache", "stream_ingest", "stream_search_log", "stream_ttl_lookup",
+    "stream_rate_limit", "stream_usage", "stream_cache", "stream_ingest", "stream_search_log", "stream_ttl_lookup", "stream_ttl_refill", "sinks_repeated", "run_measures",
 }
 
 
@@ -121,3 +127,85 @@ def test_requests_are_salted_where_a_site_is_hot(spark):
     each = officials.where("url = 'https://hot.gov/'").count()
     assert {r["key"]: r["urls"] for r in found.hits.collect()} == {k: ["https://hot.gov/"] for k in ("TX:Alma:local", "TX:Birk:local")}
     assert found.officials.groupBy("group").count().select("count").distinct().collect() == [(each,)] and found.misses.count() == 0
+
+
+def test_a_hot_place_is_split_when_requests_meet_officials(spark):
+    """A third of the requests and of the officials on one key: every pair is there, and Spark deals the key over tasks."""
+    settings = {
+        "spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.advisoryPartitionSizeInBytes": "64k", "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "64k",
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.5", "spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.shuffle.partitions": "16",
+    }
+    before = {k: spark.conf.get(k, None) for k in settings}
+    try:
+        for k, v in settings.items():
+            spark.conf.set(k, v)
+        n = F.col("id")
+        place = F.when(n % 3 == 0, F.lit("Hot")).otherwise(F.concat(F.lit("Town"), n % 997))
+        requests = spark.range(90_000).select(n.alias("request_id"), F.lit("TX").alias("state"), place.alias("place"), F.lit(None).cast("string").alias("county")).repartition(8)
+        some = F.when(n < 30, F.lit("Hot")).otherwise(F.concat(F.lit("Town"), n))
+        officials = spark.range(1000).select(n.alias("official"), F.lit("TX").alias("state"), F.lit("local").alias("level"), some.alias("city")).repartition(8)
+        joined = serve.match_local(serve.match_keys(requests), officials)
+        folder = tempfile.mkdtemp(prefix="hot-") + "/out"
+        joined.write.parquet(folder)
+        assert spark.read.parquet(folder).groupBy().agg(F.count_if(F.col("city") == "Hot"), F.count(F.lit(1))).first() == (30 * 30_000, 30 * 30_000 + sum(1 for i in range(90_000) if i % 3 and i % 997 >= 30))
+        joined.collect()
+        assert "skew=true" in joined._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+def test_stored_shards_do_not_move(spark, tmp_path):
+    """The merge shuffles and sorts what comes in; stored rows stay in their buckets, and only touched states are read."""
+    path = str(tmp_path / "officials")
+    stored, incoming = _order_officials(Tables(spark, FOLDER))
+    writers.upsert_shards(_by_state(stored).withColumn("seq", F.lit(0)), path, buckets=4)
+    table = writers.shard_table(spark, path)
+    few = _by_state(incoming).filter("id like '%1'").withColumn("_state", writers.shard_state())
+    text = plan(writers.merged_shards(table, few))
+    scan = text[: text.index(f"FileScan parquet spark_catalog.default.{table}")]
+    above = []  # operators on the way from the scan to the top: lines that stand further left, one by one
+    depth = None
+    for line in reversed(scan.splitlines()):
+        here = len(line) - len(line.lstrip(" :+-"))
+        if depth is None or here < depth:
+            above.append(line.strip(" :+-"))
+            depth = here
+    assert any("SortMergeJoin" in x and "FullOuter" in x for x in above)
+    assert not any(x.startswith(("Exchange", "ShuffleQueryStage")) for x in above), above
+    assert "SelectedBucketsCount: 4 out of 4" in text and "dynamicpruning" in text.lower()
+
+
+def test_walk_writes_what_is_new_and_leaves_one_table(spark, monkeypatch):
+    """Two tables a round, none as large as all rounds before it, and nothing but the walk is left."""
+    sizes = []
+    write = session._write
+
+    def counted(df, block):
+        out = write(df, block)
+        sizes.append((out.staged_path, out.count()))
+        return out
+
+    monkeypatch.setattr(session, "_write", counted)
+    starts, pages, links, officials, hits = _site_tables(Tables(spark, "/root/testdata/sf0.01"))
+    walk = crawl.expand_frontier(starts, pages, links, officials, hits)
+    groups = starts.count()
+    rounds = sizes[5:-1]
+    assert 4 <= len(rounds) <= 2 * crawl.FETCH_BUDGET and len(rounds) % 2 == 0
+    visits = walk.count()
+    assert sum(n for _, n in rounds[::2]) <= visits + walk.agg(F.sum("found_ids")).first()[0] and all(n <= groups * 4 * crawl.FETCH_BUDGET for _, n in rounds)
+    left = [p for p, _ in sizes if os.path.exists(p.removeprefix("file://"))]
+    assert left == [walk.staged_path]
+    session.drop_staged(walk)
+    assert not os.path.exists(walk.staged_path.removeprefix("file://"))
+
+
+def test_staging_blocks(spark):
+    df = spark.range(3)
+    with session.staging(spark) as outer:
+        first = session.staged(df)
+        with session.staging(spark) as inner:
+            second, kept = session.staged(df), inner.keep(df)
+        there = [os.path.exists(x.staged_path.removeprefix("file://")) for x in (first, second, kept)]
+        assert there == [True, False, True] and kept.count() == 3 and outer.paths == [first.staged_path, kept.staged_path]
+    assert not any(os.path.exists(x.staged_path.removeprefix("file://")) for x in (first, kept))

@@ -176,6 +176,24 @@ def test_rate_limit_stream_equals_batch(spark, folder, events):
     assert got == want
 
 
+def test_stateful_rate_limit_equals_batch(spark, folder):
+    """Deliveries in order of time, a restart after each; counters of closed days leave the state."""
+    df = spark.read.parquet("/root/testdata/sf0.001/events.parquet").withColumn("ts", F.col("ts").cast("timestamp"))
+    hot = df.withColumn("user_id", F.when(F.col("event_id") % 3 == 0, F.lit(0)).otherwise(F.col("user_id").cast("int"))).withColumnRenamed("props", "index")
+    first, last = hot.agg(F.min(F.unix_seconds("ts")), F.max(F.unix_seconds("ts"))).first()
+    for part in range(4):
+        hot.filter(F.floor((F.unix_seconds("ts") - first) * 4 / (last - first + 1)) == part).repartition(3).write.mode("append").parquet(folder + "/src")
+        stream = spark.readStream.schema(hot.schema).parquet(folder + "/src")
+        query = streams.rate_limit_stream(stream, ["user_id"], seq="event_id", per_day=3).writeStream.format("parquet").option("path", folder + "/out").option("checkpointLocation", folder + "/cp").trigger(availableNow=True).start()
+        query.awaitTermination(120)
+        assert query.exception() is None
+        state = [p["stateOperators"][0]["numRowsTotal"] for p in query.recentProgress if p["stateOperators"]][-1]
+    rows = spark.read.parquet(folder + "/out")
+    assert rows.columns == hot.columns
+    assert sorted(map(str, rows.collect())) == sorted(map(str, limits.rate_limit(hot, ["user_id"], seq="event_id", per_day=3).select(*hot.columns).collect()))
+    assert state < limits.rate_limit(hot, ["user_id"], seq="event_id", per_day=3).select("day", "user_id").distinct().count()
+
+
 def test_repeated_batch_changes_nothing(spark, folder, events):
     batch, _ = events
     write = streams.rate_limit_batch(folder + "/accepted", ["user_id"], seq="event_id", per_day=3)
@@ -219,6 +237,25 @@ def test_cache_refill_and_ttl_stream(spark, folder, events):
     assert spark.table(name).count() == batch.count() and spark.table(name).filter("source = 'cache'").count() > 0
 
 
+def test_lookup_sees_refills_and_ages(spark, folder):
+    """Answers change as the cache is filled and grows old; a repeated batch replaces its own answers."""
+    cache, out = folder + "/cache", folder + "/out"
+    lookup = streams.ttl_lookup_batch(cache, out, ["key"], at="at", buckets=4)
+    refill = streams.cache_refill_batch(cache, buckets=4)
+    ask = lambda at: spark.createDataFrame([("a", at), ("b", at), ("c", at)], "key string, at string")
+    put = lambda *rows: spark.createDataFrame(rows, "key string, ok boolean, checked_at string, seq long")
+    lookup(ask("2026-01-01T00:00:00Z"), 0)
+    refill(put(("a", True, "2026-01-01T00:00:00Z", 1), ("b", False, "2026-01-01T00:00:00Z", 2)), 0)
+    for _ in range(2):
+        lookup(ask("2026-01-02T00:00:00Z"), 1)
+    lookup(ask("2026-01-09T00:00:00Z"), 2)
+    refill(put(("b", True, "2026-01-09T00:00:00Z", 3)), 1)
+    lookup(ask("2026-04-01T00:00:00Z"), 3)
+    rows = spark.read.parquet(out).orderBy("batch_id", "key").collect()
+    got = ["".join({"absent": "-", "cache": "h", "cache-miss": "m"}[r["source"]] for r in rows if r["batch_id"] == b) for b in range(4)]
+    assert got == ["---", "hm-", "h--", "-h-"]
+
+
 def test_ingest_stream(spark, folder, events):
     _, stream = events
     from rosterspark.plans.queries_records import _official

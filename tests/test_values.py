@@ -1,5 +1,8 @@
 """Literal-value tests of the rules, with the odd cases spelled out."""
 
+import re
+import time
+
 from pyspark.sql import functions as F
 import pytest
 
@@ -383,3 +386,38 @@ def test_committees(spark):
     members = spark.createDataFrame([("A1", [("B1", "Chair"), (None, None)], 0), ("A101", [("B1", "")], 1), ("ZZ", [("B1", None)], 2)], "committee_id string, members array<struct<bioguide:string,title:string>>, seq long")
     out = tiers.invert_committees(tiers.committee_members(members, tiers.committee_names(committees))).first()
     assert [(c["id"], c["name"], c["role"]) for c in out["committees"]] == [("A1", "Ag", "Chair"), ("A101", "Ag — Farms", None), ("ZZ", "ZZ", None)]
+
+
+def test_offsets_of_very_many_matches(spark):
+    """Offsets of a page with 100,000 anchors, in time that follows their number and not its square."""
+    page = "".join(f"x{'y' * (i % 5)}<a href='/{i}'>é{i}</a>" for i in range(100_000))
+    begin = time.perf_counter()
+    got = spark.createDataFrame([(page,), ("",), ("no match",), (None,)], "h string").select(H.match_starts("h", H.ANCHOR).alias("s")).collect()
+    spent = time.perf_counter() - begin
+    assert got[0]["s"] == [m.start() + 1 for m in re.finditer(r"<a .*?</a>", page)]
+    assert got[1]["s"] == [] and got[2]["s"] == [] and not got[3]["s"] and spent < 60
+
+
+HOSTS = [
+    ("münchen.de", "xn--mnchen-3ya.de"), ("MÜNCHEN.DE", "xn--mnchen-3ya.de"), ("bücher.españa.example", "xn--bcher-kva.xn--espaa-rta.example"), ("日本語.jp", "xn--wgv71a119e.jp"),
+    ("www.例え.テスト", "www.xn--r8jz45g.xn--zckzah"), ("пример.испытание", "xn--e1afmkfd.xn--80akhbyknj4f"), ("faß.de", "xn--fa-hia.de"), ("a%62c.gov", "abc.gov"), ("m%C3%BCnchen.de", "xn--mnchen-3ya.de"),
+    ("%41.gov", "a.gov"), ("\U0001f600.example", "xn--e28h.example"), ("ὀδός.gr", None), ("a。b.gov", "a.b.gov"), ("a+b.gov", "a+b.gov"), ("a%2Fb.gov", "null"), ("a%20b.gov", "null"), ("a%zz.gov", "null"), ("%31%30.0.0.1", "10.0.0.1"), ("a\u00adb.gov", "ab.gov"),
+]
+
+
+def test_international_and_encoded_hosts(spark):
+    """Hosts as the address standard writes them; a part that can't be a host makes the address unusable."""
+    rows = spark.createDataFrame([(f"http://{h}/x",) for h, _ in HOSTS], "u string")
+    got = [r[0] for r in rows.select(absolutize(F.col("u"), F.lit("https://base.gov/"))).collect()]
+    for (host, want), href in zip(HOSTS, got, strict=True):
+        if want is None:
+            labels = [x.encode("punycode").decode() for x in host.lower().split(".")]
+            want = ".".join(f"xn--{a}" if not o.isascii() else o for a, o in zip(labels, host.lower().split("."), strict=True))
+        assert href == (None if want == "null" else f"http://{want}/x"), host
+
+
+def test_a_page_of_an_international_host_keeps_its_links(spark):
+    rows = spark.createDataFrame([("/a", "https://www.köln.example/b/"), ("c", "https://www.k%C3%B6ln.example/b/")], "u string, at string")
+    assert [r[0] for r in rows.select(absolutize(F.col("u"), F.col("at"))).collect()] == ["https://www.xn--kln-sna.example/a", "https://www.xn--kln-sna.example/b/c"]
+    private = spark.createDataFrame([("http://%31%30.0.0.1/",), ("http://１0.0.0.1/",), ("http://loc%61lhost/",)], "u string")
+    assert [r[0] for r in private.select(check_submission_url("u")["ok"]).collect()] == [False] * 3
