@@ -8,13 +8,15 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rosterspark.llm.tokens import slices
+from rosterspark.llm.tokens import WHITE, slices
 
 #: Texts above this many characters are cut before they are encoded.
 LONG = 100_000
 #: Cuts are made where white space begins, and before the last of several white-space characters that a word follows.
 #: Matches of the split pattern end in both places, whatever stands around them.
-SAFE_CUT = re.compile(r"(?<=\S)(?=\s)|(?<=\s)(?=\s\S)")
+#: White space is spelled out: Python's own class also holds U+001C to U+001F, which the library's doesn't.
+SAFE_CUT = re.compile(rf"(?<=[^{WHITE}])(?=[{WHITE}])|(?<=[{WHITE}])(?=[{WHITE}][^{WHITE}])")
+ALL_WHITE = re.compile(rf"[{WHITE}]+")
 SCHEMA = "doc_id long, n_tokens long, ids binary, decoded binary"
 
 
@@ -36,7 +38,7 @@ def encoder(path: str, pattern: str):
             return np.asarray(split.encode_to_numpy(text), "<u4").tobytes()
         out, part, size = [], [], 0
         for chunk in SAFE_CUT.split(text):
-            if len(chunk) > LONG and chunk.isspace():
+            if len(chunk) > LONG and ALL_WHITE.fullmatch(chunk):
                 out += [split.encode_to_numpy("".join(part)), single.encode_to_numpy(chunk)]
                 part, size = [], 0
                 continue
