@@ -8,12 +8,12 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from rosterspark.llm.common import Scratch
+from rosterspark.llm.common import Scratch, first_of
 from rosterspark.llm.tally import CODE_BITS, MOST, Replies, ranges, tally
 
 UNKNOWN = "und"
-#: Words of a window.
-ORDER = 4
+#: Words of a window, and of the runs whose counts bound it.
+ORDER, BOUND = 4, 3
 #: A phrase occurs at least so often; so many are reported for each language.
 LEAST, TOP = 30, 2000
 #: A cut's score is this times the count, over the counts of its two parts.
@@ -84,30 +84,39 @@ class Chunk:
         self.ids, self.own = np.concatenate([ids, np.zeros(ORDER, np.int64)]), own
         seed = xxhash.xxh3_64_intdigest(self.language.encode()) or 1
         hashes = np.array([xxhash.xxh3_64_intdigest(w, seed) for w in self.words], np.uint64)
-        shift = np.uint64(64 - CODE_BITS)
-        self.single_codes = hashes >> shift
-        self.single_counts = np.bincount(ids[own], minlength=len(hashes))
-        second = self.ids[1 : n + 1]
-        self.paired = (ids > 0) & (second > 0)
-        pairs, inverse, counts = np.unique((ids << 32 | second)[self.paired], return_inverse=True, return_counts=True)
-        self.pair_counts = np.bincount(inverse, own[self.paired], len(counts)).astype(np.int64)
-        self.pair_of = inverse
-        with np.errstate(over="ignore"):
-            mixed = (hashes[pairs >> 32] ^ hashes[pairs & 0xFFFFFFFF] * np.uint64(0x9E3779B97F4A7C15) + np.uint64(1)) * np.uint64(0xC2B2AE3D27D4EB4F)
-        self.pair_codes = (mixed ^ mixed >> np.uint64(31)) >> shift
-
-    def windows(self, frequent_words: np.ndarray, frequent_pairs: np.ndarray):
+        # For runs of 1 to BOUND words: their codes, how often they start at own words, and which one starts at each place (-1: none).
+        self.codes, self.counts, self.places = [], [], []
+        found, here = hashes, np.where(ids > 0, ids, -1)
+        for order in range(1, BOUND + 1):
+            if order > 1:
+                after = self.ids[order - 1 : n + order - 1]
+                whole = (here >= 0) & (after > 0)
+                keys, inverse = np.unique((here << 32 | after)[whole], return_inverse=True)
+                with np.errstate(over="ignore"):
+                    found = (found[keys >> 32] ^ hashes[keys & 0xFFFFFFFF] * np.uint64(0x9E3779B97F4A7C15) + np.uint64(order)) * np.uint64(0xC2B2AE3D27D4EB4F)
+                found ^= found >> np.uint64(31)
+                here = np.full(n, -1)
+                here[whole] = inverse
+            counted = own & (here >= 0)
+            self.codes.append(found >> np.uint64(64 - CODE_BITS))
+            self.counts.append(np.bincount(here[counted], minlength=len(found)))
+            self.places.append(here)
+
+    def windows(self, frequent: list[np.ndarray]):
         """Padded longest windows and their counts: (word numbers (ORDER, n), counts). Lead columns, cut before what is rare.
 
-        A window ends where its next pair is rare: no phrase with that pair in it can be a candidate, nor a part of one.
+        ``frequent``: for runs of 1 to BOUND words, whether each is. A window ends where its next word makes a rare run: no phrase
+        with that run in it can be a candidate, nor a part of one.
         """
         n = len(self.own)
-        linked = np.zeros(n + ORDER, bool)
-        linked[:n][self.paired] = frequent_pairs[self.pair_of]
-        lead = [np.where(frequent_words[self.ids[:n]], self.ids[:n], 0)]
-        going = lead[0] > 0
-        for i in range(1, ORDER):
-            going = going & linked[i - 1 : n + i - 1]
+        there = []
+        for known, here in zip(frequent, self.places, strict=True):
+            there.append(np.zeros(n + ORDER, bool))
+            there[-1][:n] = np.append(known, False)[here]  # none: the last
+        lead, going = [], np.ones(n, bool)
+        for i in range(ORDER):
+            for order in range(1, min(BOUND, i + 1) + 1):
+                going = going & there[order - 1][i + 1 - order : n + i + 1 - order]
             lead.append(np.where(going, self.ids[i : n + i], 0))
         lead = [x[self.own] for x in lead]
         # Two columns at a time become one number, so that rows compare as a whole.
@@ -143,22 +152,23 @@ def chunks(batches: Iterator, most: int) -> Iterator[list[Chunk]]:
 
 
 def _codes(group: list[Chunk]) -> tuple[np.ndarray, np.ndarray]:
-    codes = np.concatenate([x for c in group for x in (c.single_codes, c.pair_codes)])
-    counts = np.concatenate([x for c in group for x in (c.single_counts, c.pair_counts)])
+    codes = np.concatenate([x for c in group for x in c.codes])
+    counts = np.concatenate([x for c in group for x in c.counts])
     distinct, inverse = np.unique(codes, return_inverse=True)
-    return distinct, np.bincount(inverse, counts).astype(np.int64)
+    return distinct, np.bincount(inverse, counts, len(distinct)).astype(np.int64)
 
 
 def count_windows(rows: DataFrame, least: int, scratch: Scratch, most: int = CHUNK) -> DataFrame:
     """lang, w1 to w4 (padded with ''), n: the longest windows that start at each word, counted by chunk.
 
-    ``rows``: lang, text, straight from files. They are read twice: first every chunk asks how often its words and pairs occur
-    in all (``tally``, 40-bit codes; a collision only counts too much), then windows are cut where that is below ``least``.
-    So what is shuffled as rows are words and phrases that may matter. Words that are too rare still count, as empty windows.
+    ``rows``: lang, text, straight from files. They are read twice: first every chunk asks for bounds, how often its words, pairs
+    and triples occur in all (``tally``, 40-bit codes; a collision only counts too much), then windows are cut where a bound is
+    below ``least``. So the rows that are shuffled are phrases that may matter, and their number grows with the input and no
+    faster. Words that are too rare still count, as empty windows.
     """
     if least > MOST:
         raise ValueError(f"at most {MOST}")
-    place = tally(rows, lambda batches: map(_codes, chunks(batches, most)), ranges(rows), scratch)
+    place = tally(rows, lambda batches: map(_codes, chunks(batches, most)), ranges(rows, bytes_each=2), scratch)
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
@@ -168,7 +178,7 @@ def count_windows(rows: DataFrame, least: int, scratch: Scratch, most: int = CHU
             codes, _ = _codes(group)
             frequent = replies.of(number, len(codes)) >= least
             for chunk in group:
-                found, counts = chunk.windows(frequent[np.searchsorted(codes, chunk.single_codes)], frequent[np.searchsorted(codes, chunk.pair_codes)])
+                found, counts = chunk.windows([frequent[np.searchsorted(codes, c)] for c in chunk.codes])
                 spelled = pa.array(["", *[w.decode() for w in chunk.words[1:]]], pa.string())
                 for a in range(0, len(counts), 20_000):
                     columns = [spelled.take(pa.array(x[a : a + 20_000])) for x in found]
@@ -232,12 +242,9 @@ def phrases(docs: DataFrame, *, least: int = LEAST, top: int | None = TOP, text_
     kept = best.join(around, ["lang", "phrase"], "left").where(F.col("longer").isNull() | (_wide("longer") * 100 < _wide("a") * COVERED))
     kept = kept.select("lang", "phrase", "a", "cut.l", "cut.r", "cut.score")
     order = [F.desc("score"), F.desc("a"), F.asc("phrase")]
-    if top is not None:
-        # First by a part of the phrases, so that no task sorts all of a language.
-        shares = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-        near = F.row_number().over(Window.partitionBy("lang", "share").orderBy(*order))
-        kept = kept.withColumn("share", F.pmod(F.xxhash64("phrase"), F.lit(shares))).withColumn("nth", near).where(F.col("nth") <= top).drop("nth", "share")
-    ranked = kept.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(*order)).cast("long"))
-    if top is not None:
-        ranked = ranked.where(F.col("rank") <= top)
+    if top is None:
+        ranked = kept.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(*order)))
+    else:
+        ranked = first_of(kept, ["lang"], order, top, "phrase", "rank")
+    ranked = ranked.withColumn("rank", F.col("rank").cast("long"))
     return ranked.join(totals, "lang").select("lang", "rank", "phrase", "a", "l", "r", "n", "score")

@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 _OWN_FOLDERS: dict[str, str] = {}
@@ -124,5 +124,21 @@ def tiles(members: DataFrame, limit: int, scratch: Scratch) -> DataFrame:
     return small.unionByName(dealt)
 
 
+def first_of(df: DataFrame, group: list[str], order: list[Column], k: int, spread: str, number: str = "nth") -> DataFrame:
+    """The first ``k`` rows of each group, numbered from 1. First among the rows of a share by ``spread``, so that no task sorts all of a group."""
+    shares = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    place = lambda *by: F.row_number().over(Window.partitionBy(*by).orderBy(*order))
+    near = df.withColumn("share", F.pmod(F.xxhash64(spread), F.lit(shares))).withColumn(number, place(*group, "share")).where(F.col(number) <= k)
+    return near.drop("share", number).withColumn(number, place(*group)).where(F.col(number) <= k)
+
+
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, or one like it that no column of ``df`` has."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def text_or_empty(column: str) -> Column:
     return F.coalesce(F.col(column), F.lit(""))

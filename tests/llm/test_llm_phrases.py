@@ -86,8 +86,8 @@ def test_a_rare_word_ends_windows_but_counts():
     chunk.add([b"a", b"b", b"a", b"b", b"c", b"a"], [])
     chunk.close()
     number = {w: i for i, w in enumerate(chunk.words)}
-    frequent = np.array([w in (b"a", b"b") for w in chunk.words])
-    found, counts = chunk.windows(frequent, np.ones(len(chunk.pair_codes), bool))
+    frequent = [np.array([w in (b"a", b"b") for w in chunk.words])] + [np.ones(len(c), bool) for c in chunk.codes[1:]]
+    found, counts = chunk.windows(frequent)
     assert counts.sum() == 6 and number[b"c"] not in found[0]
 
 
