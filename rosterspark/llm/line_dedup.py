@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rosterspark.llm.common import Scratch
+from rosterspark.llm.common import Scratch, free_name
 
 #: A line on at least so many distinct sites is boilerplate.
 MIN_SITES = 10
@@ -52,15 +52,16 @@ def dedup_lines(docs: DataFrame, min_sites: int = MIN_SITES, *, id_column: str =
     share an id, or have none, are right too, as a line goes wherever it stands. Other columns pass through; those named
     n_lines or n_removed are replaced. Empty table: no rows.
     """
+    key, gone = free_name(docs, "__key"), free_name(docs, "__gone")
     bad = Scratch(docs.sparkSession).table(boilerplate_lines(docs, min_sites, site_column=site_column, text_column=text_column), "boilerplate")
     places = docs.select(F.col(id_column).alias("k"), F.explode(F.split(F.col(text_column), "\n")).alias("line")).select("k", *_key(F.col("line")))
-    hits = places.join(bad, ["h1", "h2"], "left_semi").groupBy("k").agg(F.collect_set(F.struct("h1", "h2")).alias("__gone")).withColumnRenamed("k", "__key")
+    hits = places.join(bad, ["h1", "h2"], "left_semi").groupBy("k").agg(F.collect_set(F.struct("h1", "h2")).alias(gone)).withColumnRenamed("k", key)
     kept = docs.drop("n_lines", "n_removed")
-    kept = kept.join(hits, F.col(id_column).eqNullSafe(F.col("__key")), "left").drop("__key")
+    kept = kept.join(hits, F.col(id_column).eqNullSafe(F.col(key)), "left").drop(key)
     lines = F.split(F.col(text_column), "\n")
-    stay = F.filter(lines, lambda line: ~F.array_contains(F.col("__gone"), F.struct(*_key(line))))
-    cleaned = F.when(F.col("__gone").isNull(), F.col(text_column)).otherwise(F.array_join(stay, "\n"))
+    stay = F.filter(lines, lambda line: ~F.array_contains(F.col(gone), F.struct(*_key(line))))
+    cleaned = F.when(F.col(gone).isNull(), F.col(text_column)).otherwise(F.array_join(stay, "\n"))
     before = F.coalesce(F.size(lines), F.lit(0))
     kept = kept.withColumn("n_lines", F.when(F.col(text_column).isNull(), 0).otherwise(before))
-    kept = kept.withColumn("n_removed", F.when(F.col(text_column).isNull() | F.col("__gone").isNull(), 0).otherwise(F.size(lines) - F.size(stay)))
-    return kept.withColumn(text_column, cleaned).drop("__gone")
+    kept = kept.withColumn("n_removed", F.when(F.col(text_column).isNull() | F.col(gone).isNull(), 0).otherwise(F.size(lines) - F.size(stay)))
+    return kept.withColumn(text_column, cleaned).drop(gone)

@@ -264,7 +264,8 @@ PACKETS = "id long, nth long, track long, timestamp_ns long, first_byte long, le
 def packet_table(media: DataFrame, *, id_column: str = "doc_id", media_column: str = "media") -> DataFrame:
     """A row per packet: its track, timestamp, byte range, lacing, its cluster's place in the segment, and whether a cue points there.
 
-    Null media have no packets; media that can't be read have one row with track -1.
+    Null media have no packets; media that can't be read have one row with track -1. Rows count on their own, repeated or not.
+    Empty table: no rows.
     """
 
     def run(batches: Iterator) -> Iterator:
@@ -295,7 +296,8 @@ def media_features(media: DataFrame, *, media_column: str = "media") -> DataFram
     """The rows without the media, but with what reading them back gives: the payload's size and checksums, and a summary of packets.
 
     ``feature``: counts of packets, clusters, cues and lacings, the end in ms, and a checksum of the packet table. Null
-    media: null features.
+    media: null features; media that can't be read: their size and checksum, ``unreadable``, and nulls for the payload. Rows count
+    on their own, repeated or not. Empty table: no rows.
     """
     rest = [c for c in media.columns if c != media_column]
     schema = ", ".join([*(f"`{c}` {media.schema[c].dataType.simpleString()}" for c in rest), FEATURES])
@@ -307,7 +309,10 @@ def media_features(media: DataFrame, *, media_column: str = "media") -> DataFram
 
         if data is None:
             return (None,) * 6
-        found = demux(data)
+        try:
+            found = demux(data)
+        except (ValueError, IndexError, struct.error):
+            return None, None, None, len(data), hashlib.sha256(data).hexdigest(), "unreadable"
         payload = b"".join([data[p[2] : p[2] + p[3]] for p in found.packets])
         lacings = Counter(p[5] for p in found.packets)
         rate = next((t.get("rate", 0) for t in found.tracks.values()), 0)

@@ -9,7 +9,7 @@ from itertools import product
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rosterspark.llm.common import text_or_empty
+from rosterspark.llm.common import free_name, text_or_empty
 
 #: A rule whose regex needs more alternatives than this is treated as one without mandatory trigrams.
 MOST_BRANCHES = 64
@@ -146,15 +146,16 @@ def find_secrets(docs: DataFrame, rules: Sequence[Rule] = RULES, *, id_column: s
     Starts and ends count code points, the end is exclusive. Null or empty text: an empty array. Other columns pass
     through; one named secrets is replaced. Empty table: no rows.
     """
-    asked = candidates(docs, rules, id_column=id_column, text_column=text_column).toDF("__key", "__kinds")
-    rows = docs.drop("secrets").join(asked, F.col(id_column).eqNullSafe(F.col("__key")), "left").drop("__key")
+    key, kinds = free_name(docs, "__key"), free_name(docs, "__kinds")
+    asked = candidates(docs, rules, id_column=id_column, text_column=text_column).toDF(key, kinds)
+    rows = docs.drop("secrets").join(asked, F.col(id_column).eqNullSafe(F.col(key)), "left").drop(key)
     text = text_or_empty(text_column)
     none = F.array().cast("array<struct<start:bigint,rank:int,end:bigint,kind:string>>")
     spans = []
     for order, rule in enumerate(rules):
         here = _spans(text, rule, order)
-        spans.append(here if trigram_query(rule.pattern) is None else F.when(F.array_contains("__kinds", rule.kind), here).otherwise(none))
-    return rows.withColumn("secrets", F.sort_array(F.flatten(F.array(*spans)))).drop("__kinds")
+        spans.append(here if trigram_query(rule.pattern) is None else F.when(F.array_contains(kinds, rule.kind), here).otherwise(none))
+    return rows.withColumn("secrets", F.sort_array(F.flatten(F.array(*spans)))).drop(kinds)
 
 
 def joined(spans: Column) -> Column:

@@ -88,3 +88,12 @@ def test_query_over_the_table(spark):
     docs = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{folder}/documents.parquet").collect()}
     out = queries.QUERIES["op7_media_columns"](spark, folder).collect()
     assert {r["doc_id"]: (r["n_bytes"], r["payload_bytes"], r["payload_sha256"], r["tail_crc32"]) for r in out} == {d: want(t) for d, t in docs.items()}
+
+
+def test_damaged_media_are_named_and_stop_nothing(spark):
+    whole = bytes(m.to_media(spark.createDataFrame([(1, "some text")], "doc_id long, text string")).first()["media"])
+    rows = [(1, whole), (2, whole[:-70]), (3, b"no media"), (4, None), (5, b""), (5, b"")]
+    media = spark.createDataFrame(rows, "doc_id long, media binary")
+    found = {(r["doc_id"], r["feature"]) for r in m.media_features(media).collect()}
+    assert {d for d, f in found if f == "unreadable"} >= {3} and {d for d, f in found if f is None} == {4}
+    assert m.media_features(media.limit(0)).count() == 0 and m.packet_table(media).where("id = 1").count() > 0
