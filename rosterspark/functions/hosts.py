@@ -89,8 +89,8 @@ def ascii_host(host: Sql) -> Sql:
     decoded = f"if({host} rlike '%', if({host} rlike r'%(?![0-9A-Fa-f]{{2}})', null, try_url_decode(replace({host}, '+', '%2B'))), {host})"
 
     def labels(h: Sql) -> Sql:
-        return f"array_join(transform(split({h}, r'\.'), {label} -> if({label} rlike r'[^\x00-\x7f]', {_encoded(label)}, {label})), '.')"
+        return rf"array_join(transform(split({h}, r'\.'), {label} -> if({label} rlike r'[^\x00-\x7f]', {_encoded(label)}, {label})), '.')"
 
     tidy = _let(decoded, lambda h: f"lower(regexp_replace(regexp_replace({narrow(h)}, r'{DROPPED}', ''), r'{DOTS}', '.'))")
-    whole = _let(tidy, lambda h: f"if({h} rlike r'[^\x00-\x7f]', {labels(h)}, {h})")
-    return f"if({host} rlike r'[^\x21-\x7e]|%', {whole}, lower({host}))"
+    whole = _let(tidy, lambda h: rf"if({h} rlike r'[^\x00-\x7f]', {labels(h)}, {h})")
+    return rf"if({host} rlike r'[^\x21-\x7e]|%', {whole}, lower({host}))"
