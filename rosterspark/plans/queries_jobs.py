@@ -9,7 +9,7 @@ from rosterspark.operators.records import merge_records
 from rosterspark.plans import jobs
 from rosterspark.plans.catalog import Tables, query, s_id, s_text
 from rosterspark.plans.queries_records import _DUP_SQL, _duplicates, _official, _order_officials
-from rosterspark.plans.queries_selection import NOW, _places, _population
+from rosterspark.plans.queries_selection import _POP, NOW, _places, _population
 from rosterspark.plans.queries_tiers import _MEMBER_SQL, _committees, _district_entries, _executive, _legislators, _membership, _people
 from rosterspark.schema import OFFICE_KEYS, OFFICIAL, RAW_OFFICIAL, SOCIAL_KEYS
 from rosterspark.session import new_folder
@@ -310,6 +310,10 @@ def federal_run(t):
     """,
 )
 def lookup_run(t):
+    return _lookup(t)[0].groupBy("request_id", "group").agg(F.count(F.lit(1)).alias("cards"))
+
+
+def _lookup(t):
     n = F.col("c_custkey")
     requests = t.customer.select(
         n.alias("request_id"), F.concat(F.lit("R"), n % 5).alias("state"), F.concat(F.lit("NATION_"), "c_nationkey", F.lit(" city")).alias("place"),
@@ -332,8 +336,7 @@ def lookup_run(t):
     people = _people(t)
     legislators = people.withColumn("request_id", F.col("c_custkey")).drop("c_custkey")
     executives = t.nation.select(F.concat(F.lit("R"), "n_regionkey").alias("state"), _executive(F.col("n_nationkey"), F.col("n_name")).alias("person"))
-    cards, _ = jobs.lookup_job(requests, officials, reps, social, details, legislators, executives)
-    return cards.groupBy("request_id", "group").agg(F.count(F.lit(1)).alias("cards"))
+    return jobs.lookup_job(requests, officials, reps, social, details, legislators, executives)
 
 
 @query(
@@ -585,6 +588,57 @@ def report_triage_whole(t):
     return out.select("seq", "key", "note", "url", "day", "status_line", "title", "cleaned_description", "excerpt")
 
 
+@query(
+    "universe_rows",
+    "WITH " + _POP + """,
+    cpop AS (SELECT lpad((o_custkey % 100)::VARCHAR, 2, '0') || lpad((o_custkey // 100)::VARCHAR, 3, '0') AS geoid, arg_max(CASE WHEN o_orderkey % 10 = 0 THEN 0 ELSE o_orderkey END, o_orderkey) AS population
+      FROM orders WHERE o_orderkey % 13 <> 0 AND length((o_custkey // 100)::VARCHAR) <= 3 GROUP BY 1),
+    county AS (SELECT n_name AS state, c_mktsegment || [' city', ' town', '', ' CDP'][(c_custkey % 4) + 1] AS name, lpad((c_custkey % 100)::VARCHAR, 2, '0') || lpad((c_custkey // 100)::VARCHAR, 5, '0') AS geoid
+      FROM customer JOIN nation ON c_nationkey = n_nationkey)
+    SELECT state, 'local' AS level, name, place.geoid, raw_name, name <> raw_name AS recognized, population FROM place LEFT JOIN pop USING (geoid)
+    UNION ALL SELECT state, 'county', name, county.geoid, name, true, population FROM county LEFT JOIN cpop USING (geoid)
+    """,
+)
+def universe_rows(t):
+    counties = _population(t).withColumnRenamed("Place", "COUNTY")
+    return jobs.universe_job(_places(t), _places(t), _population(t), counties)[0]
+
+
+@query(
+    "lookup_queue",
+    """
+    WITH o AS (SELECT 'R' || n_regionkey AS st, n_nationkey AS nk, s_suppkey % 2 AS kind FROM supplier JOIN nation ON s_nationkey = n_nationkey),
+    q AS (SELECT c_custkey AS request_id, 'R' || (c_custkey % 5) AS st, c_nationkey AS place, c_custkey % 25 AS county FROM customer),
+    loc AS (SELECT DISTINCT request_id FROM q JOIN o ON q.st = o.st AND ((kind = 0 AND nk = place) OR (kind = 1 AND nk = county)))
+    SELECT request_id, st AS state, 'NATION_' || place || ' city' AS place, 'Nation ' || county || ' County' AS county, st || '/nation-' || place || '-city' AS cache_key FROM q WHERE request_id NOT IN (SELECT request_id FROM loc)
+    """,
+)
+def lookup_queue(t):
+    """Requests that no stored official answers, whole, with the key under which an answer will be kept."""
+    return _lookup(t)[1]
+
+
+@query(
+    "lookup_cards",
+    """
+    WITH o AS (SELECT s_suppkey, 'R' || n_regionkey AS st, n_nationkey AS nk, s_suppkey % 2 AS kind, 'r' || n_regionkey AS state FROM supplier JOIN nation ON s_nationkey = n_nationkey),
+    q AS (SELECT c_custkey AS request_id, 'R' || (c_custkey % 5) AS st, c_nationkey AS place, c_custkey % 25 AS county FROM customer),
+    ex AS (SELECT n_nationkey AS n, n_regionkey AS st, n_name FROM nation WHERE n_nationkey % 4 <> 3)
+    SELECT request_id, 0 AS tier, s_suppkey::VARCHAR AS id, 'N' || s_suppkey AS name, 'Local' AS area, 'Local' AS "group", '2026-08-19T00:00:00Z' AS verified_at, 0 AS n_offices FROM q JOIN o ON q.st = o.st AND ((kind = 0 AND nk = place) OR (kind = 1 AND nk = county))
+    UNION ALL SELECT c_custkey, 1, 'B4', NULL, 'US House', 'Federal', NULL, {offices} FROM customer
+    UNION ALL SELECT c_custkey, 1, 'S1', NULL, 'StateUpper', 'State', NULL, 0 FROM customer WHERE c_custkey % 9 = 0 OR c_custkey % 5 >= 3
+    UNION ALL SELECT c_custkey, 1, 'p' || c_custkey, c_name, ['StateUpper', 'StateLower', 'StateUpper'][(c_custkey % 5) + 1], 'State', NULL, CASE WHEN c_custkey % 10 = 0 THEN 0 ELSE CASE WHEN c_custkey % 3 <> 0 OR c_custkey % 4 = 0 THEN 1 ELSE 0 END + CASE WHEN c_custkey % 2 = 0 THEN 1 ELSE 0 END + 1 END
+      FROM customer WHERE c_custkey % 9 <> 0 AND c_custkey % 5 < 3
+    UNION ALL SELECT c_custkey, 2, 'x' || n, n_name, ['Governor', 'Lieutenant Governor', 'Secretary of State'][(n % 4) + 1], 'State', NULL, 0 FROM customer JOIN ex ON c_custkey % 5 = st
+    """.replace("{offices}", "(SELECT count(*) * 2 FROM (SELECT 1 FROM supplier WHERE s_suppkey % 11 <> 0 AND s_suppkey % 6 <> 0 AND s_suppkey % 50 = 4 LIMIT 1))"),
+)
+def lookup_cards(t):
+    """Every card of every request with what names it; texts of the kinds of cards are compared in the queries of their own."""
+    return _lookup(t)[0].select(
+        "request_id", "tier", "id", "name", "area", "group", "verified_at", F.coalesce(F.size("offices"), F.lit(0)).alias("n_offices")
+    )
+
+
 # --- measures -------------------------------------------------------------------------------
 
 
