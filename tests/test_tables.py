@@ -37,9 +37,9 @@ def test_shards_leave_the_index_out(spark, folder):
 
 
 def test_delimited_files(spark, folder):
-    gaz = put(folder, "gaz.txt", "USPS|GEOID | NAME  \nTX|4801| Elgin city \n\n   \nTX|4802|\"Q\" town\n")
+    gaz = put(folder, "gaz.txt", "USPS|GEOID | NAME  \nTX|4801| Larkmoor city \n\n   \nTX|4802|\"Q\" town\n")
     rows = readers.read_gazetteer(spark, gaz).orderBy("seq").collect()
-    assert [(r["GEOID"], r["NAME"]) for r in rows] == [("4801", "Elgin city"), ("4802", '"Q" town')]
+    assert [(r["GEOID"], r["NAME"]) for r in rows] == [("4801", "Larkmoor city"), ("4802", '"Q" town')]
     pop = put(folder, "pop.csv", "SUMLEV,STATE,PLACE,POPESTIMATE2020,POPESTIMATE2024\n162,1,124,5,6\n157,01,00124,7,8\n162,01,125,9,\n162,01,126,9,X\n162,01,127,9\n")
     table = universe.population_by_geoid(readers.read_popest(spark, pop), "PLACE", 5)
     assert {r["geoid"]: r["population"] for r in table.collect()} == {"0100124": 8, "0100125": 0}
@@ -48,10 +48,10 @@ def test_delimited_files(spark, folder):
 
 
 def test_jurisdictions(spark, folder):
-    seeds = put(folder, "seeds.json", {"jurisdictions": [{"city": "Austin", "state": "TX", "level": "local", "urls": ["u1"]}]})
-    found = put(folder, "found.json", {"jurisdictions": [{"city": "austin", "state": "tx", "level": "local", "urls": ["u2"]}, {"city": "Elgin", "state": "TX", "urls": []}], "misses": [{"city": "M", "state": "TX", "level": "local", "checked_at": "t"}]})
+    seeds = put(folder, "seeds.json", {"jurisdictions": [{"city": "Quillby", "state": "TX", "level": "local", "urls": ["u1"]}]})
+    found = put(folder, "found.json", {"jurisdictions": [{"city": "quillby", "state": "tx", "level": "local", "urls": ["u2"]}, {"city": "Larkmoor", "state": "TX", "urls": []}], "misses": [{"city": "M", "state": "TX", "level": "local", "checked_at": "t"}]})
     rows = readers.read_jurisdictions(spark, seeds, found).orderBy("position").collect()
-    assert [(r["city"], r["urls"]) for r in rows] == [("Austin", ["u1"]), ("Elgin", [])]
+    assert [(r["city"], r["urls"]) for r in rows] == [("Quillby", ["u1"]), ("Larkmoor", [])]
     assert readers.read_misses(spark, found).first()["key"] == "TX:m:local"
     assert readers.read_jurisdictions(spark, seeds).count() == 1
 
@@ -63,15 +63,15 @@ def test_people_and_congress(spark, folder):
     legislators = put(folder, "leg.json", [{"id": {"bioguide": "B1"}, "terms": [{"start": "2025-01-03", "end": "2027-01-03", "phone": "1"}]}, {"id": {"wikipedia": "x"}}])
     committees = put(folder, "com.json", [{"thomas_id": "A", "name": "Ag", "subcommittees": [{"thomas_id": "01", "name": "F"}]}])
     membership = put(folder, "mem.json", {"A": [{"bioguide": "B1", "title": "Chair"}], "A01": [{"bioguide": "B1"}]})
-    offices = put(folder, "off.json", [{"id": {"bioguide": "B1"}, "offices": [{"building": "H", "suite": "2", "city": "Waco"}]}])
+    offices = put(folder, "off.json", [{"id": {"bioguide": "B1"}, "offices": [{"building": "H", "suite": "2", "city": "Ostrell"}]}])
     handles = put(folder, "soc.json", [{"id": {"bioguide": "B1"}, "social": {"youtube_id": "UC"}}, {"id": {"bioguide": "B2"}, "social": {"facebook": ""}}])
     d = jobs.federal_job(readers.read_legislators(spark, legislators), readers.read_committees(spark, committees), readers.read_membership(spark, membership), readers.read_district_offices(spark, offices)).collect()
     assert len(d) == 1 and d[0]["term_end"] == "2027-01-03" and d[0]["dc_office"]["name"] == "Washington DC Office"
     assert [c["name"] for c in d[0]["committees"]] == ["Ag", "Ag — F"] and d[0]["district_offices"][0]["name"] == "H, 2"
     s = jobs.social_job(readers.read_social_handles(spark, handles)).collect()
     assert [(r["bioguide"], r["social"]["youtube"]) for r in s] == [("B1", "https://youtube.com/channel/UC")]
-    reps = put(folder, "reps.json", {"representatives": [{"id": "B1", "area": "US House", "field_offices": [{"phone": "1", "city": "Waco"}]}]})
-    assert readers.read_reps(spark, reps).first()["field_offices"][0]["city"] == "Waco"
+    reps = put(folder, "reps.json", {"representatives": [{"id": "B1", "area": "US House", "field_offices": [{"phone": "1", "city": "Ostrell"}]}]})
+    assert readers.read_reps(spark, reps).first()["field_offices"][0]["city"] == "Ostrell"
 
 
 def test_log_lines(spark, folder):
@@ -129,22 +129,22 @@ def test_append_tables(spark, folder):
 
 
 def test_discovery(spark):
-    candidates = spark.createDataFrame([("TX:elgin:local", "Elgin", "TX", "local"), ("TX:waco:local", "Waco", "TX", "local")], "key string, city string, state string, level string")
-    sites = spark.createDataFrame([("TX:elgin:local", "Elgin", "https://elgin.gov/", []), ("TX:waco:local", "Waco", None, [])], "group string, city string, recalled string, hits array<string>")
+    candidates = spark.createDataFrame([("TX:larkmoor:local", "Larkmoor", "TX", "local"), ("TX:ostrell:local", "Ostrell", "TX", "local")], "key string, city string, state string, level string")
+    sites = spark.createDataFrame([("TX:larkmoor:local", "Larkmoor", "https://larkmoor.gov/", []), ("TX:ostrell:local", "Ostrell", None, [])], "group string, city string, recalled string, hits array<string>")
     html = '<a href="/council">Council</a>'
-    pages = spark.createDataFrame([("https://elgin.gov/", "https://elgin.gov/", True, "City of Elgin", html), ("https://elgin.gov/council", "https://elgin.gov/council", True, "x", "")], "url string, final_url string, ok boolean, text string, html string")
+    pages = spark.createDataFrame([("https://larkmoor.gov/", "https://larkmoor.gov/", True, "City of Larkmoor", html), ("https://larkmoor.gov/council", "https://larkmoor.gov/council", True, "x", "")], "url string, final_url string, ok boolean, text string, html string")
     links = web.explode_candidates(web.suggest_links(pages.select(F.col("final_url").alias("url"), "html")), "suggestions")
     links = pages.select(F.col("final_url").alias("url"), "html")
     links = web.suggest_links(links).select("url", F.posexplode("suggestions").alias("pos", "s")).select("url", "pos", F.col("s.url").alias("link"))
     from rosterspark.schema import RAW_OFFICIAL
     from pyspark.sql import types as P
 
-    raw = spark.createDataFrame([("https://elgin.gov/council", {f.name: "Ann" if f.name == "name" else None for f in RAW_OFFICIAL})], P.StructType([P.StructField("url", P.StringType()), P.StructField("raw", RAW_OFFICIAL)]))
-    old = spark.createDataFrame([("TX:elgin:local", "Elgin", "TX", "local", "t0", "r"), ("TX:x:local", "X", "TX", "local", "t0", "r")], "key string, city string, state string, level string, checked_at string, reason string")
+    raw = spark.createDataFrame([("https://larkmoor.gov/council", {f.name: "Ann" if f.name == "name" else None for f in RAW_OFFICIAL})], P.StructType([P.StructField("url", P.StringType()), P.StructField("raw", RAW_OFFICIAL)]))
+    old = spark.createDataFrame([("TX:larkmoor:local", "Larkmoor", "TX", "local", "t0", "r"), ("TX:x:local", "X", "TX", "local", "t0", "r")], "key string, city string, state string, level string, checked_at string, reason string")
     out = jobs.discovery_job(candidates, sites, pages, links, raw, old, "now")
-    assert [(r["city"], r["body"], r["urls"]) for r in out.hits.collect()] == [("Elgin", "Elgin City Council", ["https://elgin.gov/council"])]
-    assert sorted((r["city"], r["reason"]) for r in out.misses.collect()) == [("Waco", "no site found"), ("X", "r")]
-    assert [r["id"] for r in out.officials.collect()] == ["tx:elgin:?:ann"]
+    assert [(r["city"], r["body"], r["urls"]) for r in out.hits.collect()] == [("Larkmoor", "Larkmoor City Council", ["https://larkmoor.gov/council"])]
+    assert sorted((r["city"], r["reason"]) for r in out.misses.collect()) == [("Ostrell", "no site found"), ("X", "r")]
+    assert [r["id"] for r in out.officials.collect()] == ["tx:larkmoor:?:ann"]
 
 
 # --- streams --------------------------------------------------------------------------------
@@ -214,11 +214,11 @@ def test_ledger_stream_equals_batch(spark, folder, events):
 
 
 def test_search_log_stream(spark, folder):
-    put(folder, "a.json", '{"t": "1", "query": "  Austin ", "geo": {"state": "TX", "lat": 1.0}}\n{"t": "2", "query": " "}\n')
+    put(folder, "a.json", '{"t": "1", "query": "  Quillby ", "geo": {"state": "TX", "lat": 1.0}}\n{"t": "2", "query": " "}\n')
     raw = spark.readStream.schema("t string, query string, typed string, geo struct<state:string,county:string,place:string,lat:double>").json(folder + "/a.json*")
     run(streams.search_log_stream(raw, folder + "/log", folder + "/cp"))
     rows = spark.read.parquet(folder + "/log").collect()
-    assert [(r["query"], r["typed"], r["resolved"]["state"]) for r in rows] == [("Austin", None, "TX")]
+    assert [(r["query"], r["typed"], r["resolved"]["state"]) for r in rows] == [("Quillby", None, "TX")]
 
 
 def test_cache_refill_and_ttl_stream(spark, folder, events):

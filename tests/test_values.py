@@ -67,10 +67,10 @@ def test_ids_agree_across_quotes_and_titles(spark):
 
 
 def test_places(spark):
-    assert column(spark, T.strip_place_suffix("a"), ["Austin city", "X city (balance)", "Foo CDP", "Bar cdp", "City", "Kansas City city"]) == [
-        "Austin", "X city", "Foo", "Bar", "City", "Kansas City",
+    assert column(spark, T.strip_place_suffix("a"), ["Quillby city", "X city (balance)", "Foo CDP", "Bar cdp", "City", "Kansas City city"]) == [
+        "Quillby", "X city", "Foo", "Bar", "City", "Kansas City",
     ]
-    assert column(spark, T.normalize_place("a"), ["Bastrop County", "St. Louis city", None, "Townsend"]) == ["bastrop", "st louis", "", "townsend"]
+    assert column(spark, T.normalize_place("a"), ["Fennick County", "St. Louis city", None, "Townsend"]) == ["fennick", "st louis", "", "townsend"]
     assert T.expand_states(" tx, ca ,") == ["TX", "CA"] and len(T.expand_states(None)) == 52
 
 
@@ -189,7 +189,7 @@ def test_normalize(spark):
         P.StructField("raw", RAW_OFFICIAL), P.StructField("jurisdiction", P.StructType([P.StructField(k, P.StringType()) for k in ("city", "state", "level", "body")])),
         P.StructField("source_url", P.StringType()), P.StructField("extracted_at", P.StringType()),
     ])
-    place = ("Elgin", "TX", None, "Elgin City Council")
+    place = ("Larkmoor", "TX", None, "Larkmoor City Council")
     rows = [
         (raw_row(name=" Ann  ", office="Mayor", phone="5125551234", email="https://x/email", url="ann", address="  ", social=None), place, "https://e.gov/c/", "t"),
         (raw_row(name="  "), place, "https://e.gov/", "t"),
@@ -198,7 +198,7 @@ def test_normalize(spark):
     assert len(out) == 1
     r = out[0]
     assert (r["id"], r["name"], r["level"], r["phone"], r["email"], r["url"], r["address"]) == (
-        "tx:elgin:mayor:ann", "Ann", "local", "512-555-1234", None, "https://e.gov/c/ann", "",
+        "tx:larkmoor:mayor:ann", "Ann", "local", "512-555-1234", None, "https://e.gov/c/ann", "",
     )
     assert r["offices"] == [] and r["social"]["twitter"] is None and r["bio_checked_at"] is None
 
@@ -252,7 +252,7 @@ def test_shared_media(spark):
 
 
 def test_collapse(spark):
-    place = dict(city="Austin", state="TX")
+    place = dict(city="Quillby", state="TX")
     rows = officials(
         spark,
         dict(id="x1", name="Ann 'A' B", office="Councilmember", jurisdiction=place, extracted_at="2026-01-01T00:00:00Z", photo_url="p1", phone="old", social={"twitter": "t1"}),
@@ -325,10 +325,10 @@ def test_columns(spark):
 
 
 def test_county_and_city_of_one_name(spark):
-    requests = spark.createDataFrame([(1, "TX", "Elgin city", "Bastrop County"), (2, "TX", None, ""), (3, None, "Elgin", None)], "request_id long, state string, place string, county string")
-    stored = spark.createDataFrame([("TX", "local", "Bastrop"), ("TX", "county", "Bastrop County"), ("TX", "local", "Elgin"), ("TX", "state", "Elgin")], "state string, level string, city string")
+    requests = spark.createDataFrame([(1, "TX", "Larkmoor city", "Fennick County"), (2, "TX", None, ""), (3, None, "Larkmoor", None)], "request_id long, state string, place string, county string")
+    stored = spark.createDataFrame([("TX", "local", "Fennick"), ("TX", "county", "Fennick County"), ("TX", "local", "Larkmoor"), ("TX", "state", "Larkmoor")], "state string, level string, city string")
     got = serve.match_local(serve.match_keys(requests), stored).collect()
-    assert sorted((r["request_id"], r["level"], r["city"]) for r in got) == [(1, "county", "Bastrop County"), (1, "local", "Elgin")]
+    assert sorted((r["request_id"], r["level"], r["city"]) for r in got) == [(1, "county", "Fennick County"), (1, "local", "Larkmoor")]
 
 
 def test_state_cards_replace_only_when_present(spark):
@@ -342,11 +342,11 @@ def test_same_office_from_two_sources(spark):
         return F.struct(*[F.lit(kw.get(f.name)).cast("string").alias(f.name) for f in OFFICE])
 
     merged = O.merge_same_place(
-        F.array(office(classification="district", city="Waco", phone="1"), office(classification="district", city="Hico", phone="2")),
-        F.array(office(classification="district", city="WACO", phone="1", address="A"), office(classification="x", city="waco", phone="1", address="B")),
+        F.array(office(classification="district", city="Ostrell", phone="1"), office(classification="district", city="Hilby", phone="2")),
+        F.array(office(classification="district", city="OSTRELL", phone="1", address="A"), office(classification="x", city="ostrell", phone="1", address="B")),
     )
     rows = spark.range(1).select(merged.alias("m")).first()["m"]
-    assert [(o["city"], o["address"]) for o in rows] == [("WACO", "A"), ("Hico", None)]
+    assert [(o["city"], o["address"]) for o in rows] == [("OSTRELL", "A"), ("Hilby", None)]
 
 
 # --- walk -----------------------------------------------------------------------------------
