@@ -8,15 +8,18 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rosterspark.llm.common import Scratch, connected, tiles
-from rosterspark.llm.tokens import slices
+from rosterspark.llm.common import Scratch, connected, free_name, tiles
+from rosterspark.llm.tally import Replies, ranges, tally
+from rosterspark.llm.tokens import forget_words, slices
 
 #: Weight of a tile: shingles, and 256 for each document.
 TILE = 1_000_000
 #: Bits of a signature for each shingle, and at most.
 BITS_EACH, MOST_BITS = 16, 1 << 15
 #: Shingles that a task holds at once while shingles are counted.
-CHUNK = 2_000_000
+CHUNK = 500_000
+#: Words that a task remembers.
+REMEMBERED = 150_000
 
 _MULTIPLIERS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3)
 
@@ -27,7 +30,7 @@ class Words(dict):
     def __missing__(self, word: bytes) -> int:
         import xxhash
 
-        if len(self) > 400_000:
+        if len(self) > REMEMBERED:
             self.clear()
         value = self[word] = xxhash.xxh3_64_intdigest(word)
         return value
@@ -85,6 +88,7 @@ class Chunks:
     """Sets that a task meets for the first time, in chunks of about ``most`` shingles; the same at every reading."""
 
     def __init__(self, width: int, most: int = CHUNK):
+        forget_words()
         self.words, self.met, self.width, self.most = Words(), set(), width, most
 
     def of(self, batches: Iterator) -> Iterator[tuple[list, list[np.ndarray], list[int | None], list[bool]]]:
@@ -115,65 +119,9 @@ def _codes(sets: list[np.ndarray], new: list[bool]) -> tuple[np.ndarray, np.ndar
     return np.unique(np.concatenate(some) >> np.uint64(24), return_counts=True) if some else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
 
 
-def _packed(values: np.ndarray) -> bytes:
-    """Sorted integers as differences, byte by byte: 2 to 3 bytes each."""
-    import pyarrow as pa
-
-    steps = np.diff(values, prepend=np.uint64(0)).astype("<u8")
-    return pa.compress(np.ascontiguousarray(steps.view(np.uint8).reshape(-1, 8).T).tobytes(), codec="zstd", asbytes=True)
-
-
-def _unpacked(data: bytes, count: int) -> np.ndarray:
-    import pyarrow as pa
-
-    planes = np.frombuffer(pa.decompress(data, 8 * count, codec="zstd", asbytes=True), np.uint8).reshape(8, count)
-    return np.cumsum(np.ascontiguousarray(planes.T).view("<u8").ravel(), dtype=np.uint64)
-
-
-def count_holders(docs: DataFrame, width: int, scratch: Scratch) -> str:
-    """How many sets hold each shingle, as a table that is laid out by the task and chunk that will ask for it.
-
-    Tasks send their chunks' codes, sorted, packed and cut into ranges, to a task for each range; that one adds up and
-    answers each chunk with a byte for each code, in the order it was asked (255: that many or more). So all shingles of
-    the corpus are counted, without a row for each. Returns the table's place.
-    """
-    spark = docs.sparkSession
-    ranges = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
-
-    def ask(batches: Iterator) -> Iterator:
-        import pyarrow as pa
-        from pyspark import TaskContext
-
-        part = TaskContext.get().partitionId()
-        for chunk, (_, sets, _, new) in enumerate(Chunks(width).of(batches)):
-            codes, counts = _codes(sets, new)
-            cuts = np.searchsorted(codes, [(i << 40) // ranges for i in range(ranges + 1)])
-            spans = [(r, int(a), int(b)) for r, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False)) if b > a]
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array([r for r, _, _ in spans], pa.int32()), pa.array([part] * len(spans), pa.int32()), pa.array([chunk] * len(spans), pa.int32()), pa.array([b - a for _, a, b in spans], pa.int32()),
-                    pa.array([_packed(codes[a:b]) for _, a, b in spans], pa.binary()), pa.array([pa.compress(np.minimum(counts[a:b], 255).astype(np.uint8).tobytes(), codec="zstd", asbytes=True) for _, a, b in spans], pa.binary()),
-                ],
-                names=["range", "part", "chunk", "n", "codes", "counts"],
-            )
-
-    def answer(table):
-        import pyarrow as pa
-
-        sizes = table.column("n").to_pylist()
-        codes = [_unpacked(d, n) for d, n in zip(table.column("codes").to_pylist(), sizes, strict=True)]
-        counts = [np.frombuffer(pa.decompress(d, n, codec="zstd", asbytes=True), np.uint8) for d, n in zip(table.column("counts").to_pylist(), sizes, strict=True)]
-        _, inverse = np.unique(np.concatenate(codes), return_inverse=True)
-        held = np.minimum(np.bincount(inverse, np.concatenate(counts)), 255).astype(np.uint8)[inverse]
-        ends = np.cumsum(sizes)
-        replies = [pa.compress(held[e - n : e].tobytes(), codec="zstd", asbytes=True) for e, n in zip(ends.tolist(), sizes, strict=True)]
-        return pa.table({"part": table.column("part"), "chunk": table.column("chunk"), "range": table.column("range"), "n": table.column("n"), "held": pa.array(replies, pa.binary())})
-
-    asked = docs.select("doc_id", "text").mapInArrow(ask, "range int, part int, chunk int, n int, codes binary, counts binary")
-    replies = asked.groupBy("range").applyInArrow(answer, "part int, chunk int, range int, n int, held binary")
-    path = scratch.path("holders")
-    replies.repartition("part").write.partitionBy("part").parquet(path)
-    return path if "://" in path else "file://" + path
+def _chunk_codes(width: int):
+    """For ``tally``: the codes of each chunk of a task."""
+    return lambda batches: (_codes(sets, new) for _, sets, _, new in Chunks(width).of(batches))
 
 
 def describe(docs: DataFrame, width: int, num: int, den: int, holders: str) -> DataFrame:
@@ -181,33 +129,17 @@ def describe(docs: DataFrame, width: int, num: int, den: int, holders: str) -> D
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
-        from pyarrow import fs, parquet
-        from pyspark import TaskContext
 
-        system, inner = fs.FileSystem.from_uri(f"{holders}/part={TaskContext.get().partitionId()}")
-        replies = None
+        replies = Replies(holders)
         for chunk, (ids, sets, nodes, new) in enumerate(Chunks(width).of(batches)):
             codes, _ = _codes(sets, new)
-            if len(codes):
-                if replies is None:
-                    files = [f.path for f in fs_files(system, inner)]
-                    replies = pa.concat_tables([parquet.ParquetFile(system.open_input_file(f)).read() for f in files]).sort_by([("chunk", "ascending"), ("range", "ascending")])
-                mine = replies.filter(pa.compute.equal(replies.column("chunk"), chunk))
-                held = np.concatenate([np.frombuffer(pa.decompress(d, n, codec="zstd", asbytes=True), np.uint8) for d, n in zip(mine.column("held").to_pylist(), mine.column("n").to_pylist(), strict=True)])
-                if len(held) != len(codes):
-                    raise RuntimeError("the documents' partitions changed between two readings; pass stable=False")
+            held = replies.of(chunk, len(codes))
             prefixes = [_signed(prefix(s, held[np.searchsorted(codes, s >> np.uint64(24))], num, den)) if fresh else None for s, fresh in zip(sets, new, strict=True)]
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array(nodes, pa.int64()), pa.array(prefixes, pa.list_(pa.int64()))], names=["doc_id", "n", "node", "prefix"])
 
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, node long, prefix array<long>")
 
 
-def fs_files(system, folder: str):
-    from pyarrow import fs
-
-    return [f for f in system.get_file_info(fs.FileSelector(folder)) if f.is_file and f.path.endswith(".parquet")]
-
-
 def sets_of(docs: DataFrame, width: int) -> DataFrame:
     """node, items (the set's hashes, sorted, 8 bytes each)."""
 
@@ -230,18 +162,14 @@ def bitmaps(sets: list[np.ndarray], bits: int) -> np.ndarray:
     return out
 
 
-def tile_links(nodes: np.ndarray, sets: list[np.ndarray], blocks: list, num: int, den: int) -> list[tuple[int, int]]:
-    """Pairs of nodes that link and join what wasn't joined before: enough to keep the tile connected as its links do.
+def _close_pairs(sets: list[np.ndarray], blocks: np.ndarray, num: int, den: int) -> Iterator[tuple[int, np.ndarray]]:
+    """(index, indices of later sets that may link with it) for sets in order of size.
 
     Every set bit of one signature that the other lacks is at least one shingle of its own, so set size less such bits
-    bounds the overlap from above. Pairs whose bound and sizes allow a link are intersected exactly, unless both ends
-    are connected already. Sets of two blocks are compared across the blocks only.
+    bounds the overlap from above. Sets of two blocks are compared across the blocks only.
     """
     n = np.array([len(s) for s in sets])
-    order = np.argsort(n, kind="stable")
-    nodes, n, sets, blocks = nodes[order], n[order], [sets[i] for i in order], np.array([blocks[i] or "" for i in order])
     across = len(set(blocks.tolist())) > 1
-    roots, out = np.arange(len(sets)), []
     # Chunks of about 4 million signature bits; the sizes in a chunk are near each other, the partners' follow.
     start = 0
     while start < len(sets):
@@ -262,18 +190,47 @@ def tile_links(nodes: np.ndarray, sets: list[np.ndarray], blocks: list, num: int
             if across:
                 fit &= blocks[start:stop, None] != blocks[None, begin:end]
             for i in np.nonzero(fit.any(axis=1))[0].tolist():
-                mine = start + i
-                partners = begin + np.nonzero(fit[i])[0]
-                while len(partners := partners[roots[partners] != roots[mine]]):
-                    other, partners = int(partners[0]), partners[1:]
-                    same = len(np.intersect1d(sets[mine], sets[other], assume_unique=True))
-                    if same * (num + den) >= num * (len(sets[mine]) + len(sets[other])):
-                        out.append((int(nodes[mine]), int(nodes[other])))
-                        roots[roots == roots[other]] = roots[mine]
+                yield start + i, begin + np.nonzero(fit[i])[0]
         start = stop
+
+
+def _linked(a: np.ndarray, b: np.ndarray, num: int, den: int) -> bool:
+    return len(np.intersect1d(a, b, assume_unique=True)) * (num + den) >= num * (len(a) + len(b))
+
+
+def _by_size(sets: list[np.ndarray], *more: list) -> tuple:
+    order = np.argsort([len(s) for s in sets], kind="stable")
+    return [sets[i] for i in order], *(np.array([m[i] for i in order]) for m in more)
+
+
+def tile_links(nodes: np.ndarray, sets: list[np.ndarray], blocks: list, num: int, den: int) -> list[tuple[int, int]]:
+    """Pairs of nodes that link and join what wasn't joined before: enough to keep the tile connected as its links do.
+
+    Pairs whose bound and sizes allow a link are intersected exactly, unless both ends are connected already.
+    """
+    sets, nodes, blocks = _by_size(sets, nodes.tolist(), [b or "" for b in blocks])
+    roots, out = np.arange(len(sets)), []
+    for mine, partners in _close_pairs(sets, blocks, num, den):
+        while len(partners := partners[roots[partners] != roots[mine]]):
+            other, partners = int(partners[0]), partners[1:]
+            if _linked(sets[mine], sets[other], num, den):
+                out.append((int(nodes[mine]), int(nodes[other])))
+                roots[roots == roots[other]] = roots[mine]
     return out
 
 
+def tile_counts(nodes: np.ndarray, sets: list[np.ndarray], blocks: list, copies: list[int], num: int, den: int) -> list[tuple[int, int]]:
+    """(node, documents of other sets that link with it in this tile); all pairs that the bound allows are intersected."""
+    sets, nodes, blocks, copies = _by_size(sets, nodes.tolist(), [b or "" for b in blocks], copies)
+    found = np.zeros(len(sets), np.int64)
+    for mine, partners in _close_pairs(sets, blocks, num, den):
+        for other in partners.tolist():
+            if _linked(sets[mine], sets[other], num, den):
+                found[mine] += copies[other]
+                found[other] += copies[mine]
+    return [(int(nodes[i]), int(found[i])) for i in np.nonzero(found)[0]]
+
+
 def link(members: DataFrame, num: int, den: int) -> DataFrame:
     """``members``: tile, cluster, node, block, items. Edges ``a, b`` of each tile; a tile is bounded by construction."""
 
@@ -292,6 +249,26 @@ def link(members: DataFrame, num: int, den: int) -> DataFrame:
     return members.groupBy("tile").applyInArrow(run, "a long, b long")
 
 
+def count_links(members: DataFrame, num: int, den: int) -> DataFrame:
+    """``members``: tile, cluster, node, block, items, copies. node, links: documents of other sets that it links with."""
+
+    def run(table):
+        import pyarrow as pa
+
+        rows = {}
+        for cluster, node, block, items, copies in zip(*(table.column(c).to_pylist() for c in ("cluster", "node", "block", "items", "copies")), strict=True):
+            rows.setdefault(cluster, {})[node] = (block, items, copies)
+        found = []
+        for inside in rows.values():
+            if len(inside) > 1:
+                blocks, items, copies = (list(c) for c in zip(*inside.values(), strict=True))
+                found += tile_counts(np.array(list(inside)), [np.frombuffer(i, np.uint64) for i in items], blocks, copies, num, den)
+        return pa.table({"node": pa.array([n for n, _ in found], pa.int64()), "links": pa.array([k for _, k in found], pa.int64())})
+
+    # Two nodes meet in one tile only, so the tiles' counts add up.
+    return members.groupBy("tile").applyInArrow(run, "node long, links long").groupBy("node").agg(F.sum("links").alias("links"))
+
+
 def stars(heads: DataFrame, scratch: Scratch) -> DataFrame:
     """``heads``: shingle, node. Edges ``a, b`` from each node to the smallest one of each of its shingles.
 
@@ -303,10 +280,12 @@ def stars(heads: DataFrame, scratch: Scratch) -> DataFrame:
     return heads.join(centres, "shingle").where(F.col("node") != F.col("b")).select(F.col("node").alias("a"), "b").distinct()
 
 
-def jaccard_components(docs: DataFrame, *, width: int = 5, threshold: tuple[int, int] = (80, 100), id_column: str = "doc_id", text_column: str = "text", stable: bool = False) -> DataFrame:
+def jaccard_components(docs: DataFrame, *, width: int = 5, threshold: tuple[int, int] = (80, 100), id_column: str = "doc_id", text_column: str = "text", stable: bool = False, links: bool = False) -> DataFrame:
     """Documents whose word n-gram sets have a Jaccard similarity of ``threshold`` (a fraction) or more, as components.
 
-    One row per document: doc_id, n_shingles, component_id (smallest doc_id reachable by links, its own included).
+    One row per document: doc_id, n_shingles, component_id (smallest doc_id reachable by links, its own included); with ``links``
+    also n_links, the number of other documents linked with it. Counting needs every pair that the bounds allow; components
+    alone need only pairs that aren't connected yet.
 
     1. Equal sets are one node from here on, so copies cost nothing more, however many there are.
     2. Two sets that link share a shingle of their prefixes in a common global order. Shingles that few sets hold come
@@ -329,22 +308,23 @@ def jaccard_components(docs: DataFrame, *, width: int = 5, threshold: tuple[int,
     rows = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).cast("string").alias("text"))
     if not stable:
         rows = scratch.table(rows, "documents")
-    named = rooted(rows, width, threshold, scratch)
+    named = rooted(rows, width, threshold, scratch, links)
     scratch.keep_only(named)
     # Signed node order isn't document order, so the smallest document names the component.
     smallest = named.where(F.col("root").isNotNull()).groupBy("root").agg(F.min("doc_id").alias("smallest"))
-    return named.join(smallest, "root", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("smallest", "doc_id").alias("component_id"))
+    return named.join(smallest, "root", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("smallest", "doc_id").alias("component_id"), *(["n_links"] if links else []))
 
 
-def rooted(rows: DataFrame, width: int, threshold: tuple[int, int], scratch: Scratch) -> DataFrame:
-    """``rows``: doc_id, text, straight from files. A staged table with a row for each: doc_id, n, node, root.
+def rooted(rows: DataFrame, width: int, threshold: tuple[int, int], scratch: Scratch, count: bool = False) -> DataFrame:
+    """``rows``: doc_id, text, straight from files. A staged table with a row for each: doc_id, n, node, root (and n_links).
 
     root: one node for each component; null for documents without words.
     """
     num, den = threshold
-    holders = count_holders(rows, width, scratch)
+    # How many sets hold each shingle: all are counted, without a row for each.
+    holders = tally(rows.select("doc_id", "text"), _chunk_codes(width), ranges(rows), scratch)
     described = scratch.table(describe(rows, width, num, den, holders), "sets")
-    classes = described.where(F.col("node").isNotNull()).groupBy("node").agg(F.min("doc_id").alias("first"), F.max("n").alias("n"))
+    classes = described.where(F.col("node").isNotNull()).groupBy("node").agg(F.min("doc_id").alias("first"), F.max("n").alias("n"), F.count(F.lit(1)).alias("copies"))
     heads = described.select(F.explode("prefix").alias("shingle"), "node")
     clusters = scratch.table(connected(stars(heads, scratch), scratch), "clusters")
     # Bands are a thousandth wider than the threshold asks, so rounding never puts linked sizes two bands apart.
@@ -354,9 +334,15 @@ def rooted(rows: DataFrame, width: int, threshold: tuple[int, int], scratch: Scr
     wanted = members.select(F.col("first").alias("wanted")).distinct()
     chosen = rows.join(wanted, F.col("doc_id").eqNullSafe(F.col("wanted")), "left_semi")
     dealt = tiles(members, TILE, scratch).join(sets_of(chosen, width), "node")
+    if count:
+        dealt = scratch.table(dealt, "dealt")
     links = scratch.table(link(dealt, num, den), "links")
     roots = connected(links, scratch)
     found = described.select("doc_id", "n", "node").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    if count:
+        others = count_links(dealt.join(classes.select("node", "copies"), "node"), num, den)
+        found = found.join(classes.select("node", "copies"), "node", "left").join(others, "node", "left")
+        found = found.withColumn("n_links", F.coalesce(F.col("copies") - 1 + F.coalesce("links", F.lit(0)), F.lit(0))).drop("copies", "links")
     return scratch.table(found, "named")
 
 
@@ -364,16 +350,17 @@ def keep_one(docs: DataFrame, *, width: int = 5, threshold: tuple[int, int] = (8
     """The rows of ``docs`` with one row of each component: the one with the smallest id, and of equal ids the first.
 
     Rows count on their own, whether or not their ids repeat; a null id stays only if all of the component are null. Rows
-    without words stay.
+    without words stay. Other columns pass through, whatever their names. Empty table: no rows.
     """
     scratch = Scratch(docs.sparkSession)
+    number = free_name(docs, "__row")
     # Written, so that a row has the same number whenever it is read.
-    keyed = scratch.table(docs.withColumn("__row", F.monotonically_increasing_id()), "rows")
-    rows = keyed.select(F.col("__row").alias("doc_id"), F.col(text_column).cast("string").alias("text"))
+    keyed = scratch.table(docs.withColumn(number, F.monotonically_increasing_id()), "rows")
+    rows = keyed.select(F.col(number).alias("doc_id"), F.col(text_column).cast("string").alias("text"))
     found = rooted(rows, width, threshold, scratch)
     scratch.keep_only(keyed, found)
-    ids = keyed.select("__row", F.col(id_column).cast("long").alias("__id"))
-    places = found.where(F.col("root").isNotNull()).select("root", F.col("doc_id").alias("__row")).join(ids, "__row")
-    first = places.groupBy("root").agg(F.min(F.struct(F.col("__id").isNull(), "__id", "__row")).getField("__row").alias("__row"))
-    wordless = found.where(F.col("root").isNull()).select(F.col("doc_id").alias("__row"))
-    return keyed.join(first.select("__row").unionByName(wordless), "__row", "left_semi").select(*docs.columns)
+    ids = keyed.select(F.col(number).alias("row"), F.col(id_column).cast("long").alias("id"))
+    places = found.where(F.col("root").isNotNull()).select("root", F.col("doc_id").alias("row")).join(ids, "row")
+    first = places.groupBy("root").agg(F.min(F.struct(F.col("id").isNull(), "id", "row")).getField("row").alias(number))
+    wordless = found.where(F.col("root").isNull()).select(F.col("doc_id").alias(number))
+    return keyed.join(first.select(number).unionByName(wordless), number, "left_semi").select(*docs.columns)

@@ -206,3 +206,17 @@ def test_repeated_null_ids_and_no_vectors(spark):
     out = embedding_dedup.near_vectors(spark.createDataFrame([(*r, None, None, None) for r in rows], SCHEMA)).collect()
     assert sorted([tuple(r) for r in out], key=str) == sorted([(1, 2, 1, True), (1, 2, 1, True), (None, 2, 1, False), (None, 0, None, False), (2, 0, 2, True)], key=str)
     assert embedding_dedup.near_vectors(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+@pytest.mark.parametrize("tile", [ngram_join.TILE, 3000])
+def test_links_of_each_document_are_counted(spark, monkeypatch, tile):
+    """Copies, near copies and chains: as many links as all pairs give, in shared tiles and in tiles of blocks."""
+    monkeypatch.setattr(ngram_join, "TILE", tile)
+    shape = llm_cases.rows()[0]
+    data = [(1000 + i, t, *shape[2:]) for i, t in enumerate(chained(7) + chained(7)[:20])] + [r for r in llm_cases.rows() if r[0] is not None]
+    sets = [shingle_set(r[1], 3) for r in data]
+    want = [(r[0], sum(1 for j, b in enumerate(sets) if j != i and a and b and 100 * len(a & b) >= 90 * len(a | b))) for i, (r, a) in enumerate(zip(data, sets, strict=True))]
+    out = ngram_join.jaccard_components(llm_cases.frame(spark, data), width=3, threshold=(90, 100), links=True)
+    assert out.columns == ["doc_id", "n_shingles", "component_id", "n_links"]
+    assert sorted((r["doc_id"], r["n_links"]) for r in out.collect()) == sorted(want)
+    assert max(n for _, n in want) > 10
