@@ -9,6 +9,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from rosterspark.llm.common import first_of
+
 UNKNOWN = "und"
 #: N-grams in a profile.
 TOP = 300
@@ -67,9 +69,9 @@ def _learnable(docs: DataFrame, sample: int, text_column: str, language_column:
     """Distinct texts with their language, the ``sample`` with the smallest hashes of each."""
     rows = docs.select(F.col(language_column).cast("string").alias("language"), F.col(text_column).alias("text")).where(F.col("language").isNotNull() & F.col("text").rlike(r"\p{L}"))
     rows = rows.withColumn("h", F.xxhash64("text"))
-    order = Window.partitionBy("language").orderBy("h")
-    chosen = rows.select("language", "h").distinct().withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= sample).select("language", "h")
-    return rows.join(chosen, ["language", "h"], "left_semi").dropDuplicates(["language", "h"]).select("language", "text")
+    chosen = first_of(rows.select("language", "h").distinct(), ["language"], [F.asc("h")], sample, "h").select("language", "h")
+    # At most `sample` hashes a language; with them at hand in every task only chosen texts leave the scan.
+    return rows.join(F.broadcast(chosen), ["language", "h"], "left_semi").dropDuplicates(["language", "h"]).select("language", "text")
 
 
 def learn_profiles(docs: DataFrame, *, text_column: str = "text", language_column: str = "lang", top: int = TOP, sample: int = SAMPLE) -> dict[str, np.ndarray]:

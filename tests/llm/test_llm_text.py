@@ -200,3 +200,48 @@ def test_shards_of_the_table(spark):
     folder = "/root/testdata/sf0.001"
     docs = [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{folder}/documents.parquet").collect()]
     check_shards(queries.QUERIES["op10_sharding"](spark, folder).collect(), docs, 24)
+
+
+def plain_grams(text):
+    import unicodedata
+
+    low = text.lower() if len(text.lower()) == len(text) else text
+    kept = "".join(b if unicodedata.category(b)[0] == "L" else " " for b in low)
+    kept = re.sub(" +", " ", f" {kept} ")
+    code = lambda g: sum(ord(c) << 21 * (len(g) - 1 - i) for i, c in enumerate(g))
+    return Counter(code(g) for n in (1, 2, 3) for i in range(len(kept) - n + 1) if (g := kept[i : i + n]) and not ((n == 1 and g == " ") or (n == 2 and g == "  ") or (n == 3 and g[1] == " ")))
+
+
+def test_the_language_query_equals_plain_profiles(spark):
+    """The registered query, every row, against profiles counted and compared without arrays."""
+    import zlib
+
+    folder = "/root/testdata/sf0.001"
+    docs = [tuple(r) for r in spark.read.parquet(f"{folder}/documents.parquet").select("doc_id", "text", "lang").collect()]
+    learned = {}
+    for _, text, lang in {(None, t, g) for d, t, g in docs if g is not None and t and zlib.crc32(str(d).encode()) % 4 != 2}:
+        if any(c.isalpha() for c in text):
+            learned.setdefault(lang, Counter()).update(plain_grams(text))
+    top = lambda c: [g for g, _ in sorted(c.items(), key=lambda x: (-x[1], x[0]))][: language_id.TOP]
+    profiles = {k: {g: i for i, g in enumerate(top(c))} for k, c in sorted(learned.items())}
+    want = []
+    for d, text, _ in docs:
+        best = top(plain_grams(text or ""))
+        out = {k: sum(abs(p[g] - i) if g in p else language_id.TOP for i, g in enumerate(best)) for k, p in profiles.items()}
+        first = min(out, key=lambda k: (out[k], k)) if best else "und"
+        want.append((d, zlib.crc32(str(d).encode()) % 4 == 2, first, round(1 - out[first] / (language_id.TOP * len(best)), 9) if best else 0.0))
+    got = [(r["doc_id"], r["held_out"], r["lang_pred"], round(r["score"], 9)) for r in queries.QUERIES["op6_language_id"](spark, folder).collect()]
+    assert sorted(got) == sorted(want)
+
+
+def test_columns_with_private_names(spark):
+    """Input columns that are named like those the operators use inside pass through unchanged."""
+    from rosterspark.llm import line_dedup, ngram_join
+
+    names = ["__row", "__id", "__key", "__kinds", "__gone", "__low"]
+    docs = llm_cases.frame(spark).select("doc_id", "text", "source", *[F.concat(F.lit("own "), F.col("doc_id")).alias(c) for c in names])
+    want = sorted((str(r["doc_id"]), str(r["text"])) for r in docs.collect())
+    for out, whole in ((secrets.find_secrets(docs), True), (line_dedup.dedup_lines(docs), False), (ngram_join.keep_one(docs), False)):
+        rows = out.collect()
+        assert rows and all(r[c] == (None if r["doc_id"] is None else f"own {r['doc_id']}") for r in rows for c in names)
+        assert not whole or sorted((str(r["doc_id"]), str(r["text"])) for r in rows) == want
