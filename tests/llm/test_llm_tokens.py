@@ -151,3 +151,42 @@ def test_queries_over_the_table(spark, plain):
     totals = {r["doc_id"]: r["s"] for r in two.groupBy("doc_id").agg(F.sum("length").alias("s")).collect()}
     assert totals == {d: len(plain(t)) + 1 for d, t in docs.items()}
     assert two.agg((F.sum("length") / F.count_distinct("sequence_id") / 2048).alias("full")).first()["full"] > 0.97
+
+
+def odd_texts(count, seed):
+    """Random texts in which white space, control characters, marks and letters of many kinds stand side by side."""
+    rng = np.random.default_rng(seed)
+    pool = [chr(c) for c in [*range(0x20), 0x20, 0x20, 0x20, 0x0A, 0x85, 0xA0, 0x1680, *range(0x2000, 0x2010), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000, 0xFEFF, 0x180E]] + list("abzAZ019.,'!é") + ["'s", "'ll", "ß", "ñ", "日", "\u0301", "\U0001f600"]
+    pool += [chr(int(c)) for c in rng.integers(0, 0x3000, 200)]
+    return ["".join(rng.choice(pool, int(rng.integers(1, 30)))) for _ in range(count)]
+
+
+def test_cuts_are_safe_between_any_characters(monkeypatch):
+    import base64
+
+    import tiktoken
+
+    monkeypatch.setattr(bpe, "LONG", 3)
+    encode, decode = bpe.encoder(queries.RANKS, public_tokenizers.PATTERN)
+    with open(queries.RANKS, "rb") as lines:
+        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
+    whole = tiktoken.Encoding("whole", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    for text in [*odd_texts(20_000, 1), "\n\n\x1c2" * 300, "abc" + "\n\n\x1c2" * 300, *ODD]:
+        ids = encode(text)
+        assert np.frombuffer(ids, "<u4").tolist() == whole.encode_ordinary(text), repr(text)
+        assert decode(ids) == text.encode()
+
+
+def test_words_may_be_joined_between_any_characters(plain):
+    encoder = tokens.FileEncoder(queries.TOKENIZER)
+    some = [*odd_texts(10_000, 2), *(" ".join(odd_texts(8, s)) for s in range(300))]
+    for at in range(0, len(some), 500):
+        got = encoder.ids(some[at : at + 500])
+        for text, ids in zip(some[at : at + 500], got, strict=True):
+            assert np.frombuffer(ids, "<u4").tolist() == plain(text), repr(text)
+
+
+def test_white_space_at_the_ends_of_texts(plain):
+    some = [" ", "\n", " a", "a ", "\na", "a\n", " a\nb ", "\n \n", "a b\nc\nd e\n", "a\0b", "\0", "\u3000a", "x" * 300_000 + " \t" + "y " * 100_000]
+    got = tokens.FileEncoder(queries.TOKENIZER).ids(some * 2)
+    assert [np.frombuffer(i, "<u4").tolist() for i in got] == [plain(t) for t in some] * 2
