@@ -51,7 +51,8 @@ def shard_table(spark: SparkSession, path: str, buckets: int = SHARD_BUCKETS) ->
     """The session's name for the officials table at ``path``: a folder for each state, files by a hash of the id.
 
     The files alone are the table; the name only tells Spark how they are laid out, so a new session registers it again. The
-    number of buckets stands in the name of an empty folder beside the data, and the first writer decides it.
+    number of buckets stands in the name of an empty folder beside the data, and the first writer decides it. That writes replace
+    only the states that they touch is an option of the table: ``insertInto`` takes none of the writer's, and the session's may differ.
     """
     jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
     folder = jvm.org.apache.hadoop.fs.Path(path)
@@ -65,7 +66,7 @@ def shard_table(spark: SparkSession, path: str, buckets: int = SHARD_BUCKETS) ->
     address = system.makeQualified(folder).toString()
     name = f"officials_{hashlib.sha256(address.encode()).hexdigest()[:20]}"
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in OFFICIAL)
-    spark.sql(f"CREATE TABLE IF NOT EXISTS {name} ({fields}, state STRING) USING parquet OPTIONS (path '{address}') PARTITIONED BY (state) CLUSTERED BY (id) SORTED BY (id) INTO {buckets} BUCKETS")
+    spark.sql(f"CREATE TABLE IF NOT EXISTS {name} ({fields}, state STRING) USING parquet OPTIONS (path '{address}', partitionOverwriteMode 'dynamic') PARTITIONED BY (state) CLUSTERED BY (id) SORTED BY (id) INTO {buckets} BUCKETS")
     spark.sql(f"ALTER TABLE {name} RECOVER PARTITIONS")
     return name
 
@@ -91,7 +92,7 @@ def upsert_shards(incoming: DataFrame, path: str, seq: str = "seq", buckets: int
     rows = staged(incoming.withColumn("_state", shard_state()))
     table = shard_table(spark, path, buckets)
     merged = merged_shards(table, rows, seq)
-    merged.select(*OFFICIAL.fieldNames(), "state").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").insertInto(table)
+    merged.select(*OFFICIAL.fieldNames(), "state").write.mode("overwrite").insertInto(table)
     touched = [r["_state"] for r in rows.select("_state").distinct().collect()]  # folders of the table
     drop_staged(rows)
     return spark.read.parquet(path).where(F.col("state").isin(touched))

@@ -109,6 +109,19 @@ def test_only_touched_states_change(spark, folder):
     assert coverage == {"TX": (2, "day2"), "CA": (1, "day1"), "US": (1, "day1")}
 
 
+def test_upserts_in_a_session_that_overwrites_whole_tables(spark, folder):
+    """Spark's own setting is static: an upsert must still replace only the states that it touches."""
+    key = "spark.sql.sources.partitionOverwriteMode"
+    before = spark.conf.get(key)
+    try:
+        spark.conf.set(key, "static")
+        for name, state in [("A", "TX"), ("B", "CA"), ("C", "TX")]:
+            writers.upsert_shards(officials(spark, dict(id=f"i{state}", name=name, jurisdiction=dict(city="X", state=state)), dict(id=name, name=name, jurisdiction=dict(city="X", state=state))), folder + "/officials")
+        assert sorted((r["id"], r["name"], r["state"]) for r in readers.read_officials(spark, folder + "/officials").collect()) == [("A", "A", "TX"), ("B", "B", "CA"), ("C", "C", "TX"), ("iCA", "B", "CA"), ("iTX", "C", "TX")]
+    finally:
+        spark.conf.set(key, before)
+
+
 def test_append_tables(spark, folder):
     problems = spark.createDataFrame([("u", "HTTP 500")], "url string, error string")
     for _ in range(2):
