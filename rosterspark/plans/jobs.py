@@ -257,7 +257,8 @@ def report_triage_job(
         clip_input("url", link_length).alias("url"),
     ).filter(has("note"))
     accepted = limits.rate_limit(clean, ["key"])
-    triaged = extraction.parse_triage(responses, title_length=title_length).join(accepted, "seq")
+    # Both sides grow with the submissions, and Spark guesses the size of texts from their columns: neither goes through the driver.
+    triaged = extraction.parse_triage(responses, title_length=title_length).join(accepted.hint("merge"), "seq")
     return extraction.resolve_duplicates(triaged, open_issues).withColumn("excerpt", excerpt("note"))
 
 

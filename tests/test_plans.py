@@ -9,6 +9,7 @@ import pytest
 
 import __spark_entry__  # noqa: F401  (registers the queries)
 from rosterspark import session
+from rosterspark.plans import jobs
 from rosterspark.plans.catalog import QUERIES, Tables
 from rosterspark.plans.queries_jobs import _by_state
 from rosterspark.plans.queries_records import _order_officials
@@ -155,6 +156,17 @@ def test_a_hot_place_is_split_when_requests_meet_officials(spark):
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
 
+def test_triaged_answers_do_not_pass_the_driver(spark):
+    """Spark takes the texts of answers for smaller than they are: they must not be broadcast, however small the guess."""
+    n = F.col("id")
+    submissions = spark.range(50).select(n.alias("seq"), F.current_timestamp().alias("ts"), (n % 9).cast("string").alias("ip"), F.lit("note").alias("note"), F.lit("u").alias("url"))
+    responses = spark.range(50).select(n.alias("seq"), F.lit('{"duplicate_of": 2}').alias("response"))
+    out = jobs.report_triage_job(submissions, responses, spark.range(4).select(n.alias("issue")))
+    joins = [x.strip(" :+-") for x in plan(out).splitlines() if "Join [seq" in x]
+    assert joins and all(x.startswith("SortMergeJoin") for x in joins), joins
+    assert out.count() == 50 and out.filter("status_line = 'Duplicate of #2'").count() == 50
+
+
 def test_stored_shards_do_not_move(spark, tmp_path):
     """The merge shuffles and sorts what comes in; stored rows stay in their buckets, and only touched states are read."""
     path = str(tmp_path / "officials")
