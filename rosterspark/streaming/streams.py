@@ -76,23 +76,25 @@ def _first_rows(columns: list[str], group: list[str], order: list[str], per_day:
 
 
 def rate_limit_stream(
-    events: DataFrame, key: list[str], at: str = "ts", seq: str = "seq", per_day: int = REPORTS_PER_DAY, late: str = "1 hour"
+    events: DataFrame, key: list[str], at: str = "ts", seq: str = "seq", per_day: int = REPORTS_PER_DAY, late: str = "1 hour", buckets: int = 128
 ) -> DataFrame:
     """Rows accepted under ``per_day`` per key and UTC day, as a stream (append mode) that keeps one counter a key and day.
 
-    A counter is state of its key; a timer at the end of its day, when the watermark passes, removes it, so state holds the keys
-    of the days that are still open. Rows of a micro-batch count in order of time and ``seq``; earlier micro-batches
-    come first. Rows later than ``late`` after their day's end find no counter any more and are refused.
+    The counters of a day lie in ``buckets`` rows of state, by a hash of the key, so that Python is called for a bucket of keys and
+    not for each; a call holds the first ``per_day`` rows of its keys. A timer at the end of the day, when the watermark passes,
+    removes them, so state holds the keys of the days that are still open. Rows of a micro-batch count in order of time and ``seq``;
+    earlier micro-batches come first. Rows later than ``late`` after their day's end find no counter any more and are refused.
 
     Every task first cuts its rows to ``per_day`` a key, so a key with a third of all rows sends few to its counter. Column types
-    must be ones that pandas carries; nothing outside the checkpoint is written or read again.
+    must be ones that pandas carries; nothing outside the checkpoint is written or read again. A checkpoint goes with its ``buckets``.
     """
     names = events.columns
-    group = ["day", *key]
+    order = [at, seq]
     time = F.col(at).cast("timestamp")
     day = F.date_from_unix_date(F.floor(F.unix_micros(time) / 86_400_000_000).cast("int")).cast("string")
     rows = events.withColumns({at: time, "day": day})
-    few = rows.mapInPandas(_first_rows(rows.columns, group, [at, seq], per_day), rows.schema).withWatermark(at, late)
+    few = rows.mapInPandas(_first_rows(rows.columns, ["day", *key], order, per_day), rows.schema).withWatermark(at, late)
+    few = few.withColumns({"_key": F.to_json(F.struct(*key)), "_bucket": F.pmod(F.xxhash64(*key), F.lit(buckets)).cast("int")})
 
     def count(of, batches, state):
         import pandas as pd
@@ -100,16 +102,28 @@ def rate_limit_stream(
         if state.hasTimedOut:
             state.remove()
             return
-        used = state.get[0] if state.exists else 0
-        order = [at, seq]
-        found = pd.concat([b.sort_values(order, kind="stable").head(per_day) for b in batches]).sort_values(order, kind="stable").head(per_day - used)
-        state.update((used + len(found),))
+        used = state.get[0] if state.exists else {}
+        kept, waiting = None, []
+
+        def first(some):
+            return pd.concat(some).sort_values(order, kind="stable").groupby("_key", sort=False).head(per_day)
+
+        for batch in batches:
+            waiting.append(batch)
+            if sum(map(len, waiting)) > 10_000 + (0 if kept is None else len(kept)):
+                kept, waiting = first([*([] if kept is None else [kept]), *waiting]), []
+        found = first([*([] if kept is None else [kept]), *waiting])
+        nth = found.groupby("_key", sort=False).cumcount() + found["_key"].map(used).fillna(0)
+        found = found[nth < per_day]
+        for k, n in found["_key"].value_counts().items():
+            used[k] = used.get(k, 0) + int(n)
+        state.update((used,))
         ends = pd.Timestamp(of[0], tz="UTC") + pd.Timedelta(days=1)
         state.setTimeoutTimestamp(max(int(ends.timestamp() * 1000), state.getCurrentWatermarkMs() + 1))
         yield found[names]
 
     out = ", ".join(f"`{f.name}` {'timestamp' if f.name == at else f.dataType.simpleString()}" for f in events.schema)
-    return few.groupBy(*group).applyInPandasWithState(count, out, "used bigint", "append", "EventTimeTimeout")
+    return few.groupBy("day", "_bucket").applyInPandasWithState(count, out, "used map<string,bigint>", "append", "EventTimeTimeout")
 
 
 def rate_limit_batch(path: str, key: list[str], at: str = "ts", seq: str = "seq", per_day: int = REPORTS_PER_DAY, run: str = "first") -> Callable[[DataFrame, int], None]:

@@ -207,6 +207,26 @@ def test_stateful_rate_limit_equals_batch(spark, folder):
     assert state < limits.rate_limit(hot, ["user_id"], seq="event_id", per_day=3).select("day", "user_id").distinct().count()
 
 
+def test_counters_of_many_keys_share_rows_of_state(spark, folder):
+    """State has a row a day and bucket, not one a key; null keys, many rows of a key and several Arrow batches of a bucket count as before."""
+    n = F.col("id")
+    rows = spark.range(40_000).select(
+        n.alias("event_id"), F.timestamp_seconds(1_767_225_600 + n * 4).alias("ts"), F.when(n % 3 != 0, n % 9_000).alias("user_id"), F.when(n % 2 == 0, F.lit("a")).alias("kind")
+    )
+    for part in range(2):
+        rows.filter(F.floor(n / 20_000) == part).repartition(2).write.mode("append").parquet(folder + "/src")
+        stream = spark.readStream.schema(rows.schema).parquet(folder + "/src")
+        accepted = streams.rate_limit_stream(stream, ["user_id", "kind"], seq="event_id", per_day=2, buckets=1)
+        query = accepted.writeStream.format("parquet").option("path", folder + "/out").option("checkpointLocation", folder + "/cp").trigger(availableNow=True).start()
+        query.awaitTermination(120)
+        assert query.exception() is None
+        states = [p["stateOperators"][0]["numRowsTotal"] for p in query.recentProgress if p["stateOperators"]]
+        assert max(states) <= 2, states
+    got = [r["event_id"] for r in spark.read.parquet(folder + "/out").collect()]
+    want = [r["event_id"] for r in limits.rate_limit(rows, ["user_id", "kind"], seq="event_id", per_day=2).collect()]
+    assert sorted(got) == sorted(want) and len(set(want)) > 20_000
+
+
 def test_repeated_batch_changes_nothing(spark, folder, events):
     batch, _ = events
     write = streams.rate_limit_batch(folder + "/accepted", ["user_id"], seq="event_id", per_day=3)
