@@ -113,7 +113,7 @@ def latest_populated_vintage(listing: DataFrame, probes: DataFrame, fallback: st
     reads ``2020-2024/`` folders ordered by their end.
     """
     pattern = r'href="(\d{4})_Gazetteer/"' if kind == "year" else r'href="(\d{4}-\d{4})/"'
-    found = listing.select(F.explode(F.regexp_extract_all("html", F.lit(pattern), F.lit(1))).alias("vintage"))
-    good = found.join(probes.select("vintage"), "vintage", "left_semi")
+    found = listing.select(F.explode(F.regexp_extract_all("html", F.lit(pattern), F.lit(1))).alias("vintage")).distinct()
+    good = found.join(probes.select("vintage").distinct(), "vintage", "left_semi")
     newest = good.agg(F.max_by("vintage", F.right("vintage", F.lit(4))).alias("vintage"))
     return newest.select(F.coalesce("vintage", F.lit(fallback)).alias("vintage"))

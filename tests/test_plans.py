@@ -14,7 +14,7 @@ from rosterspark.plans.catalog import QUERIES, Tables
 from rosterspark.plans.queries_jobs import _by_state
 from rosterspark.plans.queries_records import _order_officials
 from rosterspark.plans.queries_tiers import _site_tables
-from rosterspark.operators import crawl, limits, records, selection, serve, web
+from rosterspark.operators import crawl, limits, records, selection, serve, universe, web
 from rosterspark.sources import writers
 
 FOLDER = "/root/testdata/sf0.001"
@@ -156,6 +156,16 @@ def test_a_hot_place_is_split_when_requests_meet_officials(spark):
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
 
+def test_vintages_meet_once(spark):
+    """A row of each listed and each probed folder meets, not one of each listing."""
+    listing = spark.range(1000).select(F.concat(F.lit('<a href="'), F.lit(2000) + F.col("id") % 5, F.lit('_Gazetteer/">x</a>')).alias("html"))
+    probes = spark.range(1000).select((F.lit(2000) + F.col("id") % 3).cast("string").alias("vintage"))
+    out = universe.latest_populated_vintage(listing, probes, "F")
+    text = plan(out)
+    assert text.count("HashAggregate(keys=[vintage") == 4, text
+    assert out.collect() == [("2002",)]
+
+
 def test_triaged_answers_do_not_pass_the_driver(spark):
     """Spark takes the texts of answers for smaller than they are: they must not be broadcast, however small the guess."""
     n = F.col("id")
