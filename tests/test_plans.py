@@ -156,6 +156,19 @@ def test_a_hot_place_is_split_when_requests_meet_officials(spark):
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
 
+def test_only_matched_keys_decide_the_queue(spark):
+    """Officials of one place don't multiply the requests that are looked for; the queue of the job is built that way."""
+    n = F.col("id")
+    requests = spark.range(20).select(n.alias("request_id"), F.lit("TX").alias("state"), F.when(n % 2 == 0, F.lit("Hot city")).otherwise(F.lit("Cold")).alias("place"), F.when(n == 3, F.lit("Hot County")).alias("county"))
+    officials = spark.range(3000).select(n.alias("official"), F.lit("TX").alias("state"), F.when(n % 2 == 0, F.lit("local")).otherwise(F.lit("county")).alias("level"), F.lit("Hot").alias("city"))
+    met = serve.match_local(serve.match_keys(requests), officials, how="left_semi")
+    assert met.columns == ["request_id"] and sorted(r[0] for r in met.collect()) == sorted([*range(0, 20, 2), 3])
+    assert sorted(r[0] for r in serve.unmatched(requests, met).select("request_id").collect()) == [x for x in range(1, 20, 2) if x != 3]
+    for name in ("unmatched_requests", "lookup_queue"):
+        text = plan(QUERIES[name](spark, FOLDER))
+        assert not re.search(r"_name#\d+\], Inner", text) and re.search(r"_name#\d+\], LeftSemi", text), name
+
+
 def test_vintages_meet_once(spark):
     """A row of each listed and each probed folder meets, not one of each listing."""
     listing = spark.range(1000).select(F.concat(F.lit('<a href="'), F.lit(2000) + F.col("id") % 5, F.lit('_Gazetteer/">x</a>')).alias("html"))
