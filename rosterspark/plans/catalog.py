@@ -25,6 +25,11 @@ class Tables:
     def __getattr__(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
 
+    def spread(self, name: str) -> DataFrame:
+        """The table dealt over all cores, for inputs that are far larger than the rows they are made of: Spark reads a small
+        file in one task, which would make and process all of them."""
+        return getattr(self, name).repartition(2 * self.spark.sparkContext.defaultParallelism)
+
 
 def query(name: str, sql: str | None = None):
     def register(build: Callable[[Tables], DataFrame]):

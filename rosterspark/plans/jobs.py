@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rosterspark.functions.text import (
-    clip_input, excerpt, filled, guess_body_name, has, hash_key, jurisdiction_key, place_slug,
+    clip_input, excerpt, filled, guess_body_name, has, hash_key, jurisdiction_key, pin, place_slug,
 )
 from rosterspark.functions.urls import check_submission_url, url_origin
 from rosterspark.operators import crawl, extraction, limits, qa, records, selection, serve, tiers, universe, web
@@ -49,9 +49,10 @@ def roster_job(
     ``homes``: fetched home pages of the sites (requested_url, url, ok, html); problems then suggest links from them.
     """
     keyed = pages.withColumn("batch", jurisdiction_key("state", "city", "level"))
-    read = web.page_quality(web.page_text(keyed.withColumn("html", F.coalesce("html", F.lit("")))))
-    failed = read.filter(~F.coalesce("ok", F.lit(False))).select("city", "state", F.col("requested_url").alias("url"), "error")
-    good = read.filter("ok")
+    failed = keyed.filter(~F.coalesce("ok", F.lit(False))).select("city", "state", F.col("requested_url").alias("url"), "error")
+    read = web.page_text(keyed.filter("ok").withColumn("html", F.coalesce("html", F.lit(""))), out="_text")
+    # Pinned, or every filter by the text would make it anew where the pages are read.
+    good = web.page_quality(pin(read, text=F.col("_text")).drop("_text"))
     thin = good.filter("needs_browser").select(
         "city", "state", F.col("requested_url").alias("url"), F.lit("needs-browser (empty static render)").alias("error")
     )

@@ -27,7 +27,8 @@ def scratch(t: Tables) -> str:
 def _roster_inputs(t: Tables):
     n, k = F.col("c_custkey"), F.col("c_custkey").cast("string")
     html = F.concat(F.lit("<p>"), F.expr("repeat('word ', cast(if(c_custkey % 5 = 0, 10, 200) as int))"), F.lit("</p>"))
-    pages = t.customer.select(
+    rows = t.spread("customer")
+    pages = rows.select(
         n.alias("page_id"), F.concat(F.lit("City"), F.col("c_nationkey")).alias("city"), F.lit("TX").alias("state"), F.lit("local").alias("level"),
         F.lit("Council").alias("body"), F.concat(F.lit("https://c.gov/"), k).alias("requested_url"), F.concat(F.lit("https://c.gov/"), k).alias("url"),
         (n % 7 != 0).alias("ok"), F.lit(200).alias("status"), html.alias("html"), F.when(n % 7 == 0, F.lit("HTTP 500")).alias("error"),
@@ -37,7 +38,7 @@ def _roster_inputs(t: Tables):
         F.lit("/seal.png").alias("photo_url"), F.when(n % 2 == 0, F.lit("5125550000")).alias("phone"), (n % 100 / 100).alias("confidence"),
     )
     body = F.to_json(F.struct(F.array(person).alias("officials")))
-    responses = t.customer.select(
+    responses = rows.select(
         n.alias("page_id"), F.when(n % 11 == 0, F.lit("length")).otherwise(F.lit("stop")).alias("finish_reason"), body.alias("response")
     )
     return pages, responses

@@ -169,6 +169,18 @@ def test_only_matched_keys_decide_the_queue(spark):
         assert not re.search(r"_name#\d+\], Inner", text) and re.search(r"_name#\d+\], LeftSemi", text), name
 
 
+def test_pages_are_read_as_text_once(spark, monkeypatch):
+    """The inputs of the runs are dealt out before they are made, and no filter by a page's text goes below that."""
+    seen = []
+    monkeypatch.setattr(jobs, "staged", lambda df: seen.append(df) or df)
+    frames = [QUERIES["roster_problems"](spark, FOLDER), *seen]
+    for text in map(plan, frames):
+        scans = [x for x in text.splitlines() if "REPARTITION_BY_NUM" in x]
+        assert scans
+        below = text[text.index("REPARTITION_BY_NUM") :]
+        assert "script" not in "".join(x for x in below.splitlines() if x.strip(" :+-").startswith("Filter"))
+
+
 def test_vintages_meet_once(spark):
     """A row of each listed and each probed folder meets, not one of each listing."""
     listing = spark.range(1000).select(F.concat(F.lit('<a href="'), F.lit(2000) + F.col("id") % 5, F.lit('_Gazetteer/">x</a>')).alias("html"))
