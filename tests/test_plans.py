@@ -169,6 +169,18 @@ def test_only_matched_keys_decide_the_queue(spark):
         assert not re.search(r"_name#\d+\], Inner", text) and re.search(r"_name#\d+\], LeftSemi", text), name
 
 
+def test_small_requests_meet_officials_in_many_tasks(spark):
+    """Few bytes can make very many pairs: neither side is broadcast, and the requests of one place lie on many keys."""
+    n = F.col("id")
+    requests = spark.range(400).select(n.alias("request_id"), F.lit("TX").alias("state"), F.lit("Hot").alias("place"), F.lit(None).cast("string").alias("county"))
+    officials = spark.range(50).select(n.alias("official"), F.lit("TX").alias("state"), F.lit("local").alias("level"), F.lit("Hot").alias("city"))
+    joined = serve.match_local(serve.match_keys(requests), officials)
+    text = plan(joined)
+    assert "SortMergeJoin" in text and "_salt" in text and "Broadcast" not in text
+    assert joined.columns == ["request_id", "official", "state", "level", "city"]
+    assert joined.distinct().count() == joined.count() == 400 * 50
+
+
 def test_pages_are_read_as_text_once(spark, monkeypatch):
     """The inputs of the runs are dealt out before they are made, and no filter by a page's text goes below that."""
     seen = []
