@@ -3,6 +3,7 @@
 import os
 import re
 import tempfile
+from pathlib import Path
 
 from pyspark.sql import functions as F
 import pytest
@@ -181,6 +182,30 @@ def test_small_requests_meet_officials_in_many_tasks(spark):
     assert joined.distinct().count() == joined.count() == 400 * 50
 
 
+def test_lists_of_requests_meet_officials(spark):
+    """The same pairs as row by row, with ids that repeat or are null, and far smaller files of them."""
+    n = F.col("id")
+    ids = F.when(n % 10 != 0, n - n % 3)
+    requests = spark.range(4000).select(ids.alias("request_id"), F.lit("TX").alias("state"), F.when(n < 3900, F.lit("Hot")).otherwise(F.concat(F.lit("Town"), n % 7)).alias("place"), F.lit("Hot").alias("county"))
+    officials = spark.range(1001).select(n.alias("official"), F.lit("TX").alias("state"), F.when(n == 5, F.lit("county")).otherwise(F.lit("local")).alias("level"), F.when(n > 9, F.lit("Hot")).otherwise(F.concat(F.lit("Town"), n % 5)).alias("city"))
+    officials = officials.unionByName(officials.filter("official = 3"))
+    sizes, counts = {}, {}
+    for tile in (None, serve.MATCH_TILE, 8):
+        joined = serve.match_local(serve.match_keys(requests), officials, tile=tile)
+        assert joined.columns == ["request_id", "official", "state", "level", "city"]
+        folder = tempfile.mkdtemp(prefix="lists-") + "/out"
+        joined.select("request_id", "official").write.parquet(folder)
+        sizes[tile] = sum(p.stat().st_size for p in Path(folder).glob("*.parquet"))
+        pairs = spark.read.parquet(folder).groupBy("request_id", "official").agg(F.count(F.lit(1)).alias("n"))
+        counts[tile] = pairs.agg(F.count(F.lit(1)), F.sum("n"), F.sum(F.xxhash64("request_id", "official", "n").cast("decimal(38,0)"))).first()
+    assert counts[None] == counts[serve.MATCH_TILE] == counts[8] and counts[None][1] > 3900 * 990
+    assert sizes[serve.MATCH_TILE] < 0.7 * sizes[None], sizes
+    with pytest.raises(ValueError):
+        serve.match_local(serve.match_keys(requests), officials, tile=7)
+    text = plan(QUERIES["match_local"](spark, FOLDER))
+    assert text.index("Generate explode") < text.index("SortMergeJoin") < text.index("collect_list") and "BroadcastNestedLoopJoin" not in text
+
+
 def test_pages_are_read_as_text_once(spark, monkeypatch):
     """The inputs of the runs are dealt out before they are made, and no filter by a page's text goes below that."""
     seen = []
