@@ -206,6 +206,17 @@ def test_lists_of_requests_meet_officials(spark):
     assert text.index("Generate explode") < text.index("SortMergeJoin") < text.index("collect_list") and "BroadcastNestedLoopJoin" not in text
 
 
+def test_cards_are_grouped_before_they_meet_requests(spark, monkeypatch):
+    """What a card of an official or executive shows is made once, not once for every request that it is shown to."""
+    made = []
+    monkeypatch.setattr(serve, "grouped_cards", lambda cards, whole=serve.grouped_cards: made.append("request_id" in cards.columns) or whole(cards))
+    lookup_job, got = jobs.lookup_job, []
+    monkeypatch.setattr(jobs, "lookup_job", lambda *frames: got.append(lookup_job(*frames)) or got[0])
+    QUERIES["lookup_cards"](spark, FOLDER)
+    assert made == [False, True, False]
+    assert got[0][0].columns == ["request_id", *serve.CARD_COLUMNS, "tier", "group", "group_order", "area_label", "low_confidence", "extra_offices"]
+
+
 def test_pages_are_read_as_text_once(spark, monkeypatch):
     """The inputs of the runs are dealt out before they are made, and no filter by a page's text goes below that."""
     seen = []
